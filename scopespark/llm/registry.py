@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopespark.llm import bpe
+from scopespark.llm import bpe, secretscan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,19 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and owner-specific tokens of every text."""
+    found = secretscan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    base = F.col("base")
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        *[secretscan.count_kind(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secretscan.written(base), 256).alias("base_sha256"),
+        secretscan.written(F.col("spans")).alias("spans"),
+        secretscan.count_kind(F.col("spans"), "owned").alias("n_owned"),
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids, and digest both."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -31,9 +44,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op7_secret_ownership": op7_secret_ownership,
         "op9_byte_bpe": op9_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_secret_ownership": secretscan.sql(),
+    }
