@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Merged pieces kept by one worker; when full the cache starts anew.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 500_000
 #: Lane length of the scan.
 LANE = 128
 #: Code points scanned at once.
-SCAN = 1 << 19
+SCAN = 1 << 21
 
 # Symbol classes of code points.
 LETTER, NUMBER, OTHER, BLANK, SPACE, QUOTE = range(6)
@@ -154,21 +154,7 @@ def _scan(sym: np.ndarray, state: int) -> tuple[np.ndarray, int]:
 
 def piece_starts(text: str) -> np.ndarray:
     """Code-point offsets at which the pieces of ``text`` begin."""
-    return batch_starts([text])[0]
-
-
-def batch_starts(texts: list[str]) -> list[np.ndarray]:
-    """Piece starts of many texts in one scan; texts never share a piece."""
-    out: list[np.ndarray] = []
-    group: list[str] = []
-    size = 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= SCAN:
-            out += _group_starts(group)
-            group, size = [], 0
-    return out + (_group_starts(group) if group else [])
+    return _group_starts([text])[0]
 
 
 def _group_starts(group: list[str]) -> list[np.ndarray]:
@@ -336,19 +322,24 @@ def _loaded(path: str) -> tuple[PieceCache, list[bytes]]:
 
 
 def encode_batch(texts: list[str], cache: PieceCache) -> list[np.ndarray]:
-    """Ids of each text."""
+    """Ids of each text; texts are cut into pieces ``SCAN`` code points at a time, which bounds memory."""
+    out, group, size = [], [], 0
+    for i, text in enumerate(texts, 1):
+        group.append(text)
+        size += len(text)
+        if size >= SCAN or i == len(texts):
+            out += _encode_group(group, cache)
+            group, size = [], 0
+    return out
+
+
+def _encode_group(texts: list[str], cache: PieceCache) -> list[np.ndarray]:
     pieces = []
-    for text, starts in zip(texts, batch_starts(texts)):
+    for text, starts in zip(texts, _group_starts(texts)):
         at = starts.tolist()
         pieces.append(list(map(text.__getitem__, map(slice, at, [*at[1:], len(text)]))))
-    out, lo, total = [], 0, 0
-    for hi, part in enumerate(pieces, 1):
-        total += len(part)
-        if total > 400_000 or hi == len(pieces):
-            group, lo, total = pieces[lo:hi], hi, 0
-            cache.learn(set(chain.from_iterable(group)))
-            out += [np.frombuffer(b"".join(map(cache.__getitem__, x)), dtype=np.int32) for x in group]
-    return out
+    cache.learn(set(chain.from_iterable(pieces)))
+    return [np.frombuffer(b"".join(map(cache.__getitem__, x)), dtype=np.int32) for x in pieces]
 
 
 def encode(path: str) -> Callable[[Column], Column]:
