@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopespark.llm import bpe, secretscan
+from scopespark.llm import bpe, secretscan, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text by the word-end BPE model."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokencount.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return counted.select(F.col("doc").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans and owner-specific tokens of every text."""
     found = secretscan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -30,6 +37,18 @@ def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text by a factorization machine fitted outside the held-out fold."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, machine).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"),
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids, and digest both."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -44,7 +63,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_token_counts": op3_token_counts,
         "op7_secret_ownership": op7_secret_ownership,
+        "op8_toxicity_fm": op8_toxicity_fm,
         "op9_byte_bpe": op9_byte_bpe,
     }
 

@@ -20,6 +20,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: The other choice of separators: every ASCII byte that is no letter or digit.
+PUNCTUATION = np.arange(256) < 128
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -59,15 +62,19 @@ def blocks(rows: Sequence[bytes], size: int = BLOCK) -> Iterator[tuple[int, int]
         yield first, len(rows)
 
 
-def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of one lower-cased buffer."""
-    gap = _SPACE[buf]
+def _words(buf: np.ndarray, gaps: np.ndarray = _SPACE, prefixes: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the words of one lower-cased buffer, and hashes[k] of whole words and of their prefixes."""
+    gap = gaps[buf]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True]))))
     start, end = edge[::2], edge[1::2]
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power("up", len(buf)), out=total[1:])
-    h = (total[end] - total[start]) * _power("down", len(buf) + 1)[start]
-    return start, end, mix64(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    shift, first = _power("down", len(buf) + 1)[start], total[start]
+    hashes = []
+    for stop in (end, *(np.minimum(end, start + k) for k in prefixes)):
+        h = (total[stop] - first) * shift
+        hashes.append(mix64(h ^ ((stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))))
+    return start, np.stack(hashes)
 
 
 def _split_long(row: bytes) -> Iterator[bytes]:
@@ -84,21 +91,23 @@ def _split_long(row: bytes) -> Iterator[bytes]:
     yield row[at:]
 
 
-def word_hashes(rows: Sequence[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_hashes(rows: Sequence[bytes], gaps: np.ndarray = _SPACE, prefixes: Sequence[int] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For each block of rows: first row, end row, word hashes, and word offsets of each row.
 
-    Row ``first + k`` owns ``hashes[offsets[k]:offsets[k + 1]]``.
+    Row ``first + k`` owns ``hashes[offsets[k]:offsets[k + 1]]``.  With ``prefixes`` (numbers of bytes)
+    hashes[0] holds the whole words and hashes[1:] those prefixes of them.
     """
     for lo, hi in blocks(rows):
         if hi - lo == 1 and len(rows[lo]) > BLOCK:
-            parts = [_words(_LOWER[np.frombuffer(p, dtype=np.uint8)])[2] for p in _split_long(rows[lo]) if p]
-            hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield lo, hi, hashes, np.array([0, len(hashes)])
-            continue
-        buf = _LOWER[np.frombuffer(b"\n".join(rows[lo:hi]) + b"\n", dtype=np.uint8)]
-        start, _, hashes = _words(buf)
-        ends = np.cumsum([len(x) + 1 for x in rows[lo:hi]])
-        yield lo, hi, hashes, np.concatenate(([0], np.searchsorted(start, ends)))
+            parts = [_words(_LOWER[np.frombuffer(p, dtype=np.uint8)], gaps, prefixes)[1] for p in _split_long(rows[lo]) if p]
+            hashes = np.concatenate(parts, axis=1)
+            offsets = np.array([0, hashes.shape[1]])
+        else:
+            buf = _LOWER[np.frombuffer(b"\n".join(rows[lo:hi]) + b"\n", dtype=np.uint8)]
+            start, hashes = _words(buf, gaps, prefixes)
+            ends = np.cumsum([len(x) + 1 for x in rows[lo:hi]])
+            offsets = np.concatenate(([0], np.searchsorted(start, ends)))
+        yield lo, hi, hashes if prefixes else hashes[0], offsets
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
