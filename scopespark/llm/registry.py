@@ -52,13 +52,7 @@ def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids, and digest both."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return ids.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(path)("ids"), 256).alias("decoded_sha256"),
-    )
+    return _read(spark, sf_dir, "documents").select("doc_id", bpe.digest(path)("text").alias("d")).select("doc_id", "d.*")
 
 
 def queries() -> dict[str, Query]:
