@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopespark.llm import bpe, secretscan, tokencount, toxicity
+from scopespark.llm import bpe, itq, secretscan, sharding, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of near equal bytes along a Hilbert curve over language, source and length."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharding.hilbert_shards(rows, ["lang", "source", "n_chars"], "size", ["doc_id", "text_crc32", "size"], 24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text by the word-end BPE model."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,16 +64,25 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", bpe.digest(path)("text").alias("d")).select("doc_id", "d.*")
 
 
+def op10_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95."""
+    return itq.near_duplicates(_read(spark, sf_dir, "embeddings"), 0.95)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_hilbert_shards": op1_hilbert_shards,
         "op3_token_counts": op3_token_counts,
         "op7_secret_ownership": op7_secret_ownership,
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_itq_near_duplicates": op10_itq_near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_hilbert_shards": sharding.sql(),
         "op7_secret_ownership": secretscan.sql(),
+        "op10_itq_near_duplicates": itq.sql(0.95),
     }
