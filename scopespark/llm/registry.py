@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopespark.llm import bpe, itq, secretscan, sharding, tokencount, toxicity
+from scopespark.llm import bpe, itq, minhash, secretscan, sharding, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,12 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over 5-word shingles at similarity 0.75."""
+    found = minhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text by the word-end BPE model."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -72,6 +78,7 @@ def op10_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_hilbert_shards": op1_hilbert_shards,
+        "op2_minhash_components": op2_minhash_components,
         "op3_token_counts": op3_token_counts,
         "op7_secret_ownership": op7_secret_ownership,
         "op8_toxicity_fm": op8_toxicity_fm,
@@ -83,6 +90,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_hilbert_shards": sharding.sql(),
+        "op2_minhash_components": minhash.sql(),
         "op7_secret_ownership": secretscan.sql(),
         "op10_itq_near_duplicates": itq.sql(0.95),
     }
