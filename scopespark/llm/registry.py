@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopespark.llm import bpe, itq, minhash, secretscan, sharding, tokencount, toxicity
+from scopespark.llm import bpe, decontam, itq, minhash, secretscan, sharding, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("doc").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op4_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within the edit bound: one row per document and item."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contaminated(docs, _read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words", "edits", "end_word")
+
+
 def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans and owner-specific tokens of every text."""
     found = secretscan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -80,6 +87,7 @@ def queries() -> dict[str, Query]:
         "op1_hilbert_shards": op1_hilbert_shards,
         "op2_minhash_components": op2_minhash_components,
         "op3_token_counts": op3_token_counts,
+        "op4_cgk_decontamination": op4_cgk_decontamination,
         "op7_secret_ownership": op7_secret_ownership,
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_byte_bpe": op9_byte_bpe,
