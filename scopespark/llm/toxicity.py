@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scopespark.llm import textkernel
+from scopespark.session import spool
 
 #: Texts with this score or more are toxic.
 REJECT = 0.7
@@ -63,15 +64,13 @@ def term_slots(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield lo, hi, both & ((1 << BITS) - 1), np.searchsorted(both >> BITS, np.arange(hi - lo + 1))
 
 
-def telling(slots: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Slots whose share among the positives differs from that among the rest beyond chance."""
-    size = 1 << BITS
-    owner = np.repeat(labels > 0, [len(s) for s in slots])
-    flat = np.concatenate(slots)
-    pos, all_ = np.bincount(flat[owner], minlength=size), np.bincount(flat, minlength=size)
-    n, p = len(labels), float(labels.mean())
-    spread = np.sqrt(np.maximum(all_ * p * (1 - p) * (1 - all_ / n), 1e-9))
-    return (all_ >= LEAST_DOCS) & (np.abs(pos - all_ * p) >= LEAST_Z * spread)
+def telling(docs: np.ndarray, positive: np.ndarray, n: int, share: float) -> np.ndarray:
+    """Slots whose share among the positives differs from that among the rest beyond chance.
+
+    ``docs`` and ``positive`` count the sample's documents, and its positives, that have each slot.
+    """
+    spread = np.sqrt(np.maximum(docs * share * (1 - share) * (1 - docs / max(n, 1)), 1e-9))
+    return (docs >= LEAST_DOCS) & (np.abs(positive - docs * share) >= LEAST_Z * spread)
 
 
 def fit(slots: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
@@ -81,8 +80,6 @@ def fit(slots: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Machine(-30.0 if share == 0 else 30.0, weight, vector)
-    use = telling(slots, labels)
-    slots = [s[use[s]] for s in slots]
     rng = np.random.default_rng(seed)
     vector += rng.normal(0, 0.01, vector.shape)
     bias, seen_b = float(np.log(share / (1 - share))), 1e-8
@@ -131,8 +128,20 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
 
     kind = docs.schema[doc].dataType.simpleString()
     rows = picked.mapInPandas(featurise, f"doc {kind}, y int, slots array<int>")
-    rows = rows.groupBy("doc", "y").agg(F.min("slots").alias("slots")).orderBy(F.xxhash64("doc"), "doc").toPandas()
-    return fit([np.asarray(s, dtype=np.int64) for s in rows["slots"]], (rows["y"].to_numpy() > 0).astype(float))
+    rows = spool(rows.groupBy("doc", "y").agg(F.min("slots").alias("slots")), "labelled")
+    # one row per slot at most comes to the driver, and then the few telling slots of each text
+    counts = rows.select((F.col("y") > 0).cast("int").alias("y"), F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"), F.sum("y").alias("p")).toPandas()
+    both = np.zeros((2, 1 << BITS))
+    both[:, counts["slot"].to_numpy(dtype=np.int64)] = counts[["n", "p"]].to_numpy(dtype=float).T
+    size = rows.agg(F.count("*"), F.sum((F.col("y") > 0).cast("int"))).first()
+    use = docs.sparkSession.sparkContext.broadcast(telling(both[0], both[1], size[0], (size[1] or 0) / max(size[0], 1)))
+
+    @F.pandas_udf("array<int>")
+    def narrow(slots: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(s)[use.value[np.asarray(s, dtype=np.int64)]] for s in slots], dtype=object)
+
+    sample = rows.select("doc", "y", narrow("slots").alias("slots")).toPandas().sort_values("doc")
+    return fit([np.asarray(s, dtype=np.int64) for s in sample["slots"]], (sample["y"].to_numpy() > 0).astype(float))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
