@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopespark.llm import bpe, decontam, itq, minhash, secretscan, sharding, tokencount, toxicity
+from scopespark.llm import bpe, ctw, decontam, itq, minhash, secretscan, sharding, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,11 @@ def op4_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words", "edits", "end_word")
 
 
+def op5_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree score of every text beside the unigram base."""
+    return ctw.score(_read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc", "doc_id")
+
+
 def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans and owner-specific tokens of every text."""
     found = secretscan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -88,6 +93,7 @@ def queries() -> dict[str, Query]:
         "op2_minhash_components": op2_minhash_components,
         "op3_token_counts": op3_token_counts,
         "op4_cgk_decontamination": op4_cgk_decontamination,
+        "op5_context_tree_score": op5_context_tree_score,
         "op7_secret_ownership": op7_secret_ownership,
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_byte_bpe": op9_byte_bpe,
