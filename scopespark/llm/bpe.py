@@ -402,6 +402,18 @@ def offsets(path: str) -> Callable[[Column], Column]:
     return to_offsets
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with a column of ids in place of nothing else; one pass, no shuffle."""
-    return docs.withColumn(ids, encode(path)(F.col(text)))
+def encode_documents(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, n_tokens, ids, intact) of every row: ``intact`` tells that the ids decode to the text's bytes."""
+
+    def encode_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, back = _loaded(path)
+        for part in parts:
+            for a in range(0, len(part), 256):
+                some = part.iloc[a : a + 256]
+                texts = [x if isinstance(x, str) else "" for x in some[text]]
+                ids = encode_batch(texts, cache)
+                intact = [b"".join(map(back.__getitem__, i.tolist())) == t.encode("utf-8", "surrogatepass") for i, t in zip(ids, texts)]
+                yield pd.DataFrame({doc: some[doc].astype(object), "n_tokens": [len(i) for i in ids], "ids": ids, "intact": intact})
+
+    kind = docs.schema[doc].dataType.simpleString()
+    return docs.select(doc, text).mapInPandas(encode_rows, f"`{doc}` {kind}, n_tokens long, ids array<int>, intact boolean")

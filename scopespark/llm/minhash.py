@@ -184,3 +184,12 @@ def sql(width: int = 5, percent: int = 75) -> str:
     c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
     SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
     FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id"""
+
+
+def one_of_each(docs: DataFrame, key: str, text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, one for each key; all columns are kept."""
+    found = near_duplicates(docs, key, text, width, percent).where("kept").groupBy(F.col("doc").alias(key)).agg(F.count("*").alias("rows"))
+    found = spool(found, "kept")
+    once = docs.join(found.where("rows = 1").select(key), key, "left_semi")
+    again = docs.join(found.where("rows > 1").select(key), key, "left_semi").dropDuplicates([key])
+    return once.unionByName(again)
