@@ -2,9 +2,9 @@
 
 A document is the set of its distinct ``width``-word shingles.  Documents with equal sets are one
 class.  Each class has ``COORDINATES`` minima under independent hash functions and is posted under its
-(coordinate, value) pairs.  Two sets of Jaccard similarity 0.75 agree in 36 of 48 coordinates on
+(coordinate, value) pairs.  Two sets of Jaccard similarity 0.75 agree in 48 of 64 coordinates on
 average; pairs that agree in fewer than ``MATCHES`` are dropped, which loses a pair exactly at the
-threshold with probability below 1e-5.
+threshold with probability below 1e-4.
 
 Prefix and skip: values are ordered by how many classes are posted under them, rarest first.  Values
 posted once can't collide, so classes with fewer than ``MATCHES`` shared values leave at once.  Two
@@ -13,8 +13,10 @@ only this prefix is merged; the long lists behind it are skipped and the collisi
 signatures of the pair.
 
 Long lists never produce all their pairs.  In each list all members are first compared with one
-pivot, and the confirmed links are joined into components; afterwards only members outside the list's
-main component are compared with the others.  A link inside one component changes nothing, so the
+pivot, the member whose own values are the most shared, and the confirmed links are joined into
+components.  Lists that still hold several components repeat this with a pivot outside their main
+component.  At last only members outside the main component are compared with the others, and pairs
+leave that join only if their sizes and signatures allow the similarity.  A link inside one component changes nothing, so the
 components equal those of all pairs.  Every link is confirmed on the full shingle sets.
 
 Null or empty text, and text without words, is an empty set and links with nothing.  Rows with a null
@@ -34,7 +36,9 @@ from scopespark.llm import textkernel
 from scopespark.llm.components import components
 from scopespark.session import spool
 
-COORDINATES, MATCHES = 48, 22
+COORDINATES, MATCHES = 64, 34
+#: Rounds in which each list compares its members with one pivot, before pairs are compared.
+ROUNDS = 3
 _PREFIX = COORDINATES - MATCHES + 1
 
 
@@ -96,7 +100,10 @@ def _matches(a: str, b: str) -> Column:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(list, rep, n): prefix postings of every class that shares enough values with others."""
+    """(list, rep, weight): prefix postings of every class that shares enough values with others.
+
+    ``weight`` is the number of postings under all values of the class.
+    """
     values = F.transform("sig", lambda x, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
     posted = classes.select("rep", F.explode(values).alias("list"))
     shared = posted.groupBy("list").agg(F.count("*").alias("length")).where("length > 1")
@@ -105,7 +112,8 @@ def postings(classes: DataFrame) -> DataFrame:
     # values posted once come first in the order and take up their part of the prefix
     left = F.size("own") - (COORDINATES - _PREFIX)
     own = own.where(F.size("own") >= MATCHES)
-    return own.select("rep", F.explode(F.slice("own", F.lit(1), left)).alias("p")).select(F.col("p.list").alias("list"), "rep")
+    weight = F.aggregate("own", F.lit(0).cast("long"), lambda t, x: t + x["length"]).alias("weight")
+    return own.select("rep", weight, F.explode(F.slice("own", F.lit(1), left)).alias("p")).select(F.col("p.list").alias("list"), "rep", "weight")
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,21 +156,31 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wi
     texts = docs.select(F.col(doc).alias("rep"), text).join(active, "rep")
     sets = spool(texts.mapInPandas(to_sets, f"rep {kind}, shingles array<long>").dropDuplicates(["rep"]), "sets")
 
-    pivots = posts.groupBy("list").agg(F.min("rep").alias("a"))
-    first = posts.join(pivots, "list").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = spool(_confirm(first, classes, sets, percent), "links")
-    found = spool(components(links, "a", "b"), "components")
-
-    # what the pivots leave: members outside the main component of their list, against all its members
-    placed = posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("list", "rep", F.coalesce("component", "rep").alias("c"))
-    main = placed.groupBy("list", "c").agg(F.count("*").alias("k")).groupBy("list").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("list", F.col("m.c").alias("main"))
-    placed = spool(placed.join(main, "list"), "placed")
-    strays = placed.where("c <> main").select("list", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    others = placed.select("list", F.col("rep").alias("a"), F.col("c").alias("ca"), (F.col("c") == F.col("main")).alias("in_main"))
-    rest = strays.join(others, "list").where((F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _confirm(rest, classes, sets, percent)
-    found = spool(components(spool(links.unionByName(more), "links"), "a", "b"), "components")
+    pivots = posts.groupBy("list").agg(F.max(F.struct("weight", "rep")).alias("p")).select("list", F.col("p.rep").alias("a"))
+    pairs = posts.join(pivots, "list").where("rep <> a")
+    links = found = None
+    for left in range(ROUNDS, -1, -1):
+        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+        new = _confirm(pairs, classes, sets, percent)
+        links = spool(new if links is None else links.unionByName(new), "links")
+        found = spool(components(links, "a", "b"), "components")
+        if not left:
+            break
+        # what is left: lists that hold several components, and in them the members outside the main one
+        placed = posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("list", "rep", "weight", F.coalesce("component", "rep").alias("c"))
+        main = placed.groupBy("list", "c").agg(F.count("*").alias("k")).groupBy("list").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("list", F.col("m.c").alias("main"))
+        placed = spool(placed.join(main, "list"), "placed")
+        strays = placed.where("c <> main")
+        if left > 1:
+            pivots = strays.groupBy("list").agg(F.max(F.struct("weight", "rep", "c")).alias("p")).select("list", F.col("p.rep").alias("a"), F.col("p.c").alias("ca"))
+            pairs = placed.join(pivots, "list").where("c <> ca").select("a", "rep")
+        else:
+            sig = classes.select("rep", "sig", "n")
+            x = strays.join(sig, "rep").select("list", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("sig_a"), F.col("n").alias("na"))
+            y = placed.join(sig, "rep").select("list", "rep", "c", (F.col("c") == F.col("main")).alias("in_main"), "sig", "n")
+            apart = (F.col("c") != F.col("ca")) & (F.col("in_main") | (F.col("a") < F.col("rep")))
+            sized = F.least("n", "na") * 100 >= F.greatest("n", "na") * percent
+            pairs = x.join(y, (x["list"] == y["list"]) & apart & sized & (_matches("sig_a", "sig") >= MATCHES)).select("a", "rep")
 
     told = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
     with_set = made.where("set_a is not null").drop("sig").join(told, ["set_a", "set_b", "n_shingles"], "left")
