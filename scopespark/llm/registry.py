@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopespark.llm import bpe, ctw, decontam, itq, minhash, secretscan, sharding, tokencount, toxicity
+from scopespark.llm import bpe, ctw, decontam, itq, minhash, secretscan, sharding, suffixdedup, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,12 @@ def op5_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(_read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc", "doc_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left after removing 50-byte strings that start in earlier documents."""
+    kept = suffixdedup.remove(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans and owner-specific tokens of every text."""
     found = secretscan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -94,6 +100,7 @@ def queries() -> dict[str, Query]:
         "op3_token_counts": op3_token_counts,
         "op4_cgk_decontamination": op4_cgk_decontamination,
         "op5_context_tree_score": op5_context_tree_score,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_secret_ownership": op7_secret_ownership,
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_byte_bpe": op9_byte_bpe,
