@@ -1,11 +1,481 @@
-"""Registered queries of the engine and their DuckDB oracles."""
+"""Registered queries of the engine and their DuckDB oracles, on the given tables."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from scopespark.functions import columns as C
+from scopespark.operators import clean, features, graph, grouped, learn, lookup, sampling
+from scopespark.session import scratch_dir
+from scopespark.streaming.screening import screen_stream
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# ---- cleaning -------------------------------------------------------------------------------------
+
+@_query("""WITH b AS (SELECT p_brand, p_name, p_retailprice, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part),
+  m AS (SELECT p_brand, p_name, p_retailprice FROM b WHERE rn = 1 AND p_retailprice <= 100000)
+  SELECT p.p_brand, m.p_name AS label, round(avg(p.p_retailprice), 4) AS mean_value, count(*) AS n_rows
+  FROM part p JOIN m ON p.p_brand = m.p_brand WHERE jaro_winkler_similarity(p.p_name, m.p_name) >= 0.75 GROUP BY 1, 2""")
+def representative(spark, sf):
+    out = grouped.representative(_t(spark, sf, "part"), "p_brand", "p_retailprice", "p_name", ["p_partkey"], cap=100000)
+    return out.select("p_brand", "label", F.round("mean_value", 4).alias("mean_value"), "n_rows")
+
+
+@_query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN CAST(p_size AS DOUBLE) + 1 ELSE NULL END AS aligned FROM part""")
+def align_yield(spark, sf):
+    k, s = F.col("p_partkey") % 3, F.col("p_size").cast("string")
+    num = F.when(k == 1, F.concat(s, F.lit("; "), (F.col("p_size") + 1).cast("string")))
+    text = F.when(k == 0, F.concat(s, F.lit(" percent"))).otherwise("good")
+    return _t(spark, sf, "part").select("p_partkey", clean.align_yield(num, text).alias("aligned"))
+
+
+_BRASS, _STEEL = ["brass", "copper"], ["steel", "tin"]
+
+
+@_query("""WITH r AS (SELECT *, lower(p_name || ' ' || p_type) AS reagent, nullif(p_type, 'ECONOMY') AS cat FROM part),
+  f AS (SELECT * FROM r WHERE contains(reagent, 'a')),
+  x AS (SELECT 'A + economy' AS route, * FROM f WHERE contains(reagent, 'economy') OR contains(lower(coalesce(cat, '')), 'economy')
+    UNION ALL SELECT 'A + promo' AS route, * FROM f WHERE contains(reagent, 'promo') OR contains(lower(coalesce(cat, '')), 'promo')
+    UNION ALL SELECT 'A' AS route, * FROM f WHERE cat IS NULL AND NOT contains(reagent, 'economy') AND NOT contains(reagent, 'promo'))
+  SELECT route, p_brand AS id, round(avg(p_retailprice), 4) AS mean_value, arg_max(CASE WHEN route = 'A' THEN NULL ELSE coalesce(cat, substr(route, 5)) END, p_partkey) AS catalyst FROM x GROUP BY 1, 2""")
+def split_routes(spark, sf):
+    rows = _t(spark, sf, "part").select(F.col("p_brand").alias("id"), "p_partkey", F.col("p_retailprice").alias("yield"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("reagent"), F.nullif("p_type", F.lit("ECONOMY")).alias("catalyst"), F.concat("p_brand", F.lit(">>X")).alias("reaction"))
+    out = grouped.split_routes(rows, "A", ["a"], {"economy": ["ECONOMY"], "promo": ["promo"]}, ["p_partkey"])
+    return out.select("route", "id", F.round("mean_value", 4).alias("mean_value"), "catalyst")
+
+
+@_query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+def exclude_groups(spark, sf):
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return clean.exclude_groups_where(o, "o_custkey", F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "o_custkey")
+
+
+_METAL_SQL = "|".join(sorted(clean.METALS, key=lambda m: (-len(m), m)))
+
+
+@_query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), r AS (SELECT doc_id, t,
+    CASE WHEN regexp_matches(t, '\\[\\d*({_METAL_SQL})[^a-z]') THEN 'metal' WHEN regexp_matches(t, '\\[\\d+[A-Za-z]') THEN 'isotope' WHEN contains(t, '.') THEN 'fragments'
+      WHEN contains(t, '+') OR contains(t, '-') THEN 'charge' ELSE 'clean' END AS reason,
+    list_filter(string_split(t, '.'), lambda p: length(p) > 4 AND contains(p, 'the')) AS parts FROM t)
+  SELECT doc_id, CASE WHEN reason IN ('metal', 'charge') THEN 'reject' ELSE 'keep' END AS status, reason,
+    CASE WHEN reason IN ('metal', 'charge') THEN NULL WHEN reason = 'fragments' THEN length(coalesce(parts[-1], t)) ELSE length(t) END AS fragment_length FROM r""")
+def screen_records(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", *clean.screen_records(F.col("text"), bond="the"))
+    return d.select("doc_id", "status", "reason", F.length("fragment").cast("long").alias("fragment_length"))
+
+
+@_query("""SELECT 'p_size' AS "column", p_partkey FROM part WHERE nullif(p_size, 1) IS NULL UNION ALL SELECT 'p_retailprice', p_partkey FROM part WHERE p_retailprice < 950""")
+def null_report(spark, sf):
+    p = _t(spark, sf, "part").select("p_partkey", F.nullif("p_size", F.lit(1)).alias("p_size"), F.when(F.col("p_retailprice") < 950, F.lit(float("nan"))).otherwise(F.col("p_retailprice")).alias("p_retailprice"))
+    return clean.null_report(p, "p_partkey")
+
+
+@_query("""SELECT p_name, p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1""")
+def dedupe_first(spark, sf):
+    return clean.dedupe_first(_t(spark, sf, "part").select("p_name", "p_partkey", "p_brand"), ["p_name"], ["p_partkey"])
+
+
+@_query("""SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_discount BETWEEN 0.02 AND 0.06""")
+def box(spark, sf):
+    return clean.box(_t(spark, sf, "lineitem"), {"l_quantity": (10, 20), "l_discount": (0.02, 0.06)}).agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+@_query("""SELECT CAST(CASE WHEN value < 15 THEN 0 WHEN value <= 40 THEN 1 ELSE 2 END AS INTEGER) AS category, count(*) AS n FROM events GROUP BY 1""")
+def categorise(spark, sf):
+    return _t(spark, sf, "events").groupBy(C.categorise(F.col("value")).alias("category")).agg(F.count("*").alias("n"))
+
+
+_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@_query("""SELECT feature, count(*) AS n, round(avg(v), 4) AS mean FROM (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON COLUMNS(*) INTO NAME feature VALUE v) GROUP BY 1""")
+def melt_matrix(spark, sf):
+    wide = C.numeric_only(_t(spark, sf, "lineitem").select("l_orderkey", *_FEATURES, "l_returnflag"))
+    return C.melt(wide, ["l_orderkey"]).groupBy("feature").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+
+
+@_query("""SELECT x_name, y_name, count(*) AS n, round(avg(x * y), 3) AS mean_xy FROM (
+    SELECT 'l_extendedprice' AS x_name, 'l_discount' AS y_name, l_extendedprice AS x, l_discount AS y FROM lineitem
+    UNION ALL SELECT 'l_extendedprice', 'l_tax', l_extendedprice, l_tax FROM lineitem) GROUP BY 1, 2""")
+def pair_long(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    fam = C.family_columns(li.columns, {"price": ["price"], "rate": ["discount", "tax"]})
+    pairs = C.pair_long(li, "l_orderkey", fam["price"], fam["rate"])
+    return pairs.groupBy("x_name", "y_name").agg(F.count("*").alias("n"), F.round(F.avg(F.col("x") * F.col("y")), 3).alias("mean_xy"))
+
+
+@_query("""SELECT c_custkey, 'Customer_' || lpad(CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS VARCHAR), 6, '0') AS assigned_id FROM customer""")
+def assign_ids(spark, sf):
+    return clean.assign_ids(_t(spark, sf, "customer").select("c_custkey"), "Customer_", ["c_custkey"])
+
+
+# ---- lookups --------------------------------------------------------------------------------------
+
+@_query("""SELECT c.c_custkey, c.c_name, coalesce(o.o_totalprice, 0.0) AS o_totalprice FROM customer c LEFT JOIN
+  (SELECT o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) WHERE rn = 1) o ON o.o_custkey = c.c_custkey""")
+def lookup_default(spark, sf):
+    right = _t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice", "o_orderkey")
+    return lookup.lookup(_t(spark, sf, "customer").select("c_custkey", "c_name"), right, "c_custkey", "o_totalprice", ["o_orderkey"], 0.0)
+
+
+@_query("""WITH s AS (SELECT o_orderpriority AS chemistry, o_custkey AS key, max(o_totalprice) AS y FROM orders GROUP BY 1, 2),
+  g AS (SELECT c.c_custkey AS key, h.chemistry, k.cut FROM customer c, (SELECT DISTINCT chemistry FROM s) h, (SELECT unnest([50000.0, 100000.0, 200000.0, 300000.0]) AS cut) k)
+  SELECT g.chemistry, CAST(g.cut AS DOUBLE) AS cut, CASE WHEN s.y IS NULL THEN 'grey' WHEN s.y >= g.cut THEN 'highlight' ELSE 'hollow' END AS class, count(*) AS n
+  FROM g LEFT JOIN s ON s.chemistry = g.chemistry AND s.key = g.key GROUP BY 1, 2, 3""")
+def classify_scope(spark, sf):
+    scopes = _t(spark, sf, "orders").select(F.col("o_orderpriority").alias("chemistry"), F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("yield"))
+    background = _t(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
+    return lookup.classify_scope(background, scopes, [50000, 100000, 200000, 300000]).groupBy("chemistry", "cut", "class").agg(F.count("*").alias("n"))
+
+
+@_query("""WITH n AS (SELECT DISTINCT s_nationkey AS for_group FROM supplier) SELECT n.for_group, count(*) AS n, round(avg(s.s_acctbal), 4) AS mean FROM n JOIN supplier s ON s.s_nationkey <> n.for_group GROUP BY 1""")
+def background_of(spark, sf):
+    out = lookup.background_of(_t(spark, sf, "supplier").select("s_nationkey", "s_acctbal"), "s_nationkey")
+    return out.groupBy("for_group").agg(F.count("*").alias("n"), F.round(F.avg("s_acctbal"), 4).alias("mean"))
+
+
+@_query("""SELECT o_orderpriority, (SELECT count(*) FROM orders p WHERE p.o_orderpriority <> o.o_orderpriority) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders) o""")
+def background_stats(spark, sf):
+    return lookup.background_stats(_t(spark, sf, "orders"), "o_orderpriority", "o_totalprice").select("o_orderpriority", "n")
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def semi(spark, sf):
+    return _t(spark, sf, "customer").join(_t(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti(spark, sf):
+    return _t(spark, sf, "customer").join(_t(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+# ---- grouped --------------------------------------------------------------------------------------
+
+@_query("""WITH g AS (SELECT DISTINCT l_partkey AS p, l_returnflag AS f FROM lineitem), r AS (SELECT f, row_number() OVER (ORDER BY f) - 1 AS i FROM (SELECT DISTINCT f FROM g))
+  SELECT p AS l_partkey, CAST(sum(1 << CAST(i AS INTEGER)) AS BIGINT) AS mask FROM g JOIN r USING (f) GROUP BY 1""")
+def membership_mask(spark, sf):
+    return grouped.membership_mask(_t(spark, sf, "lineitem"), "l_partkey", "l_returnflag")
+
+
+@_query("""SELECT o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""")
+def last_by(spark, sf):
+    return grouped.last_by(_t(spark, sf, "orders"), "o_custkey", "o_totalprice", ["o_orderdate", "o_orderkey"])
+
+
+@_query("""SELECT o_orderpriority, count(*) AS population, CAST(count(*) * 500 // (SELECT count(*) FROM orders) AS BIGINT) AS quota FROM orders GROUP BY 1""")
+def quotas(spark, sf):
+    return grouped.quotas(_t(spark, sf, "orders"), "o_orderpriority", 500)
+
+
+_EDGES = [0, 50000, 100000, 150000, 200000, 250000, 300000, 400000, 600000]
+_BIN = "CASE " + " ".join(f"WHEN o_totalprice >= {a} AND o_totalprice {'<=' if b == _EDGES[-1] else '<'} {b} THEN {i}" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:]))) + " END"
+
+
+@_query(f"""WITH q AS (SELECT o_orderpriority, count(*) * 200 // (SELECT count(*) FROM orders) AS quota FROM orders GROUP BY 1),
+  p AS (SELECT o_orderkey, o_orderpriority, CAST({_BIN} AS INTEGER) AS bin FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')),
+  r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, bin ORDER BY md5('42-' || o_orderkey), o_orderkey) AS round FROM p WHERE bin IS NOT NULL),
+  s AS (SELECT r.*, quota, row_number() OVER (PARTITION BY o_orderpriority ORDER BY round, bin) AS place FROM r JOIN q USING (o_orderpriority))
+  SELECT o_orderkey, o_orderpriority, bin, CAST(round AS INTEGER) AS round FROM s WHERE place <= quota""")
+def stratified_sample(spark, sf):
+    o = _t(spark, sf, "orders")
+    return sampling.stratified_sample(o, "o_orderkey", "o_orderpriority", "o_totalprice", _EDGES, 200, o.where("o_orderstatus = 'P'"))
+
+
+@_query("""SELECT source_key, nationkey, acctbal FROM (SELECT c_custkey AS source_key, c_nationkey AS nationkey, c_acctbal AS acctbal FROM customer UNION ALL SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier)""")
+def union_common(spark, sf):
+    c = _t(spark, sf, "customer").toDF("source_key", "name", "nationkey", "acctbal", "segment")
+    s = _t(spark, sf, "supplier").toDF("source_key", "title", "nationkey", "acctbal")
+    r = _t(spark, sf, "region").select(F.col("r_regionkey").alias("source_key"), "r_name")
+    return C.union_common({"c": c, "s": s, "r": r}, "source_key")[0]
+
+
+@_query("""WITH c AS (SELECT l_quantity AS x, count(*) AS y FROM lineitem GROUP BY 1), e AS (SELECT min(x) AS x0, max(x) AS x1, arg_min(y, x) AS y0, arg_max(y, x) AS y1 FROM c)
+  SELECT x, y, round(abs(y - (y0 + (y1 - y0) * (x - x0) / (x1 - x0))), 6) AS distance FROM c, e ORDER BY abs(y - (y0 + (y1 - y0) * (x - x0) / (x1 - x0))) DESC, x LIMIT 1""")
+def elbow(spark, sf):
+    curve = _t(spark, sf, "lineitem").groupBy(F.col("l_quantity").alias("x")).agg(F.count("*").alias("y"))
+    return grouped.elbow(curve, "x", "y").select("x", "y", F.round("distance", 6).alias("distance"))
+
+
+@_query("""WITH c AS (SELECT l_returnflag AS param, l_linestatus AS value, count(*) AS k, min(l_orderkey) AS f FROM lineitem GROUP BY 1, 2)
+  SELECT param, value FROM (SELECT *, row_number() OVER (PARTITION BY param ORDER BY k DESC, f) AS rn FROM c) WHERE rn = 1""")
+def vote(spark, sf):
+    return grouped.vote(_t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("param"), F.col("l_linestatus").alias("value"), F.col("l_orderkey").alias("seen"), F.lit(False).alias("numeric")))
+
+
+# ---- features -------------------------------------------------------------------------------------
+
+_ORDER_SQL = """f AS (SELECT l_orderkey, sum(l_quantity) AS a, 2 * sum(l_quantity) + 1 AS b, max(l_extendedprice) AS c, power(max(l_extendedprice), 3) AS d, avg(l_discount) AS e, 7.0 AS g FROM lineitem GROUP BY 1)"""
+_NAMES = ["a", "b", "c", "d", "e", "g"]
+
+
+def _order_features(spark: SparkSession, sf: str) -> DataFrame:
+    q, p = F.sum("l_quantity"), F.max("l_extendedprice")
+    return _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(q.alias("a"), (2 * q + 1).alias("b"), p.alias("c"), F.pow(p, F.lit(3.0)).alias("d"), F.avg("l_discount").alias("e"), F.lit(7.0).alias("g"))
+
+
+def _corr_sql(source: str, names: list[str], rank: bool) -> str:
+    cols = ", ".join(f"(rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0) AS {n}" for n in names) if rank else ", ".join(names)
+    pairs = " UNION ALL ".join(f"SELECT '{x}' AS i, '{y}' AS j, round(corr({x}, {y}), 4) AS r FROM v" for x in names for y in names)
+    return f"WITH {source}, v AS (SELECT {cols} FROM f) {pairs}"
+
+
+@_query(f"WITH {_ORDER_SQL} SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS feature")
+def variance_filter(spark, sf):
+    kept = features.remove_by_variance(_order_features(spark, sf), _NAMES)
+    return spark.createDataFrame([(k,) for k in kept], "feature string")
+
+
+@_query(_corr_sql(_ORDER_SQL, ["a", "b", "c", "e"], False))
+def pearson(spark, sf):
+    return features.corr_matrix(_order_features(spark, sf), ["a", "b", "c", "e"]).select("i", "j", F.round("r", 4).alias("r"))
+
+
+@_query(_corr_sql(_ORDER_SQL, ["a", "c", "d"], True))
+def spearman(spark, sf):
+    return features.corr_matrix(_order_features(spark, sf), ["a", "c", "d"], "spearman").select("i", "j", F.round("r", 4).alias("r"))
+
+
+@_query("""SELECT * FROM (VALUES ('variance', 'g', NULL), ('pearson', 'b', 'a'), ('spearman', 'd', 'c')) t(stage, feature, kept_by)""")
+def select_features(spark, sf):
+    return features.select_features(_order_features(spark, sf), "l_orderkey", _NAMES)[1].select("stage", "feature", "kept_by")
+
+
+@_query(f"""WITH {_ORDER_SQL} SELECT l_orderkey, round((a - (SELECT avg(a) FROM f)) / (SELECT stddev_pop(a) FROM f), 4) AS a, 0.0::DOUBLE AS g FROM f""")
+def standardise(spark, sf):
+    return features.standardise(_order_features(spark, sf).select("l_orderkey", "a", "g"), ["a", "g"]).select("l_orderkey", F.round("a", 4).alias("a"), "g")
+
+
+def _wide_embeddings(spark: SparkSession, sf: str, n: int = 64) -> DataFrame:
+    return features.to_columns(_t(spark, sf, "embeddings"), "vec_id", "embedding", "x", n)
+
+
+@_query()
+def pca_variance(spark, sf):
+    wide = _wide_embeddings(spark, sf)
+    return features.explained(spark, features.pca(wide, wide.columns[1:], 10))
+
+
+@_query()
+def loadings(spark, sf):
+    wide = _wide_embeddings(spark, sf)
+    return features.loadings(spark, features.pca(wide, wide.columns[1:], 2))
+
+
+@_query()
+def pca_scores(spark, sf):
+    wide = _wide_embeddings(spark, sf)
+    return features.scores(wide, features.pca(wide, wide.columns[1:], 2), 2, 11.0).select("vec_id", "PCA1", "PCA2")
+
+
+@_query()
+def family_pca(spark, sf):
+    out = features.family_pca(_wide_embeddings(spark, sf), {"low": ["x1"], "high": ["x"]}, 1)
+    return out.select("vec_id", "low_PCA1", "high_PCA1")
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    wide = _wide_embeddings(spark, sf)
+    return features.scores(wide, features.pca(wide, wide.columns[1:], 2), 2).select("vec_id", "PCA1", "PCA2")
+
+
+@_query()
+def kmeans_fixed(spark, sf):
+    return features.kmeans(_scored(spark, sf), ["PCA1", "PCA2"], 10)
+
+
+@_query()
+def kmeans_elbow(spark, sf):
+    return features.kmeans_elbow(_scored(spark, sf), ["PCA1", "PCA2"], scale=0.25, trials=8)[0]
+
+
+def _kl_sql() -> str:
+    parts = []
+    for c in ("l_quantity", "l_extendedprice"):
+        parts.append(f"""SELECT '{c}' AS feature, round(sum(p * ln(p / q)), 4) AS kl, any_value(nb) AS n_bins FROM (
+          SELECT nb, a / sum(a) OVER () AS p, b / sum(b) OVER () AS q FROM (
+            SELECT nb, CASE WHEN a > 0 THEN a ELSE 1e-5 * min(CASE WHEN a > 0 THEN a END) OVER () END AS a, CASE WHEN b > 0 THEN b ELSE 1e-5 * min(CASE WHEN b > 0 THEN b END) OVER () END AS b FROM (
+              SELECT bin, any_value(nb) AS nb, CAST(count(x) AS DOUBLE) AS a, CAST(count(x) FILTER (inbox) AS DOUBLE) AS b FROM (
+                SELECT g.bin, s.nb, v.x, v.inbox FROM s_{c} s JOIN (SELECT unnest(range(0, 5000)) AS bin) g ON g.bin < s.nb LEFT JOIN
+                  (SELECT {c} AS x, l_discount BETWEEN 0.02 AND 0.06 AND l_quantity BETWEEN 10 AND 30 AS inbox FROM lineitem) v ON least(CAST(floor((v.x - s.lo) * s.nb / (s.hi - s.lo)) AS BIGINT), s.nb - 1) = g.bin) GROUP BY bin)))""")
+    stats = ", ".join(f"""s_{c} AS (SELECT lo, hi, CAST(ceil((hi - lo) / least(greatest(least(2 * iqr * power(n, -1.0 / 3), (hi - lo) / sqrt(n)), 0), (hi - lo) / (log2(n) + 1))) AS BIGINT) AS nb
+        FROM (SELECT min({c}) AS lo, max({c}) AS hi, CAST(count(*) AS DOUBLE) AS n, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS iqr FROM lineitem))""" for c in ("l_quantity", "l_extendedprice"))
+    return f"WITH {stats} " + " UNION ALL ".join(parts)
+
+
+@_query(_kl_sql())
+def kl_shift(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    inside = clean.box(li, {"l_discount": (0.02, 0.06), "l_quantity": (10, 30)})
+    return sampling.kl_shift(li, inside, ["l_quantity", "l_extendedprice"])[0].select("feature", F.round("kl", 4).alias("kl"), "n_bins")
+
+
+# ---- graphs ---------------------------------------------------------------------------------------
+
+def _bonds(spark: SparkSession, sf: str) -> DataFrame:
+    p, s = F.col("l_partkey") % 20, F.col("l_suppkey") % 20
+    keyed = _t(spark, sf, "lineitem").where(p != s).select(F.floor(F.col("l_orderkey") / 3.0).alias("mol_id"), F.least(p, s).alias("src"), F.greatest(p, s).alias("dst"), F.when(F.col("l_linenumber") == 1, 2).otherwise(1).alias("o"))
+    return keyed.groupBy("mol_id", "src", "dst").agg(F.max("o").alias("bond_order"))
+
+
+def _atoms(bonds: DataFrame) -> DataFrame:
+    ids = bonds.select("mol_id", F.col("src").alias("atom_id")).union(bonds.select("mol_id", "dst")).distinct()
+    return ids.withColumn("element", F.element_at(F.array(*[F.lit(x) for x in ("C", "N", "O", "Cl")]), (F.col("atom_id") % 4 + 1).cast("int")))
+
+
+def _anchor(bonds: DataFrame) -> DataFrame:
+    return graph.first_anchor(graph.anchors(bonds))
+
+
+_GRAPH_SQL = """bonds AS (SELECT CAST(floor(l_orderkey / 3.0) AS BIGINT) AS mol_id, least(l_partkey % 20, l_suppkey % 20) AS src, greatest(l_partkey % 20, l_suppkey % 20) AS dst,
+    max(CASE WHEN l_linenumber = 1 THEN 2 ELSE 1 END) AS bond_order FROM lineitem WHERE l_partkey % 20 <> l_suppkey % 20 GROUP BY 1, 2, 3),
+  e AS (SELECT mol_id, src AS a, dst AS b FROM bonds UNION SELECT mol_id, dst, src FROM bonds),
+  h AS (SELECT mol_id, src AS a, dst AS b FROM (SELECT *, row_number() OVER (PARTITION BY mol_id ORDER BY src, dst) AS rn FROM bonds WHERE bond_order = 2) WHERE rn = 1),
+  ends AS (SELECT mol_id, a AS anchor, b AS other FROM h UNION ALL SELECT mol_id, b, a FROM h),
+  d0 AS (SELECT mol_id, anchor, other, anchor AS atom FROM ends),
+  d1 AS (SELECT DISTINCT d0.mol_id, anchor, other, e.b AS atom FROM d0 JOIN e ON e.mol_id = d0.mol_id AND e.a = d0.atom),
+  d2 AS (SELECT DISTINCT d1.mol_id, anchor, other, e.b AS atom FROM d1 JOIN e ON e.mol_id = d1.mol_id AND e.a = d1.atom),
+  near AS (SELECT mol_id, atom, min(dist) AS dist FROM (SELECT mol_id, atom, 0 AS dist FROM d0 UNION ALL SELECT mol_id, atom, 1 FROM d1 UNION ALL SELECT mol_id, atom, 2 FROM d2) GROUP BY 1, 2)"""
+
+
+@_query(f"WITH {_GRAPH_SQL} SELECT mol_id, src AS a, dst AS b, count(*) OVER (PARTITION BY mol_id) AS n FROM bonds WHERE bond_order = 2")
+def anchors(spark, sf):
+    return graph.anchors(_bonds(spark, sf))
+
+
+@_query(f"""WITH {_GRAPH_SQL}, v AS (SELECT mol_id, src AS a, dst AS b, row_number() OVER (PARTITION BY mol_id ORDER BY src, dst) AS variant FROM bonds WHERE bond_order = 2)
+  SELECT v.mol_id, v.variant, count(*) AS n_bonds, sum(CASE WHEN o.bond_order = 2 AND NOT (o.src = v.a AND o.dst = v.b) THEN 1 ELSE o.bond_order END)::BIGINT AS orders FROM v JOIN bonds o USING (mol_id) GROUP BY 1, 2""")
+def knockout(spark, sf):
+    b = _bonds(spark, sf)
+    return graph.knockout_variants(b, graph.anchors(b)).groupBy("mol_id", F.col("variant").cast("long").alias("variant")).agg(F.count("*").alias("n_bonds"), F.sum("bond_order").alias("orders"))
+
+
+@_query(f"""WITH {_GRAPH_SQL} SELECT ends.mol_id, anchor, y.b AS atom, count(*) AS n FROM ends JOIN e x ON x.mol_id = ends.mol_id AND x.a = anchor JOIN e y ON y.mol_id = x.mol_id AND y.a = x.b GROUP BY 1, 2, 3""")
+def walk_counts(spark, sf):
+    b = _bonds(spark, sf)
+    return graph.walk_counts(graph.undirected(b), _anchor(b), 2).select("mol_id", "anchor", "atom", "n")
+
+
+@_query(f"WITH {_GRAPH_SQL} SELECT mol_id, atom FROM near WHERE dist = 2")
+def boundary(spark, sf):
+    b = _bonds(spark, sf)
+    return graph.boundary(graph.undirected(b), _anchor(b), 2)
+
+
+@_query(f"""WITH {_GRAPH_SQL},
+  b1 AS (SELECT * FROM d1 WHERE atom <> other), b2 AS (SELECT DISTINCT b1.mol_id, anchor, other, e.b AS atom FROM b1 JOIN e ON e.mol_id = b1.mol_id AND e.a = b1.atom WHERE e.b <> other)
+  SELECT mol_id, atom, CAST(min(dist) AS INTEGER) AS dist FROM (SELECT mol_id, atom, 0 AS dist FROM d0 UNION ALL SELECT mol_id, atom, 1 FROM b1 UNION ALL SELECT mol_id, atom, 2 FROM b2) GROUP BY 1, 2""")
+def neighbourhood(spark, sf):
+    b = _bonds(spark, sf)
+    return graph.neighbourhood(graph.undirected(b), _anchor(b), 2)
+
+
+@_query(f"""WITH {_GRAPH_SQL}, p AS (SELECT e.mol_id, e.a, e.b, greatest(x.dist, y.dist) AS shell FROM e JOIN near x ON x.mol_id = e.mol_id AND x.atom = e.a JOIN near y ON y.mol_id = e.mol_id AND y.atom = e.b
+    LEFT JOIN h ON h.mol_id = e.mol_id AND least(h.a, h.b) = e.a AND greatest(h.a, h.b) = e.b WHERE e.a < e.b AND (abs(x.dist - y.dist) = 1 OR h.mol_id IS NOT NULL))
+  SELECT mol_id, CAST(shell AS INTEGER) AS shell, count(*) AS n_bonds FROM p GROUP BY 1, 2""")
+def shells(spark, sf):
+    b = _bonds(spark, sf)
+    return graph.shells(graph.undirected(b), _anchor(b), 2)[1].groupBy("mol_id", "shell").agg(F.count("*").alias("n_bonds"))
+
+
+@_query(f"""WITH {_GRAPH_SQL} SELECT mol_id, CAST(k AS INTEGER) AS upto, count(*) AS n_atoms FROM near JOIN (SELECT unnest([0, 1, 2]) AS k) ON dist <= k GROUP BY 1, 2""")
+def cumulative_shells(spark, sf):
+    b = _bonds(spark, sf)
+    return graph.cumulative_shells(graph.shells(graph.undirected(b), _anchor(b), 2)[0], 2)
+
+
+@_query(f"""WITH {_GRAPH_SQL}, p1 AS (SELECT mol_id, anchor, other, atom AS x FROM d1 WHERE atom <> other),
+  p2 AS (SELECT p1.*, e.b AS y FROM p1 JOIN e ON e.mol_id = p1.mol_id AND e.a = p1.x WHERE e.b <> anchor AND e.b <> other AND e.b <> x)
+  SELECT mol_id, anchor, count(*) AS n_paths FROM (SELECT mol_id, anchor FROM p2 UNION ALL SELECT mol_id, anchor FROM p1 WHERE NOT EXISTS (SELECT 1 FROM p2 WHERE p2.mol_id = p1.mol_id AND p2.anchor = p1.anchor AND p2.x = p1.x)) GROUP BY 1, 2""")
+def path_counts(spark, sf):
+    b = _bonds(spark, sf)
+    return graph.path_counts(graph.undirected(b), _anchor(b), 2)
+
+
+@_query()
+def motif_groups(spark, sf):
+    b = _bonds(spark, sf)
+    return graph.motifs(b, _anchor(b), 2, _atoms(b)).groupBy("motif_key").agg(F.count("*").alias("n"), F.first("n_atoms").alias("n_atoms"))
+
+
+@_query()
+def partial_rings(spark, sf):
+    b = _bonds(spark, sf).withColumn("aromatic", (F.col("src") + F.col("dst")) % 3 == 0)
+    e = graph.undirected(b)
+    return graph.break_partial_rings(b, graph.neighbourhood(e, _anchor(b), 2), graph.boundary(e, _anchor(b), 2))
+
+
+@_query()
+def in_ring(spark, sf):
+    b = _bonds(spark, sf)
+    return graph.in_ring(graph.undirected(b), _anchor(b))
+
+
+@_query()
+def fingerprint(spark, sf):
+    b = _bonds(spark, sf)
+    return graph.neighbourhood_bits(b, _atoms(b))
+
+
+@_query(f"""WITH {_GRAPH_SQL}, atoms AS (SELECT DISTINCT mol_id, a AS atom_id, ['C', 'N', 'O', 'Cl'][CAST(a % 4 + 1 AS INTEGER)] AS element FROM e)
+  SELECT mol_id, CAST(count(*) FILTER (element = 'O') > 3 AS INTEGER) AS o_gt_3, CAST(count(*) FILTER (element = 'N') > 1 AS INTEGER) AS n_gt_1, CAST(count(*) FILTER (element = 'Cl') > 0 AS INTEGER) AS halogen FROM atoms GROUP BY 1""")
+def count_keys(spark, sf):
+    el = F.col("element")
+    return graph.count_keys(_atoms(_bonds(spark, sf)), {"o_gt_3": (el == "O", 3), "n_gt_1": (el == "N", 1), "halogen": (el == "Cl", 0)})
+
+
+# ---- learning and streams -------------------------------------------------------------------------
+
+_GBT_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_partkey"]
+
+
+@_query()
+def tune_gbt(spark, sf):
+    return learn.tune_gbt(_t(spark, sf, "lineitem"), _GBT_FEATURES, "l_extendedprice", "l_orderkey", {"maxDepth": [2, 3], "maxIter": [3, 5]}, folds=2, repeats=1)[0]
+
+
+@_query()
+def evaluate_gbt(spark, sf):
+    return learn.evaluate_gbt(_t(spark, sf, "lineitem"), _GBT_FEATURES, "l_extendedprice", "l_orderkey", {"maxDepth": 3, "maxIter": 5}, folds=2)[1]
+
+
+@_query("""WITH t AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents)
+  SELECT CASE WHEN regexp_matches(value, '\\[\\d*(""" + _METAL_SQL + """)[^a-z]') THEN 'metal' WHEN regexp_matches(value, '\\[\\d+[A-Za-z]') THEN 'isotope' WHEN contains(value, '.') THEN 'fragments'
+    WHEN contains(value, '+') OR contains(value, '-') THEN 'charge' ELSE 'clean' END AS reason, count(*) AS n FROM t WHERE value NOT LIKE '%' || chr(13) || '%' GROUP BY 1""")
+def screen_stream_counts(spark, sf):
+    """The documents' lines as text files in the shared folder, screened by the stream."""
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    lines = _t(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value")).where(~F.col("value").contains("\r"))
+    lines.write.text(f"{base}/in")
+    screen_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
+    both = spark.read.parquet(f"{base}/out/keep").unionByName(spark.read.parquet(f"{base}/out/reject"))
+    return both.groupBy("reason").agg(F.count("*").alias("n"))
