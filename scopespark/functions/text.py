@@ -36,7 +36,7 @@ def jaro(a: str, b: str) -> float:
     if not left:
         return 0.0
     right = [b[j] for j, u in enumerate(used) if u]
-    m, moved = len(left), sum(x != y for x, y in zip(left, right)) / 2
+    m, moved = len(left), sum(x != y for x, y in zip(left, right)) // 2
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 
 
