@@ -23,6 +23,7 @@ nothing.  Repeated documents and items are each reported.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,10 +46,11 @@ def _bound(n):
 
 def _grams(words: np.ndarray) -> np.ndarray:
     """Hash of the GRAM words from each position on; the last positions have none."""
-    h = np.zeros(max(len(words) - GRAM + 1, 0), dtype=np.uint64)
-    for k in range(GRAM):
-        h = textkernel.mix64(h + words[k : len(words) - GRAM + 1 + k] * np.uint64(2 * k + 3))
-    return h
+    n = max(len(words) - GRAM + 1, 0)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(GRAM):  # the words are well mixed already
+        h += words[k : n + k] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def passages(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -83,25 +85,38 @@ def gram_table(cut: DataFrame) -> np.ndarray:
     return table
 
 
-def walk_keys(words: np.ndarray) -> np.ndarray:
-    """One key for each repetition and each of the equally long windows (rows of ``words``)."""
-    count, n = words.shape
-    steps = 2 * n
-    rng = np.random.default_rng(n)
-    padded = np.concatenate([words, np.zeros((count, 1), dtype=np.uint64)], axis=1)  # past the end: a blank
+@lru_cache(maxsize=1)
+def _sampled() -> np.ndarray:
+    """sampled[n, r, j]: whether repetition r reads step j of the walk over windows of n words."""
+    out = np.zeros((MOST + 1, REPETITIONS, 2 * MOST), dtype=bool)
+    for n in range(LEAST, MOST + 1):
+        rng = np.random.default_rng(n)
+        for r in range(REPETITIONS):
+            out[n, r, rng.choice(2 * n, SAMPLES, replace=False)] = True
+    return out
+
+
+def walk_keys(windows: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+    """One key for each window and repetition; all walks go side by side.
+
+    Behind its last word, or behind a shorter row's, a window reads blanks.
+    """
+    count, n = len(windows), np.array(sizes)
+    words = np.zeros((count, MOST + 1), dtype=np.uint64)
+    for i, w in enumerate(windows):
+        words[i, : len(w)] = w
+    flat, row = words.ravel(), np.arange(count) * (MOST + 1)
     keys = np.empty((count, REPETITIONS), dtype=np.int64)
-    row = np.arange(count) * (n + 1)
-    flat = padded.ravel()
     for r in range(REPETITIONS):
-        chosen = np.zeros(steps, dtype=bool)
-        chosen[rng.choice(steps, SAMPLES, replace=False)] = True
-        coins = textkernel.mix64(flat ^ textkernel.mix64(np.array([r * 1009 + n], dtype=np.uint64))[0])
-        at = np.zeros(count, dtype=np.int64)
-        key = np.full(count, r * 1009 + n, dtype=np.uint64)
-        for j in range(int(np.flatnonzero(chosen)[-1]) + 1):
+        seed = (r * 1009 + n).astype(np.uint64)
+        coins = textkernel.mix64(words ^ textkernel.mix64(seed)[:, None]).ravel()
+        chosen = _sampled()[n, r]
+        at, key = np.zeros(count, dtype=np.int64), seed.copy()
+        for j in range(int(np.flatnonzero(chosen.any(axis=0))[-1]) + 1):
             here = row + at
-            if chosen[j]:
-                key = textkernel.mix64(key + flat[here])
+            read = chosen[:, j]
+            if read.any():
+                key[read] = textkernel.mix64(key[read] + flat[here[read]])
             at = np.minimum(at + ((coins[here] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64), n)
         keys[:, r] = key.view(np.int64)
     return keys
@@ -170,28 +185,24 @@ def windows(docs: DataFrame, table: np.ndarray, lengths: list[int], doc: str = "
     """(row, doc, start, n, words, keys) of all item-sized windows with enough grams."""
     shared = docs.sparkSession.sparkContext.broadcast((table, np.array(lengths)))
 
+    def told(held: list[tuple]) -> pd.DataFrame:
+        row, who, first, n, window, words = zip(*held)
+        out = pd.DataFrame({"row": row, "doc": pd.Series(who, dtype=object), "start": first, "n": n, "words": words, "keys": list(walk_keys(list(window), list(n)))})
+        held.clear()
+        return out
+
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, sizes = shared.value
+        held: list[tuple] = []
         for part in parts:
             ids, rows = part[doc].tolist(), part["row"].tolist()
             for lo, _, hashes, offsets in textkernel.word_hashes(textkernel.to_bytes(part[text])):
-                got = windows_of(hashes, offsets, grams, sizes)
-                for n in {g[2] for g in got}:
-                    own = [g for g in got if g[2] == n]
-                    for a in range(0, len(own), 2000):
-                        some = own[a : a + 2000]
-                        block = np.zeros((len(some), n), dtype=np.uint64)
-                        for i, (k, s, *_) in enumerate(some):
-                            piece = hashes[s : min(s + n, offsets[k + 1])]
-                            block[i, : len(piece)] = piece
-                        yield pd.DataFrame({
-                            "row": [rows[lo + g[0]] for g in some],
-                            "doc": pd.Series([ids[lo + g[0]] for g in some], dtype=object),
-                            "start": [g[3] - int(offsets[g[0]]) for g in some],
-                            "n": n,
-                            "words": [hashes[g[3] : g[4]].view(np.int64) for g in some],
-                            "keys": list(walk_keys(block)),
-                        })
+                for k, s, n, a, b in windows_of(hashes, offsets, grams, sizes):
+                    held.append((rows[lo + k], ids[lo + k], a - int(offsets[k]), n, hashes[s : min(s + n, offsets[k + 1])].copy(), hashes[a:b].view(np.int64).copy()))
+                    if len(held) >= 4000:
+                        yield told(held)
+        if held:
+            yield told(held)
 
     kind = docs.schema[doc].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), doc, text)
@@ -233,14 +244,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: s
 
     @F.pandas_udf("array<long>")
     def keys(words: pd.Series) -> pd.Series:
-        out: list = [None] * len(words)
-        by_size: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_size.setdefault(len(w), []).append(i)
-        for group in by_size.values():
-            for i, k in zip(group, walk_keys(np.stack([np.asarray(words.iloc[i]) for i in group]).view(np.uint64))):
-                out[i] = k
-        return pd.Series(out, dtype=object)
+        own = [np.asarray(w).view(np.uint64) for w in words]
+        return pd.Series(list(walk_keys(own, [len(w) for w in own])) if own else [], dtype=object)
 
     asked = cut.select("item", "passage", F.posexplode(keys("words")).alias("r", "key")).withColumnRenamed("key", "k")
     met = found.select("window", F.posexplode("keys").alias("r", "k")).join(asked, ["r", "k"]).select("window", "item", "passage").distinct()
