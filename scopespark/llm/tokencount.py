@@ -88,9 +88,9 @@ def pre_token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFram
             for x in _strings(part[text]):
                 seen.update(pre_tokens(x)[0])
                 if len(seen) > FLUSH:
-                    yield pd.DataFrame({"pre_token": list(seen.keys()), "freq": list(seen.values())})
+                    yield pd.DataFrame({"pre_token": pd.Series(list(seen.keys()), dtype=object), "freq": list(seen.values())})
                     seen.clear()
-        yield pd.DataFrame({"pre_token": list(seen.keys()), "freq": list(seen.values())})
+        yield pd.DataFrame({"pre_token": pd.Series(list(seen.keys()), dtype=object), "freq": list(seen.values())})
 
     each = docs.select(text).mapInPandas(count, "pre_token string, freq long")
     return each.groupBy("pre_token").agg(F.sum("freq").alias("freq"))
@@ -103,7 +103,7 @@ def count_pieces(distinct: DataFrame, path: str) -> DataFrame:
         model = _model(path)
         for part in parts:
             sizes = [len(x) for x in model.encode_batch_fast(part["pre_token"].tolist(), add_special_tokens=False)]
-            yield part.assign(n_pieces=np.array(sizes, dtype=np.int64))
+            yield pd.DataFrame({"pre_token": part["pre_token"].to_numpy(dtype=object), "freq": part["freq"], "n_pieces": np.array(sizes, dtype=np.int64)}).astype({"pre_token": object})
 
     return distinct.mapInPandas(count, "pre_token string, freq long, n_pieces long")
 
@@ -133,10 +133,10 @@ def token_counts(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "t
                 totals.append(sum(map(get, tokens, repeat(0))) + special)
                 others = Counter(t for t in tokens if t not in pieces)
                 rest += [(rows[k], t, n) for t, n in others.items()]
-            yield pd.DataFrame({"row": rows, "doc": ids, "n_bytes": sizes, "head": totals, "pre_token": None, "n": 0}).astype({"doc": "object"})
+            yield pd.DataFrame({"row": rows, "doc": ids, "n_bytes": sizes, "head": totals, "pre_token": pd.Series([None] * len(rows), dtype=object), "n": 0}).astype({"doc": "object"})
             if rest:
                 r, t, n = zip(*rest)
-                yield pd.DataFrame({"row": r, "doc": None, "n_bytes": None, "head": None, "pre_token": t, "n": n})
+                yield pd.DataFrame({"row": r, "doc": None, "n_bytes": None, "head": None, "pre_token": pd.Series(t, dtype=object), "n": n})
 
     kind = docs.schema[doc].dataType.simpleString()
     each = docs.select(F.monotonically_increasing_id().alias("row"), doc, text).mapInPandas(frequencies, f"row long, doc {kind}, n_bytes long, head long, pre_token string, n long")
