@@ -158,7 +158,7 @@ def segments(docs: DataFrame, doc: str, text: str, table: np.ndarray) -> DataFra
                 use = np.flatnonzero(bits[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1))
                 for x, p, a, b in zip(h[use].view(np.int64).tolist(), pos[use].tolist(), first[use].tolist(), last[use].tolist()):
                     seg = row[a : b + LENGTH]
-                    name = hashlib.blake2b(seg, digest_size=16, salt=(p - a).to_bytes(1, "little")).digest()
+                    name = hashlib.blake2b(seg, digest_size=12, salt=(p - a).to_bytes(1, "little")).digest()
                     rows.append((key, d, name, a, None, None, None, None, None))
                     have = known.get(name)
                     if have is None:
@@ -213,7 +213,9 @@ def sort_groups(groups: list[list[tuple[bytes, int, int, int]]]) -> list[list[np
     by_size: dict[int, list[int]] = {}
     for i, g in enumerate(groups):
         n = sum(len(x[0]) + 1 for x in g)
-        if n <= SIDE:
+        if len(g) == 1:
+            out[i] = [np.full(g[0][3], g[0][1], dtype=np.int64)]
+        elif n <= SIDE:
             by_size.setdefault(-(-n // 16) * 16, []).append(i)
         else:
             flat = _joined(g)
@@ -229,11 +231,9 @@ def sort_groups(groups: list[list[tuple[bytes, int, int, int]]]) -> list[list[np
 
 def lowest_ids(found: DataFrame) -> DataFrame:
     """(seg, lows): the smallest id of each string of each segment, in string order."""
-    agg = found.groupBy("seg").agg(F.min("low").alias("low"), F.first("hash").alias("hash"), F.first("bytes").alias("bytes"), F.first("lead").alias("lead"), F.first("n").alias("n"))
-    distinct = spool(agg, "segments")
-    sizes = spool(distinct.groupBy("hash").agg(F.count("*").alias("k")), "sizes")
-    alone = distinct.join(sizes.where("k = 1"), "hash", "left_semi").select("seg", F.array_repeat("low", F.col("n")).alias("lows"))
-    few = distinct.join(sizes.where(F.col("k").between(2, MOST)), "hash").select("hash", "seg", "low", "bytes", "lead", "n")
+    counts = found.select("hash", "seg").distinct().groupBy("hash").agg(F.count("*").alias("k"))
+    hot = spool(counts.where(F.col("k") > MOST).select("hash"), "hot")
+    few = found.join(hot, "hash", "left_anti").select("hash", "seg", "low", "bytes", "lead", "n")
     few = few.repartition("hash").sortWithinPartitions("hash", "seg")
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,20 +256,24 @@ def lowest_ids(found: DataFrame) -> DataFrame:
                     groups.append([])
                     names.append([])
                     now = h
+                if names[-1] and names[-1][-1] == s:  # the same segment from another task
+                    raw, before, lead, n = groups[-1].pop()
+                    low = min(low, before)
+                else:
+                    names[-1].append(s)
+                    held += 1
                 groups[-1].append((raw, low, lead, n))
-                names[-1].append(s)
-                held += 1
         if groups:
             yield answer(len(groups))
 
     sorted_ = few.mapInPandas(solve, "seg binary, lows array<long>")
     # hot anchors: the string itself, with its place, is the group; partial minima absorb it
-    many = distinct.join(sizes.where(F.col("k") > MOST), "hash", "left_semi")
-    strings = many.select("seg", "hash", "low", (F.col("lead")).alias("lead"), "bytes", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
+    many = found.join(hot, "hash", "left_semi").groupBy("seg", "hash", "bytes", "lead", "n").agg(F.min("low").alias("low"))
+    strings = many.select("seg", "hash", "low", "lead", "bytes", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
     strings = strings.select("seg", "i", "low", "hash", (F.col("lead") - F.col("i")).alias("off"), F.unhex(F.md5(F.substring("bytes", F.col("i") + 1, F.lit(LENGTH)))).alias("s"))
     lowest = strings.groupBy("hash", "off", "s").agg(F.min("low").alias("best"))
-    hot = strings.join(lowest, ["hash", "off", "s"]).groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("i", "best"))).alias("x")).select("seg", F.col("x.best").alias("lows"))
-    return alone.unionByName(sorted_).unionByName(hot)
+    split = strings.join(lowest, ["hash", "off", "s"]).groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("i", "best"))).alias("x")).select("seg", F.col("x.best").alias("lows"))
+    return sorted_.unionByName(split)
 
 
 def duplicate_spans(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -280,9 +284,11 @@ def duplicate_spans(docs: DataFrame, doc: str, text: str) -> DataFrame:
     usable = docs.where(F.col(doc).isNotNull())
     both = spool(segments(usable, doc, text, repeated_anchors(usable, text)), "anchors")
     lows = spool(lowest_ids(both.where("bytes is not null").select("seg", "low", "hash", "bytes", "lead", "n")), "lows")
-    places = both.where("bytes is null").select("key", "doc", "seg", "first").distinct()
+    places = both.where("bytes is null").select("key", "doc", "seg", "first")
     hit = places.join(lows.withColumn("least", F.array_min("lows")), "seg").where("least < doc")
-    return hit.groupBy("key", "doc").agg(F.collect_list(F.struct("first", "lows")).alias("found"))
+    # a segment has fewer than 32 strings: one bit for each that an earlier document has
+    mask = F.expr("aggregate(transform(lows, (v, i) -> IF(v < doc, shiftleft(1, i), 0)), 0, (a, b) -> a | b)")
+    return hit.select("key", "doc", "first", mask.alias("mask")).groupBy("key", "doc").agg(F.collect_list(F.struct("first", "mask")).alias("found"))
 
 
 def remove(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -299,10 +305,10 @@ def remove(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
                     rows.append((d, len(row), 0, 0, row))
                     continue
                 cover = np.zeros(len(row) + 1, dtype=np.int32)
-                for x in found:
-                    at = x["first"] + np.flatnonzero(np.asarray(x["lows"]) < d)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + LENGTH, -1)
+                first, mask = np.array([(x["first"], x["mask"]) for x in found], dtype=np.int64).T
+                at = (first[:, None] + np.arange(_WIDE))[(mask[:, None] >> np.arange(_WIDE)) & 1 == 1]
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + LENGTH, -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 rows.append((d, len(row), int(gone.sum()), runs, np.frombuffer(row, dtype=np.uint8)[~gone].tobytes()))
