@@ -3,7 +3,8 @@
 A text is the set of its lower-cased words and of their first letters, hashed into ``2**BITS`` slots.  Besides a weight for each
 slot the machine learns a short vector for each slot; the inner product of two vectors is the weight
 of their pair, so that terms which are harmless alone can count together.  The fit takes at most
-``MAX_ROWS`` labelled rows (those of smallest id hash, a fixed choice); every text is scored.
+``MAX_ROWS`` labelled rows (those of smallest id hash, a fixed choice) with all their slots; every
+text is scored.  A slot that no labelled row has keeps a zero weight and a zero vector.
 
 Null or empty text has no terms and scores the bias alone.  Without labelled rows of both classes the
 score is the share of positives (0 without rows).  Of rows that share an id the smallest term set is
@@ -33,9 +34,6 @@ MAX_ROWS = 20_000
 PREFIXES = (4, 5)
 #: Factors of each slot's vector, passes over the sample, rows per step, step size and shrinkage.
 FACTORS, EPOCHS, BATCH, RATE, SHRINK = 4, 20, 64, 0.4, 1e-5
-#: A term takes part if this many sample documents have it and if its share among the positives is
-#: this many standard deviations from chance.
-LEAST_DOCS, LEAST_Z = 3, 3.5
 
 
 @dataclass(frozen=True)
@@ -64,17 +62,8 @@ def term_slots(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield lo, hi, both & ((1 << BITS) - 1), np.searchsorted(both >> BITS, np.arange(hi - lo + 1))
 
 
-def telling(docs: np.ndarray, positive: np.ndarray, n: int, share: float) -> np.ndarray:
-    """Slots whose share among the positives differs from that among the rest beyond chance.
-
-    ``docs`` and ``positive`` count the sample's documents, and its positives, that have each slot.
-    """
-    spread = np.sqrt(np.maximum(docs * share * (1 - share) * (1 - docs / max(n, 1)), 1e-9))
-    return (docs >= LEAST_DOCS) & (np.abs(positive - docs * share) >= LEAST_Z * spread)
-
-
-def fit(slots: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """Logistic loss by adaptive steps over shuffled batches."""
+def fit(slots: np.ndarray, starts: np.ndarray, labels: np.ndarray, seed: int = 7) -> Machine:
+    """Logistic loss by adaptive steps over shuffled batches; row k owns slots[starts[k]:starts[k+1]]."""
     size = 1 << BITS
     weight, vector = np.zeros(size), np.zeros((size, FACTORS))
     share = float(labels.mean()) if len(labels) else 0.0
@@ -84,29 +73,36 @@ def fit(slots: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     vector += rng.normal(0, 0.01, vector.shape)
     bias, seen_b = float(np.log(share / (1 - share))), 1e-8
     seen_w, seen_v = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2)
+    met, place = np.zeros(size, dtype=bool), np.zeros(size, dtype=np.int64)
     for _ in range(EPOCHS):
         order = rng.permutation(len(labels))
         for a in range(0, len(order), BATCH):
             part = order[a : a + BATCH]
-            own = [slots[i] for i in part]
-            flat, n = np.concatenate(own), len(part)
-            row = np.repeat(np.arange(n), [len(s) for s in own])
-            now = Machine(bias, weight, vector)
-            raw = now.raw(flat, np.concatenate(([0], np.cumsum([len(s) for s in own]))), n)
+            flat, n = np.concatenate([slots[starts[i] : starts[i + 1]] for i in part]), len(part)
+            sizes = starts[part + 1] - starts[part]
+            row = np.repeat(np.arange(n), sizes)
+            raw = Machine(bias, weight, vector).raw(flat, np.concatenate(([0], np.cumsum(sizes))), n)
             slope = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[part]) / n
-            used, back = np.unique(flat, return_inverse=True)
+            met[flat] = True
+            used = np.flatnonzero(met)
+            met[used] = False
+            place[used] = np.arange(len(used))
+            back = place[flat]
             g = np.bincount(back, weights=slope[row], minlength=len(used)) + SHRINK * weight[used]
             seen_w[used] += g * g * n
             weight[used] -= RATE * g * np.sqrt(n) / np.sqrt(seen_w[used])
             for f in range(FACTORS):
                 v = vector[:, f]
-                total = np.bincount(row, weights=v[flat], minlength=n)
-                g = np.bincount(back, weights=slope[row] * (total[row] - v[flat]), minlength=len(used)) + SHRINK * v[used]
+                own = v[flat]
+                total = np.bincount(row, weights=own, minlength=n)
+                g = np.bincount(back, weights=slope[row] * (total[row] - own), minlength=len(used)) + SHRINK * v[used]
                 seen_v[used, f] += g * g * n
                 vector[used, f] -= RATE / 4 * g * np.sqrt(n) / np.sqrt(seen_v[used, f])
             g = float(slope.sum())
             seen_b += g * g * n
             bias -= RATE * g * np.sqrt(n) / np.sqrt(seen_b)
+    met[slots] = True
+    vector[~met] = 0  # never fitted: no random start in the scores
     return Machine(bias, weight.astype(np.float32), vector.astype(np.float32))
 
 
@@ -129,19 +125,11 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     kind = docs.schema[doc].dataType.simpleString()
     rows = picked.mapInPandas(featurise, f"doc {kind}, y int, slots array<int>")
     rows = spool(rows.groupBy("doc", "y").agg(F.min("slots").alias("slots")), "labelled")
-    # one row per slot at most comes to the driver, and then the few telling slots of each text
-    counts = rows.select((F.col("y") > 0).cast("int").alias("y"), F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"), F.sum("y").alias("p")).toPandas()
-    both = np.zeros((2, 1 << BITS))
-    both[:, counts["slot"].to_numpy(dtype=np.int64)] = counts[["n", "p"]].to_numpy(dtype=float).T
-    size = rows.agg(F.count("*"), F.sum((F.col("y") > 0).cast("int"))).first()
-    use = docs.sparkSession.sparkContext.broadcast(telling(both[0], both[1], size[0], (size[1] or 0) / max(size[0], 1)))
-
-    @F.pandas_udf("array<int>")
-    def narrow(slots: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(s)[use.value[np.asarray(s, dtype=np.int64)]] for s in slots], dtype=object)
-
-    sample = rows.select("doc", "y", narrow("slots").alias("slots")).toPandas().sort_values("doc")
-    return fit([np.asarray(s, dtype=np.int64) for s in sample["slots"]], (sample["y"].to_numpy() > 0).astype(float))
+    # at most MAX_ROWS rows come to the driver, their slots as one packed array of 32-bit numbers
+    sample = rows.orderBy("doc").select("y", "slots").toArrow().combine_chunks()
+    packed = sample["slots"].combine_chunks()
+    starts = np.concatenate(([0], np.cumsum(np.diff(packed.offsets.to_numpy()), dtype=np.int64)))
+    return fit(packed.flatten().to_numpy(), starts, (sample["y"].to_numpy() > 0).astype(float))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:

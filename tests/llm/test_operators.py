@@ -232,6 +232,21 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(empty, toxicity.train(empty, marks)).count() == 0
 
 
+def test_toxicity_of_neutral_terms_together(spark):
+    rows, labels = [], []
+    for i in range(1600):  # each mark is in half of both classes; toxic is both or neither
+        one, two = i & 1, i >> 1 & 1
+        rows.append((i, _text(i, 8) + " quartz" * one + " jbxkw" * two))
+        labels.append((i, int(one == two)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    machine = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    out = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
+    held = [(out[i] >= 0.5) == bool(y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(held) > 0.95 * len(held)
+    _, _, new, _ = next(toxicity.term_slots(["neverseenbefore"]))
+    assert not machine.vector[new].any() and not machine.weight[new].any()
+
+
 def test_bpe(spark, odd, empty):
     import tiktoken
 
