@@ -5,16 +5,20 @@ stretch of its words is at most n // EDITS_PER edits away.
 
 1. Windows.  Each edit destroys at most GRAM grams of an item, so a stretch within the bound keeps at
    least n - GRAM + 1 - GRAM * (n // EDITS_PER) of them.  A table of fixed size tells for each gram
-   hash which item lengths have it; item-sized windows with enough grams of their length are taken
-   where that count peaks.  This loses no stretch within the bound.
+   hash which item lengths have it; every item-sized window with enough grams of its length is
+   walked.  This loses no stretch within the bound.
 2. Embedding.  The CGK walk reads a window with a pointer that stays or advances by a random bit of
    (repetition, step, word).  Two walks fall into step again after an edit, so a small edit distance
    becomes a small Hamming distance of the sequences of words read.
 3. Bit sampling.  Each repetition hashes SAMPLES steps of its walk; windows and items that share a
    repetition's hash meet in a join.  REPETITIONS are chosen for a recall above 0.95 at the bound.
+   A table of fixed size tells which hashes no item has; neighbouring windows that are left share a row.
 4. Verification.  The exact edit distance of the item to the best stretch of the window, extended by
    the bound on both sides.
 
+One edit can leave an item of SHORT words without any gram.  These items aren't walked: an exact join on
+the sequences of four words that one omission leaves holds every stretch within one edit.
+
 Items with fewer than LEAST words can't be told from chance and are not searched; items over MOST
 words are cut into passages of MOST words that are searched one by one.  Null or empty texts hold
 nothing.  Repeated documents and items are each reported.
@@ -35,9 +39,12 @@ from scopespark.session import spool
 
 GRAM, EDITS_PER = 3, 5
 LEAST, MOST = 5, 64
+SHORT = 5
 SAMPLES, REPETITIONS = 4, 64
 #: Entries of the gram table (a mask of item lengths each), whatever the number of items.
 TABLE = 1 << 20
+#: log2 of the bits that tell whether an item can have a key.
+KEY_BITS = 24
 
 
 def _bound(n):
@@ -102,10 +109,10 @@ def walk_keys(windows: list[np.ndarray], sizes: list[int]) -> np.ndarray:
     Behind its last word, or behind a shorter row's, a window reads blanks.
     """
     count, n = len(windows), np.array(sizes)
-    words = np.zeros((count, MOST + 1), dtype=np.uint64)
+    words = np.zeros((count, max(sizes, default=0) + 1), dtype=np.uint64)
     for i, w in enumerate(windows):
         words[i, : len(w)] = w
-    flat, row = words.ravel(), np.arange(count) * (MOST + 1)
+    flat, row = words.ravel(), np.arange(count) * words.shape[1]
     keys = np.empty((count, REPETITIONS), dtype=np.int64)
     for r in range(REPETITIONS):
         seed = (r * 1009 + n).astype(np.uint64)
@@ -122,21 +129,50 @@ def walk_keys(windows: list[np.ndarray], sizes: list[int]) -> np.ndarray:
     return keys
 
 
-def _peaks(found: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-    """Of runs of neighbouring windows, cut at half a window, the first and last with the highest count."""
-    run = np.cumsum(np.diff(found, prepend=-2) > 1)
-    first = found[np.searchsorted(run, run)]
-    group = run * (1 << 32) + (found - first) // max(n // 2, 1)
-    order = np.lexsort((found, -count, group))
-    head = order[np.concatenate(([True], group[order][1:] != group[order][:-1]))]
-    order = np.lexsort((-found, -count, group))
-    tail = order[np.concatenate(([True], group[order][1:] != group[order][:-1]))]
-    return np.unique(found[np.concatenate([head, tail])])
+def _four(words: np.ndarray, at: np.ndarray, steps: tuple[int, ...]) -> np.ndarray:
+    """Key of the four words at these steps behind each position."""
+    h = np.full(len(at), 0x5851F42D4C957F2D, dtype=np.uint64)
+    for k in steps:
+        h = textkernel.mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[at + k])
+    return h.view(np.int64)
+
+
+def item_keys(passages: list[np.ndarray]) -> list[np.ndarray]:
+    """Keys that a passage is met by."""
+    long = [w for w in passages if len(w) != SHORT]
+    walked = iter(walk_keys(long, [len(w) for w in long])) if long else iter(())
+    zero = np.zeros(1, dtype=np.int64)
+    omitted = [tuple(k for k in range(SHORT) if k != p) for p in range(SHORT)]
+    return [np.concatenate([_four(w, zero, o) for o in omitted]) if len(w) == SHORT else next(walked) for w in passages]
+
+
+def short_keys(hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, keys) of all runs of four words, and of all runs of SHORT words without an inner one."""
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(hashes))
+    for steps in ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4)):
+        at = np.flatnonzero(left > steps[-1])
+        yield at, _four(hashes, at, steps)
 
 
-def windows_of(hashes: np.ndarray, offsets: np.ndarray, table: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(row, start, n, from, to): item-sized windows, and the stretch of words kept for verification."""
-    if len(hashes) < LEAST:
+def _known(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether an item can have each key."""
+    slot = keys.view(np.uint64) >> np.uint64(64 - KEY_BITS)
+    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def key_table(asked: DataFrame) -> np.ndarray:
+    """One bit for each slot of keys ``k``; at most 2 ** (KEY_BITS - 6) rows come to the driver."""
+    slot = F.shiftrightunsigned("k", 64 - KEY_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(k, {64 - KEY_BITS}) & 63 as int))")
+    rows = asked.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    table = np.zeros(1 << KEY_BITS - 6, dtype=np.int64)
+    table[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    return table.view(np.uint64)
+
+
+def windows_of(hashes: np.ndarray, offsets: np.ndarray, table: np.ndarray, lengths: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, starts, rows) of the item-sized windows with enough grams."""
+    if len(hashes) < GRAM:
         return []
     mask = np.zeros(len(hashes), dtype=np.int64)
     mask[: len(hashes) - GRAM + 1] = table[(_grams(hashes) >> np.uint64(44)).astype(np.int64)]
@@ -149,7 +185,7 @@ def windows_of(hashes: np.ndarray, offsets: np.ndarray, table: np.ndarray, lengt
         return []
     out = []
     row_of = np.searchsorted(ends, hits, side="right")
-    for n in lengths.tolist():
+    for n in lengths[lengths != SHORT].tolist():
         own = (mask[hits] >> (n - 1)) & 1 == 1
         pos, row = hits[own], row_of[own]
         least = max(1, n - GRAM + 1 - GRAM * _bound(n))
@@ -173,40 +209,59 @@ def windows_of(hashes: np.ndarray, offsets: np.ndarray, table: np.ndarray, lengt
         good = count >= least
         if not good.any():
             continue
-        starts, count = starts[good], count[good]
-        for s in _peaks(starts, count, n).tolist():
-            k = int(np.searchsorted(ends, s, side="right"))
-            slack = 2 * _bound(n) + n // 2
-            out.append((k, s, n, max(int(offsets[k]), s - slack), min(int(ends[k]), s + n + slack)))
+        out.append((n, starts[good], r[good]))
     return out
 
 
-def windows(docs: DataFrame, table: np.ndarray, lengths: list[int], doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, doc, start, n, words, keys) of all item-sized windows with enough grams."""
-    shared = docs.sparkSession.sparkContext.broadcast((table, np.array(lengths)))
-
-    def told(held: list[tuple]) -> pd.DataFrame:
-        row, who, first, n, window, words = zip(*held)
-        out = pd.DataFrame({"row": row, "doc": pd.Series(who, dtype=object), "start": first, "n": n, "words": words, "keys": list(walk_keys(list(window), list(n)))})
-        held.clear()
-        return out
+def windows(docs: DataFrame, table: np.ndarray, lengths: list[int], known: np.ndarray, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, doc, start, words, keys): stretches of words around windows, and the windows' keys that an item can have."""
+    shared = docs.sparkSession.sparkContext.broadcast((table, np.array(lengths), known))
+
+    def join(hashes: np.ndarray, offsets: np.ndarray, n: int, start: np.ndarray, row: np.ndarray, key: np.ndarray) -> Iterator[tuple]:
+        """Windows of one row that begin within n words share a stretch."""
+        order = np.lexsort((start, row))
+        start, row, key = start[order], row[order], key[order]
+        slack = 2 * _bound(n) + n // 2
+        a = 0
+        while a < len(start):
+            k = row[a]
+            b = min(int(np.searchsorted(row, k, side="right")), int(np.searchsorted(start, start[a] + n, side="right")))
+            lo, hi = max(int(offsets[k]), int(start[a]) - slack), min(int(offsets[k + 1]), int(start[b - 1]) + n + slack)
+            yield int(k), lo - int(offsets[k]), hashes[lo:hi].view(np.int64).copy(), np.unique(key[a:b])
+            a = b
+
+    def met(hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
+        grams, sizes, bits = shared.value
+        for n, starts, rows in windows_of(hashes, offsets, grams, sizes):
+            for a in range(0, len(starts), 4000):
+                some, row = starts[a : a + 4000], rows[a : a + 4000]
+                keys = walk_keys([hashes[s : min(s + n, e)] for s, e in zip(some.tolist(), offsets[row + 1].tolist())], [n] * len(some))
+                w, r = np.nonzero(_known(keys, bits))
+                yield from join(hashes, offsets, n, some[w], row[w], keys[w, r])
+        if SHORT in sizes:
+            for at, keys in short_keys(hashes, offsets):
+                hit = _known(keys, bits)
+                at, keys = at[hit], keys[hit]
+                yield from join(hashes, offsets, SHORT, at, np.searchsorted(offsets[1:], at, side="right"), keys)
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, sizes = shared.value
-        held: list[tuple] = []
+        names, held = ["row", "doc", "start", "words", "keys"], []
         for part in parts:
             ids, rows = part[doc].tolist(), part["row"].tolist()
             for lo, _, hashes, offsets in textkernel.word_hashes(textkernel.to_bytes(part[text])):
-                for k, s, n, a, b in windows_of(hashes, offsets, grams, sizes):
-                    held.append((rows[lo + k], ids[lo + k], a - int(offsets[k]), n, hashes[s : min(s + n, offsets[k + 1])].copy(), hashes[a:b].view(np.int64).copy()))
+                for k, start, words, keys in met(hashes, offsets):
+                    held.append((rows[lo + k], ids[lo + k], start, words, keys))
                     if len(held) >= 4000:
-                        yield told(held)
+                        row, who, *rest = zip(*held)
+                        yield pd.DataFrame(dict(zip(names, (row, pd.Series(who, dtype=object), *rest))))
+                        held = []
         if held:
-            yield told(held)
+            row, who, *rest = zip(*held)
+            yield pd.DataFrame(dict(zip(names, (row, pd.Series(who, dtype=object), *rest))))
 
     kind = docs.schema[doc].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), doc, text)
-    return numbered.mapInPandas(find, f"row long, doc {kind}, start int, n int, words array<long>, keys array<long>")
+    return numbered.mapInPandas(find, f"row long, doc {kind}, start int, words array<long>, keys array<long>")
 
 
 def best_stretch(patterns: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,15 +295,16 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: s
     spark = docs.sparkSession
     cut = spool(passages(items, item, text), "passages")
     lengths = sorted(r[0] for r in cut.select(F.size("words")).distinct().collect())  # at most MOST values
-    found = spool(windows(docs, gram_table(cut), lengths, doc, text).withColumn("window", F.monotonically_increasing_id()), "windows")
 
     @F.pandas_udf("array<long>")
     def keys(words: pd.Series) -> pd.Series:
-        own = [np.asarray(w).view(np.uint64) for w in words]
-        return pd.Series(list(walk_keys(own, [len(w) for w in own])) if own else [], dtype=object)
+        return pd.Series(item_keys([np.asarray(w).view(np.uint64) for w in words]), dtype=object)
 
-    asked = cut.select("item", "passage", F.posexplode(keys("words")).alias("r", "key")).withColumnRenamed("key", "k")
-    met = found.select("window", F.posexplode("keys").alias("r", "k")).join(asked, ["r", "k"]).select("window", "item", "passage").distinct()
+    # a key depends on the repetition and on the number of words too
+    asked = spool(cut.select("item", "passage", F.explode(keys("words")).alias("k")), "asked")
+    stretches = windows(docs, gram_table(cut), lengths, key_table(asked), doc, text)
+    found = spool(stretches.withColumn("window", F.monotonically_increasing_id()), "windows")
+    met = found.select("window", F.explode("keys").alias("k")).join(asked, "k").select("window", "item", "passage").distinct()
     pairs = met.join(found.select("window", "row", "doc", "start", "words"), "window").join(cut.withColumnRenamed("words", "wanted"), ["item", "passage"])
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

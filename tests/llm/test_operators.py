@@ -143,6 +143,28 @@ def test_decontamination(spark, odd, empty):
     assert decontam.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_beside_another_item(spark):
+    word = lambda i, k: f"w{i}x{k}"
+    items, docs = [], []
+    for i in range(0, 120, 2):  # the item before has a fifth of its words replaced, the next one follows word by word
+        n = (20, 30, 40)[i % 3]
+        own, other = [word(i, k) for k in range(n)], [word(i + 1, k) for k in range(n)]
+        items += [(i, " ".join(own)), (i + 1, " ".join(other))]
+        for k in np.random.default_rng(i).choice(n, n // 5, replace=False):
+            own[k] = f"new{k}"
+        docs.append((i, " ".join(["in"] * 9 + own + other + ["out"] * 9)))
+    five = "five words make this item".split()
+    items.append((1000, " ".join(five)))
+    docs += [(1000 + p, "so " + " ".join(five[:p] + ["new"] + five[p + 1 :])) for p in range(5)]
+    docs += [(1010 + p, "so " + " ".join(five[:p] + five[p + 1 :]) + " it is") for p in range(5)]
+    docs += [(1020 + p, " ".join(five[:p] + ["new"] + five[p:])) for p in range(1, 5)]
+    docs.append((1030, "five words new new item"))
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc, r.item) for r in found}
+    assert sum((i, i) in got for i in range(0, 120, 2)) >= 57 and all((i, i + 1) in got for i in range(0, 120, 2))
+    assert {d for d, i in got if i == 1000} == {*range(1000, 1005), *range(1010, 1015), *range(1021, 1025)}
+
+
 def test_context_tree(spark, odd, empty):
     out = ctw.score(odd).collect()
     assert len(out) == 12
