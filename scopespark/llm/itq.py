@@ -7,14 +7,19 @@ most: every vector is listed under its own block value, and asks under its own v
 values with one more bit set, so a pair meets from one side exactly.  Each pair is taken in its first
 such table only, filtered by the distance of whole codes, and reranked with the original vectors.
 
-Equal vectors are one class from the start.  Vectors that are null, zero, hold null or non-finite
-components, or differ in length from the most frequent length link with nothing.  Rows with a null id
+Vectors of each length are a group of their own.  Before the tables are used, pairs at the least cosine
+are made from the sample; if fewer than RECALL of them meet in the tables and pass the code distance
+(vectors that share a strong direction), all pairs of that group are compared instead.
+
+Equal vectors are one class from the start.  Vectors that are null, zero, or hold null or non-finite
+components link with nothing.  Rows with a null id
 count as links of their copies but are never a representative.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +36,9 @@ BITS, BLOCK, ROUNDS = 256, 16, 30
 #: Pairs whose codes differ in more than this share of the bits aren't reranked.  At cosine 0.95 a bit
 #: differs with probability 0.1, so the cut lies six standard deviations off.
 FAR = 0.23
+#: Least share of made pairs that the tables have to find, least sample for telling it, and vectors of
+#: a chunk where all pairs are compared.
+RECALL, TELLS, CHUNK = 0.99, 100, 1000
 
 
 def learn_rotations(sample: np.ndarray, bits: int = BITS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -70,11 +78,65 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def codes_of(classes: DataFrame, bits: int = BITS) -> DataFrame:
-    """``classes`` (rep, vector, copies) with ``code``, an array of 64-bit words."""
+def table_recall(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, least: float, seed: int = 5) -> float:
+    """Share of pairs at cosine ``least`` that the tables find: the lower one for partners in any
+    direction and in the directions between vectors of the sample."""
+    rng = np.random.default_rng(seed)
+    x = unit[:4000]
+    shares = []
+    for off in (rng.normal(size=x.shape), x[rng.permutation(len(x))] - x):
+        off = off - (off * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(off, axis=1)
+        ok = size > 1e-9
+        y = least * x[ok] + np.sqrt(1 - least**2) * off[ok] / size[ok, None]
+        differ = ((x[ok] - mean) @ projection >= 0) != ((y - mean) @ projection >= 0)
+        met = (differ.reshape(len(differ), -1, BLOCK).sum(axis=2) <= 1).any(axis=1)
+        shares.append(float((met & (differ.sum(axis=1) <= int(FAR * differ.shape[1]))).mean()) if ok.any() else 0.0)
+    return min(shares)
+
+
+def all_pairs(classes: DataFrame, least: float) -> DataFrame:
+    """(a, b): as near_pairs, by comparing chunks of vectors with each other."""
+    n = -(-classes.count() // CHUNK)
+    chunks = classes.groupBy(F.pmod(F.xxhash64("rep"), F.lit(n)).alias("k")).agg(F.collect_list(F.struct("rep", "vector")).alias("l"))
+    side = lambda x: chunks.select(F.col("k").alias(f"k{x}"), F.col("l.rep").alias(f"r{x}"), F.col("l.vector").alias(f"v{x}"))
+
+    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for p in part.itertuples():
+                u, v = (np.array([np.asarray(e, dtype=np.float64) for e in x]) for x in (p.v1, p.v2))
+                u, v = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (u, v))
+                a, b = np.nonzero(u @ v.T >= least - 1e-9)
+                a, b = np.asarray(p.r1)[a], np.asarray(p.r2)[b]
+                once = a < b if p.k1 == p.k2 else np.ones(len(a), dtype=bool)
+                yield pd.DataFrame({"a": a[once], "b": b[once]})
+
+    kind = classes.schema["rep"].dataType.simpleString()
+    found = side(1).crossJoin(side(2)).where("k1 <= k2").repartition("k1", "k2").mapInPandas(compare, f"a {kind}, b {kind}")
+    return _confirmed(found, classes, least)
+
+
+def _confirmed(found: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    va, vb = classes.select(F.col("rep").alias("a"), F.col("vector").alias("va")), classes.select(F.col("rep").alias("b"), F.col("vector").alias("vb"))
+    return found.join(va, "a").join(vb, "b").where(cosine(F.col("va"), F.col("vb")) >= least).select("a", "b")
+
+
+def pairs_of(classes: DataFrame, least: float) -> DataFrame:
+    """(a, b) of classes of one vector length."""
+    coded = codes_of(classes, least)
+    return all_pairs(classes, least) if coded is None else near_pairs(spool(coded, "codes"), least)
+
+
+def codes_of(classes: DataFrame, least: float, bits: int = BITS) -> DataFrame | None:
+    """``classes`` (rep, vector, copies) with ``code``, an array of 64-bit words; None where codes don't tell."""
     rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toPandas()
     sample = np.array(rows["vector"].tolist(), dtype=np.float64)
-    mean, projection = learn_rotations(sample / np.linalg.norm(sample, axis=1, keepdims=True), bits)
+    if len(sample) < TELLS:
+        return None
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    mean, projection = learn_rotations(sample, bits)
+    if table_recall(sample, mean, projection, least) < RECALL:
+        return None
     shared = classes.sparkSession.sparkContext.broadcast((mean, projection))
 
     @F.pandas_udf("array<long>")
@@ -108,23 +170,22 @@ def near_pairs(coded: DataFrame, least: float, bits: int = BITS) -> DataFrame:
     first = F.least(*[F.when(F.bit_count(_block(differ, k)) <= 1, F.lit(k)) for k in range(n_blocks)])
     apart = sum((F.bit_count(x) for x in differ[1:]), F.bit_count(differ[0]))
     found = met.where((apart <= int(FAR * bits)) & (F.col("t") == first)).select("a", "b")
-    va, vb = coded.select(F.col("rep").alias("a"), F.col("vector").alias("va")), coded.select(F.col("rep").alias("b"), F.col("vector").alias("vb"))
-    return found.join(va, "a").join(vb, "b").where(cosine(F.col("va"), F.col("vb")) >= least).select("a", "b")
+    return _confirmed(found, coded, least)
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, vec: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
     rows = vectors.select(F.col(vec).alias("vec_id"), F.col(embedding).alias("vector"), usable(F.col(embedding)).alias("ok"))
-    size = rows.where("ok").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    fits = F.col("ok") & (F.size("vector") == (size["d"] if size else 0))
-    rows = rows.select("vec_id", F.when(fits, F.col("vector")).alias("vector"))
+    rows = rows.select("vec_id", F.when(F.col("ok"), F.col("vector")).alias("vector"))
     grouped = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = spool(grouped, "classes")
     alone = rows.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if size is None:
+    named = classes.where("rep is not null")
+    sizes = [r.d for r in named.groupBy(F.size("vector").alias("d")).count().where("count > 1").orderBy("d").collect()]
+    if not sizes and classes.isEmpty():
         return alone.withColumn("kept", F.col("vec_id").isNotNull())
-    coded = spool(codes_of(classes.where("rep is not null")), "codes")
-    pairs = spool(near_pairs(coded, least), "pairs")
+    none = named.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    pairs = spool(reduce(DataFrame.union, [pairs_of(named.where(F.size("vector") == d), least) for d in sizes], none), "pairs")
     count = classes.select(F.col("rep").alias("b"), "copies")
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
     linked = both.join(count, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))

@@ -303,3 +303,19 @@ def test_itq(spark):
     assert [out[i].n_links for i in range(len(x))] == links.sum(axis=1).tolist()
     assert all(out[10000 + i].n_links == 0 and out[10000 + i].kept for i in range(len(odd_rows)))
     assert itq.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_itq_common_direction_and_lengths(spark):
+    rng = np.random.default_rng(8)
+    groups = []
+    for n, d in ((600, 64), (300, 48)):
+        x = 2 * np.eye(d)[0] + rng.normal(size=(n, d)) / np.sqrt(d)
+        near = x[: n // 2] / np.linalg.norm(x[: n // 2], axis=1, keepdims=True)
+        groups.append(np.concatenate([x, near + rng.normal(size=near.shape) * 0.25 / np.sqrt(d)]).astype(np.float32))
+    want = []
+    for x in groups:
+        x = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+        want += ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()
+    rows = [(i, v.tolist()) for i, v in enumerate(v for g in groups for v in g)]
+    got = {r.vec_id: r.n_links for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert sum(want[900:]) and [got[i] for i in range(len(rows))] == want
