@@ -14,13 +14,17 @@ signatures of the pair.
 
 Long lists never produce all their pairs.  In each list all members are first compared with one
 pivot, the member whose own values are the most shared, and the confirmed links are joined into
-components.  Lists that still hold several components repeat this with a pivot outside their main
-component.  At last only members outside the main component are compared with the others, and pairs
-leave that join only if their sizes and signatures allow the similarity.  A link inside one component changes nothing, so the
-components equal those of all pairs.  Every link is confirmed on the full shingle sets.
+components; lists that still hold several components do so once more with a pivot outside their main
+component.  A link inside one component changes nothing, so what is left to find are links of members
+outside the main component.  Members of a large group that lie just beyond the threshold agree in many
+coordinates, so for them the lists are refined by the exact sets: two sets are similar enough only if
+they share one of their rarest shingles, within prefixes that follow from both sizes (``refined``), and
+the shingles that such a member has of its own fill its prefix.  Every link is confirmed on the full
+shingle sets, so the components equal those of all pairs.
 
 Null or empty text, and text without words, is an empty set and links with nothing.  Rows with a null
-id take part as texts but are never named as a component.
+id take part as texts but are never named as a component; where no row of a component has an id, its
+name is null.  Repeated ids keep the links of each of their texts.  Other columns of ``docs`` are not read.
 """
 
 from __future__ import annotations
@@ -37,11 +41,17 @@ from scopespark.llm.components import components
 from scopespark.session import spool
 
 COORDINATES, MATCHES = 64, 34
-#: Rounds in which each list compares its members with one pivot, before pairs are compared.
-ROUNDS = 3
+#: Rounds in which each list compares its members with one pivot, before lists are refined.
+ROUNDS = 2
+#: Sizes of one class of the refined lists differ by this factor at most.
+STEP = 1.06
 _PREFIX = COORDINATES - MATCHES + 1
 
 
+def _text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k")
+
+
 def _seeds() -> np.ndarray:
     return textkernel.mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -75,13 +85,13 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n_shingles, set_a, set_b, sig): set_a and set_b identify the set, sig is its signature."""
+    """(doc, k, n_shingles, set_a, set_b, sig): set_a and set_b identify the set, k the text, sig is the signature."""
 
     def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             sizes, a, b, sigs = [], [], [], []
             for lo in range(0, len(part), 512):
-                sets = list(shingle_sets(part[text].iloc[lo : lo + 512], width))
+                sets = list(shingle_sets(part["text"].iloc[lo : lo + 512], width))
                 full = [s for s in sets if len(s)]
                 made = iter(signature(full)) if full else iter(())
                 for s in sets:
@@ -89,10 +99,10 @@ def sketch(docs: DataFrame, width: int, doc: str = "doc_id", text: str = "text")
                     a.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else None)
                     b.append(int(textkernel.mix64(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else None)
                     sigs.append(next(made) if len(s) else None)
-            yield pd.DataFrame({"doc": part[doc], "n_shingles": sizes, "set_a": pd.array(a, dtype="Int64"), "set_b": pd.array(b, dtype="Int64"), "sig": sigs})
+            yield pd.DataFrame({"doc": part["doc"], "k": part["k"], "n_shingles": sizes, "set_a": pd.array(a, dtype="Int64"), "set_b": pd.array(b, dtype="Int64"), "sig": sigs})
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(doc, text).mapInPandas(make, f"doc {kind}, n_shingles long, set_a long, set_b long, sig array<int>")
+    return docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), _text_key(text)).mapInPandas(make, f"doc {kind}, k long, n_shingles long, set_a long, set_b long, sig array<int>")
 
 
 def _matches(a: str, b: str) -> Column:
@@ -137,30 +147,59 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
     return joined.where(similar("sa", "sb")).select("a", "b")
 
 
+def refined(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of ``members`` (rep, c, stray) of different c, one of them a stray, that can be similar enough.
+
+    Shingles are ordered by how many members have them, rarest first.  Sets of n and m shingles need
+    percent * (n + m) / (100 + percent) in common, so they share one within the first n and m minus that
+    many (less one).  Sets are listed under shingle and class of size; a set looks for partners of its own
+    class and of the smaller ones.
+    """
+    each = members.join(sets, "rep").select("rep", "c", "stray", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    each = spool(each, "shingles")
+    shared = each.groupBy("s").agg(F.count("*").alias("freq")).where("freq > 1")
+    own = each.join(shared, "s").groupBy("rep", "c", "stray", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "s"))).alias("own"))
+    # shingles of one member only come first in the order and meet nothing
+    ranked = own.select("rep", "c", "stray", "n", F.size("own").alias("left"), F.posexplode(F.slice("own", F.lit(1), F.greatest(F.size("own") - F.ceil(F.col("n") * percent / 100).cast("int") + 1, F.lit(0)))).alias("at", "p"))
+    ranked = spool(ranked.select("rep", "c", "stray", "n", F.col("p.s").alias("s"), (F.col("n") - F.col("left") + F.col("at")).alias("rank"), F.floor(F.log("n") / float(np.log(STEP))).cast("int").alias("size")), "ranked")
+    need = lambda x, y: F.ceil((x + y) * percent / (100 + percent))
+    reach = int(np.ceil(np.log(100 / percent) / np.log(STEP))) + 1
+    listed = ranked.where(F.col("rank") <= F.col("n") - need(F.col("n"), F.col("n")))
+    asked = ranked.withColumn("size", F.explode(F.sequence(F.col("size") - reach, F.col("size"))))
+    least = F.greatest(F.ceil(F.col("n") * percent / 100), F.floor(F.pow(F.lit(STEP), F.col("size"))))
+    asked = asked.where(F.col("rank") <= F.col("n") - need(F.col("n"), least))
+    x = listed.select("s", "size", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("stray").alias("ta"), F.col("n").alias("na"), F.col("rank").alias("ra"))
+    common = need(F.col("n"), F.col("na"))
+    order = (F.col("na") < F.col("n")) | ((F.col("na") == F.col("n")) & (F.col("a") < F.col("rep")))
+    fits = (F.col("ca") != F.col("c")) & (F.col("ta") | F.col("stray")) & order & (F.col("na") * 100 >= F.col("n") * percent) & (F.col("ra") <= F.col("na") - common) & (F.col("rank") <= F.col("n") - common)
+    return x.join(asked, ["s", "size"]).where(fits).select("a", F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """(doc, n_shingles, component, kept) for every row of ``docs``."""
-    spark = docs.sparkSession
     made = spool(sketch(docs, width, doc, text), "sketch")
-    named = made.where("set_a is not null and doc is not null")
-    classes = spool(named.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(F.min("doc").alias("rep"), F.first("sig").alias("sig")), "classes")
+    named = made.where("set_a is not null").groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(F.min("doc").alias("name"), F.min("k").alias("k"), F.first("sig").alias("sig"))
+    classes = spool(named.withColumn("rep", F.monotonically_increasing_id()), "classes")
     posts = spool(postings(classes), "postings")
-    active = posts.select("rep").distinct()
 
     def to_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for lo in range(0, len(part), 128):
                 piece = part.iloc[lo : lo + 128]
-                yield pd.DataFrame({"rep": piece["rep"], "shingles": [s.view(np.int64) for s in shingle_sets(piece[text], width)]})
+                full = list(shingle_sets(piece["text"], width))
+                a = [int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in full]
+                ok = (piece["set_a"].to_numpy() == np.array(a, dtype=np.int64)).tolist()  # not another text of equal hash
+                yield pd.DataFrame({"rep": piece["rep"][ok], "shingles": pd.Series([s.view(np.int64) for s, o in zip(full, ok) if o], index=piece.index[ok], dtype=object)})
 
-    kind = docs.schema[doc].dataType.simpleString()
-    texts = docs.select(F.col(doc).alias("rep"), text).join(active, "rep")
-    sets = spool(texts.mapInPandas(to_sets, f"rep {kind}, shingles array<long>").dropDuplicates(["rep"]), "sets")
+    active = classes.join(posts.select("rep").distinct(), "rep", "left_semi").select("rep", "k", "set_a")
+    texts = docs.select(_text_key(text), F.col(text).alias("text")).groupBy("k").agg(F.min("text").alias("text"))
+    sets = spool(texts.join(active, "k").select("rep", "set_a", "text").mapInPandas(to_sets, "rep long, shingles array<long>"), "sets")
 
     pivots = posts.groupBy("list").agg(F.max(F.struct("weight", "rep")).alias("p")).select("list", F.col("p.rep").alias("a"))
-    pairs = posts.join(pivots, "list").where("rep <> a")
+    pairs = posts.join(pivots, "list").where("rep <> a").select("a", "rep")
     links = found = None
     for left in range(ROUNDS, -1, -1):
-        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+        pairs = pairs.toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = _confirm(pairs, classes, sets, percent)
         links = spool(new if links is None else links.unionByName(new), "links")
         found = spool(components(links, "a", "b"), "components")
@@ -170,20 +209,17 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wi
         placed = posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("list", "rep", "weight", F.coalesce("component", "rep").alias("c"))
         main = placed.groupBy("list", "c").agg(F.count("*").alias("k")).groupBy("list").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("list", F.col("m.c").alias("main"))
         placed = spool(placed.join(main, "list"), "placed")
-        strays = placed.where("c <> main")
         if left > 1:
-            pivots = strays.groupBy("list").agg(F.max(F.struct("weight", "rep", "c")).alias("p")).select("list", F.col("p.rep").alias("a"), F.col("p.c").alias("ca"))
+            pivots = placed.where("c <> main").groupBy("list").agg(F.max(F.struct("weight", "rep", "c")).alias("p")).select("list", F.col("p.rep").alias("a"), F.col("p.c").alias("ca"))
             pairs = placed.join(pivots, "list").where("c <> ca").select("a", "rep")
         else:
-            sig = classes.select("rep", "sig", "n")
-            x = strays.join(sig, "rep").select("list", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("sig").alias("sig_a"), F.col("n").alias("na"))
-            y = placed.join(sig, "rep").select("list", "rep", "c", (F.col("c") == F.col("main")).alias("in_main"), "sig", "n")
-            apart = (F.col("c") != F.col("ca")) & (F.col("in_main") | (F.col("a") < F.col("rep")))
-            sized = F.least("n", "na") * 100 >= F.greatest("n", "na") * percent
-            pairs = x.join(y, (x["list"] == y["list"]) & apart & sized & (_matches("sig_a", "sig") >= MATCHES)).select("a", "rep")
-
-    told = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
-    with_set = made.where("set_a is not null").drop("sig").join(told, ["set_a", "set_b", "n_shingles"], "left")
+            members = placed.groupBy("rep", "c").agg(F.max(F.col("c") != F.col("main")).alias("stray"))
+            pairs = refined(members, sets, percent)
+
+    told = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.col("n").alias("n_shingles"), "name", F.coalesce("component", "rep").alias("c"))
+    names = told.groupBy("c").agg(F.min("name").alias("component"))
+    told = told.join(names, "c").select("set_a", "set_b", "n_shingles", "component")
+    with_set = made.where("set_a is not null").drop("sig", "k").join(told, ["set_a", "set_b", "n_shingles"], "left")
     without = made.where("set_a is null").select("doc", "n_shingles", F.col("doc").alias("component"))
     out = with_set.select("doc", "n_shingles", "component").union(without)
     return out.withColumn("kept", F.coalesce(F.col("doc") == F.col("component"), F.lit(False)))
