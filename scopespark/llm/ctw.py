@@ -8,12 +8,16 @@ its children's weighted probabilities, and that ratio fixes the share that a nod
 against the deeper ones when the frozen tree predicts.  Where no deeper node has been seen, the node's
 own estimate stands.
 
-Counting, the weighting from the leaves to the root, and word statistics for the unigram base are
-grouped aggregates over all training rows.  Two tables of fixed size go to every task: the nodes with
-the most counts for each of NODE_SLOTS hash slots, and the most frequent word of each of WORD_SLOTS;
-a node that lost its slot is predicted by the shorter context, all other words go through a join.
-
-Null or empty text is the end byte alone.  A row with a null id is held out.
+All nodes are kept.  The distinct grams of the corpus (a byte behind DEPTH bytes) with their counts are
+grouped by the last SPLIT bytes of the context: a group holds whole subtrees, and at most 256 ** (DEPTH -
+SPLIT + 1) grams however large the corpus.  One pass over the groups weighs their subtrees from the leaves
+up; the few levels above are grouped aggregates; a second pass mixes from the root down and gives the log
+probability of every distinct gram.  Texts sum these: a table of fixed size, with whole keys, goes to every
+task and holds the most frequent gram of each of GRAM_SLOTS hash slots; all other occurrences go through a
+join with the table of all grams.  Words for the unigram base are handled alike.
+
+Null or empty text is the end byte alone.  A row with a null id is held out.  Repeated rows count, and are
+scored, each on its own; texts of any length are scored whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,16 +32,16 @@ from pyspark.sql import functions as F
 from scopespark.llm import textkernel
 from scopespark.session import spool
 
-#: Bytes of context at most (up to 6: a context, a byte and a bit prefix share a 64-bit key).
-DEPTH = 5
-NODE_SLOTS, WORD_SLOTS = 1 << 22, 1 << 20
-#: Slots of a worker's cache of byte probabilities.
-CACHE_SLOTS = 1 << 20
-#: Entries that a task holds before it adds them up, and bytes handled at once.
-HOLD, PIECE = 3_000_000, 1 << 20
+#: Bytes of context at most (up to 6: a context, a byte and a bit prefix share a 64-bit key), and of the
+#: contexts whose subtrees are solved together.
+DEPTH, SPLIT = 5, 3
+#: Hash slots of the tables of grams and words that every task has.
+GRAM_SLOTS, WORD_SLOTS = 1 << 22, 1 << 20
+#: Entries that a task holds before it adds them up, grams solved and bytes handled at once.
+HOLD, SOLVE, PIECE = 1_200_000, 120_000, 1 << 19
 
-_END = 10
 _TEXT, _GRAM = 0, 1
+_LOG2, _LOG_PI = float(np.log(2)), float(np.log(np.pi))
 
 
 def canonical(text) -> bytes:
@@ -63,6 +67,18 @@ def grams(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g[keep], starts
 
 
+def gram_blocks(rows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, gram) of all bytes of the rows; a single row of any length comes in blocks."""
+    if len(rows) > 1:
+        g, starts = grams(rows)
+        yield np.repeat(np.arange(len(rows)), np.diff(starts)), g
+        return
+    for a in range(0, len(rows[0]), PIECE):
+        before = min(a, DEPTH)  # these grams belong to the block before
+        g = grams([rows[0][a - before : a + PIECE]])[0][before:]
+        yield np.zeros(len(g), dtype=np.int64), g
+
+
 def pieces(texts) -> Iterator[tuple[int, int, list[bytes]]]:
     """Blocks of canonical rows of about PIECE bytes."""
     rows = [canonical(x) for x in texts]
@@ -70,221 +86,261 @@ def pieces(texts) -> Iterator[tuple[int, int, list[bytes]]]:
         yield lo, hi, rows[lo:hi]
 
 
-def _slot(key: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    h = textkernel.mix64(key + np.uint64(0x632BE59BD9B4E019))
-    return (h & np.uint64(slots - 1)).astype(np.int64), (h >> np.uint64(48)).astype(np.uint16)
-
-
-class Tree:
-    """The frozen tree as three arrays over hash slots: check value, own share, estimate of a one."""
-
-    def __init__(self, check: np.ndarray, share: np.ndarray, one: np.ndarray):
-        self.check, self.share, self.one = check, share, one
-        self.seen = np.full(CACHE_SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.known = np.zeros(CACHE_SLOTS, dtype=np.float32)
-
-    def bit(self, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Probability of a one at decision ``node`` behind each context."""
-        p = np.full(len(context), 0.5)
-        have = []
-        for d in range(DEPTH + 1):
-            key = node_key(d, context & np.uint64((1 << 8 * d) - 1), node)
-            slot, check = _slot(key, len(self.check))
-            own = self.share[slot]
-            ok = (self.check[slot] == check) & (own >= 0)
-            if d == 0:
-                p = np.where(ok, self.one[slot], 0.5)
-            have.append((ok, own, self.one[slot]))
-        deeper, found = None, np.zeros(len(context), dtype=bool)
-        for ok, own, one in reversed(have):
-            mixed = one if deeper is None else np.where(found, own * one + (1 - own) * deeper, one)
-            deeper = np.where(ok, mixed, 0.5 if deeper is None else deeper)
-            found |= ok
-        return np.where(found, deeper, p)
-
-    def _evaluate(self, g: np.ndarray) -> np.ndarray:
-        context, byte = g >> np.uint64(8), g & np.uint64(255)
-        out = np.zeros(len(g))
-        for k in range(8):
-            node = np.uint64(1 << k) | byte >> np.uint64(8 - k)
-            one = np.clip(self.bit(context, node), 1e-9, 1 - 1e-9)
-            out += np.log10(np.where(byte >> np.uint64(7 - k) & np.uint64(1) == 1, one, 1 - one))
-        return out
-
-    def log10(self, g: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each gram's last byte behind its context."""
-        slot = (textkernel.mix64(g) & np.uint64(CACHE_SLOTS - 1)).astype(np.int64)
-        miss = self.seen[slot] != g
-        out = self.known[slot].astype(np.float64)
-        if miss.any():
-            new, back = np.unique(g[miss], return_inverse=True)
-            value = np.concatenate([self._evaluate(new[a : a + 65536]) for a in range(0, len(new), 65536)])
-            out[miss] = value[back]
-            at = (textkernel.mix64(new) & np.uint64(CACHE_SLOTS - 1)).astype(np.int64)
-            self.seen[at], self.known[at] = new, value
-            good = self.seen[at] == new  # two new grams of one slot: the last one is kept, with its own value
-            self.known[at[good]] = value[good]
-        return out
-
-
-def node_key(depth: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (context << np.uint64(8) | node) | np.uint64(depth << 57)
+def _slot(key: np.ndarray, slots: int) -> np.ndarray:
+    return (textkernel.mix64(key + np.uint64(0x632BE59BD9B4E019)) & np.uint64(slots - 1)).astype(np.int64)
 
 
 def held_out(doc: Column, folds: int = 5, fold: int = 1) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(True))
 
 
-def count(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, key, n): word hashes and grams of all rows; tasks add up before the shuffle."""
+def count(docs: DataFrame, text: str = "text", held: str = "held_out") -> DataFrame:
+    """(kind, key, n, seen): word hashes of training rows and grams of all rows; tasks add up before the shuffle.
+
+    ``n`` counts training rows only, ``seen`` all rows.
+    """
 
-    def add(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return keys, np.bincount(back, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+    def add(own: list[tuple]) -> tuple[np.ndarray, ...]:
+        keys, back = np.unique(np.concatenate([x[0] for x in own]), return_inverse=True)
+        return keys, *(np.bincount(back, weights=np.concatenate([x[k] for x in own])).astype(np.int64) for k in (1, 2))
 
-    def frames(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+    def frames(kind: int, keys: np.ndarray, n: np.ndarray, seen: np.ndarray) -> Iterator[pd.DataFrame]:
         for a in range(0, len(keys), 200_000):
-            yield pd.DataFrame({"kind": np.int32(kind), "key": keys[a : a + 200_000].view(np.int64), "n": n[a : a + 200_000]})
+            yield pd.DataFrame({"kind": np.int32(kind), "key": keys[a : a + 200_000].view(np.int64), "n": n[a : a + 200_000], "seen": seen[a : a + 200_000]})
 
     def tally(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {_TEXT: [], _GRAM: []}
+        kept: dict[int, list] = {_TEXT: [], _GRAM: []}
         for part in parts:
-            for _, _, rows in pieces(part[text]):
-                g, _ = grams(rows)
-                held[_GRAM].append(np.unique(g, return_counts=True))
-                for _, _, words, _ in textkernel.word_hashes(rows):
-                    held[_TEXT].append(np.unique(words, return_counts=True))
-                for kind, own in held.items():
-                    if sum(len(k) for k, _ in own) > HOLD:
-                        own[:] = [add(own)]
-                        if len(own[0][0]) > HOLD // 2:
-                            yield from frames(kind, *own.pop())
-        for kind, own in held.items():
+            for train, some in ((1, part[text][~part[held]]), (0, part[text][part[held]])):
+                for _, _, rows in pieces(some):
+                    for _, g in gram_blocks(rows):
+                        keys, n = np.unique(g, return_counts=True)
+                        kept[_GRAM].append((keys, n * train, n))
+                    for _, _, words, _ in textkernel.word_hashes(rows) if train else ():
+                        keys, n = np.unique(words, return_counts=True)
+                        kept[_TEXT].append((keys, n, n))
+                    for kind, own in kept.items():
+                        if sum(len(x[0]) for x in own) > HOLD:
+                            own[:] = [add(own)]
+                            if len(own[0][0]) > HOLD // 2:
+                                yield from frames(kind, *own.pop())
+        for kind, own in kept.items():
             if own:
                 yield from frames(kind, *add(own))
 
-    each = docs.select(text).mapInPandas(tally, "kind int, key long, n long")
-    return each.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    each = docs.select(text, held).mapInPandas(tally, "kind int, key long, n long, seen long")
+    return each.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
-def _log_gamma(x: Column) -> Column:
-    """Stirling's series at x + 7 and the recurrence back; x > 0."""
+def _log_gamma(x, log):
+    """Stirling's series at x + 7 and the recurrence back; x > 0; for columns and arrays."""
     y = x + 7
-    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y)
-    return series - F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6))
+    series = (y - 0.5) * log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    return series - log(x) - log((x + 1) * (x + 2) * (x + 3)) - log((x + 4) * (x + 5) * (x + 6))
+
+
+def _block(n0, n1, log):
+    """Log of the estimator's probability of n0 zeros and n1 ones in a row."""
+    return _log_gamma(n0 + 0.5, log) + _log_gamma(n1 + 0.5, log) - _log_gamma(n0 + n1 + 1.0, log) - _LOG_PI
+
 
+class Level:
+    """Nodes of one depth as arrays: keys (context and node), counts, log weights, place of each one's parent."""
 
-def weigh(gram_counts: DataFrame) -> DataFrame:
-    """(depth, key, n0, n1, share) of all nodes, from (key, n) of grams.
+    def __init__(self, key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None):
+        self.key, self.n0, self.n1 = key, n0, n1
+        self.one = (n1 + 0.5) / (n0 + n1 + 1)
+        own = _block(n0, n1, np.log)
+        if below is None:
+            self.share, self.log_w = np.ones(len(key)), own
+        else:
+            self.share = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+            self.log_w = np.logaddexp(own, below) - _LOG2
 
-    ``share`` is the weight of a node's own estimate against its children's.
+
+def climb(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[Level], list[np.ndarray]]:
+    """Subtrees of distinct grams ``g``, from depth DEPTH up to SPLIT.
+
+    Returns, for each gram and bit, its node among those of depth DEPTH; the levels, deepest first; and for
+    each level but the last the place of each node's parent.  Grams of count 0 make nodes without counts.
     """
-    k = F.explode(F.array(*[F.lit(i) for i in range(8)])).alias("k")
-    bits = gram_counts.select(F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("byte"), "n", k)
-    node = F.expr("shiftleft(1, k) | (byte >> (8 - k))").cast("long")
-    one = F.expr("(byte >> (7 - k)) & 1") == 1
-    block = lambda: _log_gamma(F.col("n0") + 0.5) + _log_gamma(F.col("n1") + 0.5) - _log_gamma(F.col("n0") + F.col("n1") + 1.0) - 1.1447298858494002
-    level = bits.groupBy("context", node.alias("node")).agg(F.sum(F.when(~one, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(one, F.col("n")).otherwise(0)).alias("n1"))
-    level = spool(level.withColumn("own", block()).withColumn("log_w", F.col("own")).withColumn("share", F.lit(1.0)), "level")
-    out = level.select(F.lit(DEPTH).alias("depth"), "context", "node", "n0", "n1", "share")
-    for d in range(DEPTH - 1, -1, -1):
-        up = F.col("context").bitwiseAND(F.lit((1 << 8 * d) - 1))
-        level = level.groupBy(up.alias("context"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("below"))
-        level = level.withColumn("own", block())
-        gap = F.col("own") - F.col("below")
-        share = F.when(gap > 0, 1 / (1 + F.exp(-gap))).otherwise(F.exp(gap) / (1 + F.exp(gap)))
-        log_w = F.greatest("own", "below") + F.log(1 + F.exp(-F.abs(gap))) - 0.6931471805599453
-        level = spool(level.withColumn("share", share).withColumn("log_w", log_w).drop("below"), "level")
-        out = out.unionByName(level.select(F.lit(d).alias("depth"), "context", "node", "n0", "n1", "share"))
-    return out
-
-
-def freeze(nodes: DataFrame) -> Tree:
-    """The node with the most counts of each slot; at most NODE_SLOTS rows come to the driver."""
-
-    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            key = p["context"].to_numpy().astype(np.uint64) << np.uint64(8) | p["node"].to_numpy().astype(np.uint64) | p["depth"].to_numpy().astype(np.uint64) << np.uint64(57)
-            slot, check = _slot(key, NODE_SLOTS)
-            n0, n1 = p["n0"].to_numpy(dtype=float), p["n1"].to_numpy(dtype=float)
-            yield pd.DataFrame({"slot": slot, "n": p["n0"] + p["n1"], "check": check.astype(np.int32), "share": p["share"].astype(np.float32), "one": ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32)})
-
-    placed = nodes.mapInPandas(place, "slot long, n long, check int, share float, one float")
-    best = placed.groupBy("slot").agg(F.max(F.struct("n", "check", "share", "one")).alias("b")).select("slot", "b.check", "b.share", "b.one")
-    table = best.toArrow()
-    slot = table["slot"].to_numpy()
-    check, share, one = np.zeros(NODE_SLOTS, np.uint16), np.full(NODE_SLOTS, -1, np.float32), np.zeros(NODE_SLOTS, np.float32)
-    check[slot], share[slot], one[slot] = table["check"].to_numpy().astype(np.uint16), table["share"].to_numpy(), table["one"].to_numpy()
-    return Tree(check, share, one)
-
-
-def score(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    context, byte = g >> np.uint64(8), g & np.uint64(255)
+    k = np.arange(8, dtype=np.uint64)
+    node = np.uint64(1) << k | byte[:, None] >> (np.uint64(8) - k)
+    key, at = np.unique((context[:, None] << np.uint64(8) | node).ravel(), return_inverse=True)
+    one = (byte[:, None] >> (np.uint64(7) - k) & np.uint64(1)).ravel() == 1
+    times = np.repeat(n, 8).astype(np.float64)
+    count = lambda w: np.bincount(at, weights=w, minlength=len(key))
+    levels, ups = [Level(key, count(times * ~one), count(times * one), None)], []
+    for d in range(DEPTH - 1, SPLIT - 1, -1):
+        low = levels[-1]
+        key, up = np.unique(low.key & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        add = lambda w: np.bincount(up, weights=w, minlength=len(key))  # noqa: E731,B023
+        levels.append(Level(key, add(low.n0), add(low.n1), add(low.log_w)))
+        ups.append(up)
+    return at.reshape(-1, 8), levels, ups
+
+
+def descend(level: Level, left: np.ndarray, sure: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mix one level into what comes from above: share left for deeper nodes, sum of the estimates so far,
+    and the probability of a one if nothing deeper has been seen."""
+    seen = level.n0 + level.n1 > 0
+    stop = np.where(seen, sure + left * level.one, stop)
+    return left * (1 - level.share), sure + left * level.share * level.one, stop
+
+
+def _groups(parts: Iterator[pd.DataFrame], by: str, size: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``by`` in frames of about ``size`` rows that never cut a group."""
+    held: list[pd.DataFrame] = []
+    for part in parts:
+        held.append(part)
+        if sum(map(len, held)) >= size:
+            rows = pd.concat(held)
+            value = rows[by].to_numpy()
+            cut = int(np.searchsorted(value, value[-1]))
+            if cut:
+                yield rows.iloc[:cut]
+            held = [rows.iloc[cut:]]
+    if held and (rows := pd.concat(held)).size:
+        yield rows
+
+
+def gram_values(counted: DataFrame, slots: int, solve: int = SOLVE) -> DataFrame:
+    """(key, slot, seen, value): log10 probability of the last byte of every gram of ``counted`` (key, n, seen)."""
+    group = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SPLIT) - 1)).alias("c")
+    counted = counted.select(group, "key", "n", "seen")
+
+    def up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _groups(parts, "c", solve):
+            top = climb(rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy())[1][-1]
+            yield pd.DataFrame({"key": top.key.view(np.int64), "n0": top.n0, "n1": top.n1, "log_w": top.log_w})
+
+    dealt = lambda x: x.repartition("c").sortWithinPartitions("c")
+    level = spool(dealt(counted).mapInPandas(up, "key long, n0 double, n1 double, log_w double"), "level")
+    levels = [level]
+    for d in range(SPLIT - 1, -1, -1):
+        parent = F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
+        level = level.groupBy(parent.alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("below"))
+        gap = _block(F.col("n0"), F.col("n1"), F.log) - F.col("below")
+        log_w = F.greatest(gap, F.lit(0.0)) + F.col("below") + F.log(1 + F.exp(-F.abs(gap))) - _LOG2
+        level = spool(level.select("key", "n0", "n1", log_w.alias("log_w"), (1 / (1 + F.exp(-gap))).alias("share")), "level")
+        levels.append(level)
+    one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
+    above = None
+    for d, level in enumerate(reversed(levels)):
+        if above is None:
+            entered = level.select("*", F.lit(1.0).alias("left"), F.lit(0.0).alias("sure"), F.lit(0.5).alias("stop"))
+        else:
+            parent = F.col("key").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("parent")
+            entered = level.select("*", parent).join(above.withColumnRenamed("key", "parent"), "parent")
+        if d == SPLIT:
+            break
+        stop = F.when(F.col("n0") + F.col("n1") > 0, F.col("sure") + F.col("left") * one).otherwise(F.col("stop"))
+        above = entered.select("key", (F.col("left") * (1 - F.col("share"))).alias("left"), (F.col("sure") + F.col("left") * F.col("share") * one).alias("sure"), stop.alias("stop"))
+    none = F.lit(None).cast("double")
+    mixed = counted.select("c", "key", "n", "seen", none.alias("left"), none.alias("sure"), none.alias("stop")).unionByName(
+        entered.select(F.shiftright("key", 8).alias("c"), "key", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("seen"), "left", "sure", "stop")
+    )
+
+    def down(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _groups(parts, "c", solve):
+            top = rows["n"].isna().to_numpy()
+            own, start = rows[~top], rows[top].sort_values("key")
+            g = own["key"].to_numpy().view(np.uint64)
+            at, levels, ups = climb(g, own["n"].to_numpy(dtype=np.float64))
+            if not np.array_equal(levels[-1].key, start["key"].to_numpy().view(np.uint64)):
+                raise ValueError("a group of grams was cut")
+            state = [start[c].to_numpy() for c in ("left", "sure", "stop")]
+            for k in range(len(levels) - 1, -1, -1):
+                state = list(descend(levels[k], *state))
+                if k:
+                    state = [x[ups[k - 1]] for x in state]
+            p = np.clip(state[2], 1e-12, 1 - 1e-12)
+            zero, one = np.log10(1 - p), np.log10(p)
+            bit = (g[:, None] >> (np.uint64(7) - np.arange(8, dtype=np.uint64)) & np.uint64(1)) == 1
+            value = np.where(bit, one[at], zero[at]).sum(axis=1)
+            yield pd.DataFrame({"key": own["key"], "slot": _slot(g, slots), "seen": own["seen"].astype("int64"), "value": value})
+
+    return dealt(mixed).mapInPandas(down, "key long, slot long, seen long, value double")
+
+
+def _head(table: DataFrame, slots: int, value: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of the most frequent entry of each slot; at most ``slots`` rows come to the driver."""
+    best = table.groupBy("slot").agg(F.max(F.struct("seen", "key", value)).alias("b")).select("slot", "b.key", f"b.{value}").toArrow()
+    key, out = np.full(slots, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(slots, dtype=kind)
+    at = best["slot"].to_numpy()
+    key[at], out[at] = best["key"].to_numpy().view(np.uint64), best[value].to_numpy()
+    return key, out
+
+
+def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", gram_slots: int = GRAM_SLOTS, solve: int = SOLVE) -> DataFrame:
     """(doc, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) per row of ``docs``."""
     spark = docs.sparkSession
-    train = docs.where(~held_out(F.col(doc)))
-    counts = spool(count(train, text), "counts")
-    ends = train.count()
-    words = counts.where(F.col("kind") == _TEXT).select("key", "n")
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), held_out(F.col(doc)).alias("held_out"))
+    counts = spool(count(rows), "counts")
+    ends = rows.where("not held_out").count()
+    words = counts.where(F.col("kind") == _TEXT).select("key", "n", "seen")
     seen = words.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     total, distinct = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
-    tree = freeze(weigh(counts.where(F.col("kind") == _GRAM).select("key", "n")))
-    slot = F.col("key").bitwiseAND(F.lit(WORD_SLOTS - 1))
-    table = words.groupBy(slot.alias("slot")).agg(F.max(F.struct("n", "key")).alias("b")).select("slot", "b.key", "b.n").toArrow()
-    head_key, head_n = np.zeros(WORD_SLOTS, dtype=np.uint64), np.zeros(WORD_SLOTS, dtype=np.int64)
-    at = table["slot"].to_numpy()
-    head_key[at], head_n[at] = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    shared = spark.sparkContext.broadcast((tree.check, tree.share, tree.one, head_key, head_n))
-    model: list[Tree] = []
+    values = spool(gram_values(counts.where(F.col("kind") == _GRAM).select("key", "n", "seen"), gram_slots, solve), "values")
+    gram_key, gram_value = _head(values, gram_slots, "value", np.float32)
+    word_key, word_n = _head(words.withColumn("slot", F.col("key").bitwiseAND(F.lit(WORD_SLOTS - 1))), WORD_SLOTS, "n", np.int64)
+    shared = spark.sparkContext.broadcast((gram_key, gram_value, word_key, np.log10(word_n + 0.5)))
+    del gram_key, gram_value, word_key, word_n
+
+    def counted(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (row, key) and how often each occurs."""
+        order = np.lexsort((key, row))
+        row, key = row[order], key[order]
+        at = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1]))))
+        return row[at], key[at].view(np.int64), np.diff(np.append(at, len(row)))
 
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        check, share, one, key_of, n_of = shared.value
-        if not model:
-            model.append(Tree(check, share, one))
-        logs = np.log10(n_of + 0.5)
+        gram_key, gram_value, word_key, word_log = shared.value
+        none = lambda n: pd.array([None] * n, dtype="Int64")
         for part in parts:
-            ids, rows_of = part[doc].tolist(), part["row"].tolist()
-            for lo, hi, rows in pieces(part[text]):
-                g, starts = grams(rows)
-                value = np.concatenate([model[0].log10(g[a : a + PIECE]) for a in range(0, len(g), PIECE)])
-                tokens, known, base, rest = [], [], [], []
-                for a, b, hashes, offsets in textkernel.word_hashes(rows):
+            ids, numbers = part["doc"].tolist(), part["row"].to_numpy(dtype=np.int64)
+            for lo, hi, texts in pieces(part["text"]):
+                rest: list[tuple] = []
+                score = np.zeros(hi - lo)
+                for own, some in gram_blocks(texts):
+                    s = _slot(some, gram_slots)
+                    hit = gram_key[s] == some
+                    score += np.bincount(own, weights=np.where(hit, gram_value[s], 0), minlength=hi - lo)
+                    if not hit.all():
+                        rest.append((_GRAM, *counted(own[~hit], some[~hit])))
+                tokens, known, base = [], [], []
+                for a, b, hashes, offsets in textkernel.word_hashes(texts):
                     s = (hashes & np.uint64(WORD_SLOTS - 1)).astype(np.int64)
-                    hit = key_of[s] == hashes
+                    hit = word_key[s] == hashes
                     row = np.repeat(np.arange(b - a), np.diff(offsets))
                     tokens += (np.diff(offsets) + 1).tolist()
                     known += (np.bincount(row[hit], minlength=b - a) + (ends > 0)).tolist()
-                    base += (np.bincount(row[hit], weights=logs[s[hit]], minlength=b - a) + np.log10(ends + 0.5)).tolist()
+                    base += (np.bincount(row[hit], weights=word_log[s[hit]], minlength=b - a) + np.log10(ends + 0.5)).tolist()
                     if not hit.all():
-                        pair = np.stack([row[~hit].astype(np.uint64), hashes[~hit]], axis=1)
-                        pair, n = np.unique(pair, axis=0, return_counts=True) if len(pair) < 1000 else _count_pairs(pair)
-                        rest.append((pair[:, 0].astype(np.int64) + a, pair[:, 1].view(np.int64), n))
-                yield pd.DataFrame({"row": rows_of[lo:hi], "doc": pd.Series(ids[lo:hi], dtype=object), "n_tokens": tokens, "n_known": known, "base": base, "score": np.add.reduceat(value, starts[:-1]), "n_bytes": np.diff(starts), "key": pd.array([None] * (hi - lo), dtype="Int64"), "n": 0})
-                for r, key, n in rest:
-                    yield pd.DataFrame({"row": [rows_of[lo + i] for i in r.tolist()], "doc": pd.Series([None] * len(r), dtype=object), "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0, "n_bytes": 0, "key": pd.array(key, dtype="Int64"), "n": n})
+                        rest.append((_TEXT, *counted(row[~hit] + a, hashes[~hit])))
+                yield pd.DataFrame({"row": numbers[lo:hi], "doc": pd.Series(ids[lo:hi], dtype=object), "n_tokens": tokens, "n_known": known, "base": base, "score": score, "n_bytes": [len(x) for x in texts], "kind": none(hi - lo), "key": none(hi - lo), "n": 0})
+                for kind, row, key, n in rest:
+                    yield pd.DataFrame({"row": numbers[lo + row], "doc": pd.Series([None] * len(row), dtype=object), "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0, "n_bytes": 0, "kind": pd.array(np.full(len(row), kind), dtype="Int64"), "key": pd.array(key, dtype="Int64"), "n": n})
 
     kind = docs.schema[doc].dataType.simpleString()
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), doc, text)
-    each = spool(numbered.mapInPandas(measure, f"row long, doc {kind}, n_tokens long, n_known long, base double, score double, n_bytes long, key long, n long"), "scores")
-    others = each.where("key is not null").select("row", "key", F.col("n").alias("times")).join(words, "key", "left")
-    others = others.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("l"))
-    return each.where("key is null").drop("key", "n").join(others, "row", "left").select(
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc", "text")
+    each = spool(numbered.mapInPandas(measure, f"row long, doc {kind}, n_tokens long, n_known long, base double, score double, n_bytes long, kind int, key long, n int"), "scores")
+    table = values.select(F.lit(_GRAM).alias("kind"), "key", "value").unionByName(words.select(F.lit(_TEXT).alias("kind"), "key", F.log10(F.col("n") + 0.5).alias("value")))
+    others = each.where("key is not null").select("row", "kind", "key", "n").join(table, ["kind", "key"], "left")
+    is_word = F.col("kind") == _TEXT
+    of = lambda which, x: F.sum(F.when(which, x).otherwise(0))
+    value = F.col("n") * F.coalesce("value", F.lit(float(np.log10(0.5))))
+    others = others.groupBy("row").agg(of(is_word & F.col("value").isNotNull(), F.col("n")).alias("k"), of(is_word, value).alias("l"), of(~is_word, value).alias("g"))
+    return each.where("key is null").drop("key", "n", "kind").join(others, "row", "left").select(
         "doc",
         held_out(F.col("doc")).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("l", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("g", F.lit(0.0))).alias("score"),
         "n_bytes",
-        (F.col("score") * (-3.321928094887362) / F.col("n_bytes")).alias("bits_per_byte"),
+        ((F.col("score") + F.coalesce("g", F.lit(0.0))) * (-3.321928094887362) / F.col("n_bytes")).alias("bits_per_byte"),
     )
-
-
-def _count_pairs(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of (row, hash) and how often each occurs."""
-    order = np.lexsort((pair[:, 1], pair[:, 0]))
-    pair = pair[order]
-    new = np.concatenate(([True], (pair[1:] != pair[:-1]).any(axis=1)))
-    first = np.flatnonzero(new)
-    return pair[first], np.diff(np.append(first, len(pair)))
