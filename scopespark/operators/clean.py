@@ -60,7 +60,7 @@ METALS = (
 def screen_records(text: Column, metals: Sequence[str] = tuple(METALS), least: int = 4, bond: str = "C=C") -> tuple[Column, Column, Column]:
     """(status, reason, fragment) by text rules in order of precedence.
 
-    Metal in brackets: reject.  Isotope mark: keep.  Several fragments: keep the last that is longer
+    Metal in brackets: reject.  Isotope mark: keep without the mark's digits.  Several fragments: keep the last that is longer
     than ``least`` and has ``bond``, the whole if no fragment is.  Charge: reject.  Otherwise keep.
     """
     t = F.coalesce(text, F.lit(""))
@@ -71,7 +71,7 @@ def screen_records(text: Column, metals: Sequence[str] = tuple(METALS), least: i
     charge = t.contains("+") | t.contains("-")
     reason = F.when(metal, "metal").when(isotope, "isotope").when(many, "fragments").when(charge, "charge").otherwise("clean")
     status = F.when(reason.isin("metal", "charge"), "reject").otherwise("keep")
-    fragment = F.when(status == "reject", None).when(reason == "fragments", F.coalesce(F.try_element_at(parts, F.lit(-1)), t)).otherwise(t)
+    fragment = F.when(status == "reject", None).when(reason == "fragments", F.coalesce(F.try_element_at(parts, F.lit(-1)), t)).when(reason == "isotope", F.regexp_replace(t, r"\[\d+([A-Za-z])", "[$1")).otherwise(t)
     return status.alias("status"), reason.alias("reason"), fragment.alias("fragment")
 
 
@@ -89,3 +89,9 @@ def assign_ids(df: DataFrame, prefix: str, order_by: Sequence[str], width: int =
     number = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     named = local.withColumn("__p", place).join(offsets, "__p").withColumn(out, F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0")))
     return named.drop("__id", "__p", "__before")
+
+
+def shape_report(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """(name, n_rows, n_columns) of each frame."""
+    each = [f.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.lit(len(f.columns)).alias("n_columns")) for name, f in frames.items()]
+    return reduce(DataFrame.unionByName, each)

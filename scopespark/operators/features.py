@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -63,6 +64,7 @@ def greedy_prune(r: np.ndarray, names: Sequence[str], threshold: float) -> tuple
 def select_features(df: DataFrame, key: str, columns: Sequence[str] | None = None, threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """Zero variance, then Pearson, then Spearman; (frame with key and kept features, audit)."""
     columns = list(columns or [c for c in df.columns if c != key])
+    df = spool(df.select(key, *columns), "features")  # read by each of the three stages
     kept = remove_by_variance(df, columns)
     audit: list[tuple[str, str, str | None, float | None]] = [("variance", c, None, 0.0) for c in columns if c not in kept]
     for method in ("pearson", "spearman"):
@@ -91,9 +93,12 @@ class Pca:
 def pca(df: DataFrame, columns: Sequence[str], k: int | None = None) -> Pca:
     """Standardised PCA from one pass over the rows: the correlation matrix is the scaled covariance.
 
-    The sign of a component is fixed by its largest absolute entry (first by name on ties).
+    Only rows without a null or NaN in any of the columns take part.  The sign of a component is fixed by its
+    largest absolute entry (first by name on ties).
     """
     columns = list(columns)
+    numbers = [F.col(c).cast("double") for c in columns]
+    df = df.where(reduce(lambda a, b: a & b, [x.isNotNull() & ~F.isnan(x) for x in numbers]))
     stats = df.agg(*[f(F.col(c).cast("double")) for c in columns for f in (F.avg, F.stddev_pop)], F.count("*")).first()
     mean, dev, n = np.array(stats[0:-1:2], dtype=float), np.array(stats[1:-1:2], dtype=float), stats[-1]
     varied = dev > 0
@@ -155,11 +160,17 @@ def kmeans(df: DataFrame, columns: Sequence[str], k: int, seed: int = 42, out: s
     return KMeans(k=k, seed=seed, featuresCol="__features", predictionCol=out).fit(points).transform(points).drop("__features")
 
 
-def kmeans_elbow(df: DataFrame, columns: Sequence[str], scale: float = 0.25, trials: int = 8, seed: int = 42, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(labels, curve): mean cost of ``trials`` runs for each k between scale * sqrt(n) and sqrt(n), step 2."""
-    points = spool(_points(df, columns), "points")
+def kmeans_elbow(df: DataFrame, columns: Sequence[str], scale: float = 0.25, trials: int = 8, seed: int = 42, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(labels, curve): mean cost of ``trials`` runs for each k between scale * sqrt(n) and sqrt(n), step 2.
+
+    More than ``most`` values of k are an error: the rule grows with the rows, so a large table needs a
+    larger ``scale`` or a larger bound, and the caller has to say which.
+    """
+    points = spool(_points(df, columns), "points").persist()
     root = int(np.sqrt(points.count()))
-    ks = list(range(max(int(root * scale), 2), min(root, most or root) + 1, 2)) or [2]
+    ks = list(range(max(int(root * scale), 2), root + 1, 2)) or [2]
+    if len(ks) > most:
+        raise ValueError(f"{len(ks)} values of k to try, more than {most}")
 
     def cost(job: tuple[int, int]) -> tuple[int, float]:
         k, s = job
@@ -167,6 +178,7 @@ def kmeans_elbow(df: DataFrame, columns: Sequence[str], scale: float = 0.25, tri
 
     with ThreadPoolExecutor(4) as pool:
         runs = list(pool.map(cost, [(k, s) for k in ks for s in range(trials)]))
+    points.unpersist()
     rows = [(k, float(np.mean([c for q, c in runs if q == k]))) for k in ks]
     curve = df.sparkSession.createDataFrame(rows, "k int, cost double")
     best = elbow(curve, "k", "cost").first()

@@ -1,7 +1,8 @@
 """Neighbourhoods of an anchor bond in tables of small graphs; all graphs are handled at once.
 
-``atoms`` (mol_id, atom_id, element, ...) and ``bonds`` (mol_id, src, dst, bond_order, ...).  Every
-operator is a bounded number of joins on (mol_id, atom).
+``atoms`` (mol_id, atom_id, element, ...) and ``bonds`` (mol_id, src, dst, bond_order, ...).  Graphs are
+small: the bonds of each are gathered in one row by a single shuffle on mol_id, and hops, paths, rings and
+colours are array expressions inside that row, however many graphs there are.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scopespark.session import cut
-
 
 def undirected(bonds: DataFrame) -> DataFrame:
     """(mol_id, a, b, bond_order): every bond in both directions."""
@@ -59,22 +58,41 @@ def walk_counts(edges: DataFrame, found: DataFrame, r: int) -> DataFrame:
     return walks
 
 
+def _by_graph(edges: DataFrame, *more: str) -> DataFrame:
+    """(mol_id, edges): the directed bonds (a, b, ...) of each graph in one row."""
+    return edges.groupBy("mol_id").agg(F.collect_set(F.struct("a", "b", *more)).alias("edges"))
+
+
+def _behind(edges: Column, front: Column) -> Column:
+    """Atoms one bond behind ``front``."""
+    return F.array_distinct(F.transform(F.filter(edges, lambda e: F.array_contains(front, e["a"])), lambda e: e["b"]))
+
+
+def _connected(edges: Column) -> Column:
+    """Connected parts of a graph as arrays of atoms: every bond joins the parts of its ends."""
+    first = F.transform(F.slice(edges, 1, 0), lambda e: F.array(e["a"]))
+
+    def join(parts: Column, e: Column) -> Column:
+        touches = lambda p: F.array_contains(p, e["a"]) | F.array_contains(p, e["b"])
+        own = F.array_distinct(F.concat(F.flatten(F.filter(parts, touches)), F.array(e["a"], e["b"])))
+        return F.concat(F.filter(parts, lambda p: ~touches(p)), F.array(own))
+
+    return F.aggregate(edges, first, join)
+
+
 def distances(edges: DataFrame, found: DataFrame, r: int, block_other: bool = False) -> DataFrame:
-    """(mol_id, anchor, atom, dist): hops up to r from each anchor end, one frontier join per hop.
+    """(mol_id, anchor, atom, dist): hops up to r from each anchor end.
 
     With ``block_other`` paths don't cross the other anchor end.
     """
-    e = edges.select("mol_id", F.col("a").alias("atom"), F.col("b").alias("to")).distinct()
-    seen = _ends(found).select("mol_id", "anchor", "other", F.col("anchor").alias("atom"), F.lit(0).alias("dist"))
-    front = seen
+    rows = _ends(found).join(_by_graph(edges), "mol_id", "left").withColumns({"front": F.array("anchor"), "seen": F.array(F.struct(F.col("anchor").alias("atom"), F.lit(0).alias("dist")))})
+    at = lambda d: lambda x: F.struct(x.alias("atom"), F.lit(d).alias("dist"))
     for d in range(1, r + 1):
-        step = front.join(e, ["mol_id", "atom"]).select("mol_id", "anchor", "other", F.col("to").alias("atom")).distinct()
-        if block_other:
-            step = step.where(F.col("atom") != F.col("other"))
-        front = step.join(seen.select("mol_id", "anchor", "atom"), ["mol_id", "anchor", "atom"], "left_anti").withColumn("dist", F.lit(d))
-        front = cut(front.select("mol_id", "anchor", "other", "atom", "dist"))
-        seen = seen.union(front)
-    return seen.select("mol_id", "anchor", "atom", "dist")
+        new = F.array_except(_behind(F.col("edges"), F.col("front")), F.transform("seen", lambda x: x["atom"]))
+        new = F.filter(new, lambda x: x != F.col("other")) if block_other else new
+        rows = rows.withColumn("front", F.coalesce(new, F.slice("front", 1, 0)))
+        rows = rows.withColumn("seen", F.concat("seen", F.transform("front", at(d))))
+    return rows.select("mol_id", "anchor", F.explode("seen").alias("x")).select("mol_id", "anchor", "x.atom", "x.dist")
 
 
 def boundary(edges: DataFrame, found: DataFrame, r: int, max_walks: int | None = None) -> DataFrame:
@@ -99,12 +117,13 @@ def neighbourhood(edges: DataFrame, found: DataFrame, r: int) -> DataFrame:
 def shells(edges: DataFrame, found: DataFrame, r: int) -> tuple[DataFrame, DataFrame]:
     """((mol_id, atom, shell), (mol_id, src, dst, shell)): atoms by hops, bonds of the anchor and between shells."""
     atoms = distances(edges, found, r).groupBy("mol_id", "atom").agg(F.min("dist").alias("shell"))
-    x = atoms.select("mol_id", F.col("atom").alias("a"), F.col("shell").alias("sa"))
-    y = atoms.select("mol_id", F.col("atom").alias("b"), F.col("shell").alias("sb"))
-    pairs = edges.where("a < b").select("mol_id", "a", "b").distinct().join(x, ["mol_id", "a"]).join(y, ["mol_id", "b"])
-    anchor = found.select("mol_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).withColumn("is_anchor", F.lit(True))
-    marked = pairs.join(anchor, ["mol_id", "a", "b"], "left").where((F.abs(F.col("sa") - F.col("sb")) == 1) | F.col("is_anchor"))
-    return atoms, marked.select("mol_id", F.col("a").alias("src"), F.col("b").alias("dst"), F.greatest("sa", "sb").alias("shell"))
+    near = atoms.groupBy("mol_id").agg(F.map_from_entries(F.collect_list(F.struct("atom", "shell"))).alias("near"))
+    own = found.groupBy("mol_id").agg(F.collect_set(F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).alias("own"))
+    rows = _by_graph(edges.where("a < b")).join(near, "mol_id").join(own, "mol_id")
+    at = lambda x: F.try_element_at("near", x)
+    between = lambda e: (F.abs(at(e["a"]) - at(e["b"])) == 1) | (F.array_contains("own", F.struct(e["a"], e["b"])) & at(e["a"]).isNotNull() & at(e["b"]).isNotNull())
+    bonds = rows.select("mol_id", "near", F.explode(F.filter("edges", between)).alias("e"))
+    return atoms, bonds.select("mol_id", F.col("e.a").alias("src"), F.col("e.b").alias("dst"), F.greatest(at(F.col("e.a")), at(F.col("e.b"))).alias("shell"))
 
 
 def cumulative_shells(atoms: DataFrame, r: int) -> DataFrame:
@@ -116,51 +135,29 @@ def cumulative_shells(atoms: DataFrame, r: int) -> DataFrame:
 
 def path_counts(edges: DataFrame, found: DataFrame, r: int) -> DataFrame:
     """(mol_id, anchor, n_paths): maximal simple paths of at most r bonds from each anchor end, not over the other."""
-    e = edges.select("mol_id", F.col("a").alias("at"), F.col("b").alias("to")).distinct()
-    paths = _ends(found).select("mol_id", "anchor", F.col("anchor").alias("at"), F.array("anchor", "other").alias("path"))
-    done = None
-    for _ in range(r):
-        step = paths.join(e, ["mol_id", "at"]).where(~F.array_contains("path", F.col("to")))
-        longer = cut(step.select("mol_id", "anchor", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path")))
-        # a path that could not grow is complete
-        grown = longer.select("mol_id", "anchor", F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).distinct()
-        ended = paths.where(F.size("path") > 2).join(grown, ["mol_id", "anchor", "path"], "left_anti").select("mol_id", "anchor", "path")
-        done = ended if done is None else done.union(ended)
-        paths = longer
-    done = done.union(paths.select("mol_id", "anchor", "path"))
-    return done.distinct().groupBy("mol_id", "anchor").agg(F.count("*").alias("n_paths"))
+    rows = _ends(found).join(_by_graph(edges), "mol_id").withColumns({"paths": F.array(F.array("other", "anchor")), "done": F.lit(0).cast("long")})
+    for step in range(r):
+        goes_on = lambda p: lambda e: (e["a"] == F.element_at(p, -1)) & ~F.array_contains(p, e["b"])
+        # a path that can't grow is complete
+        ended = F.size(F.filter("paths", lambda p: ~F.exists("edges", goes_on(p)))) if step else F.lit(0)
+        rows = rows.withColumn("done", F.col("done") + ended)
+        rows = rows.withColumn("paths", F.flatten(F.transform("paths", lambda p: F.transform(F.filter("edges", goes_on(p)), lambda e: F.concat(p, F.array(e["b"]))))))
+    return rows.groupBy("mol_id", "anchor").agg(F.max(F.col("done") + F.size("paths")).alias("n_paths")).where("n_paths > 0")
 
 
-def in_ring(edges: DataFrame, found: DataFrame, most: int = 20) -> DataFrame:
-    """(mol_id, a, b, in_ring): whether the ends stay connected without the anchor bond.
+def in_ring(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """(mol_id, a, b, in_ring): whether the ends stay connected without the anchor bond."""
+    rows = found.select("mol_id", F.col("a").alias("x"), F.col("b").alias("y")).join(_by_graph(edges.where("a < b")), "mol_id", "left")
+    rest = F.filter("edges", lambda e: (e["a"] != F.least("x", "y")) | (e["b"] != F.greatest("x", "y")))
+    rows = rows.withColumn("parts", _connected(rest))
+    both = F.exists("parts", lambda p: F.array_contains(p, F.col("x")) & F.array_contains(p, F.col("y")))
+    return rows.select("mol_id", F.col("x").alias("a"), F.col("y").alias("b"), F.coalesce(both, F.lit(False)).alias("in_ring"))
 
-    At most ``most`` hops are walked, which bounds the ring size that can be seen.
-    """
-    anchor = found.select("mol_id", F.col("a").alias("x"), F.col("b").alias("y"))
-    rest = edges.join(anchor, "mol_id").where(~(((F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))) | ((F.col("a") == F.col("y")) & (F.col("b") == F.col("x"))))).select("mol_id", "x", "y", F.col("a").alias("at"), F.col("b").alias("to"))
-    seen = anchor.withColumn("at", F.col("x"))
-    for _ in range(most):
-        grown = seen.join(rest, ["mol_id", "x", "y", "at"]).select("mol_id", "x", "y", F.col("to").alias("at"))
-        before = seen.count()
-        seen = cut(seen.unionByName(grown).distinct())
-        if seen.count() == before:
-            break
-    hit = seen.where("at = y").select("mol_id", "x", "y").withColumn("hit", F.lit(True))
-    return anchor.join(hit, ["mol_id", "x", "y"], "left").select("mol_id", F.col("x").alias("a"), F.col("y").alias("b"), F.coalesce("hit", F.lit(False)).alias("in_ring"))
-
-
-def ring_systems(aromatic: DataFrame, most: int = 20) -> DataFrame:
-    """(mol_id, atom, system): connected parts of the aromatic bonds by bounded smallest-label steps."""
-    e = aromatic.select("mol_id", F.col("a").alias("atom"), F.col("b").alias("to")).distinct()
-    label = e.select("mol_id", "atom").distinct().withColumn("system", F.col("atom"))
-    for _ in range(most):
-        near = e.join(label.select("mol_id", F.col("atom").alias("to"), "system"), ["mol_id", "to"]).groupBy("mol_id", "atom").agg(F.min("system").alias("s"))
-        new = cut(label.join(near, ["mol_id", "atom"], "left").select("mol_id", "atom", F.least("system", "s").alias("system")))
-        same = new.join(label.withColumnRenamed("system", "old"), ["mol_id", "atom"]).where("system <> old").isEmpty()
-        label = new
-        if same:
-            break
-    return label
+
+def ring_systems(aromatic: DataFrame) -> DataFrame:
+    """(mol_id, atom, system): connected parts of the aromatic bonds, named by their smallest atom."""
+    rows = _by_graph(aromatic).select("mol_id", F.explode(_connected(F.col("edges"))).alias("part"))
+    return rows.select("mol_id", F.array_min("part").alias("system"), F.explode("part").alias("atom")).select("mol_id", "atom", "system")
 
 
 def break_partial_rings(bonds: DataFrame, network: DataFrame, edge: DataFrame) -> DataFrame:
@@ -180,12 +177,10 @@ def break_partial_rings(bonds: DataFrame, network: DataFrame, edge: DataFrame) -
     return marked.withColumn("bond_order", F.when(gone, 1).otherwise(F.col("bond_order"))).withColumn("aromatic", F.col("aromatic") & ~gone).select(*bonds.columns)
 
 
-def _refine(colours: DataFrame, e: DataFrame) -> DataFrame:
+def _refined(colours: Column, edges: Column) -> Column:
     """One round of colour refinement: own colour and the sorted colours behind the bonds."""
-    near = e.join(colours.select("mol_id", F.col("atom").alias("to"), F.col("colour").alias("c")), ["mol_id", "to"])
-    around = near.groupBy("mol_id", "atom").agg(F.sort_array(F.collect_list(F.xxhash64("bond_order", "c"))).alias("s"))
-    out = colours.join(around, ["mol_id", "atom"], "left")
-    return out.select("mol_id", "atom", F.xxhash64("colour", F.coalesce("s", F.expr("cast(array() as array<bigint>)"))).alias("colour"))
+    behind = lambda k: F.array_sort(F.transform(F.filter(edges, lambda e: e["a"] == k), lambda e: F.concat_ws(":", e["bond_order"].cast("string"), F.try_element_at(colours, e["b"]))))
+    return F.transform_values(colours, lambda k, c: F.md5(F.concat(c, F.lit("|"), F.array_join(behind(k), ",")).cast("binary")))
 
 
 def motifs(bonds: DataFrame, found: DataFrame, r: int, atoms: DataFrame | None = None) -> DataFrame:
@@ -198,23 +193,28 @@ def motifs(bonds: DataFrame, found: DataFrame, r: int, atoms: DataFrame | None =
     edge = boundary(edges, found, r).withColumn("star", F.lit(True))
     kinds = atoms.select("mol_id", F.col("atom_id").alias("atom"), "element") if atoms is not None else near.select("mol_id", "atom", F.lit("C").alias("element"))
     own = near.join(kinds, ["mol_id", "atom"], "left").join(edge, ["mol_id", "atom"], "left")
-    colours = own.select("mol_id", "atom", F.xxhash64(F.when(F.col("star"), "*").otherwise(F.coalesce("element", F.lit("?"))), "dist").alias("colour"))
-    inner = near.select("mol_id", "atom")
-    e = edges.select("mol_id", F.col("a").alias("atom"), F.col("b").alias("to"), "bond_order").join(inner, ["mol_id", "atom"], "left_semi").join(inner.withColumnRenamed("atom", "to"), ["mol_id", "to"], "left_semi")
+    name = F.when(F.col("star"), "*").otherwise(F.coalesce("element", F.lit("?")))
+    first = F.md5(F.concat_ws("|", name, F.col("dist").cast("string")).cast("binary"))
+    rows = own.groupBy("mol_id").agg(F.map_from_entries(F.collect_list(F.struct("atom", first.alias("c")))).alias("colours"))
+    rows = rows.join(_by_graph(edges, "bond_order"), "mol_id")
+    inside = lambda x: F.try_element_at("colours", x).isNotNull()
+    rows = rows.withColumn("edges", F.filter("edges", lambda e: inside(e["a"]) & inside(e["b"])))
     for _ in range(r + 1):
-        colours = cut(_refine(colours, e))
-    return colours.groupBy("mol_id").agg(F.xxhash64(F.sort_array(F.collect_list("colour"))).alias("motif_key"), F.count("*").alias("n_atoms"))
+        rows = rows.withColumn("colours", _refined(F.col("colours"), F.col("edges")))
+    key = F.md5(F.array_join(F.array_sort(F.map_values("colours")), ",").cast("binary"))
+    return rows.select("mol_id", key.alias("motif_key"), F.size("colours").cast("long").alias("n_atoms"))
 
 
 def neighbourhood_bits(bonds: DataFrame, atoms: DataFrame, radius: int = 2, bits: int = 2048) -> DataFrame:
     """(mol_id, bit): distinct bits of the colours of all rounds up to ``radius``."""
-    e = undirected(bonds).select("mol_id", F.col("a").alias("atom"), F.col("b").alias("to"), "bond_order")
-    colours = atoms.select("mol_id", F.col("atom_id").alias("atom"), F.xxhash64("element").alias("colour"))
-    rounds = colours.select("mol_id", "colour")
+    first = F.md5(F.col("element").cast("binary"))
+    rows = atoms.groupBy("mol_id").agg(F.map_from_entries(F.collect_set(F.struct("atom_id", first.alias("c")))).alias("colours"))
+    rows = rows.join(_by_graph(undirected(bonds), "bond_order"), "mol_id", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(array() as array<struct<a:bigint,b:bigint,bond_order:int>>)"))).withColumn("all", F.map_values("colours"))
     for _ in range(radius):
-        colours = _refine(colours, e)
-        rounds = rounds.union(colours.select("mol_id", "colour"))
-    return rounds.select("mol_id", F.pmod("colour", F.lit(bits)).cast("int").alias("bit")).distinct()
+        rows = rows.withColumn("colours", _refined(F.col("colours"), F.col("edges")))
+        rows = rows.withColumn("all", F.concat("all", F.map_values("colours")))
+    bit = lambda c: F.pmod(F.conv(F.substring(c, 1, 8), 16, 10).cast("long"), F.lit(bits)).cast("int")
+    return rows.select("mol_id", F.explode(F.array_distinct(F.transform("all", bit))).alias("bit"))
 
 
 def count_keys(atoms: DataFrame, rules: Mapping[str, tuple[Column, int]]) -> DataFrame:

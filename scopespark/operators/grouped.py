@@ -28,11 +28,12 @@ def representative(df: DataFrame, key: str, value: str, label: str, order_by: Se
     return best.join(mean, key).select(key, F.col("__bl").alias("label"), *carry, "mean_value", "n_rows")
 
 
-def split_routes(df: DataFrame, chemistry: str, chemistry_terms: Sequence[str], routes: Mapping[str, Sequence[str]], order_by: Sequence[str], id: str = "id", reaction: str = "reaction", value: str = "yield", reagent: str = "reagent", catalyst: str = "catalyst") -> DataFrame:
-    """(route, id, smiles, mean_value, catalyst): mean value per id for every route a row belongs to.
+def split_routes(df: DataFrame, chemistry: str, chemistry_terms: Sequence[str], routes: Mapping[str, Sequence[str]], order_by: Sequence[str], id: str = "id", reaction: str = "reaction", value: str = "yield", reagent: str = "reagent", catalyst: str = "catalyst", carry: Sequence[str] = ()) -> DataFrame:
+    """(route, id, smiles, mean_value, catalyst, reagents, *carry): mean value per id for every route a row belongs to.
 
     A row belongs to a named route if its reagent or catalyst has a route term, and to the route
-    without catalyst (named ``chemistry``) if it has neither catalyst nor any listed term.
+    without catalyst (named ``chemistry``) if it has neither catalyst nor any listed term.  All but the mean
+    come from the last row; ``reagents`` are its ``;``-separated reagents without any that has a term, sorted.
     """
     base = df.where(F.col(reaction).isNotNull() & F.col(value).isNotNull() & contains_any(F.col(reagent), chemistry_terms))
     base = base.withColumn("smiles", F.split_part(F.col(reaction), F.lit(">"), F.lit(1))).where(~F.col("smiles").contains("."))
@@ -40,9 +41,11 @@ def split_routes(df: DataFrame, chemistry: str, chemistry_terms: Sequence[str],
     named = [F.when(contains_any(F.col(reagent), terms) | contains_any(F.col(catalyst), terms), F.struct(F.lit(f"{chemistry} + {name}").alias("route"), F.coalesce(F.col(catalyst), F.lit(name)).alias("cat"))) for name, terms in routes.items()]
     bare = F.when(F.col(catalyst).isNull() & ~contains_any(F.col(reagent), every), F.struct(F.lit(chemistry).alias("route"), F.lit(None).cast("string").alias("cat")))
     member = base.withColumn("r", F.explode(F.filter(F.array(*named, bare), lambda x: x.isNotNull())))
-    last = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)], "smiles", "r.cat")).alias("m")
+    plain = lambda x: ~contains_any(x, [*chemistry_terms, *every]) & (x != "")
+    left = F.array_join(F.array_sort(F.filter(F.transform(F.split(reagent, ";"), F.trim), plain)), "; ").alias("reagents")
+    last = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)], "smiles", "r.cat", left, *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])).alias("m")
     out = member.groupBy(F.col("r.route").alias("route"), F.col(id).alias("id")).agg(F.avg(value).alias("mean_value"), last)
-    return out.select("route", "id", F.col("m.smiles").alias("smiles"), "mean_value", F.col("m.cat").alias("catalyst"))
+    return out.select("route", "id", F.col("m.smiles").alias("smiles"), "mean_value", F.col("m.cat").alias("catalyst"), "m.reagents", *[F.col(f"m.c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def quotas(df: DataFrame, stratum: str, n: int) -> DataFrame:

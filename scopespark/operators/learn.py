@@ -33,7 +33,7 @@ def _fit(rows: DataFrame, params: Mapping[str, object], seed: int):
 
 def tune_gbt(df: DataFrame, features: Sequence[str], label: str, key: str, grid: Mapping[str, Sequence], folds: int = 5, repeats: int = 7, parallel: int = 4) -> tuple[DataFrame, DataFrame]:
     """(trials, best): mean squared error of every grid point and repeat, and the voted parameters."""
-    rows = spool(_assembled(df, features, label, key), "assembled")
+    rows = spool(_assembled(df, features, label, key), "assembled").persist()
     names = list(grid)
     points = [dict(zip(names, p)) for p in product(*grid.values())]
     evaluator = RegressionEvaluator(metricName="mse", labelCol="label")
@@ -46,6 +46,7 @@ def tune_gbt(df: DataFrame, features: Sequence[str], label: str, key: str, grid:
 
     with ThreadPoolExecutor(parallel) as pool:
         found = list(pool.map(mse, [(r, i, f) for r in range(repeats) for i in range(len(points)) for f in range(folds)]))
+    rows.unpersist()
     spark = df.sparkSession
     trials, won = [], []
     for r in range(repeats):
@@ -57,21 +58,33 @@ def tune_gbt(df: DataFrame, features: Sequence[str], label: str, key: str, grid:
     return spark.createDataFrame(trials, "repeat int, params string, mse double"), votes
 
 
-def evaluate_gbt(df: DataFrame, features: Sequence[str], label: str, key: str, params: Mapping[str, object], folds: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """((metric, fold, value), (feature, importance, rank)): fold and test r2 of an 80/20 hash split."""
-    rows = spool(_assembled(df, features, label, key).withColumn("part", fold_of(key, 5, seed)), "assembled")
+def evaluate_gbt(df: DataFrame, features: Sequence[str], label: str, key: str, params: Mapping[str, object], folds: int = 5, repeats: int = 10, seed: int = 42, parallel: int = 4) -> tuple[DataFrame, DataFrame]:
+    """((metric, repeat, fold, value), (feature, importance, rank)): fold and test r2 of an 80/20 hash split.
+
+    Repeats differ in the seed of the folds and trees; importances are the mean over repeats.
+    """
+    rows = spool(_assembled(df, features, label, key).withColumn("part", fold_of(key, 5, seed)), "assembled").persist()
     train, test = rows.where("part <> 0"), rows.where("part = 0")
     evaluator = RegressionEvaluator(metricName="r2", labelCol="label")
-    metrics = []
-    inner = train.withColumn("fold", fold_of(key, folds, seed + 1))
-    for f in range(folds):
-        model = _fit(inner.where(F.col("fold") != f), params, seed)
-        metrics.append(("cv_r2", f, float(evaluator.evaluate(model.transform(inner.where(F.col("fold") == f))))))
-    model = _fit(train, params, seed)
-    metrics.append(("test_r2", -1, float(evaluator.evaluate(model.transform(test)))))
-    ranked = sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
+
+    def run(job: tuple[int, int]) -> tuple[tuple, list[float]]:
+        repeat, f = job
+        if f < 0:
+            model, held = _fit(train, params, seed + repeat), test
+        else:
+            inner = train.withColumn("fold", fold_of(key, folds, seed + 1 + repeat))
+            model, held = _fit(inner.where(F.col("fold") != f), params, seed + repeat), inner.where(F.col("fold") == f)
+        metric = ("test_r2" if f < 0 else "cv_r2", repeat, f, float(evaluator.evaluate(model.transform(held))))
+        return metric, model.featureImportances.toArray().tolist() if f < 0 else []
+
+    with ThreadPoolExecutor(parallel) as pool:
+        found = list(pool.map(run, [(r, f) for r in range(repeats) for f in range(-1, folds)]))
+    rows.unpersist()
+    importances = [i for _, i in found if i]
+    mean = [sum(x) / len(importances) for x in zip(*importances)]
+    ranked = sorted(zip(features, mean), key=lambda x: (-x[1], x[0]))
     spark = df.sparkSession
     return (
-        spark.createDataFrame(metrics, "metric string, fold int, value double"),
+        spark.createDataFrame([m for m, _ in found], "metric string, repeat int, fold int, value double"),
         spark.createDataFrame([(n, v, i + 1) for i, (n, v) in enumerate(ranked)], "feature string, importance double, rank int"),
     )

@@ -4,11 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scopespark.operators.clean import dedupe_first
 
+#: Groups that a column of labels may have where each row is set against every one of them.
+MOST_LABELS = 1000
+
+
+def _labels(df: DataFrame, column: str) -> Column:
+    """The distinct values of a label column as one array; more than MOST_LABELS are an error."""
+    found = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_LABELS + 1).collect())
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"{column} has more than {MOST_LABELS} values")
+    return F.array(*[F.lit(x) for x in found]).cast(f"array<{df.schema[column].dataType.simpleString()}>")
+
 
 def lookup(left: DataFrame, right: DataFrame, on: str, value: str, order_by: Sequence[str], default: object = 0, position: int | None = None) -> DataFrame:
     """``left`` with the first matching ``value`` of ``right`` (by ``order_by``) or ``default``.
@@ -25,12 +36,11 @@ def lookup(left: DataFrame, right: DataFrame, on: str, value: str, order_by: Seq
 def classify_scope(background: DataFrame, scopes: DataFrame, cuts: Sequence[float], key: str = "key", chemistry: str = "chemistry", value: str = "yield") -> DataFrame:
     """Each background key for each chemistry and cut: ``highlight``, ``hollow`` or ``grey``.
 
-    One row per background row, chemistry and cut is the result itself; chemistries are a column's
-    distinct values, cuts a short list.
+    One row per background row, chemistry and cut is the result itself; chemistries are at most
+    MOST_LABELS, cuts a short list.
     """
-    labels = scopes.select(chemistry).distinct()
     best = scopes.groupBy(chemistry, key).agg(F.max(value).alias(value))
-    grid = background.join(labels).join(best, [chemistry, key], "left")
+    grid = background.withColumn(chemistry, F.explode(_labels(scopes, chemistry))).join(best, [chemistry, key], "left")
     cut = F.explode(F.array(*[F.lit(float(c)) for c in cuts])).alias("cut")
     known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     kind = F.when(~known, "grey").when(F.col(value) >= F.col("cut"), "highlight").otherwise("hollow")
@@ -38,9 +48,13 @@ def classify_scope(background: DataFrame, scopes: DataFrame, cuts: Sequence[floa
 
 
 def background_of(df: DataFrame, group: str) -> DataFrame:
-    """(for_group, all columns): for each group, the rows of all others, as the plotting step needs them."""
-    names = df.select(F.col(group).alias("for_group")).distinct()
-    return names.join(df, F.col("for_group") != F.col(group))
+    """(for_group, all columns): for each group, the rows of all others, as the plotting step needs them.
+
+    Every row is copied once for each of the other groups (at most MOST_LABELS); where only figures are
+    needed, ``background_stats`` gives them without a copy.
+    """
+    others = F.filter(_labels(df, group), lambda g: g != F.col(group))
+    return df.select(F.explode(others).alias("for_group"), "*")
 
 
 def background_stats(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scopespark.operators.grouped import quotas
+from scopespark.session import spool
 
 
 def bin_index(value: Column, edges: Sequence[float], strict: bool = False) -> Column:
@@ -38,12 +39,37 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, value: str, edges:
     return rounds.withColumn("__place", place).where("__place <= quota").select(key, stratum, "bin", "round")
 
 
+def quartiles(long: DataFrame, points: Sequence[float] = (0.25, 0.75), accuracy: int = 10_000) -> DataFrame:
+    """(feature, lo, hi, n, q): extremes, count and exact linear quantiles of x for each feature of (feature, x).
+
+    An approximate percentile, wrong by at most n / accuracy ranks, brackets each point; only the values within
+    the brackets are counted one by one, so no task holds a feature's distinct values.
+    """
+    slack = 2 / accuracy
+    near = [min(max(p + s, 0.0), 1.0) for p in points for s in (-slack, slack)]
+    sides = F.percentile_approx("x", near, F.lit(accuracy)).alias("near")
+    stats = long.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"), sides)
+    brackets = F.array(*[F.struct(F.lit(i).alias("i"), F.col("near")[2 * i].alias("a"), F.col("near")[2 * i + 1].alias("b")) for i in range(len(points))])
+    tagged = long.join(F.broadcast(stats.select("feature", "near")), "feature")  # one row per feature
+    below = tagged.groupBy("feature").agg(F.array(*[F.count_if(F.col("x") < F.col("near")[2 * i]) for i in range(len(points))]).alias("below"))
+    within = tagged.select("feature", "x", F.explode(F.filter(brackets, lambda s: (F.col("x") >= s["a"]) & (F.col("x") <= s["b"]))).alias("s"))
+    counts = within.groupBy("feature", F.col("s.i").alias("i"), "x").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("feature", "i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("upto", upto).join(F.broadcast(below), "feature").join(F.broadcast(stats.select("feature", "n")), "feature")
+    place = F.element_at(F.array(*[F.lit(float(p)) for p in points]), F.col("i") + 1) * (F.col("n") - 1)
+    last = F.col("upto") + F.element_at("below", F.col("i") + 1)
+    value = lambda at: F.min(F.when(last > at, F.col("x")))
+    each = ranked.groupBy("feature", "i").agg(value(F.floor(place)).alias("x0"), value(F.ceil(place)).alias("x1"), F.first(place - F.floor(place)).alias("t"))
+    q = each.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("i", (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("t")).alias("v")))).alias("m"))
+    return stats.drop("near").join(q, "feature").select("feature", "lo", "hi", "n", F.array(*[F.element_at("m", F.lit(i)) for i in range(len(points))]).alias("q"))
+
+
 def kl_shift(whole: DataFrame, subset: DataFrame, columns: Sequence[str], bins: str | int = "auto") -> tuple[DataFrame, DataFrame]:
     """((feature, kl, n_bins), (feature, bin, p, q)): shift of a subset against the whole, per feature.
 
-    Bins cover the whole's range; ``auto`` takes the wider of Sturges' bins and the smaller of the
-    Freedman-Diaconis and square-root bins.  Zeros are replaced by 1e-5 of the smallest non-zero bin of
-    the same histogram, then both are normalised.
+    Bins cover the whole's range; ``auto`` is NumPy's rule: the smaller of Sturges' width and the larger of
+    the Freedman-Diaconis width and half the square-root width.  Zeros are replaced by 1e-5 of the smallest
+    non-zero bin of the same histogram, then both are normalised.
     """
     def long(df: DataFrame) -> DataFrame:
         wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
@@ -51,17 +77,18 @@ def kl_shift(whole: DataFrame, subset: DataFrame, columns: Sequence[str], bins:
         return out.where("x is not null and not isnan(x)")
 
     all_rows = long(whole)
-    stats = all_rows.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"), F.expr("percentile(x, 0.75) - percentile(x, 0.25)").alias("iqr"))
     span = F.col("hi") - F.col("lo")
     if bins == "auto":
+        stats = quartiles(all_rows)
         n = F.col("n").cast("double")
-        sturges, root = span / (F.log2(n) + 1), span / F.sqrt(n)
-        fd = 2 * F.col("iqr") * F.pow(n, F.lit(-1 / 3))
-        width = F.when(fd > 0, F.least(F.greatest(F.least(fd, root), F.lit(0.0)), sturges)).otherwise(F.least(root, sturges))
+        fd = 2 * (F.col("q")[1] - F.col("q")[0]) * F.pow(n, F.lit(-1 / 3))
+        width = F.least(F.greatest(fd, span / F.sqrt(n) / 2), span / (F.log2(n) + 1))
         count = F.when(span > 0, F.greatest(F.ceil(F.try_divide(span, width)), F.lit(1))).otherwise(F.lit(1)).cast("long")
     else:
+        stats = all_rows.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
         count = F.lit(int(bins)).cast("long")
-    stats = F.broadcast(stats.withColumn("n_bins", count))  # one row per feature
+    # one row per feature, read twice below
+    stats = F.broadcast(spool(stats.select("feature", "lo", "hi", count.alias("n_bins")), "stats"))
 
     def histogram(df: DataFrame, name: str) -> DataFrame:
         at = F.when(span > 0, F.least(F.floor((F.col("x") - F.col("lo")) * F.col("n_bins") / span), F.col("n_bins") - 1)).otherwise(F.lit(0))

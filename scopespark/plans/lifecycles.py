@@ -18,7 +18,7 @@ from scopespark.operators.lookup import classify_scope
 def route_tables(raw: DataFrame, roles: Roles, chemistry: str, terms: Sequence[str], routes: Mapping[str, Sequence[str]]) -> DataFrame:
     """Literature table to one mean value per route and id."""
     rows = apply_roles(raw, roles).withColumn("yield", align_yield(F.col("yield_num"), F.col("yield_text")))
-    return split_routes(rows, chemistry, terms, routes, ["reference", "link"])
+    return split_routes(rows, chemistry, terms, routes, ["reference", "link"], carry=["reference", "link"])
 
 
 def scope_map(features: Mapping[str, DataFrame], scopes: DataFrame, key: str, cuts: Sequence[float], k: int, offset: float = 0.0) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from scopespark.functions import columns as C
 from scopespark.operators import clean, features, graph, grouped, learn, lookup, sampling
+from scopespark.plans import lifecycles
 from scopespark.session import scratch_dir
+from scopespark.sources import tables
 from scopespark.streaming.screening import screen_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,11 +69,12 @@ _BRASS, _STEEL = ["brass", "copper"], ["steel", "tin"]
   x AS (SELECT 'A + economy' AS route, * FROM f WHERE contains(reagent, 'economy') OR contains(lower(coalesce(cat, '')), 'economy')
     UNION ALL SELECT 'A + promo' AS route, * FROM f WHERE contains(reagent, 'promo') OR contains(lower(coalesce(cat, '')), 'promo')
     UNION ALL SELECT 'A' AS route, * FROM f WHERE cat IS NULL AND NOT contains(reagent, 'economy') AND NOT contains(reagent, 'promo'))
-  SELECT route, p_brand AS id, round(avg(p_retailprice), 4) AS mean_value, arg_max(CASE WHEN route = 'A' THEN NULL ELSE coalesce(cat, substr(route, 5)) END, p_partkey) AS catalyst FROM x GROUP BY 1, 2""")
+  SELECT route, p_brand AS id, round(avg(p_retailprice), 4) AS mean_value, arg_max(coalesce(CASE WHEN route = 'A' THEN NULL ELSE coalesce(cat, substr(route, 5)) END, '-'), p_partkey) AS catalyst,
+    arg_max(lower(p_type), p_partkey) AS last_type, max(p_partkey) AS p_partkey FROM x GROUP BY 1, 2""")
 def split_routes(spark, sf):
-    rows = _t(spark, sf, "part").select(F.col("p_brand").alias("id"), "p_partkey", F.col("p_retailprice").alias("yield"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("reagent"), F.nullif("p_type", F.lit("ECONOMY")).alias("catalyst"), F.concat("p_brand", F.lit(">>X")).alias("reaction"))
-    out = grouped.split_routes(rows, "A", ["a"], {"economy": ["ECONOMY"], "promo": ["promo"]}, ["p_partkey"])
-    return out.select("route", "id", F.round("mean_value", 4).alias("mean_value"), "catalyst")
+    rows = _t(spark, sf, "part").select(F.col("p_brand").alias("id"), "p_partkey", F.col("p_retailprice").alias("yield"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("reagent"), F.nullif("p_type", F.lit("ECONOMY")).alias("catalyst"), F.lower("p_type").alias("last_type"), F.concat("p_brand", F.lit(">>X")).alias("reaction"))
+    out = grouped.split_routes(rows, "A", ["a"], {"economy": ["ECONOMY"], "promo": ["promo"]}, ["p_partkey"], carry=["last_type", "p_partkey"])
+    return out.select("route", "id", F.round("mean_value", 4).alias("mean_value"), F.coalesce("catalyst", F.lit("-")).alias("catalyst"), "last_type", "p_partkey")
 
 
 @_query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
@@ -88,7 +91,7 @@ _METAL_SQL = "|".join(sorted(clean.METALS, key=lambda m: (-len(m), m)))
       WHEN contains(t, '+') OR contains(t, '-') THEN 'charge' ELSE 'clean' END AS reason,
     list_filter(string_split(t, '.'), lambda p: length(p) > 4 AND contains(p, 'the')) AS parts FROM t)
   SELECT doc_id, CASE WHEN reason IN ('metal', 'charge') THEN 'reject' ELSE 'keep' END AS status, reason,
-    CASE WHEN reason IN ('metal', 'charge') THEN NULL WHEN reason = 'fragments' THEN length(coalesce(parts[-1], t)) ELSE length(t) END AS fragment_length FROM r""")
+    CASE WHEN reason IN ('metal', 'charge') THEN NULL WHEN reason = 'fragments' THEN length(coalesce(parts[-1], t)) WHEN reason = 'isotope' THEN length(regexp_replace(t, '\\[\\d+([A-Za-z])', '[\\1', 'g')) ELSE length(t) END AS fragment_length FROM r""")
 def screen_records(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", *clean.screen_records(F.col("text"), bond="the"))
     return d.select("doc_id", "status", "reason", F.length("fragment").cast("long").alias("fragment_length"))
@@ -164,9 +167,9 @@ def background_of(spark, sf):
     return out.groupBy("for_group").agg(F.count("*").alias("n"), F.round(F.avg("s_acctbal"), 4).alias("mean"))
 
 
-@_query("""SELECT o_orderpriority, (SELECT count(*) FROM orders p WHERE p.o_orderpriority <> o.o_orderpriority) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders) o""")
+@_query("""SELECT o.o_orderpriority, count(*) AS n, round(avg(p.o_totalprice), 4) AS mean FROM (SELECT DISTINCT o_orderpriority FROM orders) o JOIN orders p ON p.o_orderpriority <> o.o_orderpriority GROUP BY 1""")
 def background_stats(spark, sf):
-    return lookup.background_stats(_t(spark, sf, "orders"), "o_orderpriority", "o_totalprice").select("o_orderpriority", "n")
+    return lookup.background_stats(_t(spark, sf, "orders"), "o_orderpriority", "o_totalprice").select("o_orderpriority", "n", F.round("mean", 4).alias("mean"))
 
 
 @_query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -249,7 +252,7 @@ def _corr_sql(source: str, names: list[str], rank: bool) -> str:
     return f"WITH {source}, v AS (SELECT {cols} FROM f) {pairs}"
 
 
-@_query(f"WITH {_ORDER_SQL} SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS feature")
+@_query(f"WITH {_ORDER_SQL} SELECT feature FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, var_pop({n}) AS v FROM f" for n in _NAMES) + ") WHERE v > 0")
 def variance_filter(spark, sf):
     kept = features.remove_by_variance(_order_features(spark, sf), _NAMES)
     return spark.createDataFrame([(k,) for k in kept], "feature string")
@@ -265,9 +268,29 @@ def spearman(spark, sf):
     return features.corr_matrix(_order_features(spark, sf), ["a", "c", "d"], "spearman").select("i", "j", F.round("r", 4).alias("r"))
 
 
-@_query("""SELECT * FROM (VALUES ('variance', 'g', NULL), ('pearson', 'b', 'a'), ('spearman', 'd', 'c')) t(stage, feature, kept_by)""")
+def _select_sql(names: list[str], threshold: float) -> str:
+    """Zero variances, then for each method in turn: a feature goes if an earlier one that stayed correlates."""
+    steps = [f"WITH {_ORDER_SQL}", "kept_variance AS (SELECT feature FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, var_pop({n}) AS v FROM f" for n in names) + ") WHERE v > 0)"]
+    found = ["SELECT 'variance' AS stage, n AS feature, CAST(NULL AS VARCHAR) AS kept_by, 0.0::DOUBLE AS score FROM all_names WHERE n NOT IN (SELECT feature FROM kept_variance)"]
+    steps.append("all_names AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in names) + "]) AS n)")
+    before = "kept_variance"
+    for method in ("pearson", "spearman"):
+        source = "f" if method == "pearson" else "(SELECT " + ", ".join(f"rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0 AS {n}" for n in names) + " FROM f)"
+        pairs = " UNION ALL ".join(f"SELECT '{x}' AS i, '{y}' AS j, corr({x}, {y}) AS r FROM {source}" for k, x in enumerate(names) for y in names[k + 1 :])
+        steps.append(f"r_{method} AS (SELECT * FROM ({pairs}) WHERE i IN (SELECT feature FROM {before}) AND j IN (SELECT feature FROM {before}) AND abs(r) > {threshold})")
+        gone = "(SELECT CAST(NULL AS VARCHAR) AS feature, CAST(NULL AS VARCHAR) AS kept_by, CAST(NULL AS DOUBLE) AS r WHERE false)"
+        for k, n in enumerate(names):  # from left to right
+            steps.append(f"g_{method}_{k} AS (SELECT * FROM {gone} UNION ALL SELECT j, i, r FROM r_{method} WHERE i = '{n}' AND i NOT IN (SELECT feature FROM {gone}) AND j NOT IN (SELECT feature FROM {gone}))")
+            gone = f"g_{method}_{k}"
+        steps.append(f"kept_{method} AS (SELECT feature FROM {before} WHERE feature NOT IN (SELECT feature FROM {gone}))")
+        found.append(f"SELECT '{method}', feature, kept_by, round(r, 4) FROM {gone}")
+        before = f"kept_{method}"
+    return ", ".join(steps).replace(f"WITH {_ORDER_SQL}, ", f"WITH {_ORDER_SQL}, ") + " " + " UNION ALL ".join(found)
+
+
+@_query(_select_sql(_NAMES, 0.95))
 def select_features(spark, sf):
-    return features.select_features(_order_features(spark, sf), "l_orderkey", _NAMES)[1].select("stage", "feature", "kept_by")
+    return features.select_features(_order_features(spark, sf), "l_orderkey", _NAMES)[1].select("stage", "feature", "kept_by", F.round("score", 4).alias("score"))
 
 
 @_query(f"""WITH {_ORDER_SQL} SELECT l_orderkey, round((a - (SELECT avg(a) FROM f)) / (SELECT stddev_pop(a) FROM f), 4) AS a, 0.0::DOUBLE AS g FROM f""")
@@ -275,8 +298,10 @@ def standardise(spark, sf):
     return features.standardise(_order_features(spark, sf).select("l_orderkey", "a", "g"), ["a", "g"]).select("l_orderkey", F.round("a", 4).alias("a"), "g")
 
 
-def _wide_embeddings(spark: SparkSession, sf: str, n: int = 64) -> DataFrame:
-    return features.to_columns(_t(spark, sf, "embeddings"), "vec_id", "embedding", "x", n)
+def _wide_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _t(spark, sf, "embeddings")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return features.to_columns(rows, "vec_id", "embedding", "x", width)
 
 
 @_query()
@@ -327,7 +352,7 @@ def _kl_sql() -> str:
               SELECT bin, any_value(nb) AS nb, CAST(count(x) AS DOUBLE) AS a, CAST(count(x) FILTER (inbox) AS DOUBLE) AS b FROM (
                 SELECT g.bin, s.nb, v.x, v.inbox FROM s_{c} s JOIN (SELECT unnest(range(0, 5000)) AS bin) g ON g.bin < s.nb LEFT JOIN
                   (SELECT {c} AS x, l_discount BETWEEN 0.02 AND 0.06 AND l_quantity BETWEEN 10 AND 30 AS inbox FROM lineitem) v ON least(CAST(floor((v.x - s.lo) * s.nb / (s.hi - s.lo)) AS BIGINT), s.nb - 1) = g.bin) GROUP BY bin)))""")
-    stats = ", ".join(f"""s_{c} AS (SELECT lo, hi, CAST(ceil((hi - lo) / least(greatest(least(2 * iqr * power(n, -1.0 / 3), (hi - lo) / sqrt(n)), 0), (hi - lo) / (log2(n) + 1))) AS BIGINT) AS nb
+    stats = ", ".join(f"""s_{c} AS (SELECT lo, hi, CAST(ceil((hi - lo) / least(greatest(2 * iqr * power(n, -1.0 / 3), (hi - lo) / sqrt(n) / 2), (hi - lo) / (log2(n) + 1))) AS BIGINT) AS nb
         FROM (SELECT min({c}) AS lo, max({c}) AS hi, CAST(count(*) AS DOUBLE) AS n, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS iqr FROM lineitem))""" for c in ("l_quantity", "l_extendedprice"))
     return f"WITH {stats} " + " UNION ALL ".join(parts)
 
@@ -421,26 +446,54 @@ def path_counts(spark, sf):
     return graph.path_counts(graph.undirected(b), _anchor(b), 2)
 
 
-@_query()
+_KIND = "['C', 'N', 'O', 'Cl'][CAST({} % 4 + 1 AS INTEGER)]"
+_BLOCKED = """b1 AS (SELECT * FROM d1 WHERE atom <> other), b2 AS (SELECT DISTINCT b1.mol_id, anchor, other, e.b AS atom FROM b1 JOIN e ON e.mol_id = b1.mol_id AND e.a = b1.atom WHERE e.b <> other),
+  inside AS (SELECT mol_id, atom, min(dist) AS dist FROM (SELECT mol_id, atom, 0 AS dist FROM d0 UNION ALL SELECT mol_id, atom, 1 FROM b1 UNION ALL SELECT mol_id, atom, 2 FROM b2) GROUP BY 1, 2)"""
+_ORDERED = """o AS (SELECT mol_id, src AS a, dst AS b, bond_order FROM bonds UNION SELECT mol_id, dst, src, bond_order FROM bonds)"""
+
+
+def _refine_sql(rounds: int, edges: str) -> str:
+    """c1, c2, ... from c0 (mol_id, atom, colour): own colour and the sorted colours behind the bonds."""
+    return ", ".join(
+        f"""c{k} AS (SELECT c.mol_id, c.atom, md5(any_value(c.colour) || '|' || coalesce(string_agg(x.bond_order || ':' || n.colour, ',' ORDER BY x.bond_order || ':' || n.colour), '')) AS colour
+        FROM c{k - 1} c LEFT JOIN {edges} x ON x.mol_id = c.mol_id AND x.a = c.atom LEFT JOIN c{k - 1} n ON n.mol_id = x.mol_id AND n.atom = x.b GROUP BY c.mol_id, c.atom)"""
+        for k in range(1, rounds + 1)
+    )
+
+
+@_query(f"""WITH {_GRAPH_SQL}, {_BLOCKED}, {_ORDERED},
+  c0 AS (SELECT i.mol_id, i.atom, md5((CASE WHEN n.dist = 2 THEN '*' ELSE {_KIND.format("i.atom")} END) || '|' || i.dist) AS colour FROM inside i LEFT JOIN near n ON n.mol_id = i.mol_id AND n.atom = i.atom),
+  oi AS (SELECT o.* FROM o JOIN inside x ON x.mol_id = o.mol_id AND x.atom = o.a JOIN inside y ON y.mol_id = o.mol_id AND y.atom = o.b), {_refine_sql(3, "oi")}
+  SELECT motif_key, count(*) AS n, any_value(n_atoms) AS n_atoms FROM (SELECT mol_id, md5(string_agg(colour, ',' ORDER BY colour)) AS motif_key, count(*) AS n_atoms FROM c3 GROUP BY 1) GROUP BY 1""")
 def motif_groups(spark, sf):
     b = _bonds(spark, sf)
     return graph.motifs(b, _anchor(b), 2, _atoms(b)).groupBy("motif_key").agg(F.count("*").alias("n"), F.first("n_atoms").alias("n_atoms"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_GRAPH_SQL}, {_BLOCKED}, ar AS (SELECT mol_id, a, b FROM e WHERE (a + b) % 3 = 0),
+  reach AS (SELECT mol_id, a, a AS b FROM ar UNION SELECT r.mol_id, r.a, ar.b FROM reach r JOIN ar ON ar.mol_id = r.mol_id AND ar.a = r.b),
+  system AS (SELECT mol_id, a AS atom, min(b) AS system FROM reach GROUP BY 1, 2),
+  broken AS (SELECT s.mol_id, s.system FROM system s LEFT JOIN inside i ON i.mol_id = s.mol_id AND i.atom = s.atom LEFT JOIN near n ON n.mol_id = s.mol_id AND n.atom = s.atom AND n.dist = 2
+    GROUP BY 1, 2 HAVING count(n.atom) > 0 AND count(i.atom) < count(*)),
+  hit AS (SELECT s.mol_id, s.atom FROM system s JOIN broken x ON x.mol_id = s.mol_id AND x.system = s.system)
+  SELECT b.mol_id, src, dst, CAST(CASE WHEN (src + dst) % 3 = 0 AND h.atom IS NOT NULL THEN 1 ELSE bond_order END AS INTEGER) AS bond_order, (src + dst) % 3 = 0 AND h.atom IS NULL AS aromatic
+  FROM bonds b LEFT JOIN hit h ON h.mol_id = b.mol_id AND h.atom = b.src""")
 def partial_rings(spark, sf):
     b = _bonds(spark, sf).withColumn("aromatic", (F.col("src") + F.col("dst")) % 3 == 0)
     e = graph.undirected(b)
     return graph.break_partial_rings(b, graph.neighbourhood(e, _anchor(b), 2), graph.boundary(e, _anchor(b), 2))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_GRAPH_SQL}, rest AS (SELECT e.mol_id, e.a, e.b FROM e JOIN h USING (mol_id) WHERE NOT (least(e.a, e.b) = least(h.a, h.b) AND greatest(e.a, e.b) = greatest(h.a, h.b))),
+  reach AS (SELECT mol_id, a AS atom FROM h UNION SELECT r.mol_id, x.b FROM reach r JOIN rest x ON x.mol_id = r.mol_id AND x.a = r.atom)
+  SELECT h.mol_id, h.a, h.b, r.atom IS NOT NULL AS in_ring FROM h LEFT JOIN reach r ON r.mol_id = h.mol_id AND r.atom = h.b""")
 def in_ring(spark, sf):
     b = _bonds(spark, sf)
     return graph.in_ring(graph.undirected(b), _anchor(b))
 
 
-@_query()
+@_query(f"""WITH {_GRAPH_SQL}, {_ORDERED}, c0 AS (SELECT DISTINCT mol_id, a AS atom, md5({_KIND.format("a")}) AS colour FROM e), {_refine_sql(2, "o")}
+  SELECT DISTINCT mol_id, CAST(CAST('0x' || substr(colour, 1, 8) AS BIGINT) % 2048 AS INTEGER) AS bit FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2)""")
 def fingerprint(spark, sf):
     b = _bonds(spark, sf)
     return graph.neighbourhood_bits(b, _atoms(b))
@@ -455,27 +508,136 @@ def count_keys(spark, sf):
 
 # ---- learning and streams -------------------------------------------------------------------------
 
-_GBT_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_partkey"]
+_PART_FEATURES = ["p_size", "p_partkey"]
 
 
 @_query()
 def tune_gbt(spark, sf):
-    return learn.tune_gbt(_t(spark, sf, "lineitem"), _GBT_FEATURES, "l_extendedprice", "l_orderkey", {"maxDepth": [2, 3], "maxIter": [3, 5]}, folds=2, repeats=1)[0]
+    """Every trial of the grid, with the parameters that the repeats voted for."""
+    trials, votes = learn.tune_gbt(_t(spark, sf, "part"), _PART_FEATURES, "p_retailprice", "p_partkey", {"maxDepth": [2, 3], "maxIter": [3, 5]}, folds=5, repeats=7)
+    best = ", ".join(f"{r[0]}={r[1]}" for r in votes.orderBy("param").collect())  # one row per parameter
+    return trials.withColumn("voted", F.lit(best))
 
 
 @_query()
 def evaluate_gbt(spark, sf):
-    return learn.evaluate_gbt(_t(spark, sf, "lineitem"), _GBT_FEATURES, "l_extendedprice", "l_orderkey", {"maxDepth": 3, "maxIter": 5}, folds=2)[1]
+    """Metrics of all repeats and folds, and the importances."""
+    metrics, ranked = learn.evaluate_gbt(_t(spark, sf, "part"), _PART_FEATURES, "p_retailprice", "p_partkey", {"maxDepth": 3, "maxIter": 5}, folds=5, repeats=10)
+    both = metrics.select("metric", "repeat", "fold", "value")
+    return both.unionByName(ranked.select(F.concat(F.lit("importance of "), "feature").alias("metric"), F.lit(-1).alias("repeat"), F.lit(-1).alias("fold"), F.col("importance").alias("value")))
 
 
 @_query("""WITH t AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents)
   SELECT CASE WHEN regexp_matches(value, '\\[\\d*(""" + _METAL_SQL + """)[^a-z]') THEN 'metal' WHEN regexp_matches(value, '\\[\\d+[A-Za-z]') THEN 'isotope' WHEN contains(value, '.') THEN 'fragments'
-    WHEN contains(value, '+') OR contains(value, '-') THEN 'charge' ELSE 'clean' END AS reason, count(*) AS n FROM t WHERE value NOT LIKE '%' || chr(13) || '%' GROUP BY 1""")
+    WHEN contains(value, '+') OR contains(value, '-') THEN 'charge' ELSE 'clean' END AS reason, count(*) AS n FROM t GROUP BY 1""")
 def screen_stream_counts(spark, sf):
     """The documents' lines as text files in the shared folder, screened by the stream."""
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
-    lines = _t(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value")).where(~F.col("value").contains("\r"))
-    lines.write.text(f"{base}/in")
+    lines = _t(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    lines.write.option("lineSep", "\n").text(f"{base}/in")
     screen_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
     both = spark.read.parquet(f"{base}/out/keep").unionByName(spark.read.parquet(f"{base}/out/reject"))
     return both.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+# ---- sources, sinks and plans ---------------------------------------------------------------------
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("SELECT CAST(c_nationkey AS VARCHAR) AS chemistry, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1")
+def labelled_scan(spark, sf):
+    """One folder per group written, all files read back with the label from their paths."""
+    base = _folder(spark, "routes")
+    tables.write_routes(_t(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), base, "c_nationkey")
+    rows = tables.read_labelled(spark, f"{base}/*/*.parquet", "c_nationkey=([^/]*)/", fmt="parquet")
+    return rows.groupBy("chemistry").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@_query("SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS chemistry, true AS has_files FROM customer")
+def labelled_files(spark, sf):
+    base = _folder(spark, "routes")
+    tables.write_routes(_t(spark, sf, "customer").select("c_custkey", "c_nationkey"), base, "c_nationkey")
+    return tables.label_counts(spark, f"{base}/*/*.parquet", "c_nationkey=([^/]*)/").select("chemistry", (F.col("files") > 0).alias("has_files"))
+
+
+@_query("""SELECT feature, count(*) AS n, round(avg(v), 4) AS mean FROM (UNPIVOT (SELECT CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part) ON COLUMNS(*) INTO NAME feature VALUE v) GROUP BY 1""")
+def matrix_file(spark, sf):
+    """Key and features as a delimited file with its own header, read back as numbers and melted."""
+    base = _folder(spark, "matrix")
+    _t(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice").write.mode("overwrite").option("header", "true").option("sep", ";").csv(base)
+    wide = tables.read_matrix(spark, base, "p_partkey", ";")
+    return C.melt(wide, ["p_partkey"]).groupBy("feature").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+
+
+@_query("""SELECT CAST(file_no AS INTEGER) AS file_no, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS file_no, o_orderkey FROM orders) GROUP BY 1""")
+def files_in_order(spark, sf):
+    """Tables written one after the other under names in order, concatenated with the number of each file."""
+    base = _folder(spark, "ordered")
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    for status in ("F", "O", "P"):
+        orders.where(F.col("o_orderstatus") == status).select("o_orderkey").write.mode("append").parquet(f"{base}/status_{status}")
+    rows = tables.read_in_order(spark, f"{base}/status_*", "([^/]+)/[^/]+$", "parquet")
+    return rows.groupBy("file_no").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@_query("""WITH g AS (SELECT DISTINCT l_partkey AS p, l_returnflag AS f FROM lineitem), r AS (SELECT f, row_number() OVER (ORDER BY f) - 1 AS i FROM (SELECT DISTINCT f FROM g)),
+  m AS (SELECT p, CAST(sum(1 << CAST(i AS INTEGER)) AS BIGINT) AS mask FROM g JOIN r USING (f) GROUP BY 1) SELECT mask, count(*) AS n, min(CAST(p AS VARCHAR)) AS first_key FROM m GROUP BY 1""")
+def pool_file(spark, sf):
+    """The pool of keys and masks as JSON lines, written and read back."""
+    base = _folder(spark, "pool")
+    masks = grouped.membership_mask(_t(spark, sf, "lineitem"), "l_partkey", "l_returnflag")
+    tables.write_pool(masks.select(F.col("l_partkey").cast("string").alias("key"), "mask"), base)
+    return tables.read_pool(spark, base).groupBy("mask").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
+
+
+@_query("""SELECT 'customer' AS name, count(*) AS n_rows, 5 AS n_columns FROM customer UNION ALL SELECT 'orders', count(*), 6 FROM orders UNION ALL SELECT 'part', count(*), 6 FROM part""")
+def shape_report(spark, sf):
+    return clean.shape_report({n: _t(spark, sf, n) for n in ("customer", "orders", "part")})
+
+
+@_query("""SELECT o_custkey, o_orderpriority AS priority, round(max(o_totalprice), 2) AS max_price, round(min(o_totalprice), 2) AS min_price, count(*) AS n_orders FROM orders GROUP BY 1, 2""")
+def tidy_columns(spark, sf):
+    """Names cleaned, unwanted ones dropped, blocks joined by key, columns in order."""
+    orders = _t(spark, sf, "orders").select(F.concat_ws("/", F.col("o_custkey").cast("string"), "o_orderpriority").alias("key"), "o_custkey", "o_orderpriority", "o_totalprice")
+    names = orders.groupBy("key").agg(F.first("o_custkey").alias("o_custkey"), F.first("o_orderpriority").alias("priority (%)"), F.lit(1).alias("unused %"))
+    prices = orders.groupBy("key").agg(F.round(F.max("o_totalprice"), 2).alias("max_price"), F.round(F.min("o_totalprice"), 2).alias("min_price"), F.count("*").alias("n_orders"))
+    blocks = C.join_feature_blocks([C.sanitise_columns(C.drop_columns_like(names, ["unused"], unless=["used by"])), prices], "key")
+    return C.filter_columns(C.canonical_column_order(blocks, "key"), "key", remove=["none of these"]).drop("key")
+
+
+@_query("""WITH r AS (SELECT p_brand AS id, p_name AS cat, lower(p_type) AS reagent, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) WHEN p_partkey % 3 = 0 THEN CAST(p_size + 1 AS DOUBLE) END AS y FROM part)
+  SELECT 'A + promo' AS route, id, round(avg(y), 4) AS mean_value, max(p_partkey) AS link FROM r WHERE contains(reagent, 'o') AND y IS NOT NULL AND (contains(reagent, 'promo') OR contains(lower(cat), 'promo')) GROUP BY 2""")
+def route_tables(spark, sf):
+    """The first chain: roles named, yields aligned, routes split."""
+    part = _t(spark, sf, "part")
+    size = F.col("p_size").cast("string")
+    raw = part.select("p_brand", F.concat("p_brand", F.lit(">>x")).alias("rx"), F.when(F.col("p_partkey") % 2 == 0, size).alias("num"), F.lower("p_type").alias("with"), "p_name", F.lit("none").alias("paper"), "p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat((F.col("p_size") + 1).cast("string"), F.lit(" percent"))).alias("told"))
+    roles = C.Roles("p_brand", "rx", "num", "with", "p_name", "paper", "p_partkey", "told")
+    out = lifecycles.route_tables(raw, roles, "A", ["o"], {"promo": ["promo"]}).where(F.col("route") != "A")
+    return out.select("route", "id", F.round("mean_value", 4).alias("mean_value"), "link")
+
+
+@_query("""WITH s AS (SELECT o_orderpriority AS chemistry, o_custkey AS key, max(o_totalprice) AS y FROM orders GROUP BY 1, 2)
+  SELECT h.chemistry, CAST(k.cut AS DOUBLE) AS cut, CASE WHEN s.y IS NULL THEN 'grey' WHEN s.y >= k.cut THEN 'highlight' ELSE 'hollow' END AS class, count(*) AS n
+  FROM (SELECT DISTINCT o_custkey AS key FROM orders) c, (SELECT DISTINCT chemistry FROM s) h, (SELECT unnest([100000.0, 250000.0]) AS cut) k LEFT JOIN s ON s.chemistry = h.chemistry AND s.key = c.key GROUP BY 1, 2, 3""")
+def scope_map(spark, sf):
+    """The second chain: features selected, projected and clustered, scopes classified against them."""
+    orders = _t(spark, sf, "orders")
+    price = F.col("o_totalprice")
+    own = orders.groupBy(F.col("o_custkey").alias("key")).agg(F.avg(price).alias("mean"), F.max(price).alias("max"), F.min(price).alias("min"), F.count("*").alias("n"), F.lit(1.0).alias("same"))
+    scopes = orders.select(F.col("o_orderpriority").alias("chemistry"), F.col("o_custkey").alias("key"), price.alias("yield"))
+    out = lifecycles.scope_map({"orders": own}, scopes, "key", [100000, 250000], 5)
+    return out.groupBy("chemistry", "cut", "class").agg(F.count("*").alias("n"))
+
+
+@_query()
+def regression(spark, sf):
+    """The third chain: trees tuned, voted and evaluated on feature tables joined by name."""
+    part = _t(spark, sf, "part")
+    frames = {"even": part.where("p_partkey % 2 = 0").select("p_partkey", "p_size", "p_retailprice", F.length("p_name").alias("name_size")), "odd": part.where("p_partkey % 2 = 1").select("p_partkey", "p_size", "p_retailprice", F.length("p_name").alias("name_size"))}
+    votes, metrics, ranked = lifecycles.regression(frames, "p_partkey", "p_retailprice", {"maxDepth": [2, 3], "maxIter": [2]}, folds=5, repeats=3)
+    told = votes.select(F.concat(F.lit("voted "), "param").alias("what"), F.col("value").cast("double").alias("value"))
+    return told.unionByName(metrics.groupBy(F.col("metric").alias("what")).agg(F.avg("value").alias("value"))).unionByName(ranked.select(F.concat(F.lit("importance of "), "feature").alias("what"), F.col("importance").alias("value")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,14 @@ def get_spark(master: str = "local[8]", partitions: int = 8) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where no such folder is configured (tests).
+    Where none is configured, a local session (tests) takes a temporary folder; on a cluster this is an error,
+    because its executors and driver share no local folder.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scopespark-"))
     return sc.getCheckpointDir()
 
@@ -53,4 +57,12 @@ def spool(df: DataFrame, name: str = "t") -> DataFrame:
     # Spark deletes a finished step's shuffle files when the driver collects the step's garbage
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._spool_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a spool that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._spool_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,3 +39,11 @@ def write_pool(df: DataFrame, path: str) -> None:
 
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("key string, mask long").json(path)
+
+
+def read_in_order(spark: SparkSession, glob: str, name_regex: str = "([^/]+)$", fmt: str = "csv", schema: T.StructType | str | None = None, **options: str) -> DataFrame:
+    """All files of a glob as one table, with ``file_no`` numbering their names (a group of the path) from 0 in order."""
+    rows = read_labelled(spark, glob, name_regex, "__name", fmt, schema, **options)
+    names = label_counts(spark, glob, name_regex, "__name")
+    numbered = names.select("__name", (F.row_number().over(Window.orderBy("__name")) - 1).alias("file_no"))  # one row per name
+    return rows.join(numbered, "__name").drop("__name")

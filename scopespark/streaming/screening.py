@@ -26,6 +26,6 @@ def screen_stream(spark: SparkSession, in_dir: str, out: str, checkpoint: str) -
             batch.where(F.col("status") == status).drop("status").write.mode("overwrite").parquet(f"{out}/{status}/batch={number}")
         batch.unpersist()
 
-    query = screened(spark.readStream.text(in_dir)).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = screened(spark.readStream.option("lineSep", "\n").text(in_dir)).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
