@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scopespark.functions.columns import family_columns
@@ -19,9 +19,14 @@ from scopespark.operators.grouped import elbow
 from scopespark.session import spool
 
 
+def _spread(f: Callable[[Column], Column], x: Column) -> Column:
+    """Variance or deviation of ``x``, which partial sums can leave slightly above 0 for a constant."""
+    return F.when(F.min(x) < F.max(x), f(x)).otherwise(F.when(F.count(x) > 0, 0.0))
+
+
 def variances(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Population variances in one pass."""
-    row = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]).first()
+    """Population variances in one pass; exactly 0 where all values are equal, whatever the rounding."""
+    row = df.agg(*[_spread(F.var_pop, F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]).first()
     return {c: row[i] if row[i] is not None else 0.0 for i, c in enumerate(columns)}
 
 
@@ -77,7 +82,7 @@ def select_features(df: DataFrame, key: str, columns: Sequence[str] | None = Non
 
 def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean 0 and population deviation 1; a constant column becomes 0.  The moments are one row."""
-    moments = df.agg(*[f(F.col(c).cast("double")).alias(f"__{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    moments = df.agg(*[f(F.col(c).cast("double")).alias(f"__{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", partial(_spread, F.stddev_pop)))])
     joined = df.crossJoin(F.broadcast(moments))  # one row
     scaled = {c: F.when(F.col(f"__s{i}") > 0, (F.col(c) - F.col(f"__m{i}")) / F.col(f"__s{i}")).otherwise(F.when(F.col(c).isNotNull(), 0.0)) for i, c in enumerate(columns)}
     return joined.withColumns(scaled).select(*df.columns)
@@ -99,7 +104,7 @@ def pca(df: DataFrame, columns: Sequence[str], k: int | None = None) -> Pca:
     columns = list(columns)
     numbers = [F.col(c).cast("double") for c in columns]
     df = df.where(reduce(lambda a, b: a & b, [x.isNotNull() & ~F.isnan(x) for x in numbers]))
-    stats = df.agg(*[f(F.col(c).cast("double")) for c in columns for f in (F.avg, F.stddev_pop)], F.count("*")).first()
+    stats = df.agg(*[f(x) for x in numbers for f in (F.avg, partial(_spread, F.stddev_pop))], F.count("*")).first()
     mean, dev, n = np.array(stats[0:-1:2], dtype=float), np.array(stats[1:-1:2], dtype=float), stats[-1]
     varied = dev > 0
     r = np.zeros((len(columns), len(columns)))

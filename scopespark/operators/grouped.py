@@ -42,7 +42,7 @@ def split_routes(df: DataFrame, chemistry: str, chemistry_terms: Sequence[str],
     bare = F.when(F.col(catalyst).isNull() & ~contains_any(F.col(reagent), every), F.struct(F.lit(chemistry).alias("route"), F.lit(None).cast("string").alias("cat")))
     member = base.withColumn("r", F.explode(F.filter(F.array(*named, bare), lambda x: x.isNotNull())))
     plain = lambda x: ~contains_any(x, [*chemistry_terms, *every]) & (x != "")
-    left = F.array_join(F.array_sort(F.filter(F.transform(F.split(reagent, ";"), F.trim), plain)), "; ").alias("reagents")
+    left = F.array_join(F.array_sort(F.filter(F.transform(F.split(reagent, ";"), lambda x: F.trim(x)), plain)), "; ").alias("reagents")
     last = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)], "smiles", "r.cat", left, *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])).alias("m")
     out = member.groupBy(F.col("r.route").alias("route"), F.col(id).alias("id")).agg(F.avg(value).alias("mean_value"), last)
     return out.select("route", "id", F.col("m.smiles").alias("smiles"), "mean_value", F.col("m.cat").alias("catalyst"), "m.reagents", *[F.col(f"m.c{i}").alias(c) for i, c in enumerate(carry)])

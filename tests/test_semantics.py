@@ -2,12 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scopespark.functions import columns as C
 from scopespark.functions.text import jaro_winkler_one
-from scopespark.operators import clean, features, graph, grouped, lookup, sampling
+from scopespark.operators import clean, features, graph, grouped, learn, lookup, sampling
 from scopespark.streaming.screening import screen_stream
 
 
@@ -43,6 +44,8 @@ def test_split_routes(spark):
         ("S2", 1, "C=C.O>>X", 90.0, "NaOCl", "Mn salen"), ("S3", 1, "C=CO>>X", 50.0, "mCPBA", None), ("S4", 1, "C=CN>>X", 30.0, "NaOCl; water", None),
     ]
     df = spark.createDataFrame(rows, "id string, ord int, reaction string, yield double, reagent string, catalyst string")
+    told = grouped.split_routes(df, "NaOCl", ["naocl", "bleach"], {"Mn": ["Mn", "Jacobsen"]}, ["ord"], carry=["ord"])
+    assert values(told.select("route", "id", "reagents", "ord")) == [("NaOCl", "S1", "", 3), ("NaOCl", "S4", "water", 4 - 3), ("NaOCl + Mn", "S1", "", 2)]
     out = grouped.split_routes(df, "NaOCl", ["naocl", "bleach"], {"Mn": ["Mn", "Jacobsen"]}, ["ord"])
     assert values(out.select("route", "id", "smiles", "mean_value")) == [("NaOCl", "S1", "C=CC", 10.0), ("NaOCl", "S4", "C=CN", 30.0), ("NaOCl + Mn", "S1", "C=CC", 70.0)]
 
@@ -87,7 +90,7 @@ def test_screen(spark, tmp_path):
     out = spark.createDataFrame([(r,) for r in rows], "t string").select(*clean.screen_records(F.col("t"))).collect()
     assert [r.status for r in out] == ["reject", "keep", "keep", "keep", "keep", "reject", "keep"]
     assert [r.reason for r in out] == ["metal", "isotope", "isotope", "fragments", "fragments", "charge", "clean"]
-    assert out[3].fragment == "C=CCC" and out[4].fragment == "C=CC.CCO"
+    assert out[1].fragment == "[CH2]=C" and out[3].fragment == "C=CCC" and out[4].fragment == "C=CC.CCO"
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("\n".join(rows[:4]))
     screen_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
@@ -112,6 +115,71 @@ def test_elbow_and_shift(spark):
     assert abs(sampling.kl_shift(whole, whole, ["x"])[0].first()["kl"]) < 1e-12
 
 
+def test_automatic_bins_are_numpys(spark):
+    rng = np.random.default_rng(3)
+    for values_ in (rng.uniform(size=3000), rng.normal(size=2000) ** 3, np.repeat([1.0, 2.0, 5.0], [900, 60, 40]), np.full(7, 2.0), rng.integers(0, 9, 500).astype(float)):
+        whole = spark.createDataFrame([(float(x),) for x in values_], "x double").repartition(3)
+        q = sampling.quartiles(whole.select(F.lit("x").alias("feature"), "x")).first()
+        assert q.q == pytest.approx(np.quantile(values_, [0.25, 0.75]).tolist()) and (q.lo, q.hi, q.n) == (values_.min(), values_.max(), len(values_))
+        kl, table = sampling.kl_shift(whole, whole, ["x"])
+        edges = np.histogram_bin_edges(values_, "auto")
+        assert kl.first()["n_bins"] == len(edges) - 1
+        counts = np.histogram(values_, edges)[0]
+        if len(edges) > 2:
+            p = [r.p for r in table.orderBy("bin").collect()]
+            filled = np.where(counts > 0, counts, 1e-5 * counts[counts > 0].min())
+            assert p == pytest.approx((filled / filled.sum()).tolist(), abs=2 / len(values_))
+
+
+def test_pca_is_numpys(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4)) + 3
+    rows = [(i, *map(float, v), 7.0) for i, v in enumerate(x)]
+    odd = [(900, None, 1.0, 1.0, 1.0, 7.0), (901, float("nan"), 100.0, 1.0, 1.0, 7.0)]  # take no part in the fit
+    df = spark.createDataFrame(rows + odd, "k int, a double, b double, c double, d double, e double")
+    model = features.pca(df, ["a", "b", "c", "d", "e"], 3)
+    z = np.concatenate([(x - x.mean(axis=0)) / x.std(axis=0), np.zeros((200, 1))], axis=1)
+    _, s, v = np.linalg.svd(z, full_matrices=False)
+    assert model.variance == pytest.approx(s[:3] ** 2 / 199) and np.abs(model.components) == pytest.approx(np.abs(v[:3]), abs=1e-9)
+    assert all(p[np.abs(p).argmax()] > 0 for p in model.components)
+    out = features.explained(spark, model).orderBy("pc").collect()
+    assert [r.ratio for r in out] == pytest.approx((s[:3] ** 2 / (s**2).sum()).tolist())
+    scores = {r.k: (r.PCA1, r.PCA2) for r in features.scores(df, model, 2, 11.0).collect()}
+    assert [scores[i] for i in range(200)] == [pytest.approx(tuple(p)) for p in z @ model.components[:2].T + 11]
+    load = features.loadings(spark, model).where("pc = 1").orderBy("rank").collect()
+    want = model.components[0] * np.sqrt(model.variance[0])
+    assert [r.loading for r in load] == pytest.approx(sorted(want, key=lambda w: -abs(w)))
+    both = features.family_pca(df.where("k < 900"), {"first": ["a", "b"], "rest": ["c", "d"]}, 1)
+    own = features.pca(df.where("k < 900"), ["a", "b"], 1)
+    assert [r.first_PCA1 for r in both.orderBy("k").collect()] == pytest.approx((z[:, :2] @ own.components[0]).tolist())
+
+
+def test_kmeans_finds_clear_groups(spark):
+    rng = np.random.default_rng(6)
+    centres = np.array([(0, 0), (40, 0), (0, 40), (40, 40)])
+    rows = [(i, int(i % 4), *map(float, centres[i % 4] + rng.normal(size=2))) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, g int, x double, y double")
+    found = features.kmeans(df, ["x", "y"], 4).select("g", "cluster").distinct().collect()
+    assert len(found) == 4 and len({r.cluster for r in found}) == 4
+    labels, curve = features.kmeans_elbow(df, ["x", "y"], scale=0.2, trials=2)
+    cost = {r.k: r.cost for r in curve.collect()}
+    assert sorted(cost) == [2, 4, 6, 8, 10] and labels.select("cluster").distinct().count() == 4 and cost[4] < cost[2]
+    with pytest.raises(ValueError):
+        features.kmeans_elbow(df, ["x", "y"], scale=0.2, most=2)
+
+
+def test_trees(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, float(a), float(b), float(10.0 * (a > 0.5) + b / 100)) for i, (a, b) in enumerate(rng.uniform(size=(300, 2)))]
+    df = spark.createDataFrame([*rows, (999, 0.5, 0.5, None), (998, None, 0.5, 1.0)], "k int, a double, b double, y double")
+    trials, votes = learn.tune_gbt(df, ["a", "b"], "y", "k", {"maxDepth": [1, 2], "maxIter": [1, 2]}, folds=2, repeats=2)
+    assert trials.count() == 8 and {r[0] for r in votes.collect()} == {"maxDepth", "maxIter"}
+    metrics, ranked = learn.evaluate_gbt(df, ["a", "b"], "y", "k", {"maxDepth": 1, "maxIter": 2}, folds=2, repeats=2)
+    assert metrics.count() == 6 and metrics.where("value < 0.6").count() == 0
+    first = ranked.orderBy("rank").first()
+    assert first.feature == "a" and first.importance > 0.9
+
+
 def test_stratified_sample(spark):
     rows = [(f"a{i}", "a", 10.0 * i) for i in range(6)] + [(f"b{i}", "b", 15.0 + i) for i in range(4)]
     df = spark.createDataFrame(rows, "k string, s string, v double")
@@ -140,6 +208,15 @@ def test_graph_m1_m2(spark):
     assert {r.atom: r.n for r in w.collect()} == {0: 1, 2: 2, 4: 1}
 
 
+def test_large_ring_and_long_system(spark):
+    ring = _graph(spark, [(i, (i + 1) % 44, 2 if i == 0 else 1) for i in range(44)])
+    e = graph.undirected(ring)
+    assert graph.in_ring(e, graph.first_anchor(graph.anchors(ring))).first()["in_ring"] is True
+    assert {r.system for r in graph.ring_systems(e.where("a < 40 and b < 40")).collect()} == {0}
+    bits = graph.neighbourhood_bits(ring, spark.createDataFrame([(1, i, "C") for i in range(44)], "mol_id int, atom_id int, element string"))
+    assert bits.count() == 1 + 2 + 3  # from round to round the double bond is seen from farther off
+
+
 def test_knockout_and_motif_key(spark):
     m3 = _graph(spark, [(0, 1, 2), (1, 2, 1), (2, 3, 2)])
     out = values(graph.knockout_variants(m3, graph.anchors(m3)).select("variant", "src", "bond_order"))
