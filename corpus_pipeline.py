@@ -1,8 +1,10 @@
 """Training-corpus pipeline: five stages, each written as Parquet and read again by the next.
 
 Toxic documents go; one document of each near-duplicate component stays; documents that hold a
-benchmark item go; secrets are masked in place; what is left is encoded.  Rows are told apart by a key
-of id and text, so null and repeated ids need no special case: of rows equal in both one stays.
+benchmark item (of LEAST words or more) go; secrets are masked in place; what is left is encoded.  Rows are
+told apart by a key of id and text, so null and repeated ids need no special case: of rows equal in both one
+stays.  Null and empty texts are clean, near no other and encoded as nothing; texts of any length are handled
+whole; other columns pass through every stage but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from scopespark.llm import bpe, decontam, minhash, secretscan, toxicity
 from scopespark.session import spool
 
 _KEY = "__row_key"
+#: Items of fewer words say too little to drop a document for.
+LEAST = 5
 
 
 def _key() -> Column:
@@ -33,7 +37,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn(_KEY, _key())
-    found = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc=_KEY)
+    found = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc=_KEY, least=LEAST)
     return keyed.join(found.select(F.col("doc").alias(_KEY)).distinct(), _KEY, "left_anti").select(*docs.columns)
 
 
