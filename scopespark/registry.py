@@ -514,7 +514,7 @@ _PART_FEATURES = ["p_size", "p_partkey"]
 @_query()
 def tune_gbt(spark, sf):
     """Every trial of the grid, with the parameters that the repeats voted for."""
-    trials, votes = learn.tune_gbt(_t(spark, sf, "part"), _PART_FEATURES, "p_retailprice", "p_partkey", {"maxDepth": [2, 3], "maxIter": [3, 5]}, folds=5, repeats=7)
+    trials, votes = learn.tune_gbt(_t(spark, sf, "part"), _PART_FEATURES, "p_retailprice", "p_partkey", {"maxDepth": [1, 2], "maxIter": [1, 2]}, folds=5, repeats=7)
     best = ", ".join(f"{r[0]}={r[1]}" for r in votes.orderBy("param").collect())  # one row per parameter
     return trials.withColumn("voted", F.lit(best))
 
@@ -522,7 +522,7 @@ def tune_gbt(spark, sf):
 @_query()
 def evaluate_gbt(spark, sf):
     """Metrics of all repeats and folds, and the importances."""
-    metrics, ranked = learn.evaluate_gbt(_t(spark, sf, "part"), _PART_FEATURES, "p_retailprice", "p_partkey", {"maxDepth": 3, "maxIter": 5}, folds=5, repeats=10)
+    metrics, ranked = learn.evaluate_gbt(_t(spark, sf, "part"), _PART_FEATURES, "p_retailprice", "p_partkey", {"maxDepth": 2, "maxIter": 2}, folds=5, repeats=10)
     both = metrics.select("metric", "repeat", "fold", "value")
     return both.unionByName(ranked.select(F.concat(F.lit("importance of "), "feature").alias("metric"), F.lit(-1).alias("repeat"), F.lit(-1).alias("fold"), F.col("importance").alias("value")))
 
