@@ -5,7 +5,8 @@ classes marks where pieces begin; its transition functions compose associatively
 over many lanes at once and no regular expression is used.  The slices feed a bounded cache of
 merged pieces, and byte offsets of every id are kept so that any id range can be decoded alone.
 
-Null text is treated as empty and gives no ids.  Extra columns are carried along untouched.
+Null text is treated as empty and gives no ids.  Repeated rows are encoded each on its own, texts of any length
+whole; columns other than id and text are not read or returned.
 """
 
 from __future__ import annotations
@@ -403,17 +404,26 @@ def offsets(path: str) -> Callable[[Column], Column]:
 
 
 def encode_documents(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n_tokens, ids, intact) of every row: ``intact`` tells that the ids decode to the text's bytes."""
+    """(doc, n_tokens, ids, offsets, intact) of every row.
+
+    ``offsets`` are the byte offsets at which the ids begin; ``intact`` tells that every id decodes to the
+    text's bytes from its offset to the next one's, and that these cover the text.
+    """
 
     def encode_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, back = _loaded(path)
+        size = np.array([len(x) for x in back], dtype=np.int64)
         for part in parts:
             for a in range(0, len(part), 256):
                 some = part.iloc[a : a + 256]
                 texts = [x if isinstance(x, str) else "" for x in some[text]]
                 ids = encode_batch(texts, cache)
-                intact = [b"".join(map(back.__getitem__, i.tolist())) == t.encode("utf-8", "surrogatepass") for i, t in zip(ids, texts)]
-                yield pd.DataFrame({doc: some[doc].astype(object), "n_tokens": [len(i) for i in ids], "ids": ids, "intact": intact})
+                ends = [np.cumsum(size[i]) for i in ids]
+                offsets = [(e - size[i]).astype(np.int32) for e, i in zip(ends, ids)]
+                raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+                # bytes of all ids behind one another are the text's just if each id stands at its offset
+                intact = [b"".join(map(back.__getitem__, i.tolist())) == t and (e[-1] if len(e) else 0) == len(t) for i, e, t in zip(ids, ends, raw)]
+                yield pd.DataFrame({doc: some[doc].astype(object), "n_tokens": [len(i) for i in ids], "ids": ids, "offsets": offsets, "intact": intact})
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(doc, text).mapInPandas(encode_rows, f"`{doc}` {kind}, n_tokens long, ids array<int>, intact boolean")
+    return docs.select(doc, text).mapInPandas(encode_rows, f"`{doc}` {kind}, n_tokens long, ids array<int>, offsets array<int>, intact boolean")
