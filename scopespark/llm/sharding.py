@@ -5,8 +5,9 @@ column's distinct values; the bins of a row are a point on a grid, and rows are
 which a Hilbert curve visits the grid.  Runs of that order with near equal bytes are the shards, so a
 file holds a compact region and its column ranges prune well for predicates on any of the columns.
 
-A null falls into the first bin.  Rows equal in all sort keys are interchangeable.  An empty table
-gives an empty result.
+A null falls into the first bin.  Rows equal in all sort keys are interchangeable; repeated rows each get a
+slot; texts of any length count whole.  Other columns are carried along whatever their names, except that
+``curve``, ``shard`` and ``slot`` are replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -110,18 +111,23 @@ def hilbert_shards(rows: DataFrame, dimensions: Sequence[str], size: str, ties:
     A row belongs to the shard in which the middle of its stretch of bytes falls, so a boundary is off
     by half a row at most.  ``ties`` order the rows of one grid cell.
     """
+    names = rows.columns
+    own = {c: f"__c{i}" for i, c in enumerate(names)}  # no name of the caller's meets one of ours
+    rows, dimensions, size, ties = rows.toDF(*own.values()), [own[c] for c in dimensions], own[size], [own[c] for c in ties]
     bins = [bin_of(F.col(c), bin_bounds(rows, c, bits)) for c in dimensions]
     placed = running_totals(rows.withColumn("curve", hilbert_column(bins, bits)), ["curve", *ties], size)
     total = F.broadcast(placed.agg(F.sum(size).alias("total")))  # one row
     shard = F.least(F.expr(f"(2 * before_weight + {size}) * {shards} div (2 * total)"), F.lit(shards - 1)).cast("int")
     cut = placed.crossJoin(total).withColumn("shard", shard).drop("total", "before_weight")
     first = F.broadcast(cut.groupBy("shard").agg(F.min("before_rows").alias("first")))  # one row per shard
-    return cut.join(first, "shard").withColumn("slot", F.col("before_rows") - F.col("first")).drop("before_rows", "first")
+    slots = cut.join(first, "shard").withColumn("slot", F.col("before_rows") - F.col("first"))
+    new = ("curve", "shard", "slot")
+    return slots.select(*[F.col(own[c]).alias(c) for c in names if c not in new], *new)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, rows in slot order."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """One folder per shard; its files hold runs of slots in order, and a large shard is written by many tasks."""
+    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def sql(shards: int = 24, bits: int = BITS) -> str:
