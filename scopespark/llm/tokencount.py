@@ -4,7 +4,8 @@ Pieces of a BPE model depend on one pre-token at a time.  The corpus is reduced
 pre-tokens with their frequencies, each is counted once by the model's own library, and per-document
 pre-token frequencies are joined to that table and summed.  The join has two parts: a head of bounded
 size, one pre-token (the most frequent) for each of ``slots`` hash slots, is handed to every task;
-all other occurrences go through a shuffle join.  Null text counts as empty text.
+all other occurrences go through a shuffle join.  Null text counts as empty text.  Repeated rows are
+counted each on its own, texts of any length whole; null ids stay null; other columns are not read.
 """
 
 from __future__ import annotations

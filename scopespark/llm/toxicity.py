@@ -8,7 +8,8 @@ text is scored.  A slot that no labelled row has keeps a zero weight and a zero
 
 Null or empty text has no terms and scores the bias alone.  Without labelled rows of both classes the
 score is the share of positives (0 without rows).  Of rows that share an id the smallest term set is
-used for the fit.
+used for the fit, of labels that share an id the largest; null labels and ids are left out.  Equal texts
+score equally; other columns are carried along.
 """
 
 from __future__ import annotations
