@@ -17,11 +17,13 @@ stretch of its words is at most n // EDITS_PER edits away.
    the bound on both sides.
 
 One edit can leave an item of SHORT words without any gram.  These items aren't walked: an exact join on
-the sequences of four words that one omission leaves holds every stretch within one edit.
+the sequences of four words that one omission leaves holds every stretch within one edit.  Items of fewer
+words have no edit to spare and are joined as they stand.
 
-Items with fewer than LEAST words can't be told from chance and are not searched; items over MOST
-words are cut into passages of MOST words that are searched one by one.  Null or empty texts hold
-nothing.  Repeated documents and items are each reported.
+Items with fewer than ``least`` words are not searched (a filter may want to leave single words alone).
+Items over MOST words are cut into passages of MOST words that are searched one by one; ``n_found`` of
+``n_passages`` tell how much of such an item a document holds.  Null or empty texts hold nothing.
+Repeated documents and items are each reported; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,11 +40,12 @@ from scopespark.llm import textkernel
 from scopespark.session import spool
 
 GRAM, EDITS_PER = 3, 5
-LEAST, MOST = 5, 64
-SHORT = 5
+MOST, SHORT = 64, 5
 SAMPLES, REPETITIONS = 4, 64
 #: Entries of the gram table (a mask of item lengths each), whatever the number of items.
 TABLE = 1 << 20
+#: Windows that walk side by side.
+SIDE_BY_SIDE = 4000
 #: log2 of the bits that tell whether an item can have a key.
 KEY_BITS = 24
 
@@ -60,8 +63,8 @@ def _grams(words: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def passages(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, passage, words): items as word hashes, long ones cut into passages."""
+def passages(items: DataFrame, item: str = "item_id", text: str = "text", least: int = 1) -> DataFrame:
+    """(item, passage, n_passages, words): items as word hashes, long ones cut into passages."""
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -71,11 +74,11 @@ def passages(items: DataFrame, item: str = "item_id", text: str = "text") -> Dat
                 for i, a, b in zip(range(lo, hi), offsets, offsets[1:]):
                     # the last passage of a long item ends with the item
                     starts = [a] if b - a <= MOST else [*range(a, b - MOST, MOST), b - MOST]
-                    rows += [(ids[i], k, hashes[s : min(s + MOST, b)].view(np.int64)) for k, s in enumerate(starts) if b - a >= LEAST]
-            yield pd.DataFrame(rows, columns=["item", "passage", "words"])
+                    rows += [(ids[i], k, len(starts), hashes[s : min(s + MOST, b)].view(np.int64)) for k, s in enumerate(starts) if b - a >= max(least, 1)]
+            yield pd.DataFrame(rows, columns=["item", "passage", "n_passages", "words"])
 
     kind = items.schema[item].dataType.simpleString()
-    return items.select(item, text).mapInPandas(cut, f"item {kind}, passage int, words array<long>")
+    return items.select(item, text).mapInPandas(cut, f"item {kind}, passage int, n_passages int, words array<long>")
 
 
 def gram_table(cut: DataFrame) -> np.ndarray:
@@ -96,7 +99,7 @@ def gram_table(cut: DataFrame) -> np.ndarray:
 def _sampled() -> np.ndarray:
     """sampled[n, r, j]: whether repetition r reads step j of the walk over windows of n words."""
     out = np.zeros((MOST + 1, REPETITIONS, 2 * MOST), dtype=bool)
-    for n in range(LEAST, MOST + 1):
+    for n in range(SHORT + 1, MOST + 1):
         rng = np.random.default_rng(n)
         for r in range(REPETITIONS):
             out[n, r, rng.choice(2 * n, SAMPLES, replace=False)] = True
@@ -129,8 +132,8 @@ def walk_keys(windows: list[np.ndarray], sizes: list[int]) -> np.ndarray:
     return keys
 
 
-def _four(words: np.ndarray, at: np.ndarray, steps: tuple[int, ...]) -> np.ndarray:
-    """Key of the four words at these steps behind each position."""
+def _key(words: np.ndarray, at: np.ndarray, steps: tuple[int, ...]) -> np.ndarray:
+    """Key of the words at these steps behind each position."""
     h = np.full(len(at), 0x5851F42D4C957F2D, dtype=np.uint64)
     for k in steps:
         h = textkernel.mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[at + k])
@@ -139,19 +142,20 @@ def _four(words: np.ndarray, at: np.ndarray, steps: tuple[int, ...]) -> np.ndarr
 
 def item_keys(passages: list[np.ndarray]) -> list[np.ndarray]:
     """Keys that a passage is met by."""
-    long = [w for w in passages if len(w) != SHORT]
+    long = [w for w in passages if len(w) > SHORT]
     walked = iter(walk_keys(long, [len(w) for w in long])) if long else iter(())
     zero = np.zeros(1, dtype=np.int64)
     omitted = [tuple(k for k in range(SHORT) if k != p) for p in range(SHORT)]
-    return [np.concatenate([_four(w, zero, o) for o in omitted]) if len(w) == SHORT else next(walked) for w in passages]
+    few = lambda w: np.concatenate([_key(w, zero, o) for o in (omitted if len(w) == SHORT else [tuple(range(len(w)))])])
+    return [few(w) if len(w) <= SHORT else next(walked) for w in passages]
 
 
-def short_keys(hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, keys) of all runs of four words, and of all runs of SHORT words without an inner one."""
+def short_keys(hashes: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, keys) of all runs of n words; for SHORT of all runs of four words, and of SHORT without an inner one."""
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(hashes))
-    for steps in ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4)):
+    for steps in ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4)) if n == SHORT else (tuple(range(n)),):
         at = np.flatnonzero(left > steps[-1])
-        yield at, _four(hashes, at, steps)
+        yield at, _key(hashes, at, steps)
 
 
 def _known(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -185,7 +189,7 @@ def windows_of(hashes: np.ndarray, offsets: np.ndarray, table: np.ndarray, lengt
         return []
     out = []
     row_of = np.searchsorted(ends, hits, side="right")
-    for n in lengths[lengths != SHORT].tolist():
+    for n in lengths[lengths > SHORT].tolist():
         own = (mask[hits] >> (n - 1)) & 1 == 1
         pos, row = hits[own], row_of[own]
         least = max(1, n - GRAM + 1 - GRAM * _bound(n))
@@ -230,34 +234,57 @@ def windows(docs: DataFrame, table: np.ndarray, lengths: list[int], known: np.nd
             yield int(k), lo - int(offsets[k]), hashes[lo:hi].view(np.int64).copy(), np.unique(key[a:b])
             a = b
 
-    def met(hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
+    def walked(blocks: list[tuple]) -> Iterator[tuple]:
+        """Stretches of windows whose walks an item can have; all windows of the blocks walk side by side."""
+        windows, sizes = [], []
+        for _, hashes, offsets, n, starts, rows in blocks:
+            windows += [hashes[s : min(s + n, e)] for s, e in zip(starts.tolist(), offsets[rows + 1].tolist())]
+            sizes += [n] * len(starts)
+        keys = walk_keys(windows, sizes)
+        hit, done = _known(keys, shared.value[2]), 0
+        for first, hashes, offsets, n, starts, rows in blocks:
+            w, r = np.nonzero(hit[done : done + len(starts)])
+            for k, *rest in join(hashes, offsets, n, starts[w], rows[w], keys[done + w, r]):
+                yield first + k, *rest
+            done += len(starts)
+
+    def met(part: pd.DataFrame) -> Iterator[tuple]:
         grams, sizes, bits = shared.value
-        for n, starts, rows in windows_of(hashes, offsets, grams, sizes):
-            for a in range(0, len(starts), 4000):
-                some, row = starts[a : a + 4000], rows[a : a + 4000]
-                keys = walk_keys([hashes[s : min(s + n, e)] for s, e in zip(some.tolist(), offsets[row + 1].tolist())], [n] * len(some))
-                w, r = np.nonzero(_known(keys, bits))
-                yield from join(hashes, offsets, n, some[w], row[w], keys[w, r])
-        if SHORT in sizes:
-            for at, keys in short_keys(hashes, offsets):
-                hit = _known(keys, bits)
-                at, keys = at[hit], keys[hit]
-                yield from join(hashes, offsets, SHORT, at, np.searchsorted(offsets[1:], at, side="right"), keys)
+        blocks: list[tuple] = []
+        held = 0
+        for lo, _, hashes, offsets in textkernel.word_hashes(textkernel.to_bytes(part[text])):
+            for n, starts, rows in windows_of(hashes, offsets, grams, sizes):
+                for a in range(0, len(starts), SIDE_BY_SIDE):
+                    blocks.append((lo, hashes, offsets, n, starts[a : a + SIDE_BY_SIDE], rows[a : a + SIDE_BY_SIDE]))
+                    held += len(blocks[-1][4])
+                    if held >= SIDE_BY_SIDE:
+                        yield from walked(blocks)
+                        blocks, held = [], 0
+            for n in sizes[sizes <= SHORT].tolist():
+                for at, keys in short_keys(hashes, offsets, n):
+                    hit = _known(keys, bits)
+                    at, keys = at[hit], keys[hit]
+                    for k, *rest in join(hashes, offsets, n, at, np.searchsorted(offsets[1:], at, side="right"), keys):
+                        yield lo + k, *rest
+        if blocks:
+            yield from walked(blocks)
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, held = ["row", "doc", "start", "words", "keys"], []
+
+        def out() -> pd.DataFrame:
+            row, who, *rest = zip(*held)
+            held.clear()
+            return pd.DataFrame(dict(zip(names, (row, pd.Series(who, dtype=object), *rest))))
+
         for part in parts:
             ids, rows = part[doc].tolist(), part["row"].tolist()
-            for lo, _, hashes, offsets in textkernel.word_hashes(textkernel.to_bytes(part[text])):
-                for k, start, words, keys in met(hashes, offsets):
-                    held.append((rows[lo + k], ids[lo + k], start, words, keys))
-                    if len(held) >= 4000:
-                        row, who, *rest = zip(*held)
-                        yield pd.DataFrame(dict(zip(names, (row, pd.Series(who, dtype=object), *rest))))
-                        held = []
+            for k, start, words, keys in met(part):
+                held.append((rows[k], ids[k], start, words, keys))
+                if len(held) >= 4000:
+                    yield out()
         if held:
-            row, who, *rest = zip(*held)
-            yield pd.DataFrame(dict(zip(names, (row, pd.Series(who, dtype=object), *rest))))
+            yield out()
 
     kind = docs.schema[doc].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), doc, text)
@@ -287,13 +314,13 @@ def best_stretch(patterns: list[np.ndarray], texts: list[np.ndarray]) -> tuple[n
     return last[np.arange(count), end], end
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
-    """(row, doc, item, n_words, edits, end_word): the best match of each document row and item.
+def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", least: int = 1) -> DataFrame:
+    """(row, doc, item, n_words, edits, end_word, n_found, n_passages): the best match of each document row and item.
 
     ``row`` numbers the rows of ``docs``; ``end_word`` is the word of the document behind the match.
     """
     spark = docs.sparkSession
-    cut = spool(passages(items, item, text), "passages")
+    cut = spool(passages(items, item, text, least), "passages")
     lengths = sorted(r[0] for r in cut.select(F.size("words")).distinct().collect())  # at most MOST values
 
     @F.pandas_udf("array<long>")
@@ -314,10 +341,11 @@ def contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: s
                 wanted = [np.asarray(w) for w in some["wanted"]]
                 edits, end = best_stretch(wanted, [np.asarray(w) for w in some["words"]])
                 sizes = np.array([len(w) for w in wanted])
-                out = pd.DataFrame({"row": some["row"], "doc": some["doc"], "item": some["item"], "n_words": sizes, "edits": edits, "end_word": some["start"].to_numpy() + end})
+                out = pd.DataFrame({"row": some["row"], "doc": some["doc"], "item": some["item"], "passage": some["passage"], "n_passages": some["n_passages"], "n_words": sizes, "edits": edits, "end_word": some["start"].to_numpy() + end})
                 yield out[edits <= _bound(sizes)]
 
     d, i = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    checked = pairs.select("row", "doc", "item", "start", "words", "wanted").mapInPandas(verify, f"row long, doc {d}, item {i}, n_words int, edits int, end_word int")
-    best = F.min(F.struct("edits", "end_word", "n_words")).alias("b")
-    return checked.groupBy("row", "doc", "item").agg(best).select("row", "doc", "item", "b.n_words", "b.edits", "b.end_word")
+    checked = pairs.select("row", "doc", "item", "passage", "n_passages", "start", "words", "wanted").mapInPandas(verify, f"row long, doc {d}, item {i}, passage int, n_passages int, n_words int, edits int, end_word int")
+    each = checked.groupBy("row", "doc", "item", "passage", "n_passages").agg(F.min(F.struct("edits", "end_word", "n_words")).alias("b"))
+    whole = each.groupBy("row", "doc", "item").agg(F.min("b").alias("b"), F.count("*").cast("int").alias("n_found"), F.max("n_passages").alias("n_passages"))
+    return whole.select("row", "doc", "item", "b.n_words", "b.edits", "b.end_word", "n_found", "n_passages")

@@ -43,7 +43,7 @@ def op4_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within the edit bound: one row per document and item."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contaminated(docs, _read(spark, sf_dir, "benchmark"))
-    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words", "edits", "end_word")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words", "edits", "end_word", "n_found", "n_passages")
 
 
 def op5_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
