@@ -2,18 +2,21 @@
 
 Unit vectors are rotated and cut at zero into binary codes; each rotation is learned on a bounded
 sample so that the codes stay close to the rotated vectors and their bits are balanced.  Codes are
-split into 16-bit blocks with one table each.  Two vectors meet if some block differs in one bit at
+split into blocks with one table each.  Two vectors meet if some block differs in one bit at
 most: every vector is listed under its own block value, and asks under its own value and under the
 values with one more bit set, so a pair meets from one side exactly.  Each pair is taken in its first
 such table only, filtered by the distance of whole codes, and reranked with the original vectors.
 
-Vectors of each length are a group of their own.  Before the tables are used, pairs at the least cosine
-are made from the sample; if fewer than RECALL of them meet in the tables and pass the code distance
-(vectors that share a strong direction), all pairs of that group are compared instead.
+Vectors of each length are a group of their own.  The width of a block follows the logarithm of the
+number of vectors, so that lists don't grow with it; pairs at the least cosine are made from the sample,
+and the number of blocks is the smallest (up to BLOCKS) with which RECALL of them meet.  Where vectors share
+a direction, codes of close vectors differ in more bits: then more and narrower blocks are taken, until
+the made pairs meet.  The cut on whole codes lies six deviations beyond the made pairs.  Groups of under
+TELLS vectors are compared as they are.
 
 Equal vectors are one class from the start.  Vectors that are null, zero, or hold null or non-finite
-components link with nothing.  Rows with a null id
-count as links of their copies but are never a representative.
+components link with nothing.  Rows with a null id are vectors like others, but are never named: a
+component without any id has none.  Rows that share an id each count.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,19 +32,15 @@ from pyspark.sql import functions as F
 from scopespark.llm.components import components
 from scopespark.session import spool
 
-#: Vectors that the rotations are learned from, at most.
-SAMPLE = 20_000
-#: Bits of a code, bits of a block, rounds of the alternation.
-BITS, BLOCK, ROUNDS = 256, 16, 30
-#: Pairs whose codes differ in more than this share of the bits aren't reranked.  At cosine 0.95 a bit
-#: differs with probability 0.1, so the cut lies six standard deviations off.
-FAR = 0.23
-#: Least share of made pairs that the tables have to find, least sample for telling it, and vectors of
-#: a chunk where all pairs are compared.
-RECALL, TELLS, CHUNK = 0.99, 100, 1000
+#: Vectors that the rotations are learned from, at most; rounds of the alternation.
+SAMPLE, ROUNDS = 20_000, 30
+#: Least and largest width of a block; least and largest number of blocks.
+WIDTHS, BLOCKS = (4, 28), (8, 64)
+#: Share of made pairs that the tables have to find, and vectors that can tell.
+RECALL, TELLS = 0.995, 100
 
 
-def learn_rotations(sample: np.ndarray, bits: int = BITS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotations(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """(mean, d x bits projection): one ITQ rotation for each d bits, from different starts."""
     mean = sample.mean(axis=0)
     x = sample - mean
@@ -60,10 +59,10 @@ def learn_rotations(sample: np.ndarray, bits: int = BITS, seed: int = 11) -> tup
     return mean, np.concatenate(parts, axis=1)[:, :bits]
 
 
-def _codes(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Rows of 64-bit words."""
+def block_codes(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, width: int) -> np.ndarray:
+    """One number for each block of ``width`` bits."""
     on = (unit - mean) @ projection >= 0
-    return np.packbits(on, axis=1).view(">u8").astype(np.int64)
+    return on.reshape(len(on), -1, width).astype(np.int32) @ (1 << np.arange(width, dtype=np.int32))
 
 
 def usable(vector: Column) -> Column:
@@ -78,42 +77,38 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def table_recall(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, least: float, seed: int = 5) -> float:
-    """Share of pairs at cosine ``least`` that the tables find: the lower one for partners in any
-    direction and in the directions between vectors of the sample."""
+def made_pairs(unit: np.ndarray, least: float, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at cosine ``least``: partners in any direction, and in the directions between vectors of the sample."""
     rng = np.random.default_rng(seed)
     x = unit[:4000]
-    shares = []
+    out = []
     for off in (rng.normal(size=x.shape), x[rng.permutation(len(x))] - x):
         off = off - (off * x).sum(axis=1, keepdims=True) * x
         size = np.linalg.norm(off, axis=1)
         ok = size > 1e-9
-        y = least * x[ok] + np.sqrt(1 - least**2) * off[ok] / size[ok, None]
-        differ = ((x[ok] - mean) @ projection >= 0) != ((y - mean) @ projection >= 0)
-        met = (differ.reshape(len(differ), -1, BLOCK).sum(axis=2) <= 1).any(axis=1)
-        shares.append(float((met & (differ.sum(axis=1) <= int(FAR * differ.shape[1]))).mean()) if ok.any() else 0.0)
-    return min(shares)
-
-
-def all_pairs(classes: DataFrame, least: float) -> DataFrame:
-    """(a, b): as near_pairs, by comparing chunks of vectors with each other."""
-    n = -(-classes.count() // CHUNK)
-    chunks = classes.groupBy(F.pmod(F.xxhash64("rep"), F.lit(n)).alias("k")).agg(F.collect_list(F.struct("rep", "vector")).alias("l"))
-    side = lambda x: chunks.select(F.col("k").alias(f"k{x}"), F.col("l.rep").alias(f"r{x}"), F.col("l.vector").alias(f"v{x}"))
-
-    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for p in part.itertuples():
-                u, v = (np.array([np.asarray(e, dtype=np.float64) for e in x]) for x in (p.v1, p.v2))
-                u, v = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (u, v))
-                a, b = np.nonzero(u @ v.T >= least - 1e-9)
-                a, b = np.asarray(p.r1)[a], np.asarray(p.r2)[b]
-                once = a < b if p.k1 == p.k2 else np.ones(len(a), dtype=bool)
-                yield pd.DataFrame({"a": a[once], "b": b[once]})
-
-    kind = classes.schema["rep"].dataType.simpleString()
-    found = side(1).crossJoin(side(2)).where("k1 <= k2").repartition("k1", "k2").mapInPandas(compare, f"a {kind}, b {kind}")
-    return _confirmed(found, classes, least)
+        out.append((x[ok], least * x[ok] + np.sqrt(1 - least**2) * off[ok] / size[ok, None]))
+    return [p for p in out if len(p[0])]
+
+
+def tables_for(sample: np.ndarray, count: int, least: float) -> tuple[np.ndarray, np.ndarray, int, int, float]:
+    """(mean, projection, width, far, recall): tables for ``count`` vectors like those of the sample."""
+    made = made_pairs(sample, least)
+    wide = int(np.clip(2 * np.ceil(np.log2(max(count, 2)) / 2), *WIDTHS))
+    for most in (BLOCKS[1] // 4, BLOCKS[1]):  # few rotations first
+        mean, projection = learn_rotations(sample, most * wide)
+        differ = [((x - mean) @ projection >= 0) != ((y - mean) @ projection >= 0) for x, y in made]
+        for width in range(wide, (wide if most < BLOCKS[1] else WIDTHS[0]) - 1, -2):
+            met = [(d[:, : most * width].reshape(len(d), -1, width).sum(axis=2) <= 1).cumsum(axis=1) > 0 for d in differ]
+            share = np.min([m.mean(axis=0) for m in met], axis=0) if met else np.ones(most)
+            blocks = next((k for k in range(BLOCKS[0], most + 1) if share[k - 1] >= RECALL), 0)
+            if blocks:
+                break
+        if blocks:
+            break
+    blocks = blocks or most
+    bits = [d[:, : blocks * width].sum(axis=1) for d in differ]
+    far = int(max((b.mean() + 6 * b.std() for b in bits), default=blocks * width)) + 1
+    return mean, projection[:, : blocks * width], width, far, float(share[blocks - 1])
 
 
 def _confirmed(found: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -121,55 +116,37 @@ def _confirmed(found: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return found.join(va, "a").join(vb, "b").where(cosine(F.col("va"), F.col("vb")) >= least).select("a", "b")
 
 
-def pairs_of(classes: DataFrame, least: float) -> DataFrame:
-    """(a, b) of classes of one vector length."""
-    coded = codes_of(classes, least)
-    return all_pairs(classes, least) if coded is None else near_pairs(spool(coded, "codes"), least)
-
-
-def codes_of(classes: DataFrame, least: float, bits: int = BITS) -> DataFrame | None:
-    """``classes`` (rep, vector, copies) with ``code``, an array of 64-bit words; None where codes don't tell."""
-    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toPandas()
+def pairs_of(classes: DataFrame, count: int, least: float) -> DataFrame:
+    """(a, b): linked pairs of ``count`` classes (rep, vector) of one vector length."""
+    rows = classes.orderBy(F.xxhash64("vector")).limit(SAMPLE).select("vector").toPandas()
     sample = np.array(rows["vector"].tolist(), dtype=np.float64)
-    if len(sample) < TELLS:
-        return None
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    mean, projection = learn_rotations(sample, bits)
-    if table_recall(sample, mean, projection, least) < RECALL:
-        return None
-    shared = classes.sparkSession.sparkContext.broadcast((mean, projection))
+    mean, projection, width, far, _ = tables_for(sample, count, least)
+    shared = classes.sparkSession.sparkContext.broadcast((mean, projection, width))
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<int>")
     def code(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m, p = shared.value
         for part in parts:
             x = np.array(part.tolist(), dtype=np.float64).reshape(len(part), -1)
             x /= np.linalg.norm(x, axis=1, keepdims=True) if len(x) else 1
-            yield pd.Series(list(_codes(x, m, p)) if len(x) else [], dtype=object)
-
-    return classes.withColumn("code", code("vector"))
-
+            yield pd.Series(list(block_codes(x, *shared.value)) if len(x) else [], dtype=object)
 
-def _block(words: list[Column], k: int) -> Column:
-    """Block ``k`` of a code."""
-    per = 64 // BLOCK
-    return F.shiftright(words[k // per], 64 - BLOCK * (k % per + 1)).bitwiseAND(F.lit((1 << BLOCK) - 1))
+    coded = spool(classes.withColumn("code", code("vector")), "codes")
+    return near_pairs(coded, projection.shape[1] // width, width, far, least)
 
 
-def near_pairs(coded: DataFrame, least: float, bits: int = BITS) -> DataFrame:
-    """(a, b): pairs of classes whose vectors have at least that cosine."""
-    n_blocks, n_words = bits // BLOCK, bits // 64
-    words = [F.get("code", F.lit(w)) for w in range(n_words)]
-    blocks = F.array(*[F.struct(F.lit(k).alias("t"), _block(words, k).alias("key")) for k in range(n_blocks)])
-    listed = coded.select("rep", "code", F.explode(blocks).alias("at"))
-    index = listed.select("at.t", "at.key", F.col("rep").alias("a"), F.col("code").alias("code_a"))
-    more = F.filter(F.array(F.col("at.key"), *[F.col("at.key").bitwiseOR(F.lit(1 << i)) for i in range(BLOCK)]), lambda k: k != F.col("at.key"))
-    asked = listed.select("at.t", F.explode(F.concat(F.array(F.col("at.key")), more)).alias("key"), F.col("at.key").alias("own"), F.col("rep").alias("b"), F.col("code").alias("code_b"))
+def near_pairs(coded: DataFrame, blocks: int, width: int, far: int, least: float) -> DataFrame:
+    """(a, b): pairs of classes (rep, vector, code) that meet in a table and have at least that cosine."""
+    listed = coded.select("rep", "code", F.posexplode("code").alias("t", "own"))
+    index = listed.select("t", F.col("own").alias("key"), F.col("rep").alias("a"), F.col("code").alias("code_a"))
+    more = F.filter(F.array(*[F.col("own").bitwiseOR(F.lit(1 << i)) for i in range(width)]), lambda k: k != F.col("own"))
+    asked = listed.select("t", F.explode(F.concat(F.array("own"), more)).alias("key"), "own", F.col("rep").alias("b"), F.col("code").alias("code_b"))
     met = index.join(asked, ["t", "key"]).where((F.col("a") != F.col("b")) & ((F.col("key") != F.col("own")) | (F.col("a") < F.col("b"))))
-    differ = [F.get("code_a", F.lit(w)).bitwiseXOR(F.get("code_b", F.lit(w))) for w in range(n_words)]
-    first = F.least(*[F.when(F.bit_count(_block(differ, k)) <= 1, F.lit(k)) for k in range(n_blocks)])
-    apart = sum((F.bit_count(x) for x in differ[1:]), F.bit_count(differ[0]))
-    found = met.where((apart <= int(FAR * bits)) & (F.col("t") == first)).select("a", "b")
+    differ = F.zip_with("code_a", "code_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    met = met.withColumn("differ", differ)
+    first = F.array_position(F.transform("differ", lambda d: d <= 1), True) - 1
+    apart = F.aggregate("differ", F.lit(0), lambda s, d: s + d)
+    found = met.where((apart <= far) & (F.col("t") == first)).select("a", "b")
     return _confirmed(found, coded, least)
 
 
@@ -177,22 +154,23 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, vec: str = "vec_id"
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
     rows = vectors.select(F.col(vec).alias("vec_id"), F.col(embedding).alias("vector"), usable(F.col(embedding)).alias("ok"))
     rows = rows.select("vec_id", F.when(F.col("ok"), F.col("vector")).alias("vector"))
-    grouped = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = spool(grouped, "classes")
+    grouped = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("name"), F.count("*").alias("copies"))
+    classes = spool(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
     alone = rows.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    named = classes.where("rep is not null")
-    sizes = [r.d for r in named.groupBy(F.size("vector").alias("d")).count().where("count > 1").orderBy("d").collect()]
-    if not sizes and classes.isEmpty():
-        return alone.withColumn("kept", F.col("vec_id").isNotNull())
-    none = named.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    pairs = spool(reduce(DataFrame.union, [pairs_of(named.where(F.size("vector") == d), least) for d in sizes], none), "pairs")
+    length = F.size("vector")
+    sizes = classes.groupBy(length.alias("d")).count()
+    large = {r["d"]: r["count"] for r in sizes.where(F.col("count") >= TELLS).collect()}
+    small = classes.select("rep", "vector", length.alias("d")).join(sizes.where((F.col("count") > 1) & (F.col("count") < TELLS)).select("d"), "d")
+    few = small.select("d", F.col("rep").alias("a"), F.col("vector").alias("va")).join(small.select("d", F.col("rep").alias("b"), F.col("vector").alias("vb")), "d")
+    direct = few.where(F.col("a") < F.col("b")).where(cosine(F.col("va"), F.col("vb")) >= least).select("a", "b")
+    pairs = spool(reduce(DataFrame.union, [pairs_of(classes.where(length == d), n, least) for d, n in sorted(large.items())], direct), "pairs")
     count = classes.select(F.col("rep").alias("b"), "copies")
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(count, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
     found = components(pairs, "a", "b").withColumnRenamed("node", "rep")
-    told = classes.join(linked, "rep", "left").join(found, "rep", "left").select(
-        "vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-    )
+    told = classes.join(linked, "rep", "left").join(found, "rep", "left").select("vector", "name", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("c"))
+    names = told.groupBy("c").agg(F.min("name").alias("component_id"))
+    told = told.join(names, "c").select("vector", "n_links", "component_id")
     rest = rows.where("vector is not null").join(told, "vector").select("vec_id", "n_links", "component_id")
     return rest.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
