@@ -67,6 +67,7 @@ def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secretscan.written(base), 256).alias("base_sha256"),
         secretscan.written(F.col("spans")).alias("spans"),
         secretscan.count_kind(F.col("spans"), "owned").alias("n_owned"),
+        secretscan.spread(F.col("spans")).alias("ownership"),
     )
 
 

@@ -1,13 +1,15 @@
 """Secret scan with corpus-wide ownership of candidate values, in DataFrame functions only.
 
 Three kinds are matched by pattern wherever they stand (``assign``, ``access``, ``hex``).  Beyond
-them every long token that mixes letters and digits is a candidate: its value is hashed, and over
-the whole corpus the distinct repositories (documents) and owners (sources) of each hash are counted.
-A value that many owners carry is a widely copied example; a value that stays with few owners looks
-live, and its occurrences are reported as kind ``owned``.
+them every long token that mixes letters and digits is a candidate.  The value of every match and of every
+candidate is hashed, and over the whole corpus the distinct repositories (documents) and owners (sources)
+of each hash are counted, wherever it stands.  A value that many owners or many repositories carry is a
+widely copied example; a candidate that stays with few of both looks live, and its occurrences are reported
+as kind ``owned`` where no other match covers them.  Every span tells its value's owners and repositories.
 
 Positions are code points, end exclusive.  Null or empty text has no spans; a null owner counts as
-one owner; rows with null or repeated ids are scanned like any other row.  Matches of one document
+one owner and null ids as one repository; rows with null or repeated ids are scanned like any other row;
+texts of any length are scanned whole; other columns are not read.  Matches of one document
 are held together in that document's row, never across documents.
 """
 
@@ -45,8 +47,8 @@ BASE = (
 #: Candidates besides the base kinds: long tokens, of which those with few letters or digits are dropped.
 TOKEN = Pattern("owned", r"[A-Za-z0-9+/_-]{20,}", 0, 20, r"[A-Za-z0-9+/_-]{20}")
 LEAST_DIGITS = LEAST_LETTERS = 4
-#: A value with more owners than this is a widely copied example.
-MOST_OWNERS = 2
+#: A value with more owners or more repositories than this is a widely copied example.
+MOST_OWNERS, MOST_REPOSITORIES = 2, 10
 
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
@@ -83,10 +85,11 @@ def ownership(candidates: DataFrame, key: str = "hash", repository: str = "repos
     return owners.join(repos, key)
 
 
-def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text", owner: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """(row, doc, base, spans): per row of ``docs`` the base spans and all spans, sorted by start and kind.
 
-    Each span is struct<start, kind, end, hash>; ``row`` numbers the rows, so repeated ids stay apart.
+    Each of ``spans`` is struct<start, kind, end, hash, n_owners, n_repositories>; ``row`` numbers the rows, so
+    repeated ids stay apart.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     hashed = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
@@ -98,12 +101,15 @@ def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text", owner: str =
         hashed(F.filter(find(t, TOKEN), lambda s: _mixed(s["value"]))).alias("tokens"),
     )
     found = spool(found, "secrets")
-    free = F.filter("tokens", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    each = found.where(F.size("tokens") > 0).select("row", F.col("doc").alias("repository"), "owner", F.explode(free).alias("span")).withColumn("hash", F.col("span.hash"))
-    live = ownership(each).where(F.col("n_owners") <= most_owners).select("hash")
-    added = each.join(live, "hash").groupBy("row").agg(F.collect_list("span").alias("added"))
-    nothing = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,hash:string>>)")
-    return found.join(added, "row", "left").select("row", "doc", "base", F.array_sort(F.concat("base", F.coalesce("added", nothing))).alias("spans"))
+    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    marked = lambda spans, mark: F.transform(spans, lambda s: F.struct(s.alias("span"), mark(s).alias("free")))
+    all_ = F.concat(marked("base", lambda s: s["start"] >= 0), marked("tokens", free))
+    each = found.select("row", F.col("doc").alias("repository"), "owner", F.explode(all_).alias("m")).select("row", "repository", "owner", "m.free", "m.span.*")
+    reported = (F.col("kind") < KINDS.index("owned")) | ((F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories))
+    told = each.where("free").join(ownership(each), "hash").where(reported)
+    told = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "n_owners", "n_repositories"))).alias("spans"))
+    nothing = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,hash:string,n_owners:bigint,n_repositories:bigint>>)")
+    return found.join(told, "row", "left").select("row", "doc", "base", F.coalesce("spans", nothing).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -112,6 +118,11 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def spread(spans: Column) -> Column:
+    """owners:repositories of each span's value, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["n_owners"].cast("string"), s["n_repositories"].cast("string"))), ",")
+
+
 def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
 
@@ -137,7 +148,7 @@ def _sql_find(p: Pattern, text: str) -> str:
         kind := {KINDS.index(p.kind)}, size := length(m), value := regexp_extract_all({text}, '{regex}', {p.group})[i])), lambda s: length(s.value) >= {p.least})"""
 
 
-def sql(most_owners: int = MOST_OWNERS) -> str:
+def sql(most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> str:
     """DuckDB SQL of the registered query."""
     kinds = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
     join = lambda c: f"array_to_string(list_transform({c}, lambda s: {kinds}[s.kind + 1] || ':' || CAST(s.start AS BIGINT) || ':' || CAST(s.start + s.size AS BIGINT)), ',')"
@@ -148,11 +159,15 @@ def sql(most_owners: int = MOST_OWNERS) -> str:
         list_sort(list_concat(list_concat({_sql_find(BASE[0], "coalesce(text, '')")}, {_sql_find(BASE[1], "coalesce(text, '')")}), {_sql_find(BASE[2], "coalesce(text, '')")})) AS base,
         list_filter({_sql_find(TOKEN, "coalesce(text, '')")}, lambda s: length(regexp_replace(s.value, '[^0-9]', '', 'g')) >= {LEAST_DIGITS} AND length(regexp_replace(s.value, '[^A-Za-z]', '', 'g')) >= {LEAST_LETTERS}) AS tokens
       FROM documents),
-    each AS (SELECT rid, source, unnest(list_filter(tokens, lambda t: len(list_filter(base, lambda b: b.start < t.start + t.size AND t.start < b.start + b.size)) = 0)) AS span FROM found),
-    live AS (SELECT span.value AS v FROM each GROUP BY 1 HAVING count(DISTINCT coalesce(source, chr(0))) <= {most_owners}),
-    added AS (SELECT rid, list(span) AS more FROM each WHERE span.value IN (SELECT v FROM live) GROUP BY rid),
-    merged AS (SELECT doc_id, base, list_sort(list_concat(base, coalesce(more, []))) AS spans FROM found LEFT JOIN added USING (rid))
+    marked AS (SELECT rid, doc_id, source, unnest(list_concat(list_transform(base, lambda b: struct_pack(span := b, free := true)),
+      list_transform(tokens, lambda t: struct_pack(span := t, free := len(list_filter(base, lambda b: b.start < t.start + t.size AND t.start < b.start + b.size)) = 0)))) AS m FROM found),
+    own AS (SELECT m.span.value AS v, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT coalesce(doc_id, -1)) AS repositories FROM marked GROUP BY 1),
+    told AS (SELECT rid, list(struct_pack(start := m.span.start, kind := m.span.kind, size := m.span.size, owners := owners, repositories := repositories) ORDER BY m.span.start, m.span.kind) AS spans
+      FROM marked JOIN own ON m.span.value = v
+      WHERE m.free AND (m.span.kind < {KINDS.index("owned")} OR (owners <= {most_owners} AND repositories <= {most_repositories})) GROUP BY rid),
+    merged AS (SELECT doc_id, base, coalesce(spans, []) AS spans FROM found LEFT JOIN told USING (rid))
     SELECT doc_id, {count("assign")} AS n_assign, {count("access")} AS n_access, {count("hex")} AS n_hex,
       sha256({join("base")}) AS base_sha256, {join("spans")} AS spans,
-      CAST(len(spans) - len(base) AS BIGINT) AS n_owned
+      CAST(len(spans) - len(base) AS BIGINT) AS n_owned,
+      array_to_string(list_transform(spans, lambda s: s.owners || ':' || s.repositories), ',') AS ownership
     FROM merged"""
