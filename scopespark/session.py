@@ -47,11 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spool(df: DataFrame, name: str = "t") -> DataFrame:
+def spool(df: DataFrame, name: str = "t", compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back (columnar, prunable)."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     schema = df.schema
     del df
     # Spark deletes a finished step's shuffle files when the driver collects the step's garbage
