@@ -1,4 +1,4 @@
-"""Linear suffix sorting by grouping (after Baier, 2016), for one string and for many side by side.
+"""Linear suffix sorting by grouping (after Baier, 2016).
 
 Phase 1 handles groups of suffixes from the highest down.  Each suffix of the group points to the
 nearest smaller group before it; the suffixes pointed at move into new groups right behind their old
@@ -9,150 +9,76 @@ predecessor chain at the front of the respective group.  Nothing is renamed recu
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Sequence
 
 
-def suffix_array(text: list[int]) -> list[int]:
-    """Suffix array of one string that ends with its unique smallest symbol."""
+def suffix_array(text: Sequence[int]) -> list[int]:
+    """Suffix array of a string that ends with its unique smallest symbol."""
     n = len(text)
-    count: dict[int, int] = {}
-    for c in text:
-        count[c] = count.get(c, 0) + 1
-    begin, at = {}, 0
-    for c in sorted(count):
-        begin[c] = at
-        at += count[c]
-    group = [begin[c] for c in text]
-    size = {begin[c]: k for c, k in count.items()}
-    members: dict[int, set[int]] = {g: set() for g in size}
-    for i, g in enumerate(group):
-        members[g].add(i)
-    prev = [-1] * n
+    places: dict[int, list[int]] = {}
+    for i, c in enumerate(text):
+        places.setdefault(c, []).append(i)
+    # a group is named by its first slot: size[g] and members[g] belong to it, group[i] is the one of suffix i
+    group, size, members, at = [0] * n, [0] * n, [None] * n, 0
+    for c in sorted(places):
+        own = places[c]
+        size[at], members[at] = len(own), set(own)
+        for i in own:
+            group[i] = at
+        at += len(own)
     jump = list(range(-1, n - 1))  # nearest suffix before that may be of a smaller group
     high = n
     while high > 0:
-        # the group that ends at slot high - 1: walk its begin down from there
-        g = _begin_of(high - 1, size)
-        own = members[g]
+        g = high - 1
+        while not size[g]:
+            g -= 1
+        high, own = g, members[g]
+        if len(own) == 1:  # one pointer, one move
+            (i,) = own
+            j = jump[i]
+            while j >= 0 and group[j] >= g:
+                j = jump[j]
+            jump[i] = j
+            if j >= 0 and size[h := group[j]] > 1:
+                size[h] -= 1
+                new = h + size[h]
+                size[new], members[new], group[j] = 1, {j}, new
+                members[h].remove(j)
+            continue
         points: dict[int, int] = {}
-        for i in sorted(own):
+        for i in own:
             j = jump[i]
             while j >= 0 and group[j] >= g:
                 j = jump[j]
-            prev[i] = jump[i] = j
+            jump[i] = j
             if j >= 0:
                 points[j] = points.get(j, 0) + 1
-        high = g
         moves: dict[tuple[int, int], list[int]] = {}
         for j, k in points.items():
-            moves.setdefault((group[j], k), []).append(j)
-        for (h, _), moved in sorted(moves.items(), key=lambda m: -m[0][1]):
+            moves.setdefault((group[j], -k), []).append(j)
+        # most pointed at first: these go to the end of their group's slots
+        for key in sorted(moves, key=_times) if len(moves) > 1 else moves:
+            h, moved = key[0], moves[key]
             left = size[h] - len(moved)
-            if left == 0:
-                continue  # the whole group stands where it would move to
-            new = h + left
-            size[h], size[new] = left, len(moved)
-            members[new] = set(moved)
-            members[h].difference_update(moved)
-            for j in moved:
-                group[j] = new
-    return _place(group, prev, n)
-
-
-def _begin_of(slot: int, size: dict[int, int]) -> int:
-    while slot not in size:
-        slot -= 1
-    return slot
-
-
-def _place(group: list[int], prev: list[int], n: int) -> list[int]:
-    sa = [-1] * n
-    placed = [False] * n
-    front = list(range(n))
-    sa[0] = n - 1
-    placed[n - 1] = True
+            if left:  # else the whole group stands where it would move to
+                new = h + left
+                size[h], size[new], members[new] = left, len(moved), set(moved)
+                members[h].difference_update(moved)
+                for j in moved:
+                    group[j] = new
+    # phase 2: jump holds the pointers of phase 1, front the next free slot of each group
+    sa, placed, front = [-1] * n, bytearray(n), list(range(n))
+    sa[0], placed[n - 1] = n - 1, 1
     for i in range(n):
         j = sa[i] - 1
         while j >= 0 and not placed[j]:
             g = group[j]
             sa[front[g]] = j
             front[g] += 1
-            placed[j] = True
-            j = prev[j]
+            placed[j] = 1
+            j = jump[j]
     return sa
 
 
-def suffix_arrays(text: np.ndarray) -> np.ndarray:
-    """Suffix arrays of the rows of ``text``; every row ends with its unique smallest symbol.
-
-    All rows take each step together, so the work is done by whole-array operations.
-    """
-    rows, n = text.shape
-    kind = np.int16 if n < 30000 else np.int32
-    order = np.argsort(text, axis=1, kind="stable")
-    ranked = np.take_along_axis(text, order, axis=1)
-    new = np.concatenate([np.ones((rows, 1), bool), ranked[:, 1:] != ranked[:, :-1]], axis=1)
-    begin = np.maximum.accumulate(np.where(new, np.arange(n), 0), axis=1)
-    group = np.empty((rows, n), dtype=kind)
-    np.put_along_axis(group, order, begin.astype(kind), axis=1)
-    size = np.zeros((rows, n), dtype=kind)
-    np.add.at(size, (np.repeat(np.arange(rows), n), group.ravel().astype(np.int64)), 1)
-    prev = np.full((rows, n), -1, dtype=kind)
-    place = np.arange(n, dtype=kind)
-    now = group.max(axis=1)
-    live = np.arange(rows)
-    while len(live):
-        part = group[live]
-        lower = part < now[live, None]
-        near = np.maximum.accumulate(np.where(lower, place, kind(-1)), axis=1)
-        r, c = np.nonzero(part == now[live, None])
-        p = near[r, c].astype(np.int64)
-        prev[live[r], c] = p
-        ok = p >= 0
-        key, hits = np.unique(live[r[ok]].astype(np.int64) * n + p[ok], return_counts=True)
-        if len(key):
-            row, j = key // n, key % n
-            old = group[row, j].astype(np.int64)
-            # within a group: most pointed at last, so its members end the group's interval
-            o = np.lexsort((-hits, old, row))
-            row, j, old, hits = row[o], j[o], old[o], hits[o]
-            family = np.concatenate(([True], (row[1:] != row[:-1]) | (old[1:] != old[:-1])))
-            first = np.maximum.accumulate(np.where(family, np.arange(len(row)), 0))
-            subset = family | np.concatenate(([True], hits[1:] != hits[:-1]))
-            last = np.append(np.flatnonzero(subset)[1:], len(row)) - 1
-            upto = last[np.cumsum(subset) - 1] - first + 1  # members up to the end of the own subset
-            start = old + size[row, old] - upto
-            group[row, j] = start
-            ends = np.append(np.flatnonzero(family)[1:], len(row)) - 1
-            total = upto[ends]
-            size[row[ends], old[ends]] -= total.astype(kind)
-            firsts = np.flatnonzero(subset)
-            size[row[firsts], start[firsts]] = (last - firsts + 1).astype(kind)
-        below = np.where(group[live] < now[live, None], group[live], kind(-1)).max(axis=1)
-        now[live] = below
-        live = live[below >= 0]
-    # phase 2: every row places one suffix or moves one slot on in each step
-    sa = np.full((rows, n), -1, dtype=np.int64)
-    front = np.tile(np.arange(n), (rows, 1))
-    placed = np.zeros((rows, n), dtype=bool)
-    sa[:, 0], placed[:, n - 1] = n - 1, True
-    slot = np.zeros(rows, dtype=np.int64)
-    j = np.full(rows, n - 2, dtype=np.int64)
-    live = np.arange(rows)
-    while len(live):
-        x = j[live]
-        go = x >= 0
-        go[go] = ~placed[live[go], x[go]]
-        a, b = live[go], x[go]
-        g = group[a, b].astype(np.int64)
-        sa[a, front[a, g]] = b
-        front[a, g] += 1
-        placed[a, b] = True
-        j[a] = prev[a, b]
-        stay = live[~go]
-        slot[stay] += 1
-        more = slot[stay] < n
-        stay = stay[more]
-        j[stay] = sa[stay, slot[stay]] - 1
-        live = np.concatenate([a, stay])
-    return sa
+def _times(move: tuple[int, int]) -> int:
+    return move[1]

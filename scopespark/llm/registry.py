@@ -53,8 +53,8 @@ def op5_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left after removing 50-byte strings that start in earlier documents."""
-    kept = suffixdedup.remove(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = suffixdedup.remove(_read(spark, sf_dir, "documents").select("doc_id", "text"), view=lambda kept: F.sha2(kept, 256))
+    return kept.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 
 def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
