@@ -365,10 +365,10 @@ def duplicate_spans(texts: DataFrame) -> DataFrame:
     size = texts.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = 1 << int(max(16, size // BUCKET)).bit_length()
     told = spool(repeated_anchors(texts, buckets), "answers")
-    both = spool(segments(texts, told, buckets, kind), "anchors")
+    both = spool(segments(texts, told, buckets, kind), "anchors", "zstd")
     discard(told)
     segs = both.where("row is null").groupBy("h", "s").agg(F.min("low").alias("low"), F.min("bytes").alias("bytes"), F.min("lead").alias("lead"), F.min("n").alias("n"))
-    segs = spool(segs, "segments")
+    segs = spool(segs, "segments", "zstd")
     whole = segs.where("bytes is null").select("h", "s", F.lit(-1).alias("at"), F.array("low").alias("lows"))
     lows = spool(whole.unionByName(lowest_ids(segs.where("bytes is not null"))), "lows")
     discard(segs)
