@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopespark.llm import bpe, ctw, decontam, itq, minhash, secretscan, sharding, suffixdedup, tokencount, toxicity
+from scopespark.llm import bpe, ctw, decontam, itq, minhash, periodicruns, secretscan, sharding, suffixdedup, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +94,21 @@ def op10_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(_read(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every text, a tenth of the texts made periodic first."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", periodicruns.repeated(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodicruns.find(docs)
+    best = periodicruns.longest(F.col("runs"))
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(periodicruns.written(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_hilbert_shards": op1_hilbert_shards,
@@ -106,6 +121,7 @@ def queries() -> dict[str, Query]:
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_itq_near_duplicates": op10_itq_near_duplicates,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
