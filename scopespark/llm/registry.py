@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopespark.llm import bpe, ctw, decontam, itq, minhash, periodicruns, secretscan, sharding, suffixdedup, tokencount, toxicity
+from scopespark.llm import bpe, ctw, decontam, itq, minhash, periodicruns, pii, secretscan, sharding, suffixdedup, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +94,19 @@ def op10_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(_read(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op12_private_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of personal data and the identifiers that their contexts lead to."""
+    found = pii.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("base")
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        *[pii.count_kind(base, k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii.written(base), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+        pii.count_kind(F.col("spans"), "context").alias("n_context"),
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every text, a tenth of the texts made periodic first."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", periodicruns.repeated(F.col("text"), F.col("doc_id")).alias("text"))
@@ -121,6 +134,7 @@ def queries() -> dict[str, Query]:
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_itq_near_duplicates": op10_itq_near_duplicates,
+        "op12_private_contexts": op12_private_contexts,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
@@ -131,4 +145,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_minhash_components": minhash.sql(),
         "op7_secret_ownership": secretscan.sql(),
         "op10_itq_near_duplicates": itq.sql(0.95),
+        "op12_private_contexts": pii.sql(),
     }
