@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scopespark.llm import bpe, ctw, decontam, itq, minhash, periodicruns, pii, secretscan, sharding, suffixdedup, tokencount, toxicity
+from scopespark.llm import bpe, covertree, ctw, decontam, itq, minhash, periodicruns, pii, secretscan, sharding, suffixdedup, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +94,13 @@ def op10_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(_read(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op11_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, with the label of every seventh moved on by one."""
+    rows = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return covertree.hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op12_private_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans of personal data and the identifiers that their contexts lead to."""
     found = pii.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -134,6 +141,7 @@ def queries() -> dict[str, Query]:
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_itq_near_duplicates": op10_itq_near_duplicates,
+        "op11_cover_tree_negatives": op11_cover_tree_negatives,
         "op12_private_contexts": op12_private_contexts,
         "op13_periodic_runs": op13_periodic_runs,
     }
@@ -145,5 +153,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_minhash_components": minhash.sql(),
         "op7_secret_ownership": secretscan.sql(),
         "op10_itq_near_duplicates": itq.sql(0.95),
+        "op11_cover_tree_negatives": covertree.sql(),
         "op12_private_contexts": pii.sql(),
     }
