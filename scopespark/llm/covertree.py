@@ -281,21 +281,22 @@ def search(ix: Index, probes: DataFrame, k: int) -> DataFrame:
     def visit(asked: DataFrame, chunks: int) -> DataFrame:
         keys = ["d", "cell", "part", "chunk"]
         asked = asked.withColumn("chunk", F.pmod(F.xxhash64("probe"), F.lit(chunks)).cast("int"))
-        trees = ix.trees.join(asked.select(*keys).distinct(), keys[:3])
-        return asked.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInPandas(found_in, "probe long, score long, vec_id long, own long")
+        wanted = asked.select("d", "cell", "part", F.col("chunk").alias("turn")).distinct()
+        trees = ix.trees.join(wanted, keys[:3]).groupBy(*keys[:3], "turn")
+        return asked.groupBy(*keys).cogroup(trees).applyInPandas(found_in, "probe long, score long, vec_id long, own long")
 
     def best(found: DataFrame) -> DataFrame:
         turn = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id", "own"))
         return found.withColumn("place", turn).where(F.col("place") <= k)
 
     chunks = max(-(-probes.count() // CHUNK), 1)
-    size, wanted = F.size("v").alias("d"), cells("v", "label", "same", "low", "high")
-    routed = probes.select("*", size, wanted.alias("cells")).where(F.size("cells") > 0).withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
+    size, near = F.size("v").alias("d"), cells("v", "label", "same", "low", "high")
+    routed = probes.select("*", size, near.alias("cells")).where(F.size("cells") > 0).withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
     home = spool(routed.join(ix.parts, ["d", "cell"]).withColumn("part", F.pmod(F.xxhash64("probe", F.lit("home")), F.col("parts")).cast("int")).drop("parts"), "home")
     first = spool(best(visit(home, chunks)), "first")
     floors = first.where(F.col("place") == k).select("probe", F.col("score").alias("floor"))
     raised = home.withColumnsRenamed({"cell": "home_cell", "part": "home_part"}).join(floors, "probe", "left").withColumn("low", F.greatest("low", F.coalesce("floor", "low"))).drop("floor")
-    rest = raised.withColumn("cell", F.explode(wanted)).join(ix.parts, ["d", "cell"])
+    rest = raised.withColumn("cell", F.explode(near)).join(ix.parts, ["d", "cell"])
     rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where((F.col("cell") != F.col("home_cell")) | (F.col("part") != F.col("home_part")))
     others = visit(spool(rest.drop("parts", "home_cell", "home_part"), "rest"), chunks)
     return best(first.drop("place").union(others))
