@@ -2,8 +2,8 @@
 
 Four kinds are matched by pattern wherever they stand (``email``, ``ip``, ``card``, ``phone``).  Their matches are the
 seeds of the bootstrap.  Texts are cut at the seeds, and the pieces into lexemes: words without white space, a label
-such as ``ssn:`` apart from what follows it.  The two lexemes before a place are its lexical pattern, digits read as
-zeros; what stands there is its instance.  Instances are the seeds and the candidates, lexemes made of letters
+such as ``ssn:`` apart from what follows it.  The lexical pattern of a place is the three lexemes before it, or the two before
+it where the last is a label, digits read as zeros; what stands there is its instance.  Instances are the seeds and the candidates, lexemes made of letters
 and digits with LEAST_DIGITS digits or more, compared without spaces, hyphens and brackets.
 
 Patterns and instances form a graph whose edges carry how often they meet in the whole corpus.  Seeds are
@@ -120,8 +120,8 @@ LEXEME = rf"[^{_GAP}:=#]*+[:=#]++|[^{_GAP}:=#]++"
 CORE = r"^[^A-Za-z0-9]*([A-Za-z0-9](?:[A-Za-z0-9@._/+-]*[A-Za-z0-9])?)[^A-Za-z0-9]*\z"
 _ENOUGH = rf"(?:[0-9][^0-9{_GAP}:=#]*+){{{LEAST_DIGITS}}}"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"
-#: What stands before the first lexeme of a piece.
-_EDGE = "^"
+#: What ends a label; what stands before the first lexeme of a piece.
+_LABEL, _EDGE = r"[:=#]\z", "^"
 
 
 def _once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -182,6 +182,11 @@ def _lexemes(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LEXEME), F.lit(0))
 
 
+def _pattern(third: Column, second: Column, first: Column) -> Column:
+    """Of the lexemes before a place, ``first`` the nearest."""
+    return F.xxhash64(F.when(first.rlike(_LABEL), _EDGE).otherwise(third), second, first)
+
+
 def _instance(value: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.lower(value), r"[\x20()-]|^\+", ""))
 
@@ -190,15 +195,15 @@ def _candidates(piece: Column) -> Column:
     """The candidates of a piece and the seed behind it, each with its pattern and instance."""
     none = F.expr(f"cast(array() as array<{_CANDIDATE}>)")
     raw = piece["text"]
-    start = F.struct(F.lit(0).alias("at"), F.lit(_EDGE).alias("far"), F.lit(_EDGE).alias("near"), none.alias("out"))
+    start = F.struct(F.lit(0).alias("at"), *[F.lit(_EDGE).alias(c) for c in ("third", "second", "first")], none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         core = F.regexp_extract(x["raw"], CORE, 1)
         first = piece["at"] + begin + F.length(F.regexp_extract(x["raw"], "^[^A-Za-z0-9]*", 0))
-        one = F.struct(first.alias("start"), (first + F.length(core)).alias("end"), F.xxhash64(acc["far"], acc["near"]).alias("pattern"), _instance(core).alias("instance"), F.lit(False).alias("seed"))
+        one = F.struct(first.alias("start"), (first + F.length(core)).alias("end"), _pattern(acc["third"], acc["second"], acc["first"]).alias("pattern"), _instance(core).alias("instance"), F.lit(False).alias("seed"))
         is_one = (F.length(x["raw"]) - F.length(F.replace(x["flat"], F.lit("0"), F.lit(""))) >= LEAST_DIGITS) & (F.length(core) > 0)
-        return F.struct((begin + F.length(x["raw"])).alias("at"), acc["near"].alias("far"), x["flat"].alias("near"), F.when(is_one, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+        return F.struct((begin + F.length(x["raw"])).alias("at"), acc["second"].alias("third"), acc["first"].alias("second"), x["flat"].alias("first"), F.when(is_one, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
     def listed(raws: Column) -> Column:
         with_gap = F.zip_with(F.slice(F.split(raw, LEXEME, -1), F.lit(1), F.size(raws)), raws, lambda g, r: F.struct(F.length(g).alias("gap"), r.alias("raw")))
@@ -207,10 +212,9 @@ def _candidates(piece: Column) -> Column:
     inside = F.when(raw.rlike(_ENOUGH), F.aggregate(_once(_lexemes(raw), listed), start, step, lambda acc: acc["out"])).otherwise(none)
 
     def behind(flat: Column) -> Column:
-        near = F.coalesce(F.try_element_at(flat, F.lit(-1)), F.lit(_EDGE))
-        far = F.coalesce(F.try_element_at(flat, F.lit(-2)), F.lit(_EDGE))
+        last = [F.coalesce(F.try_element_at(flat, F.lit(-i)), F.lit(_EDGE)) for i in (3, 2, 1)]
         nowhere = F.lit(None).cast("int")
-        return F.array(F.struct(nowhere.alias("start"), nowhere.alias("end"), F.xxhash64(far, near).alias("pattern"), _instance(piece["seed"]).alias("instance"), F.lit(True).alias("seed")))
+        return F.array(F.struct(nowhere.alias("start"), nowhere.alias("end"), _pattern(*last).alias("pattern"), _instance(piece["seed"]).alias("instance"), F.lit(True).alias("seed")))
 
     return F.concat(inside, F.when(piece["seed"].isNotNull(), _once(_lexemes(_flat(raw)), behind)).otherwise(none))
 
@@ -221,7 +225,8 @@ def places(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFram
     cut = docs.select(F.explode(pieces(t, base_spans(t))).alias("p"))
     flat = cut.select(_lexemes(_flat(F.col("p.text"))).alias("lex"), F.col("p.seed").isNotNull().cast("int").alias("more"))
     edge = F.lit(_EDGE)
-    keys = F.zip_with(F.concat(F.array(edge, edge), "lex"), F.concat(F.array(edge), "lex"), lambda far, near: F.xxhash64(far, near))
+    pairs = F.zip_with(F.concat(F.array(edge, edge, edge), "lex"), F.concat(F.array(edge, edge), "lex"), lambda third, second: F.struct(third.alias("third"), second.alias("second")))
+    keys = F.zip_with(pairs, F.concat(F.array(edge), "lex"), lambda p, first: _pattern(p["third"], p["second"], first))
     each = flat.select(F.explode(F.slice(keys, F.lit(1), F.size("lex") + F.col("more"))).alias("pattern"))
     return each.join(patterns.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("places"))
 
@@ -289,10 +294,11 @@ def sql() -> str:
     count = lambda k: f"CAST(len(list_filter(base, lambda s: s.kind = {KINDS.index(k)})) AS BIGINT)"
     lexeme = LEXEME.replace("++", "+").replace("*+", "*")
     instance = lambda v: f"regexp_replace(lower({v}), '[\\x20()-]|^\\+', '', 'g')"
+    before = lambda k: f"coalesce(CASE WHEN i > {k} THEN flats[i - {k}] END, '{_EDGE}')"
     steps = []
     for r in range(ROUNDS):
-        before = "seeds" if r == 0 else f"trust{r - 1}"
-        steps.append(f"""scored{r} AS (SELECT w.pattern, CAST(sum(n * trust) // max(places) AS BIGINT) AS confidence FROM weighed w JOIN {before} USING (instance) GROUP BY 1
+        held = "seeds" if r == 0 else f"trust{r - 1}"
+        steps.append(f"""scored{r} AS (SELECT w.pattern, CAST(sum(n * trust) // max(places) AS BIGINT) AS confidence FROM weighed w JOIN {held} USING (instance) GROUP BY 1
             HAVING sum(n * trust) // max(places) >= {CONFIDENT} AND count(*) FILTER (trust >= {CONFIDENT}) >= {SUPPORT}),
           trust{r} AS (SELECT instance, greatest(any_value(s.trust), coalesce(max(c.confidence * {KEEP} // 1000), 0)) AS trust FROM seeds s JOIN weighed USING (instance) LEFT JOIN scored{r} c USING (pattern) GROUP BY 1)""")
     return f"""
@@ -304,14 +310,14 @@ def sql() -> str:
       CASE WHEN len(base) = 0 THEN t ELSE substr(t, CAST(CASE WHEN k = 1 THEN 0 ELSE base[k - 1].stop END AS BIGINT) + 1, CAST(CASE WHEN k > len(base) THEN length(t) ELSE base[k].start END - CASE WHEN k = 1 THEN 0 ELSE base[k - 1].stop END AS BIGINT)) END AS piece FROM cut),
     lexed AS (SELECT rid, k, origin, seed, regexp_extract_all(piece, '{lexeme}', 0) AS raws, string_split_regex(piece, '{lexeme}') AS gaps, regexp_extract_all(translate(piece, '{_UPPER}', '{_LOWER}'), '{lexeme}', 0) AS flats FROM pieces),
     slots AS (SELECT rid, k, origin, seed, unnest(range(1, len(raws) + CASE WHEN seed IS NULL THEN 1 ELSE 2 END)) AS i, raws, gaps, flats FROM lexed),
-    placed AS (SELECT rid, origin, i, i > len(raws) AS is_seed, seed, raws, gaps, raws[i] AS raw, coalesce(flats[nullif(i - 2, -1)], '{_EDGE}') || ' ' || coalesce(flats[nullif(i - 1, 0)], '{_EDGE}') AS pattern FROM slots),
-    tested AS (SELECT *, CASE WHEN is_seed THEN '' ELSE regexp_extract(raw, '{CORE}', 1) END AS core FROM placed),
+    placed AS (SELECT rid, origin, i, i > len(raws) AS is_seed, seed, raws, gaps, raws[i] AS raw, {before(1)} AS first, {before(2)} AS second, {before(3)} AS third FROM slots),
+    tested AS (SELECT *, CASE WHEN regexp_matches(first, '{_LABEL}') THEN '{_EDGE}' ELSE third END || ' ' || second || ' ' || first AS pattern, CASE WHEN is_seed THEN '' ELSE regexp_extract(raw, '{CORE}', 1) END AS core FROM placed),
     each AS (SELECT rid, pattern, is_seed, CASE WHEN is_seed THEN {instance("seed")} ELSE {instance("core")} END AS instance, core,
         origin + list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(raws[1:i - 1], lambda g: length(g))), 0) + coalesce(length(regexp_extract(raw, '^[^A-Za-z0-9]*', 0)), 0) AS start
       FROM tested WHERE is_seed OR (core <> '' AND length(regexp_replace(raw, '[^0-9]', '', 'g')) >= {LEAST_DIGITS})),
     edges AS (SELECT pattern, instance, count(*) AS n, bool_or(is_seed) AS seed FROM each GROUP BY 1, 2),
     patterns AS (SELECT pattern FROM edges GROUP BY 1 HAVING count(*) >= {SUPPORT}),
-    places AS (SELECT pattern, count(*) AS places FROM placed SEMI JOIN patterns USING (pattern) GROUP BY 1),
+    places AS (SELECT pattern, count(*) AS places FROM tested SEMI JOIN patterns USING (pattern) GROUP BY 1),
     weighed AS (SELECT e.*, places FROM edges e JOIN places USING (pattern)),
     seeds AS (SELECT instance, CASE WHEN bool_or(seed) THEN 1000 ELSE 0 END AS trust FROM weighed GROUP BY 1), {", ".join(steps)},
     trusted AS (SELECT instance FROM trust{ROUNDS - 1} WHERE trust >= {CONFIDENT} UNION SELECT instance FROM edges WHERE seed),

@@ -60,7 +60,7 @@ def _planted():
     for i in range(40, 60):  # the same context with identifiers no pattern knows
         rows.append((i, f"{word()} reach me: Q{rng.randrange(10**7, 10**8)}X {word()} {word()}"))
     for i in range(60, 90):  # numbers in a context that personal data hardly ever follows
-        rows.append((i, f"{word()} order number {rng.randrange(10**6, 10**7)} shipped"))
+        rows.append((i, f"order number {rng.randrange(10**6, 10**7)} shipped"))
     rows.append((90, "order number +1 (375) 555-4393 shipped"))
     rows.append((91, "the order 1-375-555-4393 again, and AKIA12345678"))  # a known number without its plus
     for i in range(92, 100):  # identifiers found above lead to a second context, which leads to new ones
