@@ -7,16 +7,26 @@ colours are array expressions inside that row, however many graphs there are.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _both_ways(df: DataFrame, a: str, b: str, x: str, y: str, *more: str) -> DataFrame:
+    """(mol_id, x, y, *more): each row as (a, b) and as (b, a), in place, so that the rows stay where they are."""
+    turned = F.array(F.struct(F.col(a).alias(x), F.col(b).alias(y)), F.struct(F.col(b).alias(x), F.col(a).alias(y)))
+    return df.select("mol_id", F.explode(turned).alias("__e"), *more).select("mol_id", f"__e.{x}", f"__e.{y}", *more)
+
+
+def colocated(bonds: DataFrame) -> DataFrame:
+    """``bonds`` dealt out by graph once: every grouping and join by mol_id below needs no further shuffle."""
+    return bonds.repartition("mol_id")
+
+
 def undirected(bonds: DataFrame) -> DataFrame:
     """(mol_id, a, b, bond_order): every bond in both directions."""
-    one = bonds.select("mol_id", F.col("src").alias("a"), F.col("dst").alias("b"), "bond_order")
-    return one.union(bonds.select("mol_id", F.col("dst").alias("a"), F.col("src").alias("b"), "bond_order")).distinct()
+    return _both_ways(bonds, "src", "dst", "a", "b", "bond_order").distinct()
 
 
 def anchors(bonds: DataFrame, atoms: DataFrame | None = None, element: str = "C", order: int = 2) -> DataFrame:
@@ -44,9 +54,17 @@ def knockout_variants(bonds: DataFrame, found: DataFrame) -> DataFrame:
     return own.join(variants, "mol_id").select("mol_id", "variant", "src", "dst", kept.alias("bond_order"))
 
 
+def _each(array: Column | str) -> Column:
+    """One row for each entry of an array that is never empty.
+
+    Before a plain explode the optimiser tests for empty arrays, which computes a long expression once more.
+    """
+    return F.explode_outer(array)
+
+
 def _ends(found: DataFrame) -> DataFrame:
     """(mol_id, anchor, other): both ends of each anchor."""
-    return found.select("mol_id", F.col("a").alias("anchor"), F.col("b").alias("other")).union(found.select("mol_id", "b", "a"))
+    return _both_ways(found, "a", "b", "anchor", "other")
 
 
 def walk_counts(edges: DataFrame, found: DataFrame, r: int) -> DataFrame:
@@ -92,7 +110,7 @@ def distances(edges: DataFrame, found: DataFrame, r: int, block_other: bool = Fa
         new = F.filter(new, lambda x: x != F.col("other")) if block_other else new
         rows = rows.withColumn("front", F.coalesce(new, F.slice("front", 1, 0)))
         rows = rows.withColumn("seen", F.concat("seen", F.transform("front", at(d))))
-    return rows.select("mol_id", "anchor", F.explode("seen").alias("x")).select("mol_id", "anchor", "x.atom", "x.dist")
+    return rows.select("mol_id", "anchor", _each("seen").alias("x")).select("mol_id", "anchor", "x.atom", "x.dist")
 
 
 def boundary(edges: DataFrame, found: DataFrame, r: int, max_walks: int | None = None) -> DataFrame:
@@ -122,7 +140,7 @@ def shells(edges: DataFrame, found: DataFrame, r: int) -> tuple[DataFrame, DataF
     rows = _by_graph(edges.where("a < b")).join(near, "mol_id").join(own, "mol_id")
     at = lambda x: F.try_element_at("near", x)
     between = lambda e: (F.abs(at(e["a"]) - at(e["b"])) == 1) | (F.array_contains("own", F.struct(e["a"], e["b"])) & at(e["a"]).isNotNull() & at(e["b"]).isNotNull())
-    bonds = rows.select("mol_id", "near", F.explode(F.filter("edges", between)).alias("e"))
+    bonds = rows.select("mol_id", "near", _each(F.filter("edges", between)).alias("e")).where("e is not null")
     return atoms, bonds.select("mol_id", F.col("e.a").alias("src"), F.col("e.b").alias("dst"), F.greatest(at(F.col("e.a")), at(F.col("e.b"))).alias("shell"))
 
 
@@ -156,8 +174,8 @@ def in_ring(edges: DataFrame, found: DataFrame) -> DataFrame:
 
 def ring_systems(aromatic: DataFrame) -> DataFrame:
     """(mol_id, atom, system): connected parts of the aromatic bonds, named by their smallest atom."""
-    rows = _by_graph(aromatic).select("mol_id", F.explode(_connected(F.col("edges"))).alias("part"))
-    return rows.select("mol_id", F.array_min("part").alias("system"), F.explode("part").alias("atom")).select("mol_id", "atom", "system")
+    rows = _by_graph(aromatic).select("mol_id", _each(_connected(F.col("edges"))).alias("part"))
+    return rows.select("mol_id", F.array_min("part").alias("system"), _each("part").alias("atom")).select("mol_id", "atom", "system")
 
 
 def break_partial_rings(bonds: DataFrame, network: DataFrame, edge: DataFrame) -> DataFrame:
@@ -177,10 +195,28 @@ def break_partial_rings(bonds: DataFrame, network: DataFrame, edge: DataFrame) -
     return marked.withColumn("bond_order", F.when(gone, 1).otherwise(F.col("bond_order"))).withColumn("aromatic", F.col("aromatic") & ~gone).select(*bonds.columns)
 
 
-def _refined(colours: Column, edges: Column) -> Column:
-    """One round of colour refinement: own colour and the sorted colours behind the bonds."""
-    behind = lambda k: F.array_sort(F.transform(F.filter(edges, lambda e: e["a"] == k), lambda e: F.concat_ws(":", e["bond_order"].cast("string"), F.try_element_at(colours, e["b"]))))
-    return F.transform_values(colours, lambda k, c: F.md5(F.concat(c, F.lit("|"), F.array_join(behind(k), ",")).cast("binary")))
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with ``value`` computed once however often f reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _colourings(atoms: Column, first: Column, edges: Column, rounds: int) -> Column:
+    """Colours of ``atoms`` before and after each round of refinement, as an array of arrays in the order of ``atoms``.
+
+    A round hashes an atom's own colour with the sorted orders and colours behind its bonds.  ``edges`` are looked
+    up once; the rounds only follow positions.
+    """
+    behind = F.transform(atoms, lambda a: F.transform(F.filter(edges, lambda e: e["a"] == a), lambda e: F.struct(e["bond_order"].cast("string").alias("o"), (F.array_position(atoms, e["b"]) - 1).cast("int").alias("i"))))
+
+    def refined(near: Column) -> Column:
+        def step(done: Column, _: Column) -> Column:
+            now = lambda i: F.get(F.element_at(done, -1), i)
+            told = lambda ns: F.array_join(F.array_sort(F.transform(ns, lambda n: F.concat_ws(":", n["o"], now(n["i"])))), ",")
+            return F.concat(done, F.array(F.transform(near, lambda ns, i: F.md5(F.concat(now(i), F.lit("|"), told(ns)).cast("binary")))))
+
+        return F.aggregate(F.array(*[F.lit(k) for k in range(rounds)]), F.array(first), step)
+
+    return _let(behind, refined) if rounds else F.array(first)
 
 
 def motifs(bonds: DataFrame, found: DataFrame, r: int, atoms: DataFrame | None = None) -> DataFrame:
@@ -195,26 +231,24 @@ def motifs(bonds: DataFrame, found: DataFrame, r: int, atoms: DataFrame | None =
     own = near.join(kinds, ["mol_id", "atom"], "left").join(edge, ["mol_id", "atom"], "left")
     name = F.when(F.col("star"), "*").otherwise(F.coalesce("element", F.lit("?")))
     first = F.md5(F.concat_ws("|", name, F.col("dist").cast("string")).cast("binary"))
-    rows = own.groupBy("mol_id").agg(F.map_from_entries(F.collect_list(F.struct("atom", first.alias("c")))).alias("colours"))
-    rows = rows.join(_by_graph(edges, "bond_order"), "mol_id")
-    inside = lambda x: F.try_element_at("colours", x).isNotNull()
-    rows = rows.withColumn("edges", F.filter("edges", lambda e: inside(e["a"]) & inside(e["b"])))
-    for _ in range(r + 1):
-        rows = rows.withColumn("colours", _refined(F.col("colours"), F.col("edges")))
-    key = F.md5(F.array_join(F.array_sort(F.map_values("colours")), ",").cast("binary"))
-    return rows.select("mol_id", key.alias("motif_key"), F.size("colours").cast("long").alias("n_atoms"))
+    rows = own.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("atom", first.alias("c")))).alias("own")).join(_by_graph(edges, "bond_order"), "mol_id")
+    rows = rows.select("mol_id", "edges", F.transform("own", lambda x: x["atom"]).alias("atoms"), F.transform("own", lambda x: x["c"]).alias("first"))
+    inside = F.filter("edges", lambda e: F.array_contains("atoms", e["b"]))
+    last = F.element_at(_colourings(F.col("atoms"), F.col("first"), inside, r + 1), -1)
+    return rows.select("mol_id", F.md5(F.array_join(F.array_sort(last), ",").cast("binary")).alias("motif_key"), F.size("atoms").cast("long").alias("n_atoms"))
 
 
 def neighbourhood_bits(bonds: DataFrame, atoms: DataFrame, radius: int = 2, bits: int = 2048) -> DataFrame:
     """(mol_id, bit): distinct bits of the colours of all rounds up to ``radius``."""
     first = F.md5(F.col("element").cast("binary"))
-    rows = atoms.groupBy("mol_id").agg(F.map_from_entries(F.collect_set(F.struct("atom_id", first.alias("c")))).alias("colours"))
-    rows = rows.join(_by_graph(undirected(bonds), "bond_order"), "mol_id", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(array() as array<struct<a:bigint,b:bigint,bond_order:int>>)"))).withColumn("all", F.map_values("colours"))
-    for _ in range(radius):
-        rows = rows.withColumn("colours", _refined(F.col("colours"), F.col("edges")))
-        rows = rows.withColumn("all", F.concat("all", F.map_values("colours")))
+    rows = atoms.groupBy("mol_id").agg(F.array_sort(F.collect_set(F.struct(F.col("atom_id").cast("long").alias("atom"), first.alias("c")))).alias("own"))
+    none = F.expr("cast(array() as array<struct<a:bigint,b:bigint,bond_order:int>>)")
+    edges = undirected(bonds).select("mol_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("bond_order").cast("int").alias("bond_order"))
+    rows = rows.join(_by_graph(edges, "bond_order"), "mol_id", "left")
+    rows = rows.select("mol_id", F.coalesce("edges", none).alias("edges"), F.transform("own", lambda x: x["atom"]).alias("atoms"), F.transform("own", lambda x: x["c"]).alias("first"))
     bit = lambda c: F.pmod(F.conv(F.substring(c, 1, 8), 16, 10).cast("long"), F.lit(bits)).cast("int")
-    return rows.select("mol_id", F.explode(F.array_distinct(F.transform("all", bit))).alias("bit"))
+    seen = F.array_distinct(F.flatten(_colourings(F.col("atoms"), F.col("first"), F.col("edges"), radius)))
+    return rows.select("mol_id", _each(F.array_distinct(F.transform(seen, bit))).alias("bit"))
 
 
 def count_keys(atoms: DataFrame, rules: Mapping[str, tuple[Column, int]]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The three chains of the engine, as composed plans."""
+"""The chains of the engine, as composed plans."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scopespark.functions.columns import Roles, apply_roles, union_common
-from scopespark.operators.clean import align_yield
+from scopespark.operators import graph
+from scopespark.operators.clean import align_yield, screen_records
 from scopespark.operators.features import kmeans, pca, scores, select_features
 from scopespark.operators.grouped import split_routes
 from scopespark.operators.learn import evaluate_gbt, tune_gbt
 from scopespark.operators.lookup import classify_scope
+from scopespark.sources.molecules import read_lines, write_lines
 
 
 def route_tables(raw: DataFrame, roles: Roles, chemistry: str, terms: Sequence[str], routes: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -39,3 +41,45 @@ def regression(features: Mapping[str, DataFrame], key: str, target: str, grid: M
     kinds = {name: {str(v): v for v in values} for name, values in grid.items()}
     best = {r["param"]: kinds[r["param"]][r["value"]] for r in votes.collect()}  # one row per parameter
     return votes, *evaluate_gbt(rows, columns, target, key, best, folds)
+
+
+def _double_bonds(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(mol_id, a, b, n): double bonds between two carbons that aren't aromatic."""
+    return graph.anchors(bonds.where(~F.col("aromatic")), atoms)
+
+
+def cleaned_lines(rows: DataFrame, key: str, line: str) -> tuple[DataFrame, DataFrame]:
+    """((mol_id, variant, line), (mol_id, line)): molecules with one double bond, and the lines that don't parse.
+
+    Lines are screened; of what is kept, molecules without a double bond between carbons go, and one with several
+    becomes as many variants, each keeping one of them.
+    """
+    status, _, fragment = screen_records(F.col(line))
+    kept = rows.select(F.col(key).alias("mol_id"), status, fragment).where(F.col("status") == "keep")
+    atoms, bonds, failed = read_lines(kept, "mol_id", "fragment")
+    variants = graph.knockout_variants(bonds, _double_bonds(atoms, bonds)).join(bonds.select("mol_id", "src", "dst", "aromatic"), ["mol_id", "src", "dst"])
+    named = variants.withColumn("of", F.struct("mol_id", "variant")).drop("mol_id").withColumnRenamed("of", "mol_id")
+    own = atoms.join(variants.select("mol_id", "variant").distinct(), "mol_id").withColumn("of", F.struct("mol_id", "variant")).drop("mol_id", "variant").withColumnRenamed("of", "mol_id")
+    return write_lines(own, named).select("mol_id.mol_id", "mol_id.variant", "line"), failed
+
+
+def motif_lines(atoms: DataFrame, bonds: DataFrame, r: int) -> DataFrame:
+    """(mol_id, motif_key, n_atoms, line): what lies within r bonds of the only double bond of each molecule.
+
+    Atoms on the border are written as ``*``; aromatic systems that are only partly inside count as single bonds.
+    """
+    bonds = graph.colocated(bonds)
+    found = _double_bonds(atoms, bonds).where("n = 1").select("mol_id", "a", "b")
+    edges = graph.undirected(bonds)
+    near, edge = graph.neighbourhood(edges, found, r), graph.boundary(edges, found, r)
+    whole = graph.break_partial_rings(bonds, near, edge)
+    inside = near.select("mol_id", F.col("atom").alias("atom_id"))
+    border = edge.select("mol_id", F.col("atom").alias("atom_id"), F.lit(True).alias("border"))
+    ends = lambda c: inside.withColumnRenamed("atom_id", c)
+    own_bonds = whole.join(ends("src"), ["mol_id", "src"], "left_semi").join(ends("dst"), ["mol_id", "dst"], "left_semi")
+    still = own_bonds.where("aromatic").select("mol_id", F.explode(F.array("src", "dst")).alias("atom_id")).distinct().withColumn("still", F.lit(True))
+    own = atoms.join(inside, ["mol_id", "atom_id"], "left_semi").join(border, ["mol_id", "atom_id"], "left").join(still, ["mol_id", "atom_id"], "left")
+    star = F.coalesce("border", F.lit(False))
+    cleared = {"element": F.when(star, "*").otherwise(F.col("element")), "aromatic": ~star & F.coalesce("still", F.lit(False)), "isotope": F.when(star, 0).otherwise(F.col("isotope")), "charge": F.when(star, 0).otherwise(F.col("charge")), "hydrogens": F.when(~star, F.col("hydrogens"))}
+    text = write_lines(own.withColumns(cleared).drop("border", "still"), own_bonds)
+    return graph.motifs(whole, found, r, atoms).join(text, "mol_id").select("mol_id", "motif_key", "n_atoms", "line")

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scopespark.functions import columns as C
-from scopespark.operators import clean, features, graph, grouped, learn, lookup, sampling
+from scopespark.operators import boost, clean, features, graph, grouped, learn, lookup, sampling
 from scopespark.plans import lifecycles
 from scopespark.session import scratch_dir
-from scopespark.sources import tables
+from scopespark.sources import molecules, tables
 from scopespark.streaming.screening import screen_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,6 +343,73 @@ def kmeans_elbow(spark, sf):
     return features.kmeans_elbow(_scored(spark, sf), ["PCA1", "PCA2"], scale=0.25, trials=8)[0]
 
 
+# Projections with computed oracles: eigenvectors in SQL, by squaring the correlation matrix until one direction is left.
+
+_PC = ["a", "c", "n", "s"]
+_PC_SQL = """f AS (SELECT l_orderkey, CAST(sum(l_quantity) AS DOUBLE) AS a, CAST(max(l_extendedprice) AS DOUBLE) AS c, CAST(count(*) AS DOUBLE) AS n, CAST(sum(l_extendedprice) AS DOUBLE) AS s FROM lineitem GROUP BY 1)"""
+
+
+def _order_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    price = F.col("l_extendedprice")
+    return _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("a"), F.max(price).alias("c"), F.count("*").alias("n"), F.sum(price).alias("s"))
+
+
+def _eigen_sql(names: list[str], count: int, squarings: int = 12) -> str:
+    """CTEs m (i, j, x) and e1, e2, ... (i, v, value): the leading eigenvectors of the correlation matrix times n / (n - 1)."""
+    cells = " UNION ALL ".join(f"SELECT '{x}' AS i, '{y}' AS j, corr({x}, {y}) * count(*) / (count(*) - 1) AS x FROM f" for x in names for y in names)
+    steps, left = [f"m AS MATERIALIZED ({cells})"], "m"
+    for k in range(1, count + 1):
+        last = left
+        for t in range(squarings):
+            steps.append(f"q{k}_{t} AS MATERIALIZED (SELECT i, j, x / sum(CASE WHEN i = j THEN x END) OVER () AS x FROM (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY 1, 2))")
+            last = f"q{k}_{t}"
+        # the column of the largest diagonal cell is the eigenvector but for its length; the largest entry becomes positive
+        steps.append(f"u{k} AS MATERIALIZED (SELECT i, x / sqrt((SELECT sum(x * x) FROM {last} WHERE j = (SELECT arg_max(i, x) FROM {last} WHERE i = j))) AS v FROM {last} WHERE j = (SELECT arg_max(i, x) FROM {last} WHERE i = j))")
+        steps.append(f"w{k} AS MATERIALIZED (SELECT i, v * (SELECT sign(arg_max(v, round(abs(v), 9) - 1e-12 * rank)) FROM (SELECT v, rank() OVER (ORDER BY i) AS rank FROM u{k})) AS v FROM u{k})")
+        steps.append(f"e{k} AS MATERIALIZED (SELECT i, v, (SELECT sum(a.v * m.x * b.v) FROM w{k} a JOIN m ON a.i = m.i JOIN w{k} b ON b.i = m.j) AS value FROM w{k})")
+        steps.append(f"d{k} AS MATERIALIZED (SELECT x.i, x.j, x.x - a.value * a.v * b.v AS x FROM {left} x JOIN e{k} a ON a.i = x.i JOIN e{k} b ON b.i = x.j)")
+        left = f"d{k}"
+    return ", ".join(steps)
+
+
+@_query(f"WITH {_PC_SQL}, {_eigen_sql(_PC, 4)} " + " UNION ALL ".join(f"SELECT {k} AS pc, round(max(value), 6) AS variance, round(max(value) / (SELECT sum(x) FROM m WHERE i = j), 6) AS ratio FROM e{k}" for k in range(1, 5)))
+def pca_orders(spark, sf):
+    model = features.pca(_order_sizes(spark, sf), _PC)
+    return features.explained(spark, model).select("pc", F.round("variance", 6).alias("variance"), F.round("ratio", 6).alias("ratio"))
+
+
+@_query(f"WITH {_PC_SQL}, {_eigen_sql(_PC, 2)} SELECT feature, pc, round(loading, 5) AS loading, CAST(row_number() OVER (PARTITION BY pc ORDER BY abs(loading) DESC, feature) AS INTEGER) AS rank FROM (" + " UNION ALL ".join(f"SELECT i AS feature, {k} AS pc, v * sqrt(value) AS loading FROM e{k}" for k in (1, 2)) + ")")
+def loadings_orders(spark, sf):
+    model = features.pca(_order_sizes(spark, sf), _PC, 2)
+    return features.loadings(spark, model).select("feature", "pc", F.round("loading", 5).alias("loading"), "rank")
+
+
+@_query(f"""WITH {_PC_SQL}, {_eigen_sql(_PC, 2)}, z AS (SELECT l_orderkey, {", ".join(f"({c} - (SELECT avg({c}) FROM f)) / (SELECT stddev_pop({c}) FROM f) AS {c}" for c in _PC)} FROM f)
+  SELECT l_orderkey, """ + ", ".join(f"round(11 + {' + '.join(f'{c} * (SELECT v FROM e{k} WHERE i = {chr(39)}{c}{chr(39)})' for c in _PC)}, 4) AS PCA{k}" for k in (1, 2)) + " FROM z")
+def pca_scores_orders(spark, sf):
+    wide = _order_sizes(spark, sf)
+    return features.scores(wide, features.pca(wide, _PC, 2), 2, 11.0).select("l_orderkey", *[F.round(c, 4).alias(c) for c in ("PCA1", "PCA2")])
+
+
+@_query(f"""WITH {_PC_SQL}, z AS (SELECT l_orderkey, {", ".join(f"({c} - (SELECT avg({c}) FROM f)) / (SELECT stddev_pop({c}) FROM f) AS {c}" for c in _PC)}, (SELECT sign(corr(a, n)) FROM f) AS an, (SELECT sign(corr(c, s)) FROM f) AS cs FROM f)
+  SELECT l_orderkey, round((a + an * n) / sqrt(2), 4) + 0.0 AS size_PCA1, round((c + cs * s) / sqrt(2), 4) + 0.0 AS price_PCA1 FROM z""")
+def family_pca_orders(spark, sf):
+    """Of two standardised features the first component is their sum, or difference where they fall apart."""
+    wide = _order_sizes(spark, sf).withColumnsRenamed({"a": "size_a", "n": "size_n", "c": "price_c", "s": "price_s"})
+    out = features.family_pca(wide, {"size": ["size_"], "price": ["price_"]}, 1)
+    return out.select("l_orderkey", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("size_PCA1", "price_PCA1")])
+
+
+@_query("""SELECT count(*) AS n, round(min(o_totalprice), 2) AS least, round(max(o_totalprice), 2) AS most, round(avg(o_totalprice), 2) AS centre FROM orders GROUP BY o_orderstatus = 'F'""")
+def kmeans_apart(spark, sf):
+    """Two groups that stand far apart: any right clustering finds just these."""
+    away = F.when(F.col("o_orderstatus") == "F", 1e9).otherwise(0.0)
+    points = _t(spark, sf, "orders").select("o_totalprice", (F.col("o_totalprice") + away).alias("x"), away.alias("y"))
+    found = features.kmeans(points, ["x", "y"], 2)
+    price = F.col("o_totalprice")
+    return found.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.min(price), 2).alias("least"), F.round(F.max(price), 2).alias("most"), F.round(F.avg(price), 2).alias("centre")).drop("cluster")
+
+
 def _kl_sql() -> str:
     parts = []
     for c in ("l_quantity", "l_extendedprice"):
@@ -369,11 +436,11 @@ def kl_shift(spark, sf):
 def _bonds(spark: SparkSession, sf: str) -> DataFrame:
     p, s = F.col("l_partkey") % 20, F.col("l_suppkey") % 20
     keyed = _t(spark, sf, "lineitem").where(p != s).select(F.floor(F.col("l_orderkey") / 3.0).alias("mol_id"), F.least(p, s).alias("src"), F.greatest(p, s).alias("dst"), F.when(F.col("l_linenumber") == 1, 2).otherwise(1).alias("o"))
-    return keyed.groupBy("mol_id", "src", "dst").agg(F.max("o").alias("bond_order"))
+    return graph.colocated(keyed).groupBy("mol_id", "src", "dst").agg(F.max("o").alias("bond_order"))
 
 
 def _atoms(bonds: DataFrame) -> DataFrame:
-    ids = bonds.select("mol_id", F.col("src").alias("atom_id")).union(bonds.select("mol_id", "dst")).distinct()
+    ids = bonds.select("mol_id", F.explode(F.array("src", "dst")).alias("atom_id")).distinct()
     return ids.withColumn("element", F.element_at(F.array(*[F.lit(x) for x in ("C", "N", "O", "Cl")]), (F.col("atom_id") % 4 + 1).cast("int")))
 
 
@@ -527,6 +594,62 @@ def evaluate_gbt(spark, sf):
     return both.unionByName(ranked.select(F.concat(F.lit("importance of "), "feature").alias("metric"), F.lit(-1).alias("repeat"), F.lit(-1).alias("fold"), F.col("importance").alias("value")))
 
 
+_BOOST = {"size": "CAST(p_size AS DOUBLE)", "brand": "CAST(substr(p_brand, 7) AS DOUBLE)"}
+
+
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "part").select("p_partkey", "p_retailprice", F.expr("cast(p_size as double)").alias("size"), F.expr("cast(substr(p_brand, 7) as double)").alias("brand"))
+
+
+def _boost_sql(loss: str, trees: int, counts: tuple[int, ...], rate: float = 0.1, alpha: float = 0.9) -> str:
+    """Chain of stumps: for each tree all splits of all features rated, leaves estimated anew."""
+    start = "avg(y)" if loss == "squared_error" else "median(y)"
+    steps = [f"f0 AS MATERIALIZED (SELECT p_partkey, p_retailprice AS y, {', '.join(f'{e} AS {n}' for n, e in _BOOST.items())}, (SELECT {start} FROM (SELECT p_retailprice AS y FROM part)) AS f FROM part)"]
+    for t in range(1, trees + 1):
+        delta = f"(SELECT quantile_cont(abs(y - f), {alpha}) FROM f{t - 1})" if loss == "huber" else "0"
+        slope = {"squared_error": "y - f", "absolute_error": "sign(y - f)", "huber": "sign(y - f) * least(abs(y - f), delta)"}[loss]
+        steps.append(f"g{t} AS MATERIALIZED (SELECT *, y - f AS r, {slope} AS g FROM (SELECT *, {delta} AS delta FROM f{t - 1}))")
+        sides = " UNION ALL ".join(f"SELECT '{n}' AS feature, {n} AS v, sum(g) AS s, count(*) AS n FROM g{t} GROUP BY {n}" for n in _BOOST)
+        steps.append(f"""split{t} AS MATERIALIZED (SELECT feature, v FROM (SELECT feature, v, sum(s) OVER w AS s, sum(n) OVER w AS n, sum(s) OVER (PARTITION BY feature) AS ts, sum(n) OVER (PARTITION BY feature) AS tn FROM ({sides}) WINDOW w AS (PARTITION BY feature ORDER BY v))
+          WHERE n < tn ORDER BY s * s / n + (ts - s) * (ts - s) / (tn - n) DESC LIMIT 1)""")
+        side = "CASE (SELECT feature FROM split{0}) ".format(t) + " ".join(f"WHEN '{n}' THEN {n}" for n in _BOOST) + f" END <= (SELECT v FROM split{t})"
+        value = {"squared_error": "avg(r)", "absolute_error": "median(r)", "huber": "any_value(m) + avg(sign(r - m) * least(abs(r - m), delta))"}[loss]
+        inner = f"(SELECT *, {side} AS side FROM g{t})"
+        inner = f"(SELECT *, median(r) OVER (PARTITION BY side) AS m FROM {inner})" if loss == "huber" else inner
+        steps.append(f"leaf{t} AS MATERIALIZED (SELECT side, {value} AS value FROM {inner} GROUP BY side)")
+        before = "".join(f", at_{c}" for c in counts if c < t)
+        own = f", f + {rate} * value AS at_{t}" if t in counts else ""
+        steps.append(f"f{t} AS MATERIALIZED (SELECT p_partkey, y, {', '.join(_BOOST)}, f + {rate} * value AS f{before}{own} FROM (SELECT *, {side} AS side FROM g{t}) JOIN leaf{t} USING (side))")
+    return f"WITH {', '.join(steps)} SELECT '{loss}' AS loss, p_partkey, {', '.join(f'round(at_{c}, 4) AS at_{c}' for c in counts)} FROM f{trees}"
+
+
+@_query(" UNION ALL ".join(f"SELECT * FROM ({_boost_sql(loss, 3, (1, 3))})" for loss in boost.GRID["loss"]))
+def boosted_losses(spark, sf):
+    """Predictions after one and after three stumps, for each loss."""
+    rows = boost.assembled(_parts(spark, sf), list(_BOOST), "p_retailprice", "p_partkey")
+    parts = []
+    for loss in boost.GRID["loss"]:
+        told = boost.staged(boost.fit(rows, loss, trees=3, depth=1), rows, [1, 3])
+        parts.append(told.select(F.lit(loss).alias("loss"), F.col("key").alias("p_partkey"), F.round("at_1", 4).alias("at_1"), F.round("at_3", 4).alias("at_3")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query()
+def tune_boosted(spark, sf):
+    """Trials of the three losses and two criteria with staged numbers of trees, and the votes of the repeats."""
+    grid = {"n_estimators": (1, 2), "max_depth": (1, 2), "criterion": boost.GRID["criterion"], "loss": boost.GRID["loss"]}
+    trials, votes = boost.tune(_parts(spark, sf), list(_BOOST), "p_retailprice", "p_partkey", grid, folds=2, repeats=1)
+    best = ", ".join(f"{r[0]}={r[1]}" for r in votes.orderBy("param").collect())  # one row per parameter
+    return trials.withColumn("voted", F.lit(best))
+
+
+@_query()
+def evaluate_boosted(spark, sf):
+    """Scores of folds and test part, and the importances, of a chain with the Huber loss."""
+    metrics, ranked = boost.evaluate(_parts(spark, sf), list(_BOOST), "p_retailprice", "p_partkey", {"n_estimators": 2, "max_depth": 2, "loss": "huber"}, folds=2, repeats=2)
+    return metrics.unionByName(ranked.select(F.concat(F.lit("importance of "), "feature").alias("metric"), "repeat", F.lit(-1).alias("fold"), F.col("importance").alias("value")))
+
+
 @_query("""WITH t AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents)
   SELECT CASE WHEN regexp_matches(value, '\\[\\d*(""" + _METAL_SQL + """)[^a-z]') THEN 'metal' WHEN regexp_matches(value, '\\[\\d+[A-Za-z]') THEN 'isotope' WHEN contains(value, '.') THEN 'fragments'
     WHEN contains(value, '+') OR contains(value, '-') THEN 'charge' ELSE 'clean' END AS reason, count(*) AS n FROM t GROUP BY 1""")
@@ -641,3 +764,50 @@ def regression(spark, sf):
     votes, metrics, ranked = lifecycles.regression(frames, "p_partkey", "p_retailprice", {"maxDepth": [2, 3], "maxIter": [2]}, folds=5, repeats=3)
     told = votes.select(F.concat(F.lit("voted "), "param").alias("what"), F.col("value").cast("double").alias("value"))
     return told.unionByName(metrics.groupBy(F.col("metric").alias("what")).agg(F.avg("value").alias("value"))).unionByName(ranked.select(F.concat(F.lit("importance of "), "feature").alias("what"), F.col("importance").alias("value")))
+
+
+# ---- molecules in line notation -------------------------------------------------------------------
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A line for each part: chains, rings, branches, aromatic rings, open branches and charges by kind, of size a."""
+    a = (F.col("p_size") % 4 + 1).cast("int")
+    run = lambda c: F.repeat(F.lit(c), a)
+    kinds = [F.concat(run("C"), F.lit("C=C")), F.concat(F.lit("C1"), run("C"), F.lit("C1=O")), F.concat(F.lit("C("), run("N"), F.lit(")(O)C=CC=C")), F.concat(F.lit("c1ccccc1"), run("C"), F.lit("C=C")), F.concat(F.lit("C("), run("C"), F.lit("C=C")), F.concat(run("C"), F.lit("[O-]"))]
+    parts = _t(spark, sf, "part").select("p_partkey", "p_size").repartition("p_partkey")  # one small file would be one task
+    return parts.select("p_partkey", F.element_at(F.array(*kinds), (F.col("p_partkey") % 6 + 1).cast("int")).alias("line"))
+
+
+_LINES = "p AS (SELECT p_partkey, p_partkey % 6 AS k, p_size % 4 + 1 AS a FROM part)"
+
+
+@_query(f"""WITH {_LINES} SELECT p_partkey, CAST([a + 2, a + 3, a + 6, a + 8, 0, a + 1][k + 1] AS BIGINT) AS n_atoms, CAST([a + 1, a + 3, a + 5, a + 8, 0, a][k + 1] AS BIGINT) AS n_bonds,
+  CAST([1, 1, 2, 1, 0, 0][k + 1] AS BIGINT) AS n_double, CAST(CASE k WHEN 3 THEN 6 ELSE 0 END AS BIGINT) AS n_aromatic, CAST(CASE k WHEN 5 THEN -1 ELSE 0 END AS BIGINT) AS charge, k = 4 AS failed FROM p""")
+def molecule_lines(spark, sf):
+    """Lines read into atoms and bonds, counted for each."""
+    lines = _lines(spark, sf)
+    atoms, bonds, failed = molecules.read_lines(lines, "p_partkey", "line")
+    a = atoms.groupBy(F.col("mol_id").alias("p_partkey")).agg(F.count("*").alias("n_atoms"), F.sum("charge").alias("charge"))
+    b = bonds.groupBy(F.col("mol_id").alias("p_partkey")).agg(F.count("*").alias("n_bonds"), F.count_if(F.col("bond_order") == 2).alias("n_double"), F.count_if("aromatic").alias("n_aromatic"))
+    f = failed.select(F.col("mol_id").alias("p_partkey"), F.lit(True).alias("failed"))
+    every = lines.select("p_partkey").join(a, "p_partkey", "left").join(b, "p_partkey", "left").join(f, "p_partkey", "left")
+    return every.na.fill(0).na.fill(False).select("p_partkey", "n_atoms", "n_bonds", "n_double", "n_aromatic", "charge", "failed")
+
+
+@_query(f"""WITH {_LINES}, v AS (SELECT *, unnest(range(1, [1, 0, 2, 1, 0, 0][k + 1] + 1)) AS variant FROM p)
+  SELECT p_partkey, variant, CAST([a + 2, 0, a + 6, a + 8][k + 1] AS BIGINT) AS n_atoms, CAST([a + 1, 0, a + 5, a + 8][k + 1] AS BIGINT) AS n_bonds, CAST(1 AS BIGINT) AS n_double FROM v""")
+def cleaned_lines(spark, sf):
+    """Lines screened, read, turned into variants with one double bond, written, and read once more."""
+    out, _ = lifecycles.cleaned_lines(_lines(spark, sf), "p_partkey", "line")
+    atoms, bonds, _ = molecules.read_lines(out.select(F.struct("mol_id", "variant").alias("of"), "line"), "of", "line")
+    b = bonds.groupBy("mol_id").agg(F.count("*").alias("n_bonds"), F.count_if((F.col("bond_order") == 2) & ~F.col("aromatic")).alias("n_double"))
+    both = atoms.groupBy("mol_id").agg(F.count("*").alias("n_atoms")).join(b, "mol_id")
+    return both.select(F.col("mol_id.mol_id").alias("p_partkey"), F.col("mol_id.variant").cast("long").alias("variant"), "n_atoms", "n_bonds", "n_double")
+
+
+@_query(f"""WITH {_LINES} SELECT CAST(CASE WHEN k = 0 AND a = 1 THEN 3 ELSE 4 END AS BIGINT) AS n_atoms, CASE WHEN k = 0 AND a = 1 THEN 'C=%01.C=%01%02.C%02' ELSE 'border' END AS line, count(*) AS n FROM p WHERE k IN (0, 3) GROUP BY 1, 2""")
+def motif_lines(spark, sf):
+    """Motifs around the only double bond: a chain of one is whole, all others look alike two bonds off."""
+    atoms, bonds, _ = molecules.read_lines(_lines(spark, sf), "p_partkey", "line")
+    found = lifecycles.motif_lines(atoms, bonds, 2)
+    whole = F.when(F.col("line").contains("*"), "border").otherwise("C=%01.C=%01%02.C%02")
+    return found.groupBy("motif_key").agg(F.first("n_atoms").alias("n_atoms"), F.first(whole).alias("line"), F.count("*").alias("n")).drop("motif_key")
