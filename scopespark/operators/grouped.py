@@ -86,7 +86,7 @@ def vote(params: DataFrame, param: str = "param", value: str = "value", seen: st
 
 
 def elbow(curve: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: the point of the curve farthest below or above the chord of its ends.
+    """One row: the point of the curve farthest below or above the chord of its ends; a curve without points is an error.
 
     The ends are grouped extremes and the distance is a projection, so no single-partition window is needed.
     """
@@ -94,4 +94,6 @@ def elbow(curve: DataFrame, x: str, y: str) -> DataFrame:
     wide = F.col("b")[x] - F.col("a")[x]
     line = F.when(wide == 0, F.col(y)).otherwise(F.col("a")[y] + (F.col("b")[y] - F.col("a")[y]) * (F.col(x) - F.col("a")[x]) / wide)
     far = curve.crossJoin(F.broadcast(ends)).select(x, y, F.abs(F.col(y) - line).alias("distance"))  # ends: one row
-    return far.agg(F.max(F.struct("distance", (-F.col(x)).alias("nx"), x, y)).alias("m")).where("m is not null").select(f"m.{x}", f"m.{y}", "m.distance")
+    best = far.agg(F.max(F.struct("distance", (-F.col(x)).alias("nx"), x, y)).alias("m"))
+    missing = F.raise_error(F.lit("the curve has no points")).cast(curve.schema[x].dataType)
+    return best.select(F.coalesce(f"m.{x}", missing).alias(x), f"m.{y}", "m.distance")
