@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,9 +104,14 @@ def pca(df: DataFrame, columns: Sequence[str], k: int | None = None) -> Pca:
     columns = list(columns)
     numbers = [F.col(c).cast("double") for c in columns]
     df = df.where(reduce(lambda a, b: a & b, [x.isNotNull() & ~F.isnan(x) for x in numbers]))
-    stats = df.agg(*[f(x) for x in numbers for f in (F.avg, partial(_spread, F.stddev_pop))], F.count("*")).first()
-    mean, dev, n = np.array(stats[0:-1:2], dtype=float), np.array(stats[1:-1:2], dtype=float), stats[-1]
-    varied = dev > 0
+    if df.isEmpty():
+        raise ValueError("no row is complete in all columns")
+    # one vector aggregate in place of some hundred column aggregates, too many to be compiled together
+    metrics = Summarizer.metrics("mean", "variance", "min", "max", "count").summary(F.col("features"))
+    s = _vectors(df, columns).agg(metrics.alias("s")).first()["s"]
+    mean, n = s["mean"].toArray(), s["count"]
+    varied = s["max"].toArray() > s["min"].toArray()
+    dev = np.where(varied, np.sqrt(s["variance"].toArray() * (n - 1) / n), 0.0)
     r = np.zeros((len(columns), len(columns)))
     if varied.any():
         own = [c for c, v in zip(columns, varied) if v]

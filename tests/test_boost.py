@@ -1,10 +1,11 @@
-"""Boosted chains against NumPy, staged predictions, the search grid, and plans of the graph operators."""
+"""Boosted chains against NumPy, staged predictions, the search grid, plans of the graph operators, and empty inputs."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scopespark.operators import boost, graph
+from scopespark.functions.columns import union_common
+from scopespark.operators import boost, features, graph, grouped
 
 
 def _split(x, g):
@@ -100,6 +101,23 @@ def test_search_and_evaluation(spark):
     assert {r["repeat"]: round(r["s"], 6) for r in ranked.groupBy("repeat").agg(F.sum("importance").alias("s")).collect()} == {0: 1.0, 1: 1.0}
 
 
+@pytest.mark.parametrize("rows", [[], [(1, None, 1.0)]])
+def test_projection_needs_a_complete_row(spark, rows):
+    with pytest.raises(ValueError, match="complete"):
+        features.pca(spark.createDataFrame(rows, "k int, a double, b double"), ["a", "b"])
+
+
+def test_elbow_needs_points(spark):
+    with pytest.raises(Exception, match="no points"):
+        grouped.elbow(spark.createDataFrame([], "k int, cost double"), "k", "cost").collect()
+
+
+def test_strict_union_shrinks_to_nothing(spark):
+    one, two = spark.createDataFrame([(1, 2)], "k int, a int"), spark.createDataFrame([(3, 4)], "k int, b int")
+    out, skipped = union_common({"one": one, "two": two}, "k", strict=True)
+    assert out.columns == ["k"] and out.count() == 2 and skipped == []
+
+
 def test_graphs_are_shuffled_once(spark):
     """From bonds dealt out by graph, motifs and shells need no exchange of their own."""
     bonds = spark.range(200).selectExpr("id div 4 as mol_id", "id % 4 as src", "id % 4 + 1 as dst", "if(id % 3 = 0, 2, 1) as bond_order")
