@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scopespark.functions.columns import Roles, apply_roles, union_common
-from scopespark.operators import graph
+from scopespark.operators import graph, substructure
 from scopespark.operators.clean import align_yield, screen_records
 from scopespark.operators.features import kmeans, pca, scores, select_features
 from scopespark.operators.grouped import split_routes
 from scopespark.operators.learn import evaluate_gbt, tune_gbt
 from scopespark.operators.lookup import classify_scope
+from scopespark.session import spool
 from scopespark.sources.molecules import read_lines, write_lines
 
 
@@ -83,3 +84,18 @@ def motif_lines(atoms: DataFrame, bonds: DataFrame, r: int) -> DataFrame:
     cleared = {"element": F.when(star, "*").otherwise(F.col("element")), "aromatic": ~star & F.coalesce("still", F.lit(False)), "isotope": F.when(star, 0).otherwise(F.col("isotope")), "charge": F.when(star, 0).otherwise(F.col("charge")), "hydrogens": F.when(~star, F.col("hydrogens"))}
     text = write_lines(own.withColumns(cleared).drop("border", "still"), own_bonds)
     return graph.motifs(whole, found, r, atoms).join(text, "mol_id").select("mol_id", "motif_key", "n_atoms", "line")
+
+
+def line_features(rows: DataFrame, key: str, line: str, keys: int = 167) -> tuple[DataFrame, DataFrame]:
+    """((key, bit0, bit1, ..., descriptors), (key, line)): lines to a feature table, and the lines that don't parse.
+
+    Every distinct line is read and described once, however many rows hold it.  Rows with a null key keep it; null and empty
+    lines are in neither table.
+    """
+    own = rows.select(F.col(key).alias("__key"), F.trim(F.col(line)).alias("mol_id"))
+    atoms, bonds, failed = read_lines(own.select("mol_id").distinct(), "mol_id", "mol_id")
+    told = spool(substructure.molecule_rows(graph.colocated(atoms), graph.colocated(bonds)), "molecule_rows")  # read for keys and for descriptors
+    bits = substructure.key_columns(substructure.pattern_keys(told, substructure.KEYS), keys)
+    features = bits.join(substructure.descriptors(told), "mol_id")
+    named = lambda df: df.withColumnRenamed("__key", key)
+    return named(own.join(features, "mol_id").drop("mol_id")), named(own.join(failed.select("mol_id"), "mol_id", "left_semi").select("__key", F.col("mol_id").alias("line")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scopespark.functions import columns as C
-from scopespark.operators import boost, clean, features, graph, grouped, learn, lookup, sampling
+from scopespark.operators import boost, clean, features, graph, grouped, learn, lookup, sampling, substructure
 from scopespark.plans import lifecycles
 from scopespark.session import scratch_dir
 from scopespark.sources import molecules, tables
@@ -573,6 +573,64 @@ def count_keys(spark, sf):
     return graph.count_keys(_atoms(_bonds(spark, sf)), {"o_gt_3": (el == "O", 3), "n_gt_1": (el == "N", 1), "halogen": (el == "Cl", 0)})
 
 
+_RINGS_SQL = f"""{_GRAPH_SQL}, {_ORDERED}, own AS (SELECT mol_id, a AS atom, {_KIND.format("a")} AS el, count(*) AS d, sum(bond_order) AS used FROM o GROUP BY 1, 2),
+  way AS (SELECT mol_id, src, dst, src AS atom FROM bonds UNION SELECT w.mol_id, w.src, w.dst, e.b FROM way w JOIN e ON e.mol_id = w.mol_id AND e.a = w.atom WHERE NOT (least(e.a, e.b) = w.src AND greatest(e.a, e.b) = w.dst)),
+  ring AS (SELECT DISTINCT mol_id, src, dst FROM way WHERE atom = dst),
+  x AS (SELECT o.*, p.el AS ea, q.el AS eb, ring.src IS NOT NULL AS ring FROM o JOIN own p ON p.mol_id = o.mol_id AND p.atom = o.a JOIN own q ON q.mol_id = o.mol_id AND q.atom = o.b
+    LEFT JOIN ring ON ring.mol_id = o.mol_id AND ring.src = least(o.a, o.b) AND ring.dst = greatest(o.a, o.b)),
+  two AS (SELECT x.mol_id, x.a, x.b, y.b AS c, x.ea, x.eb, y.eb AS ec, x.bond_order AS o1, y.bond_order AS o2, x.ring AS r1, y.ring AS r2 FROM x JOIN x y ON y.mol_id = x.mol_id AND y.a = x.b AND y.b <> x.a)"""
+#: The keys that the queries compare with joins.
+_SOME_KEYS = (11, 13, 22, 45, 62, 69, 77, 117, 126, 130, 136, 138, 139, 140, 143, 146, 154, 160, 165)
+
+
+@_query(f"""WITH RECURSIVE {_RINGS_SQL},
+  three AS (SELECT t.*, y.b AS d, y.ring AS r3 FROM two t JOIN x y ON y.mol_id = t.mol_id AND y.a = t.c AND y.b <> t.a AND y.b <> t.b),
+  hy AS (SELECT mol_id, atom, el, CASE el WHEN 'C' THEN 4 WHEN 'O' THEN 2 WHEN 'Cl' THEN 1 ELSE CASE WHEN used <= 3 THEN 3 ELSE 5 END END - used AS h FROM own),
+  k AS (
+    SELECT mol_id, 11 AS key FROM three JOIN e USING (mol_id) WHERE e.a = d AND e.b = three.a
+    UNION SELECT t.mol_id, 13 FROM two t JOIN x y ON y.mol_id = t.mol_id AND y.a = t.b AND y.b NOT IN (t.a, t.c) WHERE t.ea = 'O' AND t.eb = 'N' AND t.ec = 'C' AND y.eb = 'C'
+    UNION SELECT two.mol_id, 22 FROM two JOIN e ON e.mol_id = two.mol_id AND e.a = two.c AND e.b = two.a
+    UNION SELECT mol_id, 45 FROM two WHERE ea = 'C' AND eb = 'C' AND ec = 'N' AND o1 = 2
+    UNION SELECT mol_id, 62 FROM three WHERE r1 AND NOT r2 AND r3
+    UNION SELECT x.mol_id, 69 FROM x JOIN hy h ON h.mol_id = x.mol_id AND h.atom = x.b WHERE ea <> 'C' AND eb <> 'C' AND h.h > 0
+    UNION SELECT mol_id, 77 FROM two WHERE ea = 'N' AND ec = 'N'
+    UNION SELECT mol_id, 117 FROM two WHERE ea = 'N' AND ec = 'O'
+    UNION SELECT mol_id, 126 FROM two WHERE eb = 'O' AND NOT r1 AND NOT r2
+    UNION SELECT mol_id, 130 FROM x WHERE a < b AND ea <> 'C' AND eb <> 'C' GROUP BY 1 HAVING count(*) > 1
+    UNION SELECT mol_id, 136 FROM x WHERE ea = 'O' AND bond_order = 2 GROUP BY 1 HAVING count(DISTINCT least(a, b) * 100 + greatest(a, b)) > 1
+    UNION SELECT mol_id, 138 FROM (SELECT DISTINCT t.mol_id, list_sort([t.a, t.b, t.c]) AS s FROM two t JOIN hy h ON h.mol_id = t.mol_id AND h.atom = t.b WHERE ea <> 'C' AND eb = 'C' AND h.h = 2) GROUP BY 1 HAVING count(*) > 1
+    UNION SELECT mol_id, 139 FROM hy h WHERE el = 'O' AND h > 0
+    UNION SELECT mol_id, 140 FROM own WHERE el = 'O' GROUP BY 1 HAVING count(*) > 3
+    UNION SELECT mol_id, 143 FROM two WHERE r1 AND NOT r2 AND ec = 'O'
+    UNION SELECT mol_id, 146 FROM own WHERE el = 'O' GROUP BY 1 HAVING count(*) > 2
+    UNION SELECT mol_id, 154 FROM x WHERE ea = 'C' AND eb = 'O' AND bond_order = 2
+    UNION SELECT mol_id, 160 FROM hy h WHERE el = 'C' AND h = 3
+    UNION SELECT mol_id, 165 FROM ring)
+  SELECT DISTINCT mol_id, CAST(key AS INTEGER) AS key FROM k""")
+def substructure_keys(spark, sf):
+    """Keys of every graph, those that joins can tell."""
+    b = _bonds(spark, sf)
+    keys = substructure.pattern_keys(substructure.molecule_rows(_atoms(b), b), {k: substructure.KEYS[k] for k in _SOME_KEYS})
+    return keys.select("mol_id", F.explode("keys").alias("key"))
+
+
+@_query(f"""WITH RECURSIVE {_RINGS_SQL}, linked AS (SELECT mol_id, a, a AS b FROM e UNION SELECT r.mol_id, r.a, e.b FROM linked r JOIN e ON e.mol_id = r.mol_id AND e.a = r.b),
+  parts AS (SELECT mol_id, count(DISTINCT part) AS parts FROM (SELECT mol_id, a, min(b) AS part FROM linked GROUP BY 1, 2) GROUP BY 1),
+  ra AS (SELECT mol_id, count(DISTINCT atom) AS n FROM (SELECT mol_id, src AS atom FROM ring UNION ALL SELECT mol_id, dst FROM ring) GROUP BY 1),
+  b AS (SELECT x.mol_id, count(*) AS bonds, sum(1 / sqrt(p.d * q.d)) AS chi1, sum(sqrt((p.d + q.d - 2) / (p.d * q.d))) AS abc, sum(p.d * q.d) AS z2, count(*) FILTER (bond_order = 1 AND NOT ring AND p.d > 1 AND q.d > 1) AS rot
+    FROM x JOIN own p ON p.mol_id = x.mol_id AND p.atom = x.a JOIN own q ON q.mol_id = x.mol_id AND q.atom = x.b WHERE a < x.b GROUP BY 1),
+  a AS (SELECT mol_id, count(*) AS atoms, count(*) FILTER (el <> 'C') AS het, sum(1 / sqrt(d)) AS chi0, sum(d * d) AS z1, count(*) FILTER (el IN ('N', 'O')) AS n_no FROM own GROUP BY 1)
+  SELECT a.mol_id, CAST(atoms AS INTEGER) AS n_atoms, CAST(het AS INTEGER) AS n_hetero, CAST(bonds - atoms + parts AS INTEGER) AS n_rings, CAST(coalesce(ra.n, 0) AS INTEGER) AS n_ring_atoms, CAST(rot AS INTEGER) AS n_rotatable,
+    CAST(n_no AS INTEGER) AS n_no, round(chi0, 4) AS chi0, round(chi1, 4) AS chi1, round(abc, 4) AS abc, CAST(z1 AS DOUBLE) AS zagreb1, CAST(z2 AS DOUBLE) AS zagreb2
+  FROM a JOIN b USING (mol_id) JOIN parts USING (mol_id) LEFT JOIN ra ON ra.mol_id = a.mol_id""")
+def descriptors(spark, sf):
+    """Counts and connectivity indices of every graph."""
+    b = _bonds(spark, sf)
+    told = substructure.descriptors(substructure.molecule_rows(_atoms(b), b))
+    rounded = [F.round(c, 4).alias(c) for c in ("chi0", "chi1", "abc")]
+    return told.select("mol_id", "n_atoms", "n_hetero", "n_rings", "n_ring_atoms", "n_rotatable", "n_no", *rounded, "zagreb1", "zagreb2")
+
+
 # ---- learning and streams -------------------------------------------------------------------------
 
 _PART_FEATURES = ["p_size", "p_partkey"]
@@ -811,3 +869,12 @@ def motif_lines(spark, sf):
     found = lifecycles.motif_lines(atoms, bonds, 2)
     whole = F.when(F.col("line").contains("*"), "border").otherwise("C=%01.C=%01%02.C%02")
     return found.groupBy("motif_key").agg(F.first("n_atoms").alias("n_atoms"), F.first(whole).alias("line"), F.count("*").alias("n")).drop("motif_key")
+
+
+@_query(f"""WITH {_LINES} SELECT p_partkey, CAST([0, 1, 0, 1, 0, 0][k + 1] AS INTEGER) AS ring, CAST(k = 3 AS INTEGER) AS aromatic, CAST(k IN (0, 2, 3) AS INTEGER) AS double_carbons, CAST(k = 1 AS INTEGER) AS carbonyl,
+  CAST(k = 5 AS INTEGER) AS charged, CAST([a + 2, a + 3, a + 6, a + 8, 0, a + 1][k + 1] AS INTEGER) AS n_atoms, CAST(k IN (1, 3) AS INTEGER) AS n_rings FROM p WHERE k <> 4""")
+def line_features(spark, sf):
+    """The chain from lines to all keys and descriptors; some of them are compared."""
+    out, _ = lifecycles.line_features(_lines(spark, sf), "p_partkey", "line")
+    named = {165: "ring", 162: "aromatic", 99: "double_carbons", 154: "carbonyl", 49: "charged"}
+    return out.select("p_partkey", *[F.col(f"bit{k}").alias(n) for k, n in named.items()], "n_atoms", "n_rings")
