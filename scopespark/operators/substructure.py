@@ -40,14 +40,14 @@ Test = Callable[[str], str]
 # ---- molecules as rows ----------------------------------------------------------------------------
 
 
-def _hydrogens(atom: Column, near: Column) -> Column:
-    """Hydrogens told, or implied by the valences."""
+def _implied(atom: Column, near: Column) -> Column:
+    """Hydrogens implied by the valences."""
     used = F.aggregate(near, F.lit(0), lambda n, e: n + e["order"]) + F.when(atom["aromatic"], 1).otherwise(0)
     known = F.create_map(*[x for s, vs in VALENCES.items() for x in (F.lit(s), F.array(*map(F.lit, vs)))])
     fits = F.try_element_at(known, atom["element"])
     lowest = F.when(atom["aromatic"], F.slice(fits, 1, 1)).otherwise(fits)
     free = F.get(F.filter(lowest, lambda v: v >= used), F.lit(0)) - used
-    return F.coalesce(atom["hydrogens"], free, F.lit(0)).cast("int")
+    return F.coalesce(free, F.lit(0)).cast("int")
 
 
 def _paths(near: Column) -> Column:
@@ -94,11 +94,11 @@ def _in_rings(near: Column, paths: Column) -> Column:
 def molecule_rows(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """(mol_id, parts, atoms): each molecule in one row; tables ``colocated`` before aren't shuffled again.
 
-    An entry of ``atoms`` has element, charge, aromatic, hydrogens, ring and ``near``: (to, order, aromatic, ring) for each bond around
+    An entry of ``atoms`` has element, charge, isotope, aromatic, hydrogens, implied (the hydrogens that the valences tell), ring and ``near``: (to, order, aromatic, ring) for each bond around
     it, ``to`` a position in the same array.  ``parts`` is the number of connected parts.
     """
     given = lambda df, c, other, t: (F.coalesce(F.col(c), F.lit(other)) if c in df.columns else F.lit(other)).cast(t).alias(c)
-    own = atoms.where("mol_id is not null and atom_id is not null").select("mol_id", F.struct(F.col("atom_id").cast("long").alias("atom_id"), F.coalesce("element", F.lit("*")).alias("element"), given(atoms, "charge", 0, "int"), given(atoms, "aromatic", False, "boolean"), given(atoms, "hydrogens", None, "int")).alias("a"))
+    own = atoms.where("mol_id is not null and atom_id is not null").select("mol_id", F.struct(F.col("atom_id").cast("long").alias("atom_id"), F.coalesce("element", F.lit("*")).alias("element"), given(atoms, "isotope", 0, "int"), given(atoms, "charge", 0, "int"), given(atoms, "aromatic", False, "boolean"), given(atoms, "hydrogens", None, "int")).alias("a"))
     own = own.groupBy("mol_id", "a.atom_id").agg(F.min("a").alias("a")).groupBy("mol_id").agg(F.array_sort(F.collect_list("a")).alias("own"))
     ends = bonds.where("src <> dst").select("mol_id", F.least("src", "dst").cast("long").alias("src"), F.greatest("src", "dst").cast("long").alias("dst"), given(bonds, "bond_order", 1, "int"), given(bonds, "aromatic", False, "boolean"))
     edges = ends.groupBy("mol_id", "src", "dst").agg(F.max("bond_order").alias("order"), F.max("aromatic").alias("aromatic"))
@@ -116,7 +116,7 @@ def molecule_rows(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
 
     def told(near: Column) -> Column:
         def whole(paths: Column) -> Column:
-            atom = lambda ns: lambda a, i: F.struct(a["element"].alias("element"), a["charge"].alias("charge"), a["aromatic"].alias("aromatic"), _hydrogens(a, F.get(ns, i)).alias("hydrogens"), F.exists(F.get(ns, i), lambda e: e["ring"]).alias("ring"), F.get(ns, i).alias("near"))
+            atom = lambda ns: lambda a, i: F.struct(a["element"].alias("element"), a["charge"].alias("charge"), a["isotope"].alias("isotope"), a["aromatic"].alias("aromatic"), F.coalesce(a["hydrogens"], _implied(a, F.get(ns, i))).alias("hydrogens"), _implied(a, F.get(ns, i)).alias("implied"), F.exists(F.get(ns, i), lambda e: e["ring"]).alias("ring"), F.get(ns, i).alias("near"))
             listed = _let(_in_rings(near, paths), lambda ns: F.transform("own", atom(ns)))
             return F.struct(F.size(F.filter(paths, lambda p: F.size(p) == 1)).alias("parts"), listed.alias("atoms"))
 
@@ -345,6 +345,67 @@ def descriptors(rows: DataFrame) -> DataFrame:
     }
     return rows.select("mol_id", *[c.alias(name) for name, c in told.items()])
 
+# ---- canonical order ------------------------------------------------------------------------------
+
+
+def _dense(values: Column) -> Column:
+    """Places of values among the distinct ones in order, from 1."""
+    return _let(F.array_sort(F.array_distinct(values)), lambda known: F.transform(values, lambda v: F.array_position(known, v).cast("int")))
+
+
+def _ranks(atoms: Column) -> Column:
+    """A rank from 1 for every atom, which doesn't depend on the order of the atoms.
+
+    Ranks are refined by those of the atoms around; where that tells no more atoms apart, one atom of the first tied rank goes first.
+    Every round tells one more atom apart at least, so as many rounds as atoms are enough.
+    """
+    own = lambda a: F.struct(a["element"], a["isotope"], a["charge"], a["aromatic"], a["hydrogens"], F.size(a["near"]))
+
+    def refined(now: Column) -> Column:
+        around = lambda a: F.array_sort(F.transform(a["near"], lambda e: F.struct(e["order"], e["aromatic"], F.get(now, e["to"]).alias("rank"))))
+        return _dense(F.transform(atoms, lambda a, i: F.struct(F.get(now, i).alias("rank"), around(a).alias("around"))))
+
+    def parted(now: Column) -> Column:
+        tied = F.array_min(F.filter(now, lambda r: F.size(F.filter(now, lambda q: q == r)) > 1))
+        one = F.array_position(now, tied)
+        return _dense(F.transform(now, lambda r, i: 2 * r + F.when(i + 1 == one, 0).otherwise(1)))
+
+    def told(now: Column, _: Column) -> Column:
+        grown = _let(refined(now), lambda new: F.when(F.array_max(new) > F.array_max(now), new).otherwise(parted(new)))
+        return F.when(F.array_max(now) < F.size(now), grown).otherwise(now)
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(atoms)), _dense(F.transform(atoms, own)), told)
+
+
+def canonical_rows(rows: DataFrame) -> DataFrame:
+    """(mol_id, canonical_key, ranked): a key of each whole molecule, for joins and grouping, and its atoms in canonical order.
+
+    The key hashes the atoms in canonical order with all their bonds, so molecules with one key are the same molecule.
+    All numberings of a molecule have one key, but for rare graphs whose atoms look alike all round without being
+    interchangeable.  ``ranked``: (element, isotope, charge, aromatic, hydrogens, implied, near), ``near``: (to, order, aromatic) by rank.
+    """
+
+    def whole(atoms: Column) -> Column:
+        def listed(ranks: Column) -> Column:
+            near = lambda a: F.array_sort(F.transform(a["near"], lambda e: F.struct(F.get(ranks, e["to"]).alias("to"), e["order"].alias("order"), e["aromatic"].alias("aromatic"))))
+            atom = lambda a, i: F.struct(F.get(ranks, i).alias("rank"), *[a[c].alias(c) for c in ("element", "isotope", "charge", "aromatic", "hydrogens", "implied")], near(a).alias("near"))
+            return F.array_sort(F.transform(atoms, atom))
+
+        return _let(_ranks(atoms), listed)
+
+    ranked = rows.select("mol_id", _let(F.col("atoms"), whole).alias("ranked"))
+    return ranked.select("mol_id", F.md5(F.to_json("ranked").cast("binary")).alias("canonical_key"), "ranked")
+
+
+def canonical_tables(canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(atoms, bonds) of ``canonical_rows`` for writing, numbered by rank; hydrogens are told where the valences don't imply them."""
+    a = canonical.select("mol_id", F.explode("ranked").alias("a"))
+    hydrogens = F.when(F.col("a.hydrogens") != F.col("a.implied"), F.col("a.hydrogens")).when((F.col("a.isotope") != 0) | (F.col("a.charge") != 0), F.col("a.hydrogens"))
+    atoms = a.select("mol_id", F.col("a.rank").alias("atom_id"), "a.element", "a.isotope", "a.charge", "a.aromatic", hydrogens.alias("hydrogens"))
+    bonds = a.select("mol_id", F.col("a.rank").alias("src"), F.explode("a.near").alias("e")).where("src < e.to")
+    return atoms, bonds.select("mol_id", "src", F.col("e.to").alias("dst"), F.col("e.order").alias("bond_order"), "e.aromatic")
+
+
 # ---- the keys -------------------------------------------------------------------------------------
 
 # Key numbers, their patterns, and the number of matches that each has to exceed.

@@ -99,3 +99,19 @@ def line_features(rows: DataFrame, key: str, line: str, keys: int = 167) -> tupl
     features = bits.join(substructure.descriptors(told), "mol_id")
     named = lambda df: df.withColumnRenamed("__key", key)
     return named(own.join(features, "mol_id").drop("mol_id")), named(own.join(failed.select("mol_id"), "mol_id", "left_semi").select("__key", F.col("mol_id").alias("line")))
+
+
+def canonical_lines(rows: DataFrame, key: str, line: str) -> tuple[DataFrame, DataFrame]:
+    """((key, canonical_key, canonical_line), (key, line)): one key and one line for all ways to write a molecule.
+
+    Every distinct line is read once; rows with a null key keep it, null and empty lines are in neither table.  Molecules of more than
+    99 bonds have a key and a null line.
+    """
+    own = rows.select(F.col(key).alias("__key"), F.trim(F.col(line)).alias("mol_id"))
+    atoms, bonds, failed = read_lines(own.select("mol_id").distinct(), "mol_id", "mol_id")
+    told = spool(substructure.canonical_rows(substructure.molecule_rows(graph.colocated(atoms), graph.colocated(bonds))), "canonical")
+    size = F.aggregate("ranked", F.lit(0), lambda n, a: n + F.size(a["near"])) / 2
+    text = write_lines(*substructure.canonical_tables(told.where(size <= 99))).withColumnRenamed("line", "canonical_line")
+    named = lambda df: df.withColumnRenamed("__key", key)
+    out = own.join(told.select("mol_id", "canonical_key"), "mol_id").join(text, "mol_id", "left").drop("mol_id")
+    return named(out), named(own.join(failed.select("mol_id"), "mol_id", "left_semi").select("__key", F.col("mol_id").alias("line")))

@@ -878,3 +878,17 @@ def line_features(spark, sf):
     out, _ = lifecycles.line_features(_lines(spark, sf), "p_partkey", "line")
     named = {165: "ring", 162: "aromatic", 99: "double_carbons", 154: "carbonyl", 49: "charged"}
     return out.select("p_partkey", *[F.col(f"bit{k}").alias(n) for k, n in named.items()], "n_atoms", "n_rings")
+
+
+@_query(f"""WITH {_LINES} SELECT p_partkey, min(p_partkey) OVER (PARTITION BY k, a) AS first_same FROM p WHERE k <> 4""")
+def canonical_lines(spark, sf):
+    """The first part with the same molecule, where every other line is written the other way round."""
+    a = (F.col("p_size") % 4 + 1).cast("int")
+    run = lambda c: F.repeat(F.lit(c), a)
+    turned = [F.concat(F.lit("C=C"), run("C")), F.concat(F.lit("O=C1"), run("C"), F.lit("C1")), F.concat(F.lit("C=CC=CC(O)"), run("N")), F.concat(F.lit("C=C"), run("C"), F.lit("c1ccccc1")), F.lit("C("), F.concat(F.lit("[O-]"), run("C"))]
+    parts = _t(spark, sf, "part").select("p_partkey", "p_size").repartition("p_partkey")
+    other = parts.select("p_partkey", F.element_at(F.array(*turned), (F.col("p_partkey") % 6 + 1).cast("int")).alias("turned"))
+    lines = _lines(spark, sf).join(other, "p_partkey").select("p_partkey", F.when(F.col("p_partkey") % 12 < 6, F.col("line")).otherwise(F.col("turned")).alias("line"))
+    out, _ = lifecycles.canonical_lines(lines, "p_partkey", "line")
+    first = out.groupBy("canonical_key").agg(F.min("p_partkey").alias("first_same"))
+    return out.join(first, "canonical_key").select("p_partkey", "first_same")

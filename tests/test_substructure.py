@@ -154,3 +154,61 @@ def test_line_features(spark):
     assert got == [(1, 1, 0, 3), (1, 1, 0, 3), (2, 1, 0, 3), (None, 0, 1, 6)]
     assert [tuple(r) for r in failed.collect()] == [(3, "C1CC")]
     assert len(out.columns) == 1 + 167 + 15
+
+
+def _isomorphic(one, two):
+    if sorted(one[0]) != sorted(two[0]) or sorted(one[1].values()) != sorted(two[1].values()):
+        return False
+    for at in itertools.permutations(range(len(one[0]))):
+        if all(one[0][i] == two[0][x] for i, x in enumerate(at)) and all(two[1].get((min(at[a], at[b]), max(at[a], at[b]))) == o for (a, b), o in one[1].items()):
+            return True
+    return False
+
+
+def test_canonical_keys_by_brute_force(spark):
+    rng = random.Random(3)
+    graphs = [g for g in (_graph(rng) for _ in range(120)) if len(g[0]) <= 6]
+    graphs = [([x if rng.random() < 0.2 else "C" for x in e], b) for e, b in graphs]
+    shuffled = []
+    for elements, bonds in graphs:
+        at = rng.sample(range(len(elements)), len(elements))
+        named = {x: e for x, e in zip(at, elements, strict=True)}
+        shuffled.append(([named[i] for i in range(len(elements))], {(min(at[a], at[b]), max(at[a], at[b])): o for (a, b), o in bonds.items()}))
+    both = graphs + shuffled
+    keys = {r["mol_id"]: r["canonical_key"] for r in S.canonical_rows(S.molecule_rows(*_tables(spark, both))).collect()}
+    n = len(graphs)
+    assert all(keys[i] == keys[i + n] for i in range(n))
+    same = 0
+    for i, j in itertools.combinations(range(n), 2):
+        iso = _isomorphic(both[i], both[j])
+        same += iso
+        assert (keys[i] == keys[j]) == iso
+    assert same > 10
+
+
+def test_canonical_lines(spark):
+    groups = [
+        ["CCO", "OCC", "C(O)C", "[CH3]CO"],
+        ["c1ccccc1C", "Cc1ccccc1"],
+        ["C1CCC2CCCCC2C1", "C1CCCC2C1CCCC2"],
+        ["C1CCCC1C1CCCC1"],
+        ["CC.O", "O.CC"],
+        ["[13CH4]"],
+        ["C", " [CH4] "],
+        ["[CH3]"],
+        ["[O-]CC[NH3+]", "[NH3+]CC[O-]"],
+        ["c1cc[nH]c1", "[nH]1cccc1"],
+        ["N" + "C" * 120, "C" * 120 + "N"],
+    ]
+    rows = [(g, line) for g, lines in enumerate(groups) for line in lines]
+    out, failed = lifecycles.canonical_lines(spark.createDataFrame([*rows, (99, "C("), (99, None)], "ranked int, line string"), "ranked", "line")
+    got = out.collect()
+    assert [tuple(r) for r in failed.collect()] == [(99, "C(")] and len(got) == len(rows)
+    keys = {g: {r["canonical_key"] for r in got if r["ranked"] == g} for g in range(len(groups))}
+    assert all(len(k) == 1 for k in keys.values()) and len(set.union(*keys.values())) == len(groups)
+    lines = {r["ranked"]: r["canonical_line"] for r in got}
+    assert lines.pop(len(groups) - 1) is None
+    again, bad = lifecycles.canonical_lines(spark.createDataFrame(list(lines.items()), "ranked int, line string"), "ranked", "line")
+    for r in again.collect():
+        assert {r["canonical_key"]} == keys[r["ranked"]] and r["canonical_line"] == lines[r["ranked"]]
+    assert bad.count() == 0
