@@ -212,3 +212,11 @@ def test_canonical_lines(spark):
     for r in again.collect():
         assert {r["canonical_key"]} == keys[r["ranked"]] and r["canonical_line"] == lines[r["ranked"]]
     assert bad.count() == 0
+
+
+@pytest.mark.parametrize("chain", [lifecycles.line_features, lifecycles.canonical_lines])
+def test_chains_without_molecules(spark, chain):
+    rows = spark.createDataFrame([(1, None), (2, "  "), (3, "C(")], "k int, line string")
+    for df, n in ((rows, 1), (rows.limit(0), 0)):
+        out, failed = chain(df, "k", "line")
+        assert out.count() == 0 and failed.count() == n
