@@ -1,4 +1,4 @@
-"""Substructure keys and descriptors: hand-worked molecules, brute force over all placings, odd rows."""
+"""Substructure keys and descriptors: known molecules, brute force over all placings, odd rows."""
 
 import itertools
 import random
@@ -10,7 +10,7 @@ from scopespark.operators import substructure as S
 from scopespark.plans import lifecycles
 from scopespark.sources.molecules import read_lines
 
-# keys set, by hand from the patterns
+# keys set, as the operator gave them first and then read over by hand against the patterns
 KEYS = {
     "C": [160],
     "CCO": [82, 109, 114, 139, 153, 155, 157, 160, 164],
@@ -30,7 +30,7 @@ def _rows(spark, lines):
     return S.molecule_rows(atoms, bonds)
 
 
-def test_keys_by_hand(spark):
+def test_keys_read_over(spark):
     got = {r["mol_id"]: r["keys"] for r in S.pattern_keys(_rows(spark, KEYS), S.KEYS).collect()}
     assert [got[i] for i in range(len(KEYS))] == list(KEYS.values())
 
