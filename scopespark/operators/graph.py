@@ -19,9 +19,21 @@ def _both_ways(df: DataFrame, a: str, b: str, x: str, y: str, *more: str) -> Dat
     return df.select("mol_id", F.explode(turned).alias("__e"), *more).select("mol_id", f"__e.{x}", f"__e.{y}", *more)
 
 
-def colocated(bonds: DataFrame) -> DataFrame:
-    """``bonds`` dealt out by graph once: every grouping and join by mol_id below needs no further shuffle."""
-    return bonds.repartition("mol_id")
+#: Rows that ``colocated`` deals to one task, about.
+ROWS = 100_000
+
+
+def parts_for(df: DataFrame, rows: int = ROWS) -> int:
+    """Shuffle partitions for ``df`` by its number of rows, so that a task doesn't grow with the table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
+def colocated(bonds: DataFrame, parts: int | None = None) -> DataFrame:
+    """``bonds`` dealt out by graph once: every grouping and join by mol_id below needs no further shuffle.
+
+    Without a number of partitions Spark would merge small ones into as many as there are cores, however large the table.
+    """
+    return bonds.repartition(parts or parts_for(bonds), "mol_id")
 
 
 def undirected(bonds: DataFrame) -> DataFrame:
@@ -29,12 +41,17 @@ def undirected(bonds: DataFrame) -> DataFrame:
     return _both_ways(bonds, "src", "dst", "a", "b", "bond_order").distinct()
 
 
+def atoms_of(df: DataFrame, atom: str, out: str) -> DataFrame:
+    """(mol_id, out): the atoms of each graph in one array, so that joins go by graph and move no rows."""
+    return df.where(F.col(atom).isNotNull()).groupBy("mol_id").agg(F.collect_set(atom).alias(out))
+
+
 def anchors(bonds: DataFrame, atoms: DataFrame | None = None, element: str = "C", order: int = 2) -> DataFrame:
     """(mol_id, a, b, n): bonds of the order whose ends are the element, and how many the graph has."""
     found = bonds.where(F.col("bond_order") == order).select("mol_id", F.col("src").alias("a"), F.col("dst").alias("b"))
     if atoms is not None:
-        kind = atoms.where(F.col("element") == element).select("mol_id", "atom_id")
-        found = found.join(kind.withColumnRenamed("atom_id", "a"), ["mol_id", "a"], "left_semi").join(kind.withColumnRenamed("atom_id", "b"), ["mol_id", "b"], "left_semi")
+        kind = atoms_of(atoms.where(F.col("element") == element), "atom_id", "kind")
+        found = found.join(kind, "mol_id").where(F.array_contains("kind", F.col("a")) & F.array_contains("kind", F.col("b")))
     count = found.groupBy("mol_id").agg(F.count("*").alias("n"))
     return found.join(count, "mol_id").select("mol_id", "a", "b", "n")
 
@@ -69,11 +86,20 @@ def _ends(found: DataFrame) -> DataFrame:
 
 def walk_counts(edges: DataFrame, found: DataFrame, r: int) -> DataFrame:
     """(mol_id, anchor, atom, n): walks of length r from each anchor end."""
-    e = edges.select("mol_id", F.col("a").alias("atom"), F.col("b").alias("to")).distinct()
-    walks = _ends(found).select("mol_id", "anchor", F.col("anchor").alias("atom"), F.lit(1).cast("long").alias("n"))
-    for _ in range(r):
-        walks = walks.join(e, ["mol_id", "atom"]).groupBy("mol_id", "anchor", F.col("to").alias("atom")).agg(F.sum("n").alias("n"))
-    return walks
+    ends = _ends(found).select("mol_id", "anchor")
+    if not r:
+        return ends.select("mol_id", "anchor", F.col("anchor").alias("atom"), F.lit(1).cast("long").alias("n"))
+    into = lambda atoms: F.transform(atoms, lambda x: F.transform(F.filter("edges", lambda e: e["b"] == x), lambda e: F.array_position(atoms, e["a"]).cast("int") - 1))
+    step = lambda before: lambda now, _: F.transform(before, lambda from_: F.aggregate(from_, F.lit(0).cast("long"), lambda n, i: n + F.get(now, i)))
+
+    def counted(atoms: Column) -> Column:
+        first = F.transform(atoms, lambda x: F.when(x == F.col("anchor"), 1).otherwise(0).cast("long"))
+        last = _let(into(atoms), lambda before: F.aggregate(F.array(*[F.lit(k) for k in range(r)]), first, step(before)))
+        return F.filter(F.zip_with(atoms, last, lambda x, n: F.struct(x.alias("atom"), n.alias("n"))), lambda w: w["n"] > 0)
+
+    rows = ends.join(_by_graph(edges), "mol_id")
+    rows = rows.select("mol_id", "anchor", _each(_let(F.array_distinct(F.flatten(F.transform("edges", lambda e: F.array(e["a"], e["b"])))), counted)).alias("w")).where("w is not null")
+    return rows.select("mol_id", "anchor", "w.atom", "w.n").groupBy("mol_id", "anchor", "atom").agg(F.sum("n").alias("n"))
 
 
 def _by_graph(edges: DataFrame, *more: str) -> DataFrame:
@@ -123,7 +149,7 @@ def boundary(edges: DataFrame, found: DataFrame, r: int, max_walks: int | None =
     edge = least.where(F.col("dist") == r).select("mol_id", "atom")
     if max_walks is not None:
         walks = walk_counts(edges, found, r).groupBy("mol_id", "atom").agg(F.min("n").alias("n"))
-        edge = edge.join(walks.where(F.col("n") <= max_walks), ["mol_id", "atom"], "left_semi")
+        edge = edge.join(atoms_of(walks.where(F.col("n") <= max_walks), "atom", "few"), "mol_id").where(F.array_contains("few", F.col("atom"))).drop("few")
     return edge
 
 
@@ -183,15 +209,13 @@ def break_partial_rings(bonds: DataFrame, network: DataFrame, edge: DataFrame) -
 
     A system is a connected part of the aromatic bonds, so fused rings count as one.
     """
-    both = undirected(bonds.where("aromatic"))
-    system = ring_systems(both)
-    inside = network.select("mol_id", "atom").distinct().withColumn("inside", F.lit(1))
-    on_edge = edge.select("mol_id", "atom").distinct().withColumn("edge", F.lit(1))
-    state = system.join(inside, ["mol_id", "atom"], "left").join(on_edge, ["mol_id", "atom"], "left")
-    partial = state.groupBy("mol_id", "system").agg(F.max("edge").alias("edge"), F.min(F.coalesce("inside", F.lit(0))).alias("whole")).where("edge = 1 and whole = 0")
-    hit = system.join(partial, ["mol_id", "system"], "left_semi").select("mol_id", F.col("atom").alias("src")).withColumn("hit", F.lit(True))
-    marked = bonds.join(hit, ["mol_id", "src"], "left")
-    gone = F.col("aromatic") & F.coalesce("hit", F.lit(False))
+    system = _by_graph(undirected(bonds.where("aromatic"))).select("mol_id", _connected(F.col("edges")).alias("systems"))
+    inside, on_edge = atoms_of(network, "atom", "inside"), atoms_of(edge, "atom", "edge")
+    among = lambda name: lambda x: F.coalesce(F.array_contains(name, x), F.lit(False))
+    partial = lambda p: F.exists(p, among("edge")) & ~F.forall(p, among("inside"))
+    hit = system.join(inside, "mol_id", "left").join(on_edge, "mol_id", "left").select("mol_id", F.flatten(F.filter("systems", partial)).alias("hit"))
+    marked = bonds.join(hit, "mol_id", "left")
+    gone = F.col("aromatic") & F.coalesce(F.array_contains("hit", F.col("src")), F.lit(False))
     return marked.withColumn("bond_order", F.when(gone, 1).otherwise(F.col("bond_order"))).withColumn("aromatic", F.col("aromatic") & ~gone).select(*bonds.columns)
 
 
@@ -226,12 +250,15 @@ def motifs(bonds: DataFrame, found: DataFrame, r: int, atoms: DataFrame | None =
     """
     edges = undirected(bonds)
     near = neighbourhood(edges, found, r)
-    edge = boundary(edges, found, r).withColumn("star", F.lit(True))
-    kinds = atoms.select("mol_id", F.col("atom_id").alias("atom"), "element") if atoms is not None else near.select("mol_id", "atom", F.lit("C").alias("element"))
-    own = near.join(kinds, ["mol_id", "atom"], "left").join(edge, ["mol_id", "atom"], "left")
-    name = F.when(F.col("star"), "*").otherwise(F.coalesce("element", F.lit("?")))
-    first = F.md5(F.concat_ws("|", name, F.col("dist").cast("string")).cast("binary"))
-    rows = own.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("atom", first.alias("c")))).alias("own")).join(_by_graph(edges, "bond_order"), "mol_id")
+    own = near.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("atom", "dist"))).alias("own")).join(atoms_of(boundary(edges, found, r), "atom", "border"), "mol_id", "left")
+    kind = lambda x: F.lit("C")
+    if atoms is not None:
+        told = atoms.where(F.col("element").isNotNull() & F.col("atom_id").isNotNull()).groupBy("mol_id").agg(F.collect_list(F.struct(F.col("atom_id").alias("atom"), "element")).alias("kinds"))
+        own = own.join(told, "mol_id", "left")
+        kind = lambda x: F.get(F.filter("kinds", lambda k: k["atom"] == x), F.lit(0))["element"]
+    name = lambda x: F.when(F.array_contains("border", x), "*").otherwise(F.coalesce(kind(x), F.lit("?")))
+    first = lambda x: F.md5(F.concat_ws("|", name(x["atom"]), x["dist"].cast("string")).cast("binary"))
+    rows = own.withColumn("own", F.transform("own", lambda x: F.struct(x["atom"].alias("atom"), first(x).alias("c")))).join(_by_graph(edges, "bond_order"), "mol_id")
     rows = rows.select("mol_id", "edges", F.transform("own", lambda x: x["atom"]).alias("atoms"), F.transform("own", lambda x: x["c"]).alias("first"))
     inside = F.filter("edges", lambda e: F.array_contains("atoms", e["b"]))
     last = F.element_at(_colourings(F.col("atoms"), F.col("first"), inside, r + 1), -1)

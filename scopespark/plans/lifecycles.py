@@ -74,15 +74,14 @@ def motif_lines(atoms: DataFrame, bonds: DataFrame, r: int) -> DataFrame:
     edges = graph.undirected(bonds)
     near, edge = graph.neighbourhood(edges, found, r), graph.boundary(edges, found, r)
     whole = graph.break_partial_rings(bonds, near, edge)
-    inside = near.select("mol_id", F.col("atom").alias("atom_id"))
-    border = edge.select("mol_id", F.col("atom").alias("atom_id"), F.lit(True).alias("border"))
-    ends = lambda c: inside.withColumnRenamed("atom_id", c)
-    own_bonds = whole.join(ends("src"), ["mol_id", "src"], "left_semi").join(ends("dst"), ["mol_id", "dst"], "left_semi")
-    still = own_bonds.where("aromatic").select("mol_id", F.explode(F.array("src", "dst")).alias("atom_id")).distinct().withColumn("still", F.lit(True))
-    own = atoms.join(inside, ["mol_id", "atom_id"], "left_semi").join(border, ["mol_id", "atom_id"], "left").join(still, ["mol_id", "atom_id"], "left")
-    star = F.coalesce("border", F.lit(False))
-    cleared = {"element": F.when(star, "*").otherwise(F.col("element")), "aromatic": ~star & F.coalesce("still", F.lit(False)), "isotope": F.when(star, 0).otherwise(F.col("isotope")), "charge": F.when(star, 0).otherwise(F.col("charge")), "hydrogens": F.when(~star, F.col("hydrogens"))}
-    text = write_lines(own.withColumns(cleared).drop("border", "still"), own_bonds)
+    marks = graph.atoms_of(near, "atom", "inside").join(graph.atoms_of(edge, "atom", "border"), "mol_id", "left")
+    among = lambda name, atom: F.coalesce(F.array_contains(name, F.col(atom)), F.lit(False))
+    own_bonds = whole.join(marks, "mol_id").where(among("inside", "src") & among("inside", "dst")).select(*whole.columns)
+    aromatic = graph.atoms_of(own_bonds.where("aromatic").select("mol_id", F.explode(F.array("src", "dst")).alias("atom_id")), "atom_id", "still")
+    own = atoms.join(marks, "mol_id").join(aromatic, "mol_id", "left").where(among("inside", "atom_id"))
+    star, still = among("border", "atom_id"), among("still", "atom_id")
+    cleared = {"element": F.when(star, "*").otherwise(F.col("element")), "aromatic": ~star & still, "isotope": F.when(star, 0).otherwise(F.col("isotope")), "charge": F.when(star, 0).otherwise(F.col("charge")), "hydrogens": F.when(~star, F.col("hydrogens"))}
+    text = write_lines(own.withColumns(cleared).drop("inside", "border", "still"), own_bonds)
     return graph.motifs(whole, found, r, atoms).join(text, "mol_id").select("mol_id", "motif_key", "n_atoms", "line")
 
 
@@ -94,7 +93,8 @@ def line_features(rows: DataFrame, key: str, line: str, keys: int = 167) -> tupl
     """
     own = rows.select(F.col(key).alias("__key"), F.trim(F.col(line)).alias("mol_id"))
     atoms, bonds, failed = read_lines(own.select("mol_id").distinct(), "mol_id", "mol_id")
-    told = spool(substructure.molecule_rows(graph.colocated(atoms), graph.colocated(bonds)), "molecule_rows")  # read for keys and for descriptors
+    parts = graph.parts_for(atoms)
+    told = spool(substructure.molecule_rows(graph.colocated(atoms, parts), graph.colocated(bonds, parts)), "molecule_rows")  # read for keys and for descriptors
     bits = substructure.key_columns(substructure.pattern_keys(told, substructure.KEYS), keys)
     features = bits.join(substructure.descriptors(told), "mol_id")
     named = lambda df: df.withColumnRenamed("__key", key)
@@ -109,7 +109,8 @@ def canonical_lines(rows: DataFrame, key: str, line: str) -> tuple[DataFrame, Da
     """
     own = rows.select(F.col(key).alias("__key"), F.trim(F.col(line)).alias("mol_id"))
     atoms, bonds, failed = read_lines(own.select("mol_id").distinct(), "mol_id", "mol_id")
-    told = spool(substructure.canonical_rows(substructure.molecule_rows(graph.colocated(atoms), graph.colocated(bonds))), "canonical")
+    parts = graph.parts_for(atoms)
+    told = spool(substructure.canonical_rows(substructure.molecule_rows(graph.colocated(atoms, parts), graph.colocated(bonds, parts))), "canonical")
     size = F.aggregate("ranked", F.lit(0), lambda n, a: n + F.size(a["near"])) / 2
     text = write_lines(*substructure.canonical_tables(told.where(size <= 99))).withColumnRenamed("line", "canonical_line")
     named = lambda df: df.withColumnRenamed("__key", key)
