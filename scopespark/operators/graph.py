@@ -2,14 +2,15 @@
 
 ``atoms`` (mol_id, atom_id, element, ...) and ``bonds`` (mol_id, src, dst, bond_order, ...).  Graphs are
 small: the bonds of each are gathered in one row by a single shuffle on mol_id, and hops, paths, rings and
-colours are array expressions inside that row, however many graphs there are.
+colours are array expressions inside that row, however many graphs there are.  Joins go by graph and are always
+merged: files of graphs are far smaller than their rows, so a table that looks small enough to broadcast need not be.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,9 +52,9 @@ def anchors(bonds: DataFrame, atoms: DataFrame | None = None, element: str = "C"
     found = bonds.where(F.col("bond_order") == order).select("mol_id", F.col("src").alias("a"), F.col("dst").alias("b"))
     if atoms is not None:
         kind = atoms_of(atoms.where(F.col("element") == element), "atom_id", "kind")
-        found = found.join(kind, "mol_id").where(F.array_contains("kind", F.col("a")) & F.array_contains("kind", F.col("b")))
+        found = found.join(kind.hint("merge"), "mol_id").where(F.array_contains("kind", F.col("a")) & F.array_contains("kind", F.col("b")))
     count = found.groupBy("mol_id").agg(F.count("*").alias("n"))
-    return found.join(count, "mol_id").select("mol_id", "a", "b", "n")
+    return found.join(count.hint("merge"), "mol_id").select("mol_id", "a", "b", "n")
 
 
 def first_anchor(found: DataFrame) -> DataFrame:
@@ -61,14 +62,13 @@ def first_anchor(found: DataFrame) -> DataFrame:
     return found.groupBy("mol_id").agg(F.min(F.struct("a", "b")).alias("m")).select("mol_id", "m.a", "m.b")
 
 
-def knockout_variants(bonds: DataFrame, found: DataFrame) -> DataFrame:
-    """(mol_id, variant, src, dst, bond_order): variant i keeps anchor i and makes the others single."""
-    turn = F.row_number().over(Window.partitionBy("mol_id").orderBy("a", "b"))
-    numbered = found.select("mol_id", "a", "b").withColumn("i", turn)
-    variants = numbered.select("mol_id", F.col("i").alias("variant"))
-    own = bonds.join(numbered.withColumnsRenamed({"a": "src", "b": "dst"}), ["mol_id", "src", "dst"], "left")
-    kept = F.when(F.col("i").isNotNull() & (F.col("i") != F.col("variant")), 1).otherwise(F.col("bond_order"))
-    return own.join(variants, "mol_id").select("mol_id", "variant", "src", "dst", kept.alias("bond_order"))
+def knockout_variants(bonds: DataFrame, found: DataFrame, *more: str) -> DataFrame:
+    """(mol_id, variant, src, dst, bond_order, *more): variant i keeps anchor i and makes the others single."""
+    own = found.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")))).alias("own"))
+    rows = bonds.join(own.hint("merge"), "mol_id").withColumn("i", F.array_position("own", F.struct("src", "dst")))
+    rows = rows.select("mol_id", F.explode(F.sequence(F.lit(1), F.size("own"))).alias("variant"), "src", "dst", "bond_order", "i", *more)
+    kept = F.when((F.col("i") > 0) & (F.col("i") != F.col("variant")), 1).otherwise(F.col("bond_order"))
+    return rows.select("mol_id", "variant", "src", "dst", kept.alias("bond_order"), *more)
 
 
 def _each(array: Column | str) -> Column:
@@ -97,7 +97,7 @@ def walk_counts(edges: DataFrame, found: DataFrame, r: int) -> DataFrame:
         last = _let(into(atoms), lambda before: F.aggregate(F.array(*[F.lit(k) for k in range(r)]), first, step(before)))
         return F.filter(F.zip_with(atoms, last, lambda x, n: F.struct(x.alias("atom"), n.alias("n"))), lambda w: w["n"] > 0)
 
-    rows = ends.join(_by_graph(edges), "mol_id")
+    rows = ends.join(_by_graph(edges).hint("merge"), "mol_id")
     rows = rows.select("mol_id", "anchor", _each(_let(F.array_distinct(F.flatten(F.transform("edges", lambda e: F.array(e["a"], e["b"])))), counted)).alias("w")).where("w is not null")
     return rows.select("mol_id", "anchor", "w.atom", "w.n").groupBy("mol_id", "anchor", "atom").agg(F.sum("n").alias("n"))
 
@@ -129,7 +129,7 @@ def distances(edges: DataFrame, found: DataFrame, r: int, block_other: bool = Fa
 
     With ``block_other`` paths don't cross the other anchor end.
     """
-    rows = _ends(found).join(_by_graph(edges), "mol_id", "left").withColumns({"front": F.array("anchor"), "seen": F.array(F.struct(F.col("anchor").alias("atom"), F.lit(0).alias("dist")))})
+    rows = _ends(found).join(_by_graph(edges).hint("merge"), "mol_id", "left").withColumns({"front": F.array("anchor"), "seen": F.array(F.struct(F.col("anchor").alias("atom"), F.lit(0).alias("dist")))})
     at = lambda d: lambda x: F.struct(x.alias("atom"), F.lit(d).alias("dist"))
     for d in range(1, r + 1):
         new = F.array_except(_behind(F.col("edges"), F.col("front")), F.transform("seen", lambda x: x["atom"]))
@@ -149,7 +149,7 @@ def boundary(edges: DataFrame, found: DataFrame, r: int, max_walks: int | None =
     edge = least.where(F.col("dist") == r).select("mol_id", "atom")
     if max_walks is not None:
         walks = walk_counts(edges, found, r).groupBy("mol_id", "atom").agg(F.min("n").alias("n"))
-        edge = edge.join(atoms_of(walks.where(F.col("n") <= max_walks), "atom", "few"), "mol_id").where(F.array_contains("few", F.col("atom"))).drop("few")
+        edge = edge.join(atoms_of(walks.where(F.col("n") <= max_walks), "atom", "few").hint("merge"), "mol_id").where(F.array_contains("few", F.col("atom"))).drop("few")
     return edge
 
 
@@ -163,7 +163,7 @@ def shells(edges: DataFrame, found: DataFrame, r: int) -> tuple[DataFrame, DataF
     atoms = distances(edges, found, r).groupBy("mol_id", "atom").agg(F.min("dist").alias("shell"))
     near = atoms.groupBy("mol_id").agg(F.map_from_entries(F.collect_list(F.struct("atom", "shell"))).alias("near"))
     own = found.groupBy("mol_id").agg(F.collect_set(F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).alias("own"))
-    rows = _by_graph(edges.where("a < b")).join(near, "mol_id").join(own, "mol_id")
+    rows = _by_graph(edges.where("a < b")).join(near.hint("merge"), "mol_id").join(own.hint("merge"), "mol_id")
     at = lambda x: F.try_element_at("near", x)
     between = lambda e: (F.abs(at(e["a"]) - at(e["b"])) == 1) | (F.array_contains("own", F.struct(e["a"], e["b"])) & at(e["a"]).isNotNull() & at(e["b"]).isNotNull())
     bonds = rows.select("mol_id", "near", _each(F.filter("edges", between)).alias("e")).where("e is not null")
@@ -179,7 +179,7 @@ def cumulative_shells(atoms: DataFrame, r: int) -> DataFrame:
 
 def path_counts(edges: DataFrame, found: DataFrame, r: int) -> DataFrame:
     """(mol_id, anchor, n_paths): maximal simple paths of at most r bonds from each anchor end, not over the other."""
-    rows = _ends(found).join(_by_graph(edges), "mol_id").withColumns({"paths": F.array(F.array("other", "anchor")), "done": F.lit(0).cast("long")})
+    rows = _ends(found).join(_by_graph(edges).hint("merge"), "mol_id").withColumns({"paths": F.array(F.array("other", "anchor")), "done": F.lit(0).cast("long")})
     for step in range(r):
         goes_on = lambda p: lambda e: (e["a"] == F.element_at(p, -1)) & ~F.array_contains(p, e["b"])
         # a path that can't grow is complete
@@ -191,7 +191,7 @@ def path_counts(edges: DataFrame, found: DataFrame, r: int) -> DataFrame:
 
 def in_ring(edges: DataFrame, found: DataFrame) -> DataFrame:
     """(mol_id, a, b, in_ring): whether the ends stay connected without the anchor bond."""
-    rows = found.select("mol_id", F.col("a").alias("x"), F.col("b").alias("y")).join(_by_graph(edges.where("a < b")), "mol_id", "left")
+    rows = found.select("mol_id", F.col("a").alias("x"), F.col("b").alias("y")).join(_by_graph(edges.where("a < b")).hint("merge"), "mol_id", "left")
     rest = F.filter("edges", lambda e: (e["a"] != F.least("x", "y")) | (e["b"] != F.greatest("x", "y")))
     rows = rows.withColumn("parts", _connected(rest))
     both = F.exists("parts", lambda p: F.array_contains(p, F.col("x")) & F.array_contains(p, F.col("y")))
@@ -213,8 +213,8 @@ def break_partial_rings(bonds: DataFrame, network: DataFrame, edge: DataFrame) -
     inside, on_edge = atoms_of(network, "atom", "inside"), atoms_of(edge, "atom", "edge")
     among = lambda name: lambda x: F.coalesce(F.array_contains(name, x), F.lit(False))
     partial = lambda p: F.exists(p, among("edge")) & ~F.forall(p, among("inside"))
-    hit = system.join(inside, "mol_id", "left").join(on_edge, "mol_id", "left").select("mol_id", F.flatten(F.filter("systems", partial)).alias("hit"))
-    marked = bonds.join(hit, "mol_id", "left")
+    hit = system.join(inside.hint("merge"), "mol_id", "left").join(on_edge.hint("merge"), "mol_id", "left").select("mol_id", F.flatten(F.filter("systems", partial)).alias("hit"))
+    marked = bonds.join(hit.hint("merge"), "mol_id", "left")
     gone = F.col("aromatic") & F.coalesce(F.array_contains("hit", F.col("src")), F.lit(False))
     return marked.withColumn("bond_order", F.when(gone, 1).otherwise(F.col("bond_order"))).withColumn("aromatic", F.col("aromatic") & ~gone).select(*bonds.columns)
 
@@ -250,15 +250,15 @@ def motifs(bonds: DataFrame, found: DataFrame, r: int, atoms: DataFrame | None =
     """
     edges = undirected(bonds)
     near = neighbourhood(edges, found, r)
-    own = near.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("atom", "dist"))).alias("own")).join(atoms_of(boundary(edges, found, r), "atom", "border"), "mol_id", "left")
+    own = near.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("atom", "dist"))).alias("own")).join(atoms_of(boundary(edges, found, r), "atom", "border").hint("merge"), "mol_id", "left")
     kind = lambda x: F.lit("C")
     if atoms is not None:
         told = atoms.where(F.col("element").isNotNull() & F.col("atom_id").isNotNull()).groupBy("mol_id").agg(F.collect_list(F.struct(F.col("atom_id").alias("atom"), "element")).alias("kinds"))
-        own = own.join(told, "mol_id", "left")
+        own = own.join(told.hint("merge"), "mol_id", "left")
         kind = lambda x: F.get(F.filter("kinds", lambda k: k["atom"] == x), F.lit(0))["element"]
     name = lambda x: F.when(F.array_contains("border", x), "*").otherwise(F.coalesce(kind(x), F.lit("?")))
     first = lambda x: F.md5(F.concat_ws("|", name(x["atom"]), x["dist"].cast("string")).cast("binary"))
-    rows = own.withColumn("own", F.transform("own", lambda x: F.struct(x["atom"].alias("atom"), first(x).alias("c")))).join(_by_graph(edges, "bond_order"), "mol_id")
+    rows = own.withColumn("own", F.transform("own", lambda x: F.struct(x["atom"].alias("atom"), first(x).alias("c")))).join(_by_graph(edges, "bond_order").hint("merge"), "mol_id")
     rows = rows.select("mol_id", "edges", F.transform("own", lambda x: x["atom"]).alias("atoms"), F.transform("own", lambda x: x["c"]).alias("first"))
     inside = F.filter("edges", lambda e: F.array_contains("atoms", e["b"]))
     last = F.element_at(_colourings(F.col("atoms"), F.col("first"), inside, r + 1), -1)
@@ -271,7 +271,7 @@ def neighbourhood_bits(bonds: DataFrame, atoms: DataFrame, radius: int = 2, bits
     rows = atoms.groupBy("mol_id").agg(F.array_sort(F.collect_set(F.struct(F.col("atom_id").cast("long").alias("atom"), first.alias("c")))).alias("own"))
     none = F.expr("cast(array() as array<struct<a:bigint,b:bigint,bond_order:int>>)")
     edges = undirected(bonds).select("mol_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("bond_order").cast("int").alias("bond_order"))
-    rows = rows.join(_by_graph(edges, "bond_order"), "mol_id", "left")
+    rows = rows.join(_by_graph(edges, "bond_order").hint("merge"), "mol_id", "left")
     rows = rows.select("mol_id", F.coalesce("edges", none).alias("edges"), F.transform("own", lambda x: x["atom"]).alias("atoms"), F.transform("own", lambda x: x["c"]).alias("first"))
     bit = lambda c: F.pmod(F.conv(F.substring(c, 1, 8), 16, 10).cast("long"), F.lit(bits)).cast("int")
     seen = F.array_distinct(F.flatten(_colourings(F.col("atoms"), F.col("first"), F.col("edges"), radius)))

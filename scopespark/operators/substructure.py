@@ -104,7 +104,7 @@ def molecule_rows(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     edges = ends.groupBy("mol_id", "src", "dst").agg(F.max("bond_order").alias("order"), F.max("aromatic").alias("aromatic"))
     edges = edges.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "order", "aromatic"))).alias("edges"))
     none = F.expr("cast(array() as array<struct<src:bigint,dst:bigint,order:int,aromatic:boolean>>)")
-    rows = own.join(edges, "mol_id", "left")
+    rows = own.join(edges.hint("merge"), "mol_id", "left")
 
     def placed(ids: Column) -> Column:
         at = lambda x: (F.array_position(ids, x) - 1).cast("int")

@@ -58,9 +58,13 @@ def cleaned_lines(rows: DataFrame, key: str, line: str) -> tuple[DataFrame, Data
     status, _, fragment = screen_records(F.col(line))
     kept = rows.select(F.col(key).alias("mol_id"), status, fragment).where(F.col("status") == "keep")
     atoms, bonds, failed = read_lines(kept, "mol_id", "fragment")
-    variants = graph.knockout_variants(bonds, _double_bonds(atoms, bonds)).join(bonds.select("mol_id", "src", "dst", "aromatic"), ["mol_id", "src", "dst"])
-    named = variants.withColumn("of", F.struct("mol_id", "variant")).drop("mol_id").withColumnRenamed("of", "mol_id")
-    own = atoms.join(variants.select("mol_id", "variant").distinct(), "mol_id").withColumn("of", F.struct("mol_id", "variant")).drop("mol_id", "variant").withColumnRenamed("of", "mol_id")
+    parts = graph.parts_for(bonds)
+    atoms, bonds = graph.colocated(atoms, parts), graph.colocated(bonds, parts)
+    found = _double_bonds(atoms, bonds)
+    of = F.struct("mol_id", "variant")
+    named = graph.knockout_variants(bonds, found, "aromatic").withColumn("of", of).drop("mol_id").withColumnRenamed("of", "mol_id")
+    turns = found.groupBy("mol_id").agg(F.sequence(F.lit(1), F.count("*").cast("int")).alias("turns"))
+    own = atoms.join(turns.hint("merge"), "mol_id").withColumn("variant", F.explode("turns")).withColumn("of", of).drop("mol_id", "variant", "turns").withColumnRenamed("of", "mol_id")
     return write_lines(own, named).select("mol_id.mol_id", "mol_id.variant", "line"), failed
 
 
@@ -74,15 +78,15 @@ def motif_lines(atoms: DataFrame, bonds: DataFrame, r: int) -> DataFrame:
     edges = graph.undirected(bonds)
     near, edge = graph.neighbourhood(edges, found, r), graph.boundary(edges, found, r)
     whole = graph.break_partial_rings(bonds, near, edge)
-    marks = graph.atoms_of(near, "atom", "inside").join(graph.atoms_of(edge, "atom", "border"), "mol_id", "left")
+    marks = graph.atoms_of(near, "atom", "inside").join(graph.atoms_of(edge, "atom", "border").hint("merge"), "mol_id", "left")
     among = lambda name, atom: F.coalesce(F.array_contains(name, F.col(atom)), F.lit(False))
-    own_bonds = whole.join(marks, "mol_id").where(among("inside", "src") & among("inside", "dst")).select(*whole.columns)
+    own_bonds = whole.join(marks.hint("merge"), "mol_id").where(among("inside", "src") & among("inside", "dst")).select(*whole.columns)
     aromatic = graph.atoms_of(own_bonds.where("aromatic").select("mol_id", F.explode(F.array("src", "dst")).alias("atom_id")), "atom_id", "still")
-    own = atoms.join(marks, "mol_id").join(aromatic, "mol_id", "left").where(among("inside", "atom_id"))
+    own = atoms.join(marks.hint("merge"), "mol_id").join(aromatic.hint("merge"), "mol_id", "left").where(among("inside", "atom_id"))
     star, still = among("border", "atom_id"), among("still", "atom_id")
     cleared = {"element": F.when(star, "*").otherwise(F.col("element")), "aromatic": ~star & still, "isotope": F.when(star, 0).otherwise(F.col("isotope")), "charge": F.when(star, 0).otherwise(F.col("charge")), "hydrogens": F.when(~star, F.col("hydrogens"))}
     text = write_lines(own.withColumns(cleared).drop("inside", "border", "still"), own_bonds)
-    return graph.motifs(whole, found, r, atoms).join(text, "mol_id").select("mol_id", "motif_key", "n_atoms", "line")
+    return graph.motifs(whole, found, r, atoms).join(text.hint("merge"), "mol_id").select("mol_id", "motif_key", "n_atoms", "line")
 
 
 def line_features(rows: DataFrame, key: str, line: str, keys: int = 167) -> tuple[DataFrame, DataFrame]:
@@ -96,9 +100,9 @@ def line_features(rows: DataFrame, key: str, line: str, keys: int = 167) -> tupl
     parts = graph.parts_for(atoms)
     told = spool(substructure.molecule_rows(graph.colocated(atoms, parts), graph.colocated(bonds, parts)), "molecule_rows")  # read for keys and for descriptors
     bits = substructure.key_columns(substructure.pattern_keys(told, substructure.KEYS), keys)
-    features = bits.join(substructure.descriptors(told), "mol_id")
+    features = bits.join(substructure.descriptors(told).hint("merge"), "mol_id")
     named = lambda df: df.withColumnRenamed("__key", key)
-    return named(own.join(features, "mol_id").drop("mol_id")), named(own.join(failed.select("mol_id"), "mol_id", "left_semi").select("__key", F.col("mol_id").alias("line")))
+    return named(own.join(features.hint("merge"), "mol_id").drop("mol_id")), named(own.join(failed.select("mol_id").hint("merge"), "mol_id", "left_semi").select("__key", F.col("mol_id").alias("line")))
 
 
 def canonical_lines(rows: DataFrame, key: str, line: str) -> tuple[DataFrame, DataFrame]:
@@ -114,5 +118,5 @@ def canonical_lines(rows: DataFrame, key: str, line: str) -> tuple[DataFrame, Da
     size = F.aggregate("ranked", F.lit(0), lambda n, a: n + F.size(a["near"])) / 2
     text = write_lines(*substructure.canonical_tables(told.where(size <= 99))).withColumnRenamed("line", "canonical_line")
     named = lambda df: df.withColumnRenamed("__key", key)
-    out = own.join(told.select("mol_id", "canonical_key"), "mol_id").join(text, "mol_id", "left").drop("mol_id")
-    return named(out), named(own.join(failed.select("mol_id"), "mol_id", "left_semi").select("__key", F.col("mol_id").alias("line")))
+    out = own.join(told.select("mol_id", "canonical_key").hint("merge"), "mol_id").join(text.hint("merge"), "mol_id", "left").drop("mol_id")
+    return named(out), named(own.join(failed.select("mol_id").hint("merge"), "mol_id", "left_semi").select("__key", F.col("mol_id").alias("line")))

@@ -141,7 +141,7 @@ def write_lines(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     listed = listed.withColumn("bonds", F.when(F.size("bonds") <= 99, F.col("bonds")).otherwise(F.raise_error(F.lit("more than 99 bonds")).cast(listed.schema["bonds"].dataType)))
     given = lambda c, other: F.col(c) if c in atoms.columns else F.lit(other)
     own = atoms.select("mol_id", F.struct("atom_id", "element", given("isotope", 0).alias("isotope"), given("charge", 0).alias("charge"), given("aromatic", False).alias("aromatic"), given("hydrogens", None).cast("int").alias("hydrogens")).alias("a"))
-    rows = own.groupBy("mol_id").agg(F.array_sort(F.collect_list("a")).alias("atoms")).join(listed, "mol_id", "left")
+    rows = own.groupBy("mol_id").agg(F.array_sort(F.collect_list("a")).alias("atoms")).join(listed.hint("merge"), "mol_id", "left")
 
     def text(a: Column) -> Column:
         symbol = F.when(a["aromatic"], F.lower(a["element"])).otherwise(a["element"])

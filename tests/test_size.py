@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from scopespark.operators import graph
+from scopespark.plans import lifecycles
 
 
 def _chains(spark, n):
@@ -36,3 +37,11 @@ def test_walks_add_up_over_anchors(spark):
     found = spark.createDataFrame([(0, 0, 1), (0, 1, 2)], "mol_id long, a int, b int")
     got = {(r["anchor"], r["atom"]): r["n"] for r in graph.walk_counts(e, found, 2).collect()}
     assert got == {(0, 0): 1, (0, 2): 1, (1, 1): 4, (1, 3): 2, (2, 0): 1, (2, 2): 2}
+
+
+def test_cleaned_lines_broadcast_nothing(spark):
+    """Files of lines are far smaller than the rows that they hold, and a broadcast passes the driver."""
+    rows = spark.range(50).select("id", F.when(F.col("id") % 2 == 0, "C=CC=CC").otherwise("CC=C").alias("line"))
+    out, _ = lifecycles.cleaned_lines(rows, "id", "line")
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 75
