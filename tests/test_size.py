@@ -1,8 +1,12 @@
 """Steps whose tasks must not grow with the table."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from scopespark.operators import graph
+from scopespark.llm import ctw
+from scopespark.operators import graph, learn
 from scopespark.plans import lifecycles
 
 
@@ -45,3 +49,23 @@ def test_cleaned_lines_broadcast_nothing(spark):
     out, _ = lifecycles.cleaned_lines(rows, "id", "line")
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 75
+
+
+def test_shorter_chains_of_trees_share_a_fit(spark, monkeypatch):
+    fits, fit = [], learn._fit
+    monkeypatch.setattr(learn, "_fit", lambda rows, params, seed: fits.append(params) or fit(rows, params, seed))
+    df = spark.range(40).selectExpr("id AS k", "cast(id % 5 AS double) AS a", "cast(id % 5 * 2 + id % 3 AS double) AS y")
+    trials, _ = learn.tune_gbt(df, ["a"], "y", "k", {"maxDepth": [1], "maxIter": [1, 2]}, folds=2, repeats=1)
+    assert len(fits) == 2
+    got = {r["params"]: r["mse"] for r in trials.collect()}
+    own, _ = learn.tune_gbt(df, ["a"], "y", "k", {"maxDepth": [1], "maxIter": [1]}, folds=2, repeats=1)
+    assert abs(got[str({"maxDepth": 1, "maxIter": 1})] - own.first()["mse"]) < 1e-9
+
+
+def test_a_solved_batch_of_grams_is_small():
+    g = np.unique(np.random.default_rng(1).integers(0, 1 << 48, ctw.SOLVE, dtype=np.uint64))
+    tracemalloc.start()
+    ctw.climb(g, np.ones(len(g)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
