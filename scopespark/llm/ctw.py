@@ -38,7 +38,7 @@ DEPTH, SPLIT = 5, 3
 #: Hash slots of the tables of grams and words that every task has.
 GRAM_SLOTS, WORD_SLOTS = 1 << 22, 1 << 20
 #: Entries that a task holds before it adds them up, grams solved and bytes handled at once.
-HOLD, SOLVE, PIECE = 1_200_000, 120_000, 1 << 19
+HOLD, SOLVE, PIECE = 1_200_000, 40_000, 1 << 19
 
 _TEXT, _GRAM = 0, 1
 _LOG2, _LOG_PI = float(np.log(2)), float(np.log(np.pi))
