@@ -186,7 +186,8 @@ def kmeans_elbow(df: DataFrame, columns: Sequence[str], scale: float = 0.25, tri
         k, s = job
         return k, KMeans(k=k, seed=s, featuresCol="__features").fit(points).summary.trainingCost
 
-    with ThreadPoolExecutor(4) as pool:
+    # points in the plane fill few partitions, so a fit leaves most cores idle: as many fits at once as there are cores
+    with ThreadPoolExecutor(max(4, df.sparkSession.sparkContext.defaultParallelism)) as pool:
         runs = list(pool.map(cost, [(k, s) for k in ks for s in range(trials)]))
     points.unpersist()
     rows = [(k, float(np.mean([c for q, c in runs if q == k]))) for k in ks]
