@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Merged pieces kept by one worker; when full the cache starts anew.
-CACHE_PIECES = 400_000
+#: Merged pieces kept by one worker, at most; a full cache keeps those that were met again.
+CACHE_PIECES = 1 << 17
 #: Lane length of the scan.
 LANE = 128
 #: Code points scanned at once.
@@ -185,11 +185,12 @@ def pack(ids: list[int]) -> bytes:
 
 
 class PieceCache(dict):
-    """Piece -> its ids as packed int32, merged on first sight and kept until the cache is full."""
+    """Piece -> its ids as packed int32, merged on first sight; a full cache keeps the pieces of several groups of texts."""
 
     def __init__(self, ranks: dict[bytes, int], limit: int = CACHE_PIECES):
         super().__init__()
         self.ranks, self.limit = ranks, limit
+        self.again: set[str] = set()
         pairs = {}
         for token, rank in ranks.items():
             for k in range(1, len(token)):
@@ -213,9 +214,13 @@ class PieceCache(dict):
     def learn(self, pieces: set[str]) -> None:
         """Merge the pieces that are not cached, all short ones side by side."""
         new = [p for p in pieces if p not in self]
+        self.again.update(pieces.difference(new))
         if len(self) + len(new) > self.limit:
+            kept = {p: self[p] for p in self.again} if len(self.again) + len(new) <= self.limit else {}
             self.clear()
-            new = list(pieces)
+            self.update(kept)
+            self.again.clear()
+            new = [p for p in pieces if p not in self]
         by_size: dict[int, list[tuple[str, bytes]]] = {}
         for p in new:
             raw = p.encode("utf-8", "surrogatepass")

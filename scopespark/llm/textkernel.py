@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Bytes handled at once; bounds the memory of the uint64 arrays below.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

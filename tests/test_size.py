@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from scopespark.llm import ctw
+from scopespark.llm import bpe, ctw, textkernel
 from scopespark.operators import graph, learn
 from scopespark.plans import lifecycles
 
@@ -69,3 +69,24 @@ def test_a_solved_batch_of_grams_is_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6
+
+
+def test_words_of_many_texts_are_hashed_in_small_blocks():
+    texts = [b"some words of a text " * 500] * 400
+    textkernel._power("up", 1 << 18), textkernel._power("down", 1 << 18)
+    tracemalloc.start()
+    n = sum(len(h) for _, _, h, _ in textkernel.word_hashes(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 400 * 2500 and peak < 20e6
+
+
+def test_a_full_cache_keeps_the_pieces_met_again():
+    cache = bpe.PieceCache({bytes([i]): i for i in range(256)} | {b"ab": 256}, 4)
+    cache.learn({"ab", "x"})
+    cache.learn({"ab", "y"})
+    cache.learn({"z", "v"})
+    assert set(cache) == {"ab", "z", "v"} and cache["ab"] == bpe.pack([256])
+    cache.learn({"1", "2", "3", "4"})
+    assert set(cache) == {"1", "2", "3", "4"}
+    assert bpe.CACHE_PIECES <= 1 << 17
