@@ -40,7 +40,7 @@ _WIDE = LENGTH - GRAM + 1
 #: log2 of the rows of a chunk; bytes of packed anchors that a bucket holds.
 CHUNK, BUCKET = 9, 12 << 20
 #: Bytes whose anchors are found at once, and strings compared at once.
-PIECE, ROWS = 1 << 18, 20_000
+PIECE, ROWS = 1 << 16, 20_000
 #: Segments of one anchor that are sorted together.
 MOST = 512
 #: Places of the anchor that a part of a hot anchor has, and then a part of such a part.

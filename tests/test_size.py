@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from scopespark.llm import bpe, ctw, textkernel
+from scopespark.llm import bpe, ctw, suffixdedup, textkernel
 from scopespark.operators import graph, learn
 from scopespark.plans import lifecycles
 
@@ -90,3 +90,17 @@ def test_a_full_cache_keeps_the_pieces_met_again():
     cache.learn({"1", "2", "3", "4"})
     assert set(cache) == {"1", "2", "3", "4"}
     assert bpe.CACHE_PIECES <= 1 << 17
+
+
+def test_anchors_are_found_in_small_pieces():
+    """And are the same whatever the piece, where texts are shorter than it."""
+    rows = [bytes(np.random.default_rng(i).integers(97, 123, 2000, dtype=np.uint8)) for i in range(300)]
+    suffixdedup.anchors(rows[:200])
+    tracemalloc.start()
+    found = suffixdedup.anchors(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    each = [suffixdedup.anchors([x]) for x in rows]
+    assert len(found[0]) == sum(len(x[0]) for x in each)
+    assert all((np.concatenate(own) == whole).all() for own, whole in zip(list(zip(*each))[1:], found[1:]))
+    assert peak < 10e6
