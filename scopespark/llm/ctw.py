@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ DEPTH, SPLIT = 5, 3
 #: Hash slots of the tables of grams and words that every task has.
 GRAM_SLOTS, WORD_SLOTS = 1 << 22, 1 << 20
 #: Entries that a task holds before it adds them up, grams solved and bytes handled at once.
-HOLD, SOLVE, PIECE = 1_200_000, 40_000, 1 << 19
+HOLD, SOLVE, PIECE = 1_200_000, 20_000, 1 << 18
 
 _TEXT, _GRAM = 0, 1
 _LOG2, _LOG_PI = float(np.log(2)), float(np.log(np.pi))
@@ -80,10 +81,52 @@ def gram_blocks(rows: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def pieces(texts) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Blocks of canonical rows of about PIECE bytes."""
-    rows = [canonical(x) for x in texts]
-    for lo, hi in textkernel.blocks(rows, PIECE):
-        yield lo, hi, rows[lo:hi]
+    """Blocks of canonical rows of about PIECE bytes, made one after the other; a longer row stands alone."""
+    lo, total, rows = 0, 0, []
+    for text in texts:
+        row = canonical(text)
+        if rows and total + len(row) > PIECE:
+            yield lo, lo + len(rows), rows
+            lo, total, rows = lo + len(rows), 0, []
+        rows.append(row)
+        total += len(row) + 1
+    if rows:
+        yield lo, lo + len(rows), rows
+
+
+class Sums:
+    """Counts (key, n, seen) of one task in arrays of fixed size, added up by key whenever these are full."""
+
+    def __init__(self, size: int):
+        self.held, self.used = np.empty((3, size), dtype=np.int64), 0
+
+    def add(self) -> None:
+        key, n, seen = self.held[:, : self.used]
+        order = np.argsort(key)
+        ranked = key[order]
+        at = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), dtype=bool), ranked[1:] != ranked[:-1])))
+        self.used = len(at)
+        for old, new in ((n, np.add.reduceat(n[order], at)), (seen, np.add.reduceat(seen[order], at)), (key, ranked[at])) if len(at) else ():
+            old[: len(at)] = new
+
+    def out(self) -> Iterator[np.ndarray]:
+        for a in range(0, self.used, 200_000):
+            yield self.held[:, a : min(a + 200_000, self.used)].copy()
+        self.used = 0
+
+    def put(self, key: np.ndarray, n: np.ndarray | int, seen: np.ndarray) -> Iterator[np.ndarray]:
+        """Takes counts in; yields all of them where adding up leaves more than half."""
+        size = self.held.shape[1]
+        for a in range(0, len(key), size // 2):
+            some = slice(a, a + size // 2)
+            k = len(key[some])
+            if self.used + k > size:
+                self.add()
+                if self.used > size // 2:
+                    yield from self.out()
+            into = self.held[:, self.used : self.used + k]
+            into[0], into[1], into[2] = key[some].view(np.int64), n if np.ndim(n) == 0 else n[some], seen[some]
+            self.used += k
 
 
 def _slot(key: np.ndarray, slots: int) -> np.ndarray:
@@ -100,35 +143,28 @@ def count(docs: DataFrame, text: str = "text", held: str = "held_out") -> DataFr
     ``n`` counts training rows only, ``seen`` all rows.
     """
 
-    def add(own: list[tuple]) -> tuple[np.ndarray, ...]:
-        keys, back = np.unique(np.concatenate([x[0] for x in own]), return_inverse=True)
-        return keys, *(np.bincount(back, weights=np.concatenate([x[k] for x in own])).astype(np.int64) for k in (1, 2))
+    def tally(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {_TEXT: Sums(HOLD), _GRAM: Sums(HOLD)}
 
-    def frames(kind: int, keys: np.ndarray, n: np.ndarray, seen: np.ndarray) -> Iterator[pd.DataFrame]:
-        for a in range(0, len(keys), 200_000):
-            yield pd.DataFrame({"kind": np.int32(kind), "key": keys[a : a + 200_000].view(np.int64), "n": n[a : a + 200_000], "seen": seen[a : a + 200_000]})
+        def batches(kind: int, full: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for key, n, seen in full:
+                yield pa.RecordBatch.from_pydict({"kind": np.full(len(key), kind, dtype=np.int32), "key": key, "n": n, "seen": seen})
 
-    def tally(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[int, list] = {_TEXT: [], _GRAM: []}
         for part in parts:
-            for train, some in ((1, part[text][~part[held]]), (0, part[text][part[held]])):
-                for _, _, rows in pieces(some):
+            out = part.column(held).to_numpy(zero_copy_only=False)
+            for train in (1, 0):
+                for _, _, rows in pieces(x.as_py() for x, left in zip(part.column(text), out) if left != train):
                     for _, g in gram_blocks(rows):
                         keys, n = np.unique(g, return_counts=True)
-                        kept[_GRAM].append((keys, n * train, n))
+                        yield from batches(_GRAM, sums[_GRAM].put(keys, n if train else 0, n))
                     for _, _, words, _ in textkernel.word_hashes(rows) if train else ():
                         keys, n = np.unique(words, return_counts=True)
-                        kept[_TEXT].append((keys, n, n))
-                    for kind, own in kept.items():
-                        if sum(len(x[0]) for x in own) > HOLD:
-                            own[:] = [add(own)]
-                            if len(own[0][0]) > HOLD // 2:
-                                yield from frames(kind, *own.pop())
-        for kind, own in kept.items():
-            if own:
-                yield from frames(kind, *add(own))
-
-    each = docs.select(text, held).mapInPandas(tally, "kind int, key long, n long, seen long")
+                        yield from batches(_TEXT, sums[_TEXT].put(keys, n, n))
+        for kind, own in sums.items():
+            own.add()
+            yield from batches(kind, own.out())
+
+    each = docs.select(text, held).mapInArrow(tally, "kind int, key long, n long, seen long")
     return each.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
@@ -296,12 +332,18 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", gram_slots:
         at = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1]))))
         return row[at], key[at].view(np.int64), np.diff(np.append(at, len(row)))
 
-    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(part: pa.RecordBatch, size: int, **own) -> pa.RecordBatch:
+        """``size`` rows of ``scores``: what isn't given is 0, or null for a document or key."""
+        whole, real = pa.int64(), pa.float64()
+        kinds = {"row": whole, "doc": part.schema.field("doc").type, "n_tokens": whole, "n_known": whole, "base": real, "score": real, "n_bytes": whole, "kind": pa.int32(), "key": whole, "n": pa.int32()}
+        zero = lambda c, t: pa.nulls(size, t) if c in ("doc", "kind", "key") else pa.array(np.zeros(size), t)
+        return pa.RecordBatch.from_pydict({c: own[c] if isinstance(own.get(c), pa.Array) else pa.array(own[c], t) if c in own else zero(c, t) for c, t in kinds.items()})
+
+    def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram_key, gram_value, word_key, word_log = shared.value
-        none = lambda n: pd.array([None] * n, dtype="Int64")
         for part in parts:
-            ids, numbers = part["doc"].tolist(), part["row"].to_numpy(dtype=np.int64)
-            for lo, hi, texts in pieces(part["text"]):
+            numbers = part.column("row").to_numpy()
+            for lo, hi, texts in pieces(x.as_py() for x in part.column("text")):
                 rest: list[tuple] = []
                 score = np.zeros(hi - lo)
                 for own, some in gram_blocks(texts):
@@ -320,13 +362,13 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", gram_slots:
                     base += (np.bincount(row[hit], weights=word_log[s[hit]], minlength=b - a) + np.log10(ends + 0.5)).tolist()
                     if not hit.all():
                         rest.append((_TEXT, *counted(row[~hit] + a, hashes[~hit])))
-                yield pd.DataFrame({"row": numbers[lo:hi], "doc": pd.Series(ids[lo:hi], dtype=object), "n_tokens": tokens, "n_known": known, "base": base, "score": score, "n_bytes": [len(x) for x in texts], "kind": none(hi - lo), "key": none(hi - lo), "n": 0})
+                yield made(part, hi - lo, row=numbers[lo:hi], doc=part.column("doc").slice(lo, hi - lo), n_tokens=tokens, n_known=known, base=base, score=score, n_bytes=[len(x) for x in texts])
                 for kind, row, key, n in rest:
-                    yield pd.DataFrame({"row": numbers[lo + row], "doc": pd.Series([None] * len(row), dtype=object), "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0, "n_bytes": 0, "kind": pd.array(np.full(len(row), kind), dtype="Int64"), "key": pd.array(key, dtype="Int64"), "n": n})
+                    yield made(part, len(row), row=numbers[lo + row], kind=np.full(len(row), kind), key=key, n=n)
 
     kind = docs.schema[doc].dataType.simpleString()
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc", "text")
-    each = spool(numbered.mapInPandas(measure, f"row long, doc {kind}, n_tokens long, n_known long, base double, score double, n_bytes long, kind int, key long, n int"), "scores")
+    each = spool(numbered.mapInArrow(measure, f"row long, doc {kind}, n_tokens long, n_known long, base double, score double, n_bytes long, kind int, key long, n int"), "scores")
     table = values.select(F.lit(_GRAM).alias("kind"), "key", "value").unionByName(words.select(F.lit(_TEXT).alias("kind"), "key", F.log10(F.col("n") + 0.5).alias("value")))
     others = each.where("key is not null").select("row", "kind", "key", "n").join(table, ["kind", "key"], "left")
     is_word = F.col("kind") == _TEXT

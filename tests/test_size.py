@@ -71,6 +71,38 @@ def test_a_solved_batch_of_grams_is_small():
     assert peak < 100e6
 
 
+def test_blocks_of_texts_are_made_one_by_one():
+    """No list of all rows of a batch stands beside the batch."""
+    read = []
+    texts = (read.append(i) or "Some  words of a text " * 500 for i in range(400))
+    made = ctw.pieces(texts)
+    lo, hi, rows = next(made)
+    assert (lo, len(rows)) == (0, hi) and len(read) <= hi + 1 < 100
+    assert hi + sum(len(x) for _, _, x in made) == 400
+
+
+def test_counts_of_a_task_stay_in_their_arrays():
+    keys = np.random.default_rng(2).integers(0, 1 << 63, 40_000, dtype=np.uint64) // np.uint64(1 << 48)
+    sums, got, want = ctw.Sums(4000), [], {}
+    for i in range(0, len(keys), 1000):
+        some, n = np.unique(keys[i : i + 1000], return_counts=True)
+        got += sums.put(some, n if i % 3000 else 0, n)
+        for k, x in zip(some.tolist(), n.tolist()):
+            old = want.get(k, (0, 0))
+            want[k] = old[0] + (x if i % 3000 else 0), old[1] + x
+    assert got and sums.held.shape == (3, 4000)
+    got += sums.put(np.arange(9000, dtype=np.uint64) + np.uint64(1 << 62), 1, np.ones(9000, dtype=np.int64))
+    want |= {(1 << 62) + i: (1, 1) for i in range(9000)}
+    sums.add()
+    total = {}
+    for key, n, seen in (row for x in got + list(sums.out()) for row in x.T.tolist()):
+        old = total.get(key, (0, 0))
+        total[key] = old[0] + n, old[1] + seen
+    assert total == want
+    sums.add()
+    assert not list(sums.out())
+
+
 def test_words_of_many_texts_are_hashed_in_small_blocks():
     texts = [b"some words of a text " * 500] * 400
     textkernel._power("up", 1 << 18), textkernel._power("down", 1 << 18)
