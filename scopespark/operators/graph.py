@@ -53,8 +53,8 @@ def anchors(bonds: DataFrame, atoms: DataFrame | None = None, element: str = "C"
     if atoms is not None:
         kind = atoms_of(atoms.where(F.col("element") == element), "atom_id", "kind")
         found = found.join(kind.hint("merge"), "mol_id").where(F.array_contains("kind", F.col("a")) & F.array_contains("kind", F.col("b")))
-    count = found.groupBy("mol_id").agg(F.count("*").alias("n"))
-    return found.join(count.hint("merge"), "mol_id").select("mol_id", "a", "b", "n")
+    own = found.where(F.col("mol_id").isNotNull()).groupBy("mol_id").agg(F.collect_list(F.struct("a", "b")).alias("own"))
+    return own.select("mol_id", _each("own").alias("x"), F.size("own").cast("long").alias("n")).select("mol_id", "x.a", "x.b", "n")
 
 
 def first_anchor(found: DataFrame) -> DataFrame:
@@ -139,6 +139,45 @@ def distances(edges: DataFrame, found: DataFrame, r: int, block_other: bool = Fa
     return rows.select("mol_id", "anchor", _each("seen").alias("x")).select("mol_id", "anchor", "x.atom", "x.dist")
 
 
+def _turned(bonds: Column, *more: str) -> Column:
+    """Directed bonds (a, b, *more) of the bonds (src, dst, ...) of a graph, each once."""
+    turn = lambda e, x, y: F.struct(e[x].alias("a"), e[y].alias("b"), *[e[c].alias(c) for c in more])
+    return F.array_distinct(F.flatten(F.transform(bonds, lambda e: F.array(turn(e, "src", "dst"), turn(e, "dst", "src")))))
+
+
+def _within(edges: Column, ends: Column, r: int, block_other: bool = False) -> Column:
+    """(atom, dist) of the atoms up to r hops from the nearest of ``ends`` (anchor, other), as ``distances`` has them.
+
+    All inside the row of a graph, so that no table is grouped or joined again for it.
+    """
+
+    def step(end: Column, so_far: Column, d: Column) -> Column:
+        new = F.array_except(_behind(edges, so_far["front"]), F.transform(so_far["seen"], lambda x: x["atom"]))
+        new = F.filter(new, lambda x: x != end["other"]) if block_other else new
+        return _let(new, lambda new: F.struct(new.alias("front"), F.concat(so_far["seen"], F.transform(new, lambda x: F.struct(x.alias("atom"), d.alias("dist")))).alias("seen")))
+
+    start = lambda end: F.struct(F.array(end["anchor"]).alias("front"), F.array(F.struct(end["anchor"].alias("atom"), F.lit(0).alias("dist"))).alias("seen"))
+    hops = F.slice(F.array(*[F.lit(d) for d in range(r + 1)]), 2, r)
+    each = F.flatten(F.transform(ends, lambda end: F.aggregate(hops, start(end), lambda so_far, d: step(end, so_far, d), lambda x: x["seen"])))
+    least = lambda all_, atom: F.array_min(F.transform(F.filter(all_, lambda x: x["atom"].eqNullSafe(atom)), lambda x: x["dist"]))
+    return _let(each, lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda x: x["atom"])), lambda atom: F.struct(atom.alias("atom"), least(all_, atom).alias("dist"))))
+
+
+def _around(bonds: DataFrame, found: DataFrame, r: int, how: str) -> DataFrame:
+    """(mol_id, bonds, inside, border): each graph in one row, with the (atom, dist) of ``neighbourhood`` and the atoms of ``boundary``.
+
+    Without an anchor the last two are null.
+    """
+    kind = bonds.schema["src"].dataType
+    own = _ends(found.select("mol_id", F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")))
+    own = own.groupBy("mol_id").agg(F.collect_list(F.struct("anchor", "other")).alias("ends"))
+    rows = bonds.groupBy("mol_id").agg(F.collect_list(F.struct(*[c for c in bonds.columns if c != "mol_id"])).alias("bonds"))
+    rows = rows.join(own.hint("merge"), "mol_id", how)
+    marks = _let(_turned(F.col("bonds")), lambda edges: F.struct(_within(edges, F.col("ends"), r, block_other=True).alias("inside"), _within(edges, F.col("ends"), r).alias("near")))
+    rows = rows.select("mol_id", "bonds", marks.alias("marks"))
+    return rows.select("mol_id", "bonds", "marks.inside", F.transform(F.filter("marks.near", lambda x: x["dist"] == r), lambda x: x["atom"]).alias("border"))
+
+
 def boundary(edges: DataFrame, found: DataFrame, r: int, max_walks: int | None = None) -> DataFrame:
     """(mol_id, atom): atoms r hops from one anchor end and at least r from the other.
 
@@ -204,6 +243,18 @@ def ring_systems(aromatic: DataFrame) -> DataFrame:
     return rows.select("mol_id", F.array_min("part").alias("system"), _each("part").alias("atom")).select("mol_id", "atom", "system")
 
 
+def _partial(systems: Column, inside: Column, edge: Column) -> Column:
+    """Atoms of those systems that have an atom of ``edge`` and one outside ``inside``."""
+    among = lambda atoms: lambda x: F.coalesce(F.array_contains(atoms, x), F.lit(False))
+    return F.flatten(F.filter(systems, lambda p: F.exists(p, among(edge)) & ~F.forall(p, among(inside))))
+
+
+def _made_single(bond: Callable[[str], Column], hit: Column) -> dict[str, Column]:
+    """What changes in a bond whose system is in ``hit``."""
+    gone = bond("aromatic") & F.coalesce(F.array_contains(hit, bond("src")), F.lit(False))
+    return {"bond_order": F.when(gone, 1).otherwise(bond("bond_order")), "aromatic": bond("aromatic") & ~gone}
+
+
 def break_partial_rings(bonds: DataFrame, network: DataFrame, edge: DataFrame) -> DataFrame:
     """``bonds`` with the aromatic systems that have a boundary atom and a member outside made single.
 
@@ -211,12 +262,18 @@ def break_partial_rings(bonds: DataFrame, network: DataFrame, edge: DataFrame) -
     """
     system = _by_graph(undirected(bonds.where("aromatic"))).select("mol_id", _connected(F.col("edges")).alias("systems"))
     inside, on_edge = atoms_of(network, "atom", "inside"), atoms_of(edge, "atom", "edge")
-    among = lambda name: lambda x: F.coalesce(F.array_contains(name, x), F.lit(False))
-    partial = lambda p: F.exists(p, among("edge")) & ~F.forall(p, among("inside"))
-    hit = system.join(inside.hint("merge"), "mol_id", "left").join(on_edge.hint("merge"), "mol_id", "left").select("mol_id", F.flatten(F.filter("systems", partial)).alias("hit"))
+    hit = system.join(inside.hint("merge"), "mol_id", "left").join(on_edge.hint("merge"), "mol_id", "left").select("mol_id", _partial(F.col("systems"), F.col("inside"), F.col("edge")).alias("hit"))
     marked = bonds.join(hit.hint("merge"), "mol_id", "left")
-    gone = F.col("aromatic") & F.coalesce(F.array_contains("hit", F.col("src")), F.lit(False))
-    return marked.withColumn("bond_order", F.when(gone, 1).otherwise(F.col("bond_order"))).withColumn("aromatic", F.col("aromatic") & ~gone).select(*bonds.columns)
+    return marked.withColumns(_made_single(F.col, F.col("hit"))).select(*bonds.columns)
+
+
+def break_rings_around(bonds: DataFrame, found: DataFrame, r: int) -> DataFrame:
+    """``break_partial_rings`` with the network and the boundary r hops around ``found``, all in the row of a graph."""
+    rows = _around(bonds, found, r, "left")
+    systems = _connected(_turned(F.filter("bonds", lambda e: e["aromatic"])))
+    rows = rows.select("mol_id", "bonds", _partial(systems, F.transform("inside", lambda x: x["atom"]), F.col("border")).alias("hit"))
+    rows = rows.select("mol_id", "hit", _each("bonds").alias("e")).select("mol_id", "hit", "e.*")
+    return rows.withColumns(_made_single(F.col, F.col("hit"))).select(*bonds.columns)
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:

@@ -36,6 +36,39 @@ def test_graphs_are_dealt_once(spark):
         assert all("REPARTITION_BY_NUM" in x for x in _exchanges(df))
 
 
+def _odd_bonds(spark):
+    """Random graphs with several or no double bonds, bonds given twice, and null ids and marks."""
+    g = np.random.default_rng(3)
+    rows = [(int(m), int(a), int(a + d), int(o), bool(x)) for m, a, d, o, x in zip(*(g.integers(lo, hi, 600) for lo, hi in ((0, 60), (0, 9), (1, 4), (1, 3), (0, 2))))]
+    rows += rows[:20] + [(None, 0, 1, 2, True), (None, 1, 2, 1, True), (2, 3, 4, 2, None), (70, 0, 1, 1, True)]
+    return spark.createDataFrame(rows, "mol_id long, src int, dst int, bond_order int, aromatic boolean")
+
+
+def _rows(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_rings_around_anchors_equal_the_table_form(spark):
+    b = graph.colocated(_odd_bonds(spark), 4)
+    e, every = graph.undirected(b), graph.anchors(b)
+    for found in (every, graph.first_anchor(every)):
+        for r in (0, 1, 2):
+            near, edge = graph.neighbourhood(e, found, r), graph.boundary(e, found, r)
+            got = _rows(graph.break_rings_around(b, found, r))
+            assert got == _rows(graph.break_partial_rings(b, near, edge)) and len(got) == b.count()
+            around = graph._around(b, found, r, "inner").where("mol_id is not null")
+            for table, own in ((near, around.selectExpr("mol_id", "inline(inside)")), (edge, around.selectExpr("mol_id", "explode(border) AS atom"))):
+                assert _rows(own) == _rows(table.where("mol_id is not null").select(own.columns))
+
+
+def test_anchors_are_counted_in_one_pass(spark):
+    b = _odd_bonds(spark)
+    found = graph.anchors(b)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    double = [r for r in b.collect() if r["bond_order"] == 2 and r["mol_id"] is not None]
+    assert _rows(found.select("mol_id", "a", "b", "n")) == sorted(f"Row(mol_id={x['mol_id']}, a={x['src']}, b={x['dst']}, n={sum(y['mol_id'] == x['mol_id'] for y in double)})" for x in double)
+
+
 def test_walks_add_up_over_anchors(spark):
     e = graph.undirected(_chains(spark, 1))
     found = spark.createDataFrame([(0, 0, 1), (0, 1, 2)], "mol_id long, a int, b int")
