@@ -305,9 +305,7 @@ def motifs(bonds: DataFrame, found: DataFrame, r: int, atoms: DataFrame | None =
 
     Boundary atoms count as ``*``.  Fragments of one shape share a key; the converse can fail.
     """
-    edges = undirected(bonds)
-    near = neighbourhood(edges, found, r)
-    own = near.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("atom", "dist"))).alias("own")).join(atoms_of(boundary(edges, found, r), "atom", "border").hint("merge"), "mol_id", "left")
+    own = _around(bonds.select("mol_id", "src", "dst", "bond_order"), found, r, "inner").withColumnRenamed("inside", "own")
     kind = lambda x: F.lit("C")
     if atoms is not None:
         told = atoms.where(F.col("element").isNotNull() & F.col("atom_id").isNotNull()).groupBy("mol_id").agg(F.collect_list(F.struct(F.col("atom_id").alias("atom"), "element")).alias("kinds"))
@@ -315,8 +313,8 @@ def motifs(bonds: DataFrame, found: DataFrame, r: int, atoms: DataFrame | None =
         kind = lambda x: F.get(F.filter("kinds", lambda k: k["atom"] == x), F.lit(0))["element"]
     name = lambda x: F.when(F.array_contains("border", x), "*").otherwise(F.coalesce(kind(x), F.lit("?")))
     first = lambda x: F.md5(F.concat_ws("|", name(x["atom"]), x["dist"].cast("string")).cast("binary"))
-    rows = own.withColumn("own", F.transform("own", lambda x: F.struct(x["atom"].alias("atom"), first(x).alias("c")))).join(_by_graph(edges, "bond_order").hint("merge"), "mol_id")
-    rows = rows.select("mol_id", "edges", F.transform("own", lambda x: x["atom"]).alias("atoms"), F.transform("own", lambda x: x["c"]).alias("first"))
+    rows = own.withColumn("own", F.transform(F.array_sort("own"), lambda x: F.struct(x["atom"].alias("atom"), first(x).alias("c"))))
+    rows = rows.select("mol_id", _turned(F.col("bonds"), "bond_order").alias("edges"), F.transform("own", lambda x: x["atom"]).alias("atoms"), F.transform("own", lambda x: x["c"]).alias("first"))
     inside = F.filter("edges", lambda e: F.array_contains("atoms", e["b"]))
     last = F.element_at(_colourings(F.col("atoms"), F.col("first"), inside, r + 1), -1)
     return rows.select("mol_id", F.md5(F.array_join(F.array_sort(last), ",").cast("binary")).alias("motif_key"), F.size("atoms").cast("long").alias("n_atoms"))

@@ -69,6 +69,17 @@ def test_anchors_are_counted_in_one_pass(spark):
     assert _rows(found.select("mol_id", "a", "b", "n")) == sorted(f"Row(mol_id={x['mol_id']}, a={x['src']}, b={x['dst']}, n={sum(y['mol_id'] == x['mol_id'] for y in double)})" for x in double)
 
 
+def test_motifs_and_rings_pass_few_operators(spark):
+    """Each one takes memory pages of its own in the single task that a graph passes."""
+    b = graph.colocated(_chains(spark, 20), 5).withColumn("aromatic", F.lit(False))
+    atoms = b.select("mol_id", F.explode(F.array("src", "dst")).alias("atom_id")).distinct().withColumn("element", F.lit("C"))
+    found = graph.first_anchor(graph.anchors(b))
+    for df, most in ((graph.motifs(b, found, 2, atoms), 25), (graph.break_rings_around(b, found, 2), 14)):
+        tree = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert sum(" Sort [" in x or "Aggregate(" in x for x in tree.split("\n")) <= most
+        assert df.count() == (20 if "motif_key" in df.columns else 60)
+
+
 def test_walks_add_up_over_anchors(spark):
     e = graph.undirected(_chains(spark, 1))
     found = spark.createDataFrame([(0, 0, 1), (0, 1, 2)], "mol_id long, a int, b int")
