@@ -163,7 +163,7 @@ def _within(edges: Column, ends: Column, r: int, block_other: bool = False) -> C
     return _let(each, lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda x: x["atom"])), lambda atom: F.struct(atom.alias("atom"), least(all_, atom).alias("dist"))))
 
 
-def _around(bonds: DataFrame, found: DataFrame, r: int, how: str) -> DataFrame:
+def around(bonds: DataFrame, found: DataFrame, r: int, how: str) -> DataFrame:
     """(mol_id, bonds, inside, border): each graph in one row, with the (atom, dist) of ``neighbourhood`` and the atoms of ``boundary``.
 
     Without an anchor the last two are null.
@@ -269,7 +269,7 @@ def break_partial_rings(bonds: DataFrame, network: DataFrame, edge: DataFrame) -
 
 def break_rings_around(bonds: DataFrame, found: DataFrame, r: int) -> DataFrame:
     """``break_partial_rings`` with the network and the boundary r hops around ``found``, all in the row of a graph."""
-    rows = _around(bonds, found, r, "left")
+    rows = around(bonds, found, r, "left")
     systems = _connected(_turned(F.filter("bonds", lambda e: e["aromatic"])))
     rows = rows.select("mol_id", "bonds", _partial(systems, F.transform("inside", lambda x: x["atom"]), F.col("border")).alias("hit"))
     rows = rows.select("mol_id", "hit", _each("bonds").alias("e")).select("mol_id", "hit", "e.*")
@@ -305,7 +305,7 @@ def motifs(bonds: DataFrame, found: DataFrame, r: int, atoms: DataFrame | None =
 
     Boundary atoms count as ``*``.  Fragments of one shape share a key; the converse can fail.
     """
-    own = _around(bonds.select("mol_id", "src", "dst", "bond_order"), found, r, "inner").withColumnRenamed("inside", "own")
+    own = around(bonds.select("mol_id", "src", "dst", "bond_order"), found, r, "inner").withColumnRenamed("inside", "own")
     kind = lambda x: F.lit("C")
     if atoms is not None:
         told = atoms.where(F.col("element").isNotNull() & F.col("atom_id").isNotNull()).groupBy("mol_id").agg(F.collect_list(F.struct(F.col("atom_id").alias("atom"), "element")).alias("kinds"))

@@ -75,10 +75,8 @@ def motif_lines(atoms: DataFrame, bonds: DataFrame, r: int) -> DataFrame:
     """
     bonds = graph.colocated(bonds)
     found = _double_bonds(atoms, bonds).where("n = 1").select("mol_id", "a", "b")
-    edges = graph.undirected(bonds)
-    near, edge = graph.neighbourhood(edges, found, r), graph.boundary(edges, found, r)
     whole = graph.break_rings_around(bonds, found, r)
-    marks = graph.atoms_of(near, "atom", "inside").join(graph.atoms_of(edge, "atom", "border").hint("merge"), "mol_id", "left")
+    marks = graph.around(bonds, found, r, "inner").select("mol_id", F.transform("inside", lambda x: x["atom"]).alias("inside"), "border")
     among = lambda name, atom: F.coalesce(F.array_contains(name, F.col(atom)), F.lit(False))
     own_bonds = whole.join(marks.hint("merge"), "mol_id").where(among("inside", "src") & among("inside", "dst")).select(*whole.columns)
     aromatic = graph.atoms_of(own_bonds.where("aromatic").select("mol_id", F.explode(F.array("src", "dst")).alias("atom_id")), "atom_id", "still")

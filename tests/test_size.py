@@ -56,7 +56,7 @@ def test_rings_around_anchors_equal_the_table_form(spark):
             near, edge = graph.neighbourhood(e, found, r), graph.boundary(e, found, r)
             got = _rows(graph.break_rings_around(b, found, r))
             assert got == _rows(graph.break_partial_rings(b, near, edge)) and len(got) == b.count()
-            around = graph._around(b, found, r, "inner").where("mol_id is not null")
+            around = graph.around(b, found, r, "inner").where("mol_id is not null")
             for table, own in ((near, around.selectExpr("mol_id", "inline(inside)")), (edge, around.selectExpr("mol_id", "explode(border) AS atom"))):
                 assert _rows(own) == _rows(table.where("mol_id is not null").select(own.columns))
 
