@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scopespark.functions.columns import family_columns
+from scopespark.operators import lloyd
 from scopespark.operators.grouped import elbow
 from scopespark.session import spool
 
@@ -177,7 +178,8 @@ def kmeans_elbow(df: DataFrame, columns: Sequence[str], scale: float = 0.25, tri
     larger ``scale`` or a larger bound, and the caller has to say which.
     """
     points = spool(_points(df, columns), "points").persist()
-    root = int(np.sqrt(points.count()))
+    n = points.count()
+    root = int(np.sqrt(n))
     ks = list(range(max(int(root * scale), 2), root + 1, 2)) or [2]
     if len(ks) > most:
         raise ValueError(f"{len(ks)} values of k to try, more than {most}")
@@ -186,9 +188,14 @@ def kmeans_elbow(df: DataFrame, columns: Sequence[str], scale: float = 0.25, tri
         k, s = job
         return k, KMeans(k=k, seed=s, featuresCol="__features").fit(points).summary.trainingCost
 
-    # points in the plane fill few partitions, so a fit leaves most cores idle: as many fits at once as there are cores
-    with ThreadPoolExecutor(max(4, df.sparkSession.sparkContext.defaultParallelism)) as pool:
-        runs = list(pool.map(cost, [(k, s) for k in ks for s in range(trials)]))
+    fits = [(k, s) for k in ks for s in range(trials)]
+    values, places = lloyd.gathered(points, "__features", len(columns)) if n * len(columns) <= lloyd.MOST_VALUES else (np.empty(0), None)
+    if len(values) and np.isfinite(values).all():
+        # a fit of MLlib is some thirty jobs, whatever the rows; a fit inside one task is one task
+        runs = [(k, c) for (k, _), c in zip(fits, lloyd.training_costs(points, values, places, fits))]
+    else:  # more points than a task may hold, or such as MLlib refuses; as many fits at once as there are cores
+        with ThreadPoolExecutor(max(4, df.sparkSession.sparkContext.defaultParallelism)) as pool:
+            runs = list(pool.map(cost, fits))
     points.unpersist()
     rows = [(k, float(np.mean([c for q, c in runs if q == k]))) for k in ks]
     curve = df.sparkSession.createDataFrame(rows, "k int, cost double")
